@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 SQL = {
+    "op1_line_dedup": line_dedup.SQL,
     "op2_mixing": mixing.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op8_quality_rules": quality_rules.SQL,
 }
