@@ -78,3 +78,9 @@ def n_words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Binds value to a lambda variable, so that body may use it often and it is computed once."""
     return F.transform(F.array(value), body)[0]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few enough texts that even batches of long ones fit in a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

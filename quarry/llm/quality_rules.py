@@ -24,7 +24,7 @@ RULES: dict[str, str] = {
     "too_short": "n_words < 50",
     "repeat_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "100 * n_symbols > 10 * n_words",
-    "dup_lines": "100 * n_dup_lines > 30 * n_lines",
+    "dup_lines": "100 * n_dup_lines > 50 * n_lines",
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
     "shouting": "100 * n_upper > 50 * word_chars",
     "bangs": "100 * n_bangs > 20 * n_words",
@@ -126,7 +126,7 @@ m AS (
   FROM d LEFT JOIN r USING (doc_id)),
 ledger AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * n_words)::INT
-    + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
+    + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
     + 32 * (100 * n_upper > 50 * word_chars)::INT + 64 * (100 * n_bangs > 20 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
 """
 SQL = f"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, quality_rules
+from . import classifier, exact_dedup, line_dedup, mixing, packing, quality_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_packing": packing.op3_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_quality_classifier": classifier.op9_quality_classifier,
 }
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
