@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, exact_dedup, line_dedup, mixing, packing, quality_rules
+from . import classifier, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": classifier.op9_quality_classifier,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
