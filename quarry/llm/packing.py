@@ -16,11 +16,14 @@ gives an empty result. Columns other than id and text are not read.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,34 +35,99 @@ from .common import documents, materialize, small_batches, text_of
 
 WINDOW = 2048
 END_ID = 1
+END = END_ID.to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 300_000
+#: Words and parts kept by a Python worker: about 150 MB each at most, with the generation before.
+CACHED = 400_000
+
+
+class Generations(dict):
+    """A bounded cache: what was used since the last turn survives the next one."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys: set) -> list:
+        left = keys.difference(self)
+        if self.old and left:
+            self.update({k: self.old[k] for k in left & self.old.keys()})
+            left.difference_update(self)
+        return list(left)
 
 
 class Encoder:
-    """Ids of whole texts through a cache of words. The tokenizer drops white space and never joins across it, so the ids of a
-    text are the ids of its parts; parts are cut at four characters that every rule counts as white space."""
+    """Ids of whole texts, as little-endian bytes, through caches of words and of the parts that the tokenizer cuts words into.
+
+    The tokenizer drops white space and never joins across it, so the ids of a text are the ids of its words in turn, and the
+    ids of a word those of its parts. Parts that are not known are encoded many at a time; ids whose entry ends a part tell
+    where the next begins. Where that reasoning might not hold (unstable normal forms, parts that don't come out one by one),
+    words are encoded alone."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         if "/" not in vocabulary:
             import public_tokenizers
 
             vocabulary = public_tokenizers.path(vocabulary)
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        missing = list(set().union(*parts) - self.known.keys()) if parts else []
-        for i in range(0, len(missing), 10_000):
-            own = missing[i : i + 10_000]
-            self.known.update(zip(own, (e.ids for e in self.tokenizer.encode_batch(own, add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, p)), (END_ID,)), dtype="<u4") for p in parts]
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        model = json.loads(Path(vocabulary).read_text())
+        self.suffix = model["model"].get("end_of_word_suffix") or ""
+        rules = [x["pattern"]["Regex"] for x in (model.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        # Only this shape of tokenizer allows the reasoning above; any other is asked for whole texts.
+        self.by_part = bool(self.suffix and len(rules) == 1 and self.tokenizer.normalizer)
+        if self.by_part:
+            self.cut = regex.compile(rules[0]).findall
+            self.apart = [*(x["content"] for x in model.get("added_tokens", [])), "\x1c", "\x1d", "\x1e", "\x1f"]
+            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.suffix)]] = True
+        self.words, self.parts = Generations(CACHED), Generations(CACHED)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 5000):
+            own = parts[i : i + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(own) and stops[-1] == len(ids):
+                raw, cuts = ids.tobytes(), [0, *(stops * 4).tolist()]
+                self.parts.update(zip(own, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            else:
+                self.parts.update((p, self.whole(p)) for p in own)
+
+    def _learn(self, words: list[str]) -> None:
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        if len(normal) == len(words) and unicodedata.is_normalized("NFC", " ".join(normal)):
+            cuts = [(n,) if n.isalpha() else self.cut(n) for n in normal]
+            self._learn_parts(self.parts.missing(set(chain.from_iterable(cuts))))
+            get, join = self.parts.__getitem__, b"".join
+            self.words.update(zip(words, [get(c[0]) if len(c) == 1 else join(map(get, c)) for c in cuts], strict=True))
+        elif len(words) > 1:
+            self._learn(words[: len(words) // 2])
+            self._learn(words[len(words) // 2 :])
+        else:
+            self.words[words[0]] = self.whole(words[0])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts with special strings or with separators that only Python splits at are encoded whole."""
+        if not self.by_part:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = [None if any(x in t for x in self.apart) else t.split() for t in texts]
+        self.words.turn()
+        self.parts.turn()
+        if new := self.words.missing(set(chain.from_iterable(w for w in words if w))):
+            self._learn(new)
+        get, join = self.words.__getitem__, b"".join
+        return [self.whole(t) if w is None else join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -74,9 +142,10 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, window: int, vocabula
         for pdf in batches:
             out = []
             for key, ids in zip(pdf["id"], encoder(vocabulary).encode(pdf["t"].tolist()), strict=True):
-                for start in range(0, len(ids), window):
-                    raw = ids[start : start + window].tobytes()
-                    out.append((key, start, len(raw) // 4, len(ids), zlib.crc32(raw) if emit == "crc32" else raw))
+                ids += END
+                for start in range(0, len(ids), 4 * window):
+                    raw = ids[start : start + 4 * window]
+                    out.append((key, start // 4, len(raw) // 4, len(ids) // 4, zlib.crc32(raw) if emit == "crc32" else raw))
             frame = pd.DataFrame(out, columns=["id", "start", "length", "doc_tokens", name])
             yield frame.astype({"id": pdf["id"].dtype})
 
