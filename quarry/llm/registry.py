@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import classifier, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules
+from . import classifier, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_ngram_join": ngram_join.op10_ngram_join,
