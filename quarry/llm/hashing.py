@@ -42,9 +42,11 @@ def window_hashes(symbols: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     n = len(symbols) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    total, factor = np.full(n, seed, dtype=np.uint64), np.uint64(2 * seed + 0x9E3779B97F4A7C15)
-    for i in range(width):
-        total = total * factor + mix(symbols[i : i + n] + np.uint64(seed))
+    own, factor = mix(symbols + np.uint64(seed)), np.uint64(2 * seed + 0x9E3779B97F4A7C15)
+    total = own[:n].copy()
+    for i in range(1, width):
+        total *= factor
+        total += own[i : i + n]
     return mix(total)
 
 

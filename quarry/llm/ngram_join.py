@@ -42,13 +42,9 @@ def _levels(spark: SparkSession, texts: DataFrame, width: int) -> tuple[DataFram
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(cells, dtype=np.uint64)
         for pdf in batches:
-            out = []
-            for key, text in zip(pdf["id"], pdf["t"], strict=True):
-                s = shingle_set(text, width)
-                counts += np.bincount(s >> np.uint64(64 - CELL_BITS), minlength=cells).astype(np.uint64) if len(s) > cells // 16 else np.uint64(0)
-                if len(s) <= cells // 16:
-                    np.add.at(counts, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint64(1))
-                out.append((key, len(s), *set_key(s), None))
+            sets = [shingle_set(t, width) for t in pdf["t"]]
+            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells).astype(np.uint64)
+            out = [(key, len(s), *set_key(s), None) for key, s in zip(pdf["id"], sets, strict=True)]
             yield pd.DataFrame(out, columns=["id", "n", "k1", "k2", "cells"])
         yield pd.DataFrame([(None, None, None, None, zlib.compress(counts.tobytes(), 1))], columns=["id", "n", "k1", "k2", "cells"])
 

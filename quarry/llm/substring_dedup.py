@@ -101,13 +101,15 @@ class FingerprintIndex:
         """(id, start, count) of new documents' windows that occur in a document before."""
         width = self.width
         rank = F.struct((-F.col("old")).alias("batch"), F.col("id").alias("id"))
-        first = found.groupBy("h", "bh").agg(F.min(rank).alias("r"), F.min(F.struct((-F.col("old")).alias("batch"), "id", "start", "count")).alias("first"))
-        first = materialize(first, "first-blocks")
-        again = found.filter("old = 0").join(first.select("h", "bh", F.col("r.batch").alias("fb"), F.col("r.id").alias("fi")), ["h", "bh"])
-        again = again.filter((F.col("fb") < 0) | (F.col("fi") < F.col("id"))).select("id", "start", "count")
-        split = first.groupBy("h").agg((F.min("bh") != F.max("bh")).alias("s")).filter("s").select("h")
-        contested = first.join(split, "h", "left_semi").select("first.*")
-        per_id = contested.groupBy("id", "batch").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
+        first = found.groupBy("h", "bh").agg(F.min(rank).alias("r"))
+        split = first.groupBy("h").agg((F.min("bh") != F.max("bh")).alias("split"))
+        marked = found.join(first.join(split, "h").select("h", "bh", F.col("r.batch").alias("fb"), F.col("r.id").alias("fi"), "split"), ["h", "bh"])
+        later = (F.col("old") == 0) & ((F.col("fb") < 0) | (F.col("fi") < F.col("id")))
+        # A first block is compared wherever it is in its first document.
+        own = F.col("split") & (F.col("fb") == -F.col("old")) & (F.col("fi") == F.col("id"))
+        marked = materialize(marked.select("id", (-F.col("old")).alias("batch"), "start", "count", later.alias("later")).filter(later | own), "marked")
+        again = marked.filter("later").select("id", "start", "count")
+        per_id = marked.filter("NOT later").groupBy("id", "batch").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
 
         def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
