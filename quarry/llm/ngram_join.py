@@ -1,7 +1,7 @@
 """Jaccard self-join on word n-grams with vertical partitioning.
 
 1. Documents with equal shingle sets become one class (128-bit set hash); only class representatives go on.
-2. The global order puts rare shingles first. Rarity comes from a counter of all shingles in 2^20 cells, as log2 levels; the
+2. The global order puts rare shingles first. Rarity comes from a counter of all shingles in 2^22 cells, as log2 levels; the
    hash orders within a level. Any order gives right results; this one keeps frequent shingles out of prefixes.
 3. Each representative posts its prefix (a tenth of its set at 0.9) as (shingle, id, set size, position). Linked pairs share a
    prefix shingle, and their sizes and positions there pass a bound on the overlap.
@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from .common import documents, drop_table, materialize, small_batches, small_join, text_of
 from .components import components
 from .hashing import set_key, shingle_set
+from .repeats import bit_table
 
-CELL_BITS = 20
+CELL_BITS = 22
+#: Cells of the histogram that bounds the overlap of a pair before its sets are fetched.
+BOUND_CELLS = 256
 FRAGMENTS = 8
 
 
@@ -40,30 +43,52 @@ def _levels(spark: SparkSession, texts: DataFrame, width: int) -> tuple[DataFram
     cells = 1 << CELL_BITS
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(cells, dtype=np.uint64)
+        counts = np.zeros(cells, dtype=np.uint32)
         for pdf in batches:
             sets = [shingle_set(t, width) for t in pdf["t"]]
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells).astype(np.uint64)
-            out = [(key, len(s), *set_key(s), None) for key, s in zip(pdf["id"], sets, strict=True)]
-            yield pd.DataFrame(out, columns=["id", "n", "k1", "k2", "cells"])
-        yield pd.DataFrame([(None, None, None, None, zlib.compress(counts.tobytes(), 1))], columns=["id", "n", "k1", "k2", "cells"])
+            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
+            out = [(key, len(s), *set_key(s), _histogram(s), None) for key, s in zip(pdf["id"], sets, strict=True)]
+            yield pd.DataFrame(out, columns=["id", "n", "k1", "k2", "histogram", "cells"])
+        yield pd.DataFrame([(None, None, None, None, None, zlib.compress(counts.tobytes(), 1))], columns=["id", "n", "k1", "k2", "histogram", "cells"])
 
-    rows = materialize(texts.mapInPandas(scan, "id string, n long, k1 long, k2 long, cells binary"), "sets")
+    rows = materialize(texts.mapInPandas(scan, "id string, n long, k1 long, k2 long, histogram binary, cells binary"), "sets")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(cells, dtype=np.uint64)
-        for raw in pdf["cells"]:
-            total += np.frombuffer(zlib.decompress(raw), dtype=np.uint64)
+        for raw, width_ in zip(pdf["cells"], pdf["width"], strict=True):
+            total += np.frombuffer(zlib.decompress(raw), dtype=f"u{width_}")
         return pd.DataFrame({"cells": [zlib.compress(total.tobytes(), 1)]})
 
     # Sums in two steps: some senders each, then at most 64 rows on the driver.
-    partial = rows.filter("cells IS NOT NULL").groupBy(F.pmod(F.xxhash64("cells"), F.lit(64)).alias("g")).applyInPandas(add, "cells binary")
+    partial = rows.filter("cells IS NOT NULL").select("cells", F.lit(4).alias("width"), F.pmod(F.xxhash64("cells"), F.lit(64)).alias("g")).groupBy("g").applyInPandas(add, "cells binary")
     total = np.zeros(cells, dtype=np.uint64)
     for r in partial.toLocalIterator():
         total += np.frombuffer(zlib.decompress(r["cells"]), dtype=np.uint64)
     return rows.filter("cells IS NULL").drop("cells"), np.floor(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _histogram(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(24)).astype(np.int64) % BOUND_CELLS, minlength=BOUND_CELLS), 65535).astype("<u2").tobytes()
+
+
+def _bounded(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose histograms allow the overlap: a cell of a pair shares at most the smaller count."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = pdf["ha"].notna() & pdf["hb"].notna()
+            yield pdf[~known][["a", "b"]]
+            pdf = pdf[known]
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), dtype="<u2").reshape(-1, BOUND_CELLS).astype(np.int64) for c in ("ha", "hb"))
+                full = (x == 65535).any(axis=1) | (y == 65535).any(axis=1)
+                common = np.minimum(x, y).sum(axis=1)
+                yield pdf[full | (100 * common >= percent * (x.sum(axis=1) + y.sum(axis=1) - common))][["a", "b"]]
+
+    x = pairs.join(sketches.toDF("a", "ha"), "a", "left").join(sketches.toDF("b", "hb"), "b", "left")
+    return x.select("a", "b", "ha", "hb").mapInPandas(keep, "a long, b long")
+
+
 def _in_order(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sorted set in the global order, with levels."""
     own = levels[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
@@ -81,7 +106,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("t"))
     rows, levels = _levels(spark, texts, width)
-    rows = rows.withColumn("id", F.col("id").cast("long"))
+    sketches = rows.select(F.col("id").cast("long").alias("id"), "k1", "k2", "histogram")
+    rows = rows.select(F.col("id").cast("long").alias("id"), "n", "k1", "k2")
     classes = materialize(rows.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = classes.select("rep").distinct()
     n_reps = reps.count()
@@ -106,10 +132,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     posted = materialize(posted, "postings")
     heads = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("p", "n", "id")).alias("head")).filter("c > 1").select("h", "head")
     heads = materialize(heads, "heads")
-    inside = materialize(posted.join(heads, "h"), "buckets")
+    often = bit_table(heads, "h")
+
+    def shared_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[often.value.has(pdf["h"].to_numpy())]
+
+    inside = materialize(posted.mapInPandas(shared_only, posted.schema).join(heads, "h"), "buckets")
+    drop_table(posted)
+    # One sketch an id: an id with several texts keeps the class of its own.
+    sketches = materialize(sketches.join(classes, ["k1", "k2"]).filter(F.col("id") == F.col("rep")).groupBy("id").agg(F.max("histogram").alias("histogram"), F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c"), "sketches")
     bound = _passes(F.col("n"), F.col("p"), F.col("head.n"), F.col("head.p"), percent)
     stars = inside.filter((F.col("id") != F.col("head.id")) & bound).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-    first = verify(spark, stars, chosen, shared, width, percent)
+    first = verify(spark, _bounded(stars, sketches, percent), chosen, shared, width, percent)
     labels = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     labelled = inside.select("h", "id", "n", "p").join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -122,14 +157,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     rest = mixed.filter("c <> main").select("h", F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("id").alias("i"), F.col("c").alias("ci")).join(meets, ["h", "n1", "p1"])
     others = mixed.select("h", F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("id").alias("j"), F.col("c").alias("cj"))
     cross = rest.join(others, ["h", "n2", "p2"]).filter("ci <> cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    second = verify(spark, cross, chosen, shared, width, percent)
+    second = verify(spark, _bounded(cross, sketches, percent), chosen, shared, width, percent)
     links = first.union(second)
     # Ids whose rows have several texts tie the classes of those texts together.
     ties = rows.filter("n > 0 AND id IS NOT NULL").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).filter("id <> rep").groupBy("id").agg(F.min("rep").alias("r"), F.max("rep").alias("s")).filter("r <> s")
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(ties.select("r", "s")))
     by_class = classes.join(final, classes["rep"] == final["id"], "left").select("k1", "k2", F.col("rep"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(by_class, ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    drop_table(posted)
+    for table in (heads, inside, labelled, sketches):
+        drop_table(table)
     return (out, links) if links_out else out
 
 

@@ -14,6 +14,7 @@ documents costs one row a task.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -95,8 +96,10 @@ class Bits:
         return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def bit_table(df: DataFrame, col: str, log2: int):  # noqa: ANN201
-    """Broadcasts the bits of a column of longs. Each task sends one compressed table of a fixed size."""
+def bit_table(df: DataFrame, col: str, most: int = 27):  # noqa: ANN201
+    """Broadcasts the bits of a column of longs: 16 a row, up to 2^most (16 MB at 27), however many rows there are. Each task sends
+    one compressed table."""
+    log2 = min(most, max(16, math.ceil(math.log2(16 * max(1, df.count())))))
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = Bits(log2)
@@ -119,7 +122,8 @@ def bit_table(df: DataFrame, col: str, log2: int):  # noqa: ANN201
 
 
 def anchor_counts(texts: DataFrame, symbols: Symbols, width: int, gram: int, within: bool) -> DataFrame:
-    """h and n: in how many blocks (within: repeats in one document count) or documents an anchor occurs."""
+    """h and n: in how many blocks (within: repeats in one document count) or documents an anchor occurs. Summed once for each batch of
+    texts, not over batches, so that one shuffle can do the rest."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -132,7 +136,7 @@ def anchor_counts(texts: DataFrame, symbols: Symbols, width: int, gram: int, wit
             h, n = np.unique(np.concatenate(out), return_counts=True)
             yield pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int32)})
 
-    return texts.select("t").mapInPandas(scan, "h long, n int").groupBy("h").agg(F.sum("n").cast("int").alias("n"))
+    return texts.select("t").mapInPandas(scan, "h long, n int")
 
 
 def occurrences(texts: DataFrame, symbols: Symbols, width: int, gram: int, wanted) -> DataFrame:  # noqa: ANN001
@@ -152,9 +156,9 @@ def occurrences(texts: DataFrame, symbols: Symbols, width: int, gram: int, wante
     return texts.select("id", "t").mapInPandas(scan, "h long, bh long, id long, start int, count int")
 
 
-def with_texts(texts: DataFrame, per_id: DataFrame, log2: int = 24) -> DataFrame:
+def with_texts(texts: DataFrame, per_id: DataFrame) -> DataFrame:
     """per_id (one row an id) joined to the texts; texts of other ids are dropped at the scan by a bit table, before the shuffle."""
-    wanted = bit_table(per_id.select("id"), "id", log2)
+    wanted = bit_table(per_id.select("id"), "id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import documents, drop_path, materialize, new_path, small_batches, text_of
+from .common import documents, drop_path, drop_table, materialize, new_path, small_batches, text_of
 from .hashing import split_words
 
 WIDTH, GRAM = 13, 5
@@ -31,8 +31,8 @@ WIDTH, GRAM = 13, 5
 class FingerprintIndex:
     """Runs under `path`. Texts are not copied: history is the DataFrames added so far (give `history` to reopen an index)."""
 
-    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, gram: int = GRAM, buckets: int = 64, fan_in: int = 4, history: DataFrame | None = None, bits: int = 27):
-        self.spark, self.path, self.width, self.gram, self.buckets, self.fan_in, self.bits = spark, path, width, gram, buckets, fan_in, bits
+    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, gram: int = GRAM, buckets: int = 64, fan_in: int = 4, history: DataFrame | None = None):
+        self.spark, self.path, self.width, self.gram, self.buckets, self.fan_in = spark, path, width, gram, buckets, fan_in
         self.history = history
         self.runs: list[tuple[int, str]] = []  # level, table
         small_batches(spark)
@@ -53,7 +53,8 @@ class FingerprintIndex:
 
     def _write(self, counts: DataFrame, level: int) -> str:
         name = f"run_{level}_{new_path(self.spark, 'x').rsplit('-', 1)[1]}"
-        sorted_ = counts.repartition(self.buckets, "h").sortWithinPartitions("h")
+        sums = counts.repartition(self.buckets, "h").groupBy("h").agg(F.sum("n").cast("int").alias("n"))
+        sorted_ = sums.sortWithinPartitions("h")
         sorted_.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
         self.runs.append((level, name))
         return name
@@ -71,7 +72,7 @@ class FingerprintIndex:
                 merged = self.spark.table(full[0])
                 for n in full[1:]:
                     merged = merged.union(self.spark.table(n))
-                self._write(merged.groupBy("h").agg(F.sum("n").cast("int").alias("n")), level + 1)
+                self._write(merged, level + 1)
                 for n in full:
                     self._drop(n)
             level += 1
@@ -84,7 +85,7 @@ class FingerprintIndex:
         shared = new.filter("n > 1").select("h")
         for name in older:
             shared = shared.union(new.join(self.spark.table(name).hint("merge"), "h").select("h"))
-        wanted = repeats.bit_table(shared, "h", self.bits)
+        wanted = repeats.bit_table(shared, "h")
         found = repeats.occurrences(texts, repeats.words, self.width, self.gram, wanted).withColumn("old", F.lit(0))
         source = texts.withColumn("old", F.lit(0))
         if self.history is not None:
@@ -92,13 +93,16 @@ class FingerprintIndex:
             found, source = found.union(before), source.union(self.history.withColumn("old", F.lit(1)))
         # History comes first whatever its ids are: one order for both.
         found = materialize(found, "blocks")
-        ranges = self._verify(found, source)
+        parts, done = self._verify(found, source)
+        ranges = materialize(repeats.grouped(parts), "ranges")
+        for table in (found, *done):
+            drop_table(table)
         self.history = texts if self.history is None else self.history.union(texts)
         self._compact()
-        return repeats.grouped(ranges)
+        return ranges
 
-    def _verify(self, found: DataFrame, source: DataFrame) -> DataFrame:
-        """(id, start, count) of new documents' windows that occur in a document before."""
+    def _verify(self, found: DataFrame, source: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """(id, start, count) of new documents' windows that occur in a document before; and the scratch tables behind them."""
         width = self.width
         rank = F.struct((-F.col("old")).alias("batch"), F.col("id").alias("id"))
         first = found.groupBy("h", "bh").agg(F.min(rank).alias("r"))
@@ -123,7 +127,7 @@ class FingerprintIndex:
                 if parts:
                     yield pd.DataFrame(dict(zip(("w1", "w2", "id", "batch", "start"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
 
-        ids = repeats.bit_table(per_id, "id", 24)
+        ids = repeats.bit_table(per_id, "id")
 
         def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -133,7 +137,7 @@ class FingerprintIndex:
         each = materialize(chosen.join(per_id, ["id", "batch"]).mapInPandas(windows, "w1 long, w2 long, id long, batch int, start int"), "windows")
         least = each.groupBy("w1", "w2").agg(F.min(F.struct("batch", "id")).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2", F.col("r.batch").alias("fb"), F.col("r.id").alias("fi"))
         edges = each.filter("batch = 0").join(least, ["w1", "w2"]).filter((F.col("fb") < 0) | (F.col("fi") < F.col("id")))
-        return again.union(edges.select("id", "start", F.lit(1).alias("count")))
+        return again.union(edges.select("id", "start", F.lit(1).alias("count"))), [marked, each]
 
 
 def removed_words(docs: DataFrame, ranges: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -141,7 +145,7 @@ def removed_words(docs: DataFrame, ranges: DataFrame, width: int = WIDTH, id_col
     name, kind = ("kept_sha256", "string") if digest else ("kept", "string")
     schema = f"id long, n_words long, n_removed long, {name} {kind}"
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NULL_ID)).alias("id"), text_of(text_col).alias("t"))
-    ids = repeats.bit_table(ranges, "id", 24)
+    ids = repeats.bit_table(ranges, "id")
     out = lambda w: hashlib.sha256(b" ".join(w)).hexdigest() if digest else b" ".join(w).decode("utf-8", "surrogatepass")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,6 +181,6 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str, batches: int = 2) -> D
     for i in range(batches):
         x = F.coalesce(F.col("doc_id"), F.lit(repeats.NULL_ID))
         part = docs.filter((x > cuts[i - 1] if i else F.lit(True)) & (x <= cuts[i] if i < batches - 1 else F.lit(True)))
-        ranges = materialize(index.add(part), "ranges")
+        ranges = index.add(part)
         found = ranges if found is None else found.union(ranges)
     return removed_words(docs, found, digest=True)
