@@ -19,14 +19,16 @@ import functools
 import json
 import math
 import os
+import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ END = END_ID.to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
 #: Words and parts kept by a Python worker: about 150 MB each at most, with the generation before.
 CACHED = 400_000
+TOGETHER = 16_000_000
 
 
 class Generations(dict):
@@ -46,18 +49,20 @@ class Generations(dict):
 
     def __init__(self, most: int):
         self.most, self.old = most, {}
+        self[""] = b""
 
     def turn(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+            self[""] = b""
 
-    def missing(self, keys: set) -> list:
-        left = keys.difference(self)
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        left = [k for k in keys if k not in self]
         if self.old and left:
-            self.update({k: self.old[k] for k in left & self.old.keys()})
-            left.difference_update(self)
-        return list(left)
+            self.update((k, self.old[k]) for k in left if k in self.old)
+            left = [k for k in left if k not in self.old]
+        return left
 
 
 class Encoder:
@@ -85,7 +90,7 @@ class Encoder:
         self.by_part = bool(self.suffix and len(rules) == 1 and self.tokenizer.normalizer)
         if self.by_part:
             self.cut = regex.compile(rules[0]).findall
-            self.apart = [*(x["content"] for x in model.get("added_tokens", [])), "\x1c", "\x1d", "\x1e", "\x1f"]
+            self.apart = "|".join(["[\x1c-\x1f]", *(re.escape(x["content"]) for x in model.get("added_tokens", []))])
             self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.suffix)]] = True
         self.words, self.parts = Generations(CACHED), Generations(CACHED)
@@ -117,17 +122,27 @@ class Encoder:
         else:
             self.words[words[0]] = self.whole(words[0])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts with special strings or with separators that only Python splits at are encoded whole."""
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Words are told apart by Arrow, so Python sees each distinct word of a batch once. Texts with special strings, or with
+        separators that only Arrow splits at, are encoded whole."""
         if not self.by_part:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [None if any(x in t for x in self.apart) else t.split() for t in texts]
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        apart = np.flatnonzero(pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False))
+        split = pc.utf8_split_whitespace(texts)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        coded = pc.list_flatten(split).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         self.words.turn()
         self.parts.turn()
-        if new := self.words.missing(set(chain.from_iterable(w for w in words if w))):
+        if new := self.words.missing(words):
             self._learn(new)
-        get, join = self.words.__getitem__, b"".join
-        return [self.whole(t) if w is None else join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+        ids = pa.array([self.words[w] for w in words], pa.binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset :][ends].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
+        for i in apart.tolist():
+            out[i] = self.whole(texts[i].as_py())
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -135,24 +150,40 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = TOGETHER) -> Iterator[pa.Table]:
+    """Neighbouring batches together, up to so many bytes: the more text, the fewer words in it are new."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, window: int, vocabulary: str, emit: str) -> DataFrame:
     """id, start, length, doc_tokens and ids_crc32 (emit="crc32") or ids, little-endian (emit="ids")."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, ids in zip(pdf["id"], encoder(vocabulary).encode(pdf["t"].tolist()), strict=True):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            keys, start, total, size, payload = [], [], [], [], []
+            for key, ids in zip(batch.column("id").to_pylist(), encoder(vocabulary).encode(batch.column("t").combine_chunks()), strict=True):
                 ids += END
-                for start in range(0, len(ids), 4 * window):
-                    raw = ids[start : start + 4 * window]
-                    out.append((key, start // 4, len(raw) // 4, len(ids) // 4, zlib.crc32(raw) if emit == "crc32" else raw))
-            frame = pd.DataFrame(out, columns=["id", "start", "length", "doc_tokens", name])
-            yield frame.astype({"id": pdf["id"].dtype})
+                for at in range(0, len(ids), 4 * window):
+                    raw = ids[at : at + 4 * window]
+                    keys.append(key)
+                    start.append(at // 4)
+                    size.append(len(raw) // 4)
+                    total.append(len(ids) // 4)
+                    payload.append(zlib.crc32(raw) if emit == "crc32" else raw)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(payload, pa.int64() if emit == "crc32" else pa.binary())], names=["id", "start", "length", "doc_tokens", name])
 
     small_batches(docs.sparkSession)
     name, kind = ("ids_crc32", "long") if emit == "crc32" else ("ids", "binary")
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("t"))
-    return rows.mapInPandas(cut, f"id string, start long, length long, doc_tokens long, {name} {kind}")
+    return rows.mapInArrow(cut, f"id string, start long, length long, doc_tokens long, {name} {kind}")
 
 
 def nnls(columns: np.ndarray, target: np.ndarray, steps: int = 400) -> np.ndarray:
