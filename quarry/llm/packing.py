@@ -39,8 +39,8 @@ WINDOW = 2048
 END_ID = 1
 END = END_ID.to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
-#: Words and parts kept by a Python worker: about 150 MB each at most, with the generation before.
-CACHED = 400_000
+#: Words and parts kept by a Python worker: about 80 MB each at most, with the generation before.
+CACHED = 200_000
 TOGETHER = 16_000_000
 
 
