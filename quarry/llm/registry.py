@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import classifier, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, substring_dedup
+from . import classifier, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_pii": pii.op5_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,

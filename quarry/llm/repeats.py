@@ -70,6 +70,17 @@ def anchors(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, Rol
     return sliding_min(rolling.every(gram), width - gram + 1), rolling
 
 
+def anchor_places(symbols: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The anchors of all places that are the anchor of some window, a value as often as it has places."""
+    rolling = Rolling(symbols)
+    grams, reach = rolling.every(gram), width - gram + 1
+    least = sliding_min(grams, reach)
+    # The largest anchor among the windows that hold a place: equal to the place's hash if it is the anchor of one.
+    edge = np.full(reach - 1, ~np.uint64(0))
+    most = ~sliding_min(np.concatenate([edge, ~least, edge]), reach)
+    return grams[grams == most]
+
+
 def blocks(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, content hash, first window and number of windows of each block."""
     if len(symbols) < width:
@@ -122,7 +133,7 @@ def bit_table(df: DataFrame, col: str, most: int = 27):  # noqa: ANN201
 
 
 def anchor_counts(texts: DataFrame, symbols: Symbols, width: int, gram: int, within: bool) -> DataFrame:
-    """h and n: in how many blocks (within: repeats in one document count) or documents an anchor occurs. Summed once for each batch of
+    """h and n: in how many documents (within: at how many places) an anchor occurs. Summed once for each batch of
     texts, not over batches, so that one shuffle can do the rest."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,17 +141,16 @@ def anchor_counts(texts: DataFrame, symbols: Symbols, width: int, gram: int, wit
             out = [np.zeros(0, dtype=np.uint64)]
             for text in pdf["t"]:
                 if len(s := symbols(text)) >= width:
-                    least, _ = anchors(s, width, gram)
-                    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-                    out.append(least if within else np.unique(least))
+                    out.append(anchor_places(s, width, gram) if within else np.unique(anchors(s, width, gram)[0]))
             h, n = np.unique(np.concatenate(out), return_counts=True)
             yield pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int32)})
 
     return texts.select("t").mapInPandas(scan, "h long, n int")
 
 
-def occurrences(texts: DataFrame, symbols: Symbols, width: int, gram: int, wanted) -> DataFrame:  # noqa: ANN001
-    """The blocks whose anchor is in `wanted`: h, bh (content), id, start, count."""
+def occurrences(texts: DataFrame, symbols: Symbols, width: int, gram: int, wanted, within: bool = False) -> DataFrame:  # noqa: ANN001
+    """The blocks whose anchor is in `wanted`: h, bh (content), id, start, count, and twice (the anchor has several places in the
+    document, so a block may repeat itself)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -148,12 +158,14 @@ def occurrences(texts: DataFrame, symbols: Symbols, width: int, gram: int, wante
             for key, text in zip(pdf["id"], pdf["t"], strict=True):
                 h, bh, start, count = blocks(symbols(text), width, gram)
                 if len(h) and (pick := wanted.value.has(h)).any():
-                    parts.append((h[pick], bh[pick], np.full(int(pick.sum()), key, dtype=np.int64), start[pick], count[pick]))
+                    value, n = np.unique(anchor_places(symbols(text), width, gram), return_counts=True) if within else (h[:0], None)
+                    twice = np.isin(h[pick], value[n > 1]) if within else np.zeros(int(pick.sum()), dtype=bool)
+                    parts.append((h[pick], bh[pick], np.full(int(pick.sum()), key, dtype=np.int64), start[pick], count[pick], twice))
             if parts:
-                h, bh, ids, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"h": h.view(np.int64), "bh": bh.view(np.int64), "id": ids, "start": start.astype(np.int32), "count": count.astype(np.int32)})
+                h, bh, ids, start, count, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pd.DataFrame({"h": h.view(np.int64), "bh": bh.view(np.int64), "id": ids, "start": start.astype(np.int32), "count": count.astype(np.int32), "twice": twice})
 
-    return texts.select("id", "t").mapInPandas(scan, "h long, bh long, id long, start int, count int")
+    return texts.select("id", "t").mapInPandas(scan, "h long, bh long, id long, start int, count int, twice boolean")
 
 
 def with_texts(texts: DataFrame, per_id: DataFrame) -> DataFrame:
