@@ -43,13 +43,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return x.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_block: int = 20_000) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken."""
+def mix(spark: SparkSession, docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, rows_per_block: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, taken, and the columns to carry."""
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("long")
     # The marker keeps a null source apart from every text in equality joins.
     name = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), name.alias("name"), size.alias("size"), key.alias("key"))
-    rows = materialize(rows, "mix-sizes")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), name.alias("name"), size.alias("size"), key.alias("key"), *[F.col(c).alias(f"_{c}") for c in carry])
+    # Sizes are worth keeping; whole texts are rather read again.
+    rows = rows if carry else materialize(rows, "mix-sizes")
     per_source = materialize(rows.groupBy("name").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
     most = per_source.agg(F.max("n")).first()[0] or 1
     blocks = max(64, math.ceil(most / rows_per_block))
@@ -66,7 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, size: Column, id_col: str = "doc_i
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("inside")))
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"_{c}").alias(c) for c in carry])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,8 @@ def ledger(docs: DataFrame, text_col: str = "text", rules: dict[str, str] = RULE
         "n_upper": F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("long"),
         "n_bangs": gone("!"),
     }
-    x = x.withColumns(measured).drop("_t", "_w", "_l")
+    # A generator of one row: no filter on the measurements is pushed below it, so each is computed once a row.
+    x = x.select(*docs.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in measured.items()]))))
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(rules.values())]
     return x.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
