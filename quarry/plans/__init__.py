@@ -1,0 +1,9 @@
+"""All queries. Importing this package fills the registry."""
+
+from __future__ import annotations
+
+from . import analytics
+from .registry import ORACLES, PLANS
+
+FLAGSHIP = PLANS["agg_1_daily_trend"]
+__all__ = ["FLAGSHIP", "ORACLES", "PLANS", "analytics"]
