@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHED = 400_000
+_CACHED = 150_000
 
 
 class _Words(dict):

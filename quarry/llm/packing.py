@@ -39,9 +39,9 @@ WINDOW = 2048
 END_ID = 1
 END = END_ID.to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
-#: Words and parts kept by a Python worker: about 80 MB each at most, with the generation before.
-CACHED = 200_000
-TOGETHER = 16_000_000
+#: Words and parts kept by a Python worker: about 40 MB each at most, with the generation before.
+CACHED = 100_000
+TOGETHER = 6_000_000
 
 
 class Generations(dict):
