@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics
+from . import analytics, retrieval
 from .registry import ORACLES, PLANS
 
-FLAGSHIP = PLANS["agg_1_daily_trend"]
-__all__ = ["FLAGSHIP", "ORACLES", "PLANS", "analytics"]
+FLAGSHIP = PLANS["hyb_3_ranked_search"]
+__all__ = ["FLAGSHIP", "ORACLES", "PLANS", "analytics", "retrieval"]
