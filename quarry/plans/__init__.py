@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, retrieval
+from . import analytics, rest, retrieval, text
 from .registry import ORACLES, PLANS
 
 FLAGSHIP = PLANS["hyb_3_ranked_search"]
-__all__ = ["FLAGSHIP", "ORACLES", "PLANS", "analytics", "retrieval"]
+__all__ = ["FLAGSHIP", "ORACLES", "PLANS", "analytics", "rest", "retrieval", "text"]
