@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,19 +28,34 @@ from pyspark.sql import functions as F
 from .hashing import hash_words, mix, sliding_min, split_words
 
 NULL_ID = -(1 << 63)
-Symbols = Callable[[str], np.ndarray]
+Symbols = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 _R = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def words(text: str) -> np.ndarray:
-    return hash_words(split_words(text))
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of many texts end to end, and how many each has."""
+    split = [split_words(t) for t in texts]
+    return hash_words(list(chain.from_iterable(split))), np.fromiter(map(len, split), dtype=np.int64, count=len(split))
 
 
-def utf8(text: str) -> np.ndarray:
-    return _BYTES[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+def utf8(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return _BYTES[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+
+
+def together(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of up to so many characters, with the place of the first: what numpy takes at once."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, texts[start:]
 
 
 class Rolling:
@@ -64,32 +81,52 @@ class Rolling:
         return self.runs(slice(0, n), slice(width, None)) if n > 0 else self.sums[:0]
 
 
-def anchors(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, Rolling]:
-    """The anchor of each window."""
-    rolling = Rolling(symbols)
-    return sliding_min(rolling.every(gram), width - gram + 1), rolling
+@dataclass
+class Blocks:
+    """Blocks of many documents: place of the document, anchor, content hash, first window in the document, number of windows, and whether the
+    anchor has several places in the document."""
 
+    doc: np.ndarray
+    anchor: np.ndarray
+    content: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    twice: np.ndarray
+    places: np.ndarray
+    """The anchor of every place that is one, as often as it has places; for within only."""
 
-def anchor_places(symbols: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """The anchors of all places that are the anchor of some window, a value as often as it has places."""
-    rolling = Rolling(symbols)
-    grams, reach = rolling.every(gram), width - gram + 1
-    least = sliding_min(grams, reach)
-    # The largest anchor among the windows that hold a place: equal to the place's hash if it is the anchor of one.
-    edge = np.full(reach - 1, ~np.uint64(0))
-    most = ~sliding_min(np.concatenate([edge, ~least, edge]), reach)
-    return grams[grams == most]
 
+def _with_doc(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(values ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
-def blocks(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, content hash, first window and number of windows of each block."""
+
+def blocks(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int, within: bool) -> Blocks:
+    none = np.zeros(0, dtype=np.int64)
     if len(symbols) < width:
-        none = np.zeros(0, dtype=np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
-    least, rolling = anchors(symbols, width, gram)
-    start = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    count = np.diff(start, append=len(least))
-    return least[start], rolling.runs(start, start + count + (width - 1)), start, count
+        return Blocks(none, none.view(np.uint64), none.view(np.uint64), none, none, none.astype(bool), none.view(np.uint64))
+    rolling = Rolling(symbols)
+    grams, reach = rolling.every(gram), width - gram + 1
+    least = sliding_min(grams, reach)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    valid = doc[: len(least)] == doc[width - 1 :]
+    at = np.flatnonzero(valid)
+    if not len(at):
+        return Blocks(none, none.view(np.uint64), none.view(np.uint64), none, none, none.astype(bool), none.view(np.uint64))
+    own, d = least[at], doc[at]
+    first = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (d[1:] != d[:-1])) + 1])
+    count = np.diff(first, append=len(at))
+    start, d = at[first], d[first]
+    begin = np.cumsum(sizes) - sizes
+    places, twice = none.view(np.uint64), np.zeros(len(first), dtype=bool)
+    if within:
+        # The largest anchor among the windows that hold a place: equal to the place's hash if it is the anchor of one.
+        edge = np.full(reach - 1, ~np.uint64(0))
+        most = ~sliding_min(np.concatenate([edge, np.where(valid, ~least, ~np.uint64(0)), edge]), reach)
+        q = np.flatnonzero(grams == most)
+        places = grams[q]
+        keys, n = np.unique(_with_doc(places, doc[q]), return_counts=True)
+        twice = np.isin(_with_doc(own[first], d), keys[n > 1])
+    return Blocks(d.astype(np.int64), own[first], rolling.runs(start, start + count + (width - 1)), start - begin[d], count, twice, places)
 
 
 class Bits:
@@ -139,9 +176,14 @@ def anchor_counts(texts: DataFrame, symbols: Symbols, width: int, gram: int, wit
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [np.zeros(0, dtype=np.uint64)]
-            for text in pdf["t"]:
-                if len(s := symbols(text)) >= width:
-                    out.append(anchor_places(s, width, gram) if within else np.unique(anchors(s, width, gram)[0]))
+            for _, some in together(pdf["t"].tolist()):
+                x = blocks(*symbols(some), width, gram, within)
+                if within:
+                    out.append(x.places)
+                elif len(x.doc):
+                    order = np.lexsort((x.anchor, x.doc))
+                    h, d = x.anchor[order], x.doc[order]
+                    out.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])])
             h, n = np.unique(np.concatenate(out), return_counts=True)
             yield pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int32)})
 
@@ -154,16 +196,12 @@ def occurrences(texts: DataFrame, symbols: Symbols, width: int, gram: int, wante
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
-            for key, text in zip(pdf["id"], pdf["t"], strict=True):
-                h, bh, start, count = blocks(symbols(text), width, gram)
-                if len(h) and (pick := wanted.value.has(h)).any():
-                    value, n = np.unique(anchor_places(symbols(text), width, gram), return_counts=True) if within else (h[:0], None)
-                    twice = np.isin(h[pick], value[n > 1]) if within else np.zeros(int(pick.sum()), dtype=bool)
-                    parts.append((h[pick], bh[pick], np.full(int(pick.sum()), key, dtype=np.int64), start[pick], count[pick], twice))
-            if parts:
-                h, bh, ids, start, count, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"h": h.view(np.int64), "bh": bh.view(np.int64), "id": ids, "start": start.astype(np.int32), "count": count.astype(np.int32), "twice": twice})
+            ids = pdf["id"].to_numpy(dtype=np.int64)
+            for offset, some in together(pdf["t"].tolist()):
+                x = blocks(*symbols(some), width, gram, within)
+                if len(x.doc) and (pick := wanted.value.has(x.anchor)).any():
+                    h, bh = x.anchor[pick].view(np.int64), x.content[pick].view(np.int64)
+                    yield pd.DataFrame({"h": h, "bh": bh, "id": ids[offset + x.doc[pick]], "start": x.start[pick].astype(np.int32), "count": x.count[pick].astype(np.int32), "twice": x.twice[pick]})
 
     return texts.select("id", "t").mapInPandas(scan, "h long, bh long, id long, start int, count int, twice boolean")
 
@@ -181,6 +219,12 @@ def with_texts(texts: DataFrame, per_id: DataFrame) -> DataFrame:
 
 
 
+def spread(starts: list[int], counts: list[int]) -> np.ndarray:
+    """start, start + 1, … for each range in turn."""
+    start, count = np.array(starts, dtype=np.int64), np.array(counts, dtype=np.int64)
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
 def grouped(ranges: DataFrame) -> DataFrame:
     """(id, start, count) -> one row an id; the ranges of one document only."""
     return ranges.groupBy("id").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))

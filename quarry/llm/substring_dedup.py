@@ -119,8 +119,8 @@ class FingerprintIndex:
             for pdf in batches:
                 parts = []
                 for key, batch, text, ranges in zip(pdf["id"], pdf["batch"], pdf["t"], pdf["ranges"], strict=True):
-                    symbols = repeats.words(text)
-                    at = np.concatenate([np.arange(r["start"], r["start"] + r["count"]) for r in ranges])
+                    symbols, _ = repeats.words([text])
+                    at = repeats.spread([r["start"] for r in ranges], [r["count"] for r in ranges])
                     at = at[at + width <= len(symbols)]
                     hashes = [repeats.Rolling(symbols, i).runs(at, at + width).view(np.int64) for i in (0, 1)]
                     parts.append((*hashes, np.full(len(at), key, dtype=np.int64), np.full(len(at), batch, dtype=np.int32), at.astype(np.int32)))

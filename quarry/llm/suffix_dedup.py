@@ -73,7 +73,7 @@ def _sorted_repeats(spark: SparkSession, texts: DataFrame, contested: DataFrame,
         for pdf in batches:
             for key, text, ranges in zip(pdf["id"], pdf["t"], pdf["ranges"], strict=True):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                hashes = [repeats.Rolling(repeats.utf8(text), k) for k in (0, 1)]
+                hashes = [repeats.Rolling(repeats.utf8([text])[0], k) for k in (0, 1)]
                 for r in ranges:
                     s, m = r["start"], r["count"]
                     size = m + width
