@@ -22,8 +22,8 @@ import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -39,30 +39,15 @@ WINDOW = 2048
 END_ID = 1
 END = END_ID.to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
-#: Words and parts kept by a Python worker: about 40 MB each at most, with the generation before.
-CACHED = 100_000
-TOGETHER = 6_000_000
+#: Words and parts kept by a Python worker, about 15 MB each; and the bytes of text taken at once.
+CACHED = 60_000
+TOGETHER = 4_000_000
 
 
-class Generations(dict):
-    """A bounded cache: what was used since the last turn survives the next one."""
-
-    def __init__(self, most: int):
-        self.most, self.old = most, {}
-        self[""] = b""
-
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-            self[""] = b""
-
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        left = [k for k in keys if k not in self]
-        if self.old and left:
-            self.update((k, self.old[k]) for k in left if k in self.old)
-            left = [k for k in left if k not in self.old]
-        return left
+def remember(known: dict[str, bytes], new: dict[str, bytes]) -> None:
+    """Fills a cache once, up to its bound, with what comes first: frequent words come early, rare ones gain nothing."""
+    if len(known) < CACHED:
+        known.update(islice(new.items(), CACHED - len(known)))
 
 
 class Encoder:
@@ -93,34 +78,36 @@ class Encoder:
             self.apart = "|".join(["[\x1c-\x1f]", *(re.escape(x["content"]) for x in model.get("added_tokens", []))])
             self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.suffix)]] = True
-        self.words, self.parts = Generations(CACHED), Generations(CACHED)
+        self.words, self.parts = {"": b""}, {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for i in range(0, len(parts), 5000):
             own = parts[i : i + 5000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(own) and stops[-1] == len(ids):
                 raw, cuts = ids.tobytes(), [0, *(stops * 4).tolist()]
-                self.parts.update(zip(own, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+                out.update(zip(own, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
             else:
-                self.parts.update((p, self.whole(p)) for p in own)
+                out.update((p, self.whole(p)) for p in own)
+        remember(self.parts, out)
+        return out
 
-    def _learn(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
         normal = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
         if len(normal) == len(words) and unicodedata.is_normalized("NFC", " ".join(normal)):
             cuts = [(n,) if n.isalpha() else self.cut(n) for n in normal]
-            self._learn_parts(self.parts.missing(set(chain.from_iterable(cuts))))
-            get, join = self.parts.__getitem__, b"".join
-            self.words.update(zip(words, [get(c[0]) if len(c) == 1 else join(map(get, c)) for c in cuts], strict=True))
-        elif len(words) > 1:
-            self._learn(words[: len(words) // 2])
-            self._learn(words[len(words) // 2 :])
-        else:
-            self.words[words[0]] = self.whole(words[0])
+            known = self.parts
+            new = self._parts(list({p for c in cuts for p in c if p not in known}))
+            get, join = (known | new).__getitem__, b"".join
+            return [get(c[0]) if len(c) == 1 else join(map(get, c)) for c in cuts]
+        if len(words) > 1:
+            return self._words(words[: len(words) // 2]) + self._words(words[len(words) // 2 :])
+        return [self.whole(words[0])]
 
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """Words are told apart by Arrow, so Python sees each distinct word of a batch once. Texts with special strings, or with
@@ -131,12 +118,15 @@ class Encoder:
         split = pc.utf8_split_whitespace(texts)
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
         coded = pc.list_flatten(split).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.words.turn()
-        self.parts.turn()
-        if new := self.words.missing(words):
-            self._learn(new)
-        ids = pa.array([self.words[w] for w in words], pa.binary()).take(coded.indices)
+        words, known = coded.dictionary.to_pylist(), self.words
+        if missing := [w for w in words if w not in known]:
+            new = dict(zip(missing, self._words(missing), strict=True))
+            remember(known, new)
+            values = [known[w] if w in known else new[w] for w in words]
+            del new
+        else:
+            values = [known[w] for w in words]
+        ids = pa.array(values, pa.binary()).take(coded.indices)
         at = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset :][ends].tolist()
         raw = memoryview(ids.buffers()[2] or b"")
         out = [bytes(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
