@@ -71,20 +71,28 @@ def _sorted_repeats(spark: SparkSession, texts: DataFrame, contested: DataFrame,
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            parts = []
             for key, text, ranges in zip(pdf["id"], pdf["t"], pdf["ranges"], strict=True):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                hashes = [repeats.Rolling(repeats.utf8([text])[0], k) for k in (0, 1)]
-                for r in ranges:
-                    s, m = r["start"], r["count"]
-                    size = m + width
-                    c = np.ones(size, dtype=np.int64)
-                    c[:-1] = raw[s : s + size - 1].astype(np.int64) + 2
-                    starts = np.arange(s, s + m)
-                    out = pd.DataFrame({"i": r["at"] + np.arange(size), "c": c, "id": key, "start": s + np.arange(size)})
-                    for name, h in zip(("w1", "w2"), hashes, strict=True):
-                        out[name] = pd.array(np.concatenate([h.runs(starts, starts + width).view(np.int64), np.zeros(size - m, dtype=np.int64)]), dtype="Int64")
-                    out.loc[m:, ["w1", "w2"]] = pd.NA
-                    yield out
+                starts, counts = (np.array([r[c] for r in ranges], dtype=np.int64) for c in ("start", "count"))
+                sizes = counts + width
+                at, i = repeats.spread(starts, sizes), repeats.spread([r["at"] for r in ranges], sizes)
+                offset = at - np.repeat(starts, sizes)
+                stop = offset == np.repeat(sizes, sizes) - 1
+                c = np.where(stop, 1, raw[np.minimum(at, len(raw) - 1)].astype(np.int64) + 2)
+                window = offset < np.repeat(counts, sizes)
+                hashes = []
+                for k in (0, 1):
+                    h = np.zeros(len(at), dtype=np.int64)
+                    h[window] = repeats.Rolling(repeats.utf8([text])[0], k).runs(at[window], at[window] + width).view(np.int64)
+                    hashes.append(h)
+                parts.append((i, c, np.full(len(at), key, dtype=np.int64), at, *hashes, window))
+            if parts:
+                i, c, ids, at, w1, w2, window = (np.concatenate(x) for x in zip(*parts, strict=True))
+                some = {n: pd.array(np.where(window, w, 0), dtype="Int64") for n, w in (("w1", w1), ("w2", w2))}
+                out = pd.DataFrame({"i": i, "c": c, "id": ids, "start": at, **some})
+                out.loc[~window, ["w1", "w2"]] = pd.NA
+                yield out
 
     # Ids that repeat have their text once here: a place is laid once.
     laid = repeats.with_texts(texts, per_id).dropDuplicates(["id"]).mapInPandas(lay, "i long, c long, id long, start long, w1 long, w2 long")
