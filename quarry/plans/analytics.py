@@ -183,15 +183,15 @@ def agg_21(s, d):
 RULES = {"how": ["en", "die"], "what": ["on", "la"], "why": ["ti", "de"]}
 
 
-@query("agg_22_question_types", "WITH t AS (SELECT lower(substr(text, 1, 30)) AS q FROM documents) SELECT CASE WHEN contains(q, 'en') OR contains(q, 'die') THEN 'how' WHEN contains(q, 'on') OR contains(q, 'la') THEN 'what' WHEN contains(q, 'ti') OR contains(q, 'de') THEN 'why' ELSE 'other' END AS kind, count(*) AS n FROM t GROUP BY 1")
+@query("agg_22_question_types", "WITH t AS (SELECT lower(split_part(text, chr(10), 1)) AS q FROM documents) SELECT CASE WHEN contains(q, 'en') OR contains(q, 'die') THEN 'how' WHEN contains(q, 'on') OR contains(q, 'la') THEN 'what' WHEN contains(q, 'ti') OR contains(q, 'de') THEN 'why' ELSE 'other' END AS kind, count(*) AS n FROM t GROUP BY 1")
 def agg_22(s, d):
-    q = table(s, d, "documents").select(F.lower(F.substring("text", 1, 30)).alias("q"))
+    q = table(s, d, "documents").select(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))).alias("q"))
     return q.groupBy(A.classify(F.col("q"), RULES, "other").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_22_question_patterns", "WITH t AS (SELECT lower(substr(text, 1, 30)) AS q FROM documents), p AS (SELECT 'how' AS kind FROM t WHERE contains(q, 'en') OR contains(q, 'die') UNION ALL SELECT 'what' FROM t WHERE contains(q, 'on') OR contains(q, 'la') UNION ALL SELECT 'why' FROM t WHERE contains(q, 'ti') OR contains(q, 'de')) SELECT kind, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, kind LIMIT 15")
+@query("agg_22_question_patterns", "WITH t AS (SELECT lower(split_part(text, chr(10), 1)) AS q FROM documents), p AS (SELECT 'how' AS kind FROM t WHERE contains(q, 'en') OR contains(q, 'die') UNION ALL SELECT 'what' FROM t WHERE contains(q, 'on') OR contains(q, 'la') UNION ALL SELECT 'why' FROM t WHERE contains(q, 'ti') OR contains(q, 'de')) SELECT kind, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, kind LIMIT 15")
 def agg_22b(s, d):
-    q = table(s, d, "documents").select(F.lower(F.substring("text", 1, 30)).alias("q"))
+    q = table(s, d, "documents").select(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))).alias("q"))
     x = q.select(F.explode(A.multi_label(F.col("q"), RULES)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     return x.orderBy(F.desc("n"), "kind").limit(15)
 

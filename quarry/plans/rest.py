@@ -145,10 +145,10 @@ def jn_1(s, d):
     return hits.join(table(s, d, "documents"), F.col("vec_id") == F.col("doc_id"), "left").select("vec_id", "label", "text")
 
 
-@query("jn_2_one_of_many", "SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) ON l_orderkey = o_orderkey AND rn = 1 WHERE o_orderkey < 500")
+@query("jn_2_one_of_many", "SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) ON l_orderkey = o_orderkey AND rn = 1")
 def jn_2(s, d):
     first = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"), F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("l_partkey"))
-    o = table(s, d, "orders").filter("o_orderkey < 500").select("o_orderkey")
+    o = table(s, d, "orders").select("o_orderkey")
     return o.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -211,12 +211,12 @@ def jn_14(s, d):
     return G.all_domain_edges(x, "s_suppkey", "s_nationkey", "category")
 
 
-TAGS = "t AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ') || [p_brand, p_type]) AS t FROM part WHERE p_partkey <= 400), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::DOUBLE AS similarity FROM t a JOIN t b ON a.id < b.id)"
+TAGS = "t AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ') || [p_brand, p_type]) AS t FROM part), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::DOUBLE AS similarity FROM t a JOIN t b ON a.id < b.id)"
 
 
 def tag_pairs(s, d):  # noqa: ANN001, ANN201
     tags = F.concat(F.split("p_name", " "), F.array("p_brand", "p_type"))
-    return G.tag_edges(table(s, d, "part").filter("p_partkey <= 400").withColumn("tags", tags), "p_partkey", "tags", 0.3)
+    return G.tag_edges(table(s, d, "part").withColumn("tags", tags), "p_partkey", "tags", 0.3)
 
 
 @query("jn_15_tag_similarity", f"WITH {TAGS} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.3")

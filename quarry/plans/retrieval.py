@@ -362,9 +362,9 @@ def ddp_4(s, d):
     return table(s, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("ddp_5_distinct_in_order", r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')[1:50]) AS t, generate_subscripts(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')[1:50], 1) AS i FROM documents), m AS (SELECT doc_id, t, min(i) AS i FROM w GROUP BY ALL) SELECT doc_id, list(t ORDER BY i) AS keywords FROM m GROUP BY 1")
+@query("ddp_5_distinct_in_order", r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS t, generate_subscripts(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> ''), 1) AS i FROM documents), m AS (SELECT doc_id, t, min(i) AS i FROM w GROUP BY ALL) SELECT doc_id, list(t ORDER BY i) AS keywords FROM m GROUP BY 1")
 def ddp_5(s, d):
-    x = table(s, d, "documents").select("doc_id", F.array_distinct(F.slice(BM.tokens(F.col("text")), 1, 50)).alias("keywords"))
+    x = table(s, d, "documents").select("doc_id", F.array_distinct(BM.tokens(F.col("text"))).alias("keywords"))
     return x.filter(F.size("keywords") > 0)
 
 
