@@ -55,12 +55,17 @@ def knn_3(s, d):
     return V.knn(vectors(s, d), "embedding", "vec_id", probe(s, d), 20, where=F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def seeds(s, d):  # noqa: ANN001, ANN201
+    """The first vector of each label."""
+    return [list(r[0]) for r in vectors(s, d).groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").select("c").collect()]
+
+
 @query("knn_4_cells")
 def knn_4(s, d):
-    """Cells around the first vector of each label; four are probed."""
-    seeds = [list(r[0]) for r in vectors(s, d).groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").select("c").collect()]
-    cells = V.assign_cells(vectors(s, d), "embedding", seeds)
-    return V.ivf_knn(cells, "embedding", "vec_id", probe(s, d), seeds, 10, 4).select("vec_id", F.round("distance", 6).alias("distance"), "cell")
+    """Every hundredth vector against cells around the first vector of each label; cells are probed until no other can be nearer."""
+    c, q = seeds(s, d), vectors(s, d).filter("vec_id % 100 = 0")
+    near = V.cell_knn(V.assign_cells(vectors(s, d), "embedding", c), "embedding", "vec_id", q, "vec_id", "embedding", c, 10)
+    return near.select("q", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank", "cell")
 
 
 BATCH = "WITH p AS (SELECT a.vec_id AS q, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS dist FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM p)"

@@ -1,15 +1,21 @@
 """Golden rows and invariants for the core operators."""
 
 import math
+import os
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from quarry import plans
 from quarry.functions import scores as S
 from quarry.functions import stats, text
 from quarry.operators import bm25, filters, fusion, graph, incremental, vector
 from quarry.sources import tables
 from quarry.streaming import windows
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, *cols):
     return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).first()
@@ -100,3 +106,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q = windows.windowed(stream, "ts", "1 hour", late="10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, windows.windowed(spark.read.parquet(str(tmp_path / "in")), "ts", "1 hour").collect()))
+
+
+def test_cells_find_all_neighbours(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 8))
+    v[100:140] = v[0]  # ties go by key
+    df = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(v)), (900, [1.0]), (901, None)], "id long, v array<double>").repartition(5)
+    q, c = df.filter("id % 20 = 0"), v[:10].tolist()
+    near = vector.cell_knn(vector.assign_cells(df, "v", c), "v", "id", q, "id", "v", c, 7, block=6).collect()
+    want = {(i, int(j), r + 1) for i in range(0, 400, 20) for r, j in enumerate(np.argsort(((v - v[i]) ** 2).sum(axis=1), kind="stable")[:7])}
+    assert {(r.q, r.id, r["rank"]) for r in near} == want and len(near) == len(want)
+    exact = vector.batch_knn(df, "v", "id", q, "id", "v", 7).collect()
+    assert {(r.q, r.id, r.distance) for r in near} >= {(r.q, r.id, r.distance) for r in exact if r.distance is not None}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_recall_of_cells_over_all_queries(spark):
+    r = plans.PLANS["evl_5_recall_of_cells"](spark, SF).first()
+    assert r.queries == 5 and r.recall == 1.0 and r.least == 1.0
