@@ -24,6 +24,22 @@ def domain_edges(nodes: DataFrame, key: str, domain: str, category: str, per_nod
     return x.select("a", "b", (0.5 + F.when(F.col("ca") == F.col("c"), 0.2).otherwise(0.0)).alias("weight"))
 
 
+def domain_links(nodes: DataFrame, key: str, domain: str, category: str) -> DataFrame:
+    """Every link within a domain, without its square: a row for each node, as node, domain, category and the weights of its links to the nodes of its
+    domain with the same category and with another (or none). links_of() has the pairs."""
+    x = nodes.select(F.col(key).alias("node"), F.col(domain).alias("domain"), F.col(category).alias("category"))
+    return x.filter("domain IS NOT NULL").withColumns({"same": F.lit(0.5) + F.lit(0.2), "other": F.lit(0.5)})
+
+
+def links_of(links: DataFrame, starts: DataFrame | None = None, key: str = "node") -> DataFrame:
+    """The pairs a < b of domain_links() that have an end in starts, with their weights; all pairs without starts."""
+    a = links if starts is None else links.join(starts.select(F.col(key).alias("node")).distinct(), "node", "left_semi")
+    x = a.select(F.col("node").alias("s"), "domain", F.col("category").alias("c"), "same", "other").join(links.select("node", "domain", "category"), "domain")
+    weight = F.when(F.col("c") == F.col("category"), F.col("same")).otherwise(F.col("other"))
+    pairs = x.filter("s <> node").select(F.least("s", "node").alias("a"), F.greatest("s", "node").alias("b"), weight.alias("weight"))
+    return pairs.distinct()
+
+
 def all_domain_edges(nodes: DataFrame, key: str, domain: str, category: str) -> DataFrame:
     """Every pair a < b of a domain; for small domains."""
     a, b = nodes.select(F.col(key).alias("a"), F.col(domain).alias("d"), F.col(category).alias("ca")), nodes.select(F.col(key).alias("b"), F.col(domain).alias("d"), F.col(category).alias("cb"))

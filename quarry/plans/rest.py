@@ -259,6 +259,12 @@ def kg_3(s, d):
     return G.domain_edges(table(s, d, "customer"), "c_custkey", "c_nationkey", "c_mktsegment")
 
 
+@query("kg_3_domain_edges", "SELECT c_custkey AS node, c_nationkey AS domain, c_mktsegment AS category, 0.5::DOUBLE + 0.2 AS same, 0.5::DOUBLE AS other FROM customer WHERE c_nationkey IS NOT NULL")
+def kg_3_all(s, d):
+    """The whole relation, as membership; kg_3_capped_domain_edges has the next five only, as its SQL says."""
+    return G.domain_links(table(s, d, "customer"), "c_custkey", "c_nationkey", "c_mktsegment")
+
+
 @query("kg_4_concepts", f"WITH {CHUNKS} SELECT unnest(labels) AS concept, count(*) AS pages FROM chunks GROUP BY 1")
 def kg_4(s, d):
     return chunks(s, d).select(F.explode("labels").alias("concept")).groupBy("concept").agg(F.count(F.lit(1)).alias("pages"))

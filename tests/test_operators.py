@@ -91,6 +91,26 @@ def test_tag_edges_equal_all_pairs(spark):
     assert got == want
 
 
+def test_domain_links_keep_every_pair(spark):
+    rows = [(i, None if i % 13 == 12 else i % 3, None if i % 11 == 10 else f"c{i % 4}") for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id long, d int, c string")
+    links = graph.domain_links(nodes, "id", "d", "c")
+    want = {(a, b, 0.5 + 0.2 * (c is not None and c == e)) for a, d, c in rows for b, f, e in rows if a < b and d is not None and d == f}
+    assert len(want) > 5 * 60 and links.count() == sum(d is not None for _, d, _ in rows)
+    got = [tuple(r) for r in graph.links_of(links).collect()]
+    assert set(got) == want and len(got) == len(want)
+    some = [tuple(r) for r in graph.links_of(links, spark.createDataFrame([(0,), (3,), (4,)], "node long")).collect()]
+    assert set(some) == {w for w in want if {w[0], w[1]} & {0, 3, 4}} and len(some) == len(set(some))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_registered_domain_edges_have_no_cap(spark):
+    customers = spark.read.parquet(f"{SF}/customer.parquet")
+    want = graph.all_domain_edges(customers, "c_custkey", "c_nationkey", "c_mktsegment")
+    got = graph.links_of(plans.PLANS["kg_3_domain_edges"](spark, SF))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_table_round_trip(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.append(spark.range(5), path)
