@@ -177,12 +177,11 @@ def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common substring."""
 
     def one(x: str | None, y: str | None) -> int:
-        best, row = 0, [0] * (len(y or "") + 1)
-        for p in x or "":
-            new = [0]
-            for j, q in enumerate(y or ""):
-                new.append(row[j] + 1 if p == q else 0)
-            row, best = new, max(best, *new)
+        short, long = sorted((x or "", y or ""), key=len)
+        best = 0
+        for i in range(len(short)):  # from each start, only what is longer than the best is looked for
+            while i + best < len(short) and short[i : i + best + 1] in long:
+                best += 1
         return best
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")

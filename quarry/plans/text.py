@@ -154,13 +154,14 @@ _text("str_7_questions", "substr(" + SQUEEZE.format(r"regexp_replace(lower(text)
 _text("str_8_query_words", "list_filter(string_split(" + SQUEEZE.format(r"regexp_replace(text, '[\[\](){}]', ' ', 'g')") + ", ' '), lambda w: length(w) > 1 AND lower(w) NOT IN ('the', 'la', 'der'))", lambda: T.query_words(_c("text"), ["the", "la", "der"]), "benchmark", "item_id")
 _text("str_9_negative_words", "list_filter(string_split(lower(text), ' '), lambda w: w NOT IN ('the', 'la'))", lambda: F.filter(F.split(F.lower("text"), " "), lambda w: ~w.isin("the", "la")), "benchmark", "item_id")
 _text("str_10_title_parts", r"trim(regexp_replace('012_' || substr(text, 1, 40), '^[^\p{L}]*', ''))", lambda: T.title_parts(F.concat(F.lit("012_"), F.substring("text", 1, 40)))["cleaned"])
+_text("str_10_whole_titles", r"trim(regexp_replace('012_' || p_name, '^[^\p{L}]*', ''))", lambda: T.title_parts(F.concat(F.lit("012_"), _c("p_name")))["cleaned"], "part", "p_partkey")
 _text("str_11_clone_marker", "contains(upper(text), 'THE')", lambda: F.contains(F.upper("text"), F.lit("THE")))
 _text("str_12_half_width", "translate('（' || text || '）：！', '（）：；，．！？', '():;,.!?')", lambda: T.half_width(F.concat(F.lit("（"), F.col("text"), F.lit("）：！"))))
 _text("str_13_reference_marks", "regexp_extract_all('see (' || substr(source, 1, 4) || ') and (' || lang || ')', '\\(([^)]*)\\)', 1)", lambda: F.regexp_extract_all(F.concat(F.lit("see ("), F.substring("source", 1, 4), F.lit(") and ("), _c("lang"), F.lit(")")), F.lit(r"\(([^)]*)\)"), F.lit(1)))
 _text("str_14_snippet", "CASE WHEN length(text) <= 100 THEN text WHEN position('tion' IN lower(text)) = 0 THEN substr(text, 1, 100) || '...' ELSE CASE WHEN greatest(1, position('tion' IN lower(text)) - 30) > 1 THEN '...' ELSE '' END || substr(text, greatest(1, position('tion' IN lower(text)) - 30), 100) || CASE WHEN greatest(1, position('tion' IN lower(text)) - 30) + 100 <= length(text) THEN '...' ELSE '' END END", lambda: T.snippet(_c("text"), "tion", 100))
 _text("str_15_multi_snippet", "", lambda: F.array_distinct(F.array(*[T.snippet(_c("text"), k, 80) for k in ("tion", "queaux")])))
 _text("str_16_sentence_pieces", "", lambda: T.sentence_chunks(200, 0)(_c("text")))
-_text("str_17_common_substring", "", lambda: T.longest_common(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("the tion of")))
+_text("str_17_common_substring", "", lambda: T.longest_common(F.col("text"), F.lit("the tion of")))
 _text("str_18_token_estimate", r"CAST(ceil(0.5 * length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) + 1.8 * (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')))) AS BIGINT)", lambda: T.token_estimate(_c("text")).cast("bigint"))
 _text("str_19_sha_key", "sha256(source || ':' || lang)", lambda: F.sha2(F.concat(_c("source"), F.lit(":"), _c("lang")), 256))
 _text("str_19_short_hash", "CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(source, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 4294967296) AS BIGINT)", lambda: T.short_hash(_c("source")))
@@ -170,7 +171,7 @@ _text("arr_1_labels", "list_filter(list_transform(string_split('[' || lang || ',
 _text("arr_2_environment", "CASE WHEN contains(url, '.com') AND contains(url, 'blog') THEN 'mixed' WHEN contains(url, '.com') THEN 'shop' WHEN contains(url, 'blog') THEN 'blog' ELSE 'unknown' END", lambda: T.environment_of(F.array("url"), {"shop": ".com", "blog": "blog"}), "pages", "page_id")
 _text("jsn_1_json", "CAST(json_extract(props, '$.k') AS BIGINT)", lambda: F.from_json("props", "k bigint")["k"], "events", "event_id")
 _text("dat_3_newer", "date_diff('millisecond', o_orderdate, o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 4)) > 1000", lambda: F.col("o_orderkey") % 4 * 1000 > 1000, "orders", "o_orderkey")
-_text("str_5_rich_text", "", lambda: T.rich_text(F.to_json(F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.substring("text", 1, 50).alias("text"))).alias("content")))))
+_text("str_5_rich_text", "", lambda: T.rich_text(F.to_json(F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")))))
 _text("tok_1_tokens", r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')", lambda: BM.tokens(_c("text")))
 _text("tok_2_light_tokens", r"regexp_extract_all(lower(text), '([a-z0-9_]+|[^\x00-\x7F]+)', 1)", lambda: BM.light_tokens(_c("text")))
 _text("tok_3_selected_tokens", r"list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda t: regexp_matches(t, '^\p{Lu}'))", lambda: F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda t: t.rlike(r"^\p{Lu}")))

@@ -77,6 +77,31 @@ def test_rich_text_and_common_substring(spark):
     assert r[0] == "a\nb" and r[1] == 2 and r[2] == "A"
 
 
+def test_registered_text_queries_take_whole_texts(spark, tmp_path):
+    far = "x" * 60 + "\nand the tion of it"
+    spark.createDataFrame([(1, far), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rich, common = ({r.doc_id: r.value for r in plans.PLANS[n](spark, str(tmp_path)).collect()} for n in ("str_5_rich_text", "str_17_common_substring"))
+    assert rich == {1: far, 2: "", 3: ""} and common == {1: 11, 2: 0, 3: 0}
+
+
+def test_common_substring_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [("".join(rng.choice(list("abc"), rng.integers(0, 12))), "".join(rng.choice(list("abc"), rng.integers(0, 12)))) for _ in range(80)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.longest_common(F.col("a"), F.col("b")).alias("n")).collect()
+    assert len(got) == 80 and all(r.n == max((j - i for i in range(len(r.a)) for j in range(i + 1, len(r.a) + 1) if r.a[i:j] in r.b), default=0) for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", ["set_4_all_keywords", "str_10_whole_titles", "kg_3_domain_edges"])
+def test_whole_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("benchmark", "part", "customer"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert sorted(map(tuple, plans.PLANS[name](spark, SF).collect())) == sorted(c.sql(plans.ORACLES[name]).fetchall())
+
+
 def test_sync_classification_at_the_second(spark):
     old = spark.sql("SELECT 1L id, timestamp_ntz'2024-01-01 00:00:00' t UNION ALL SELECT 2L, timestamp_ntz'2024-01-01 00:00:00' UNION ALL SELECT 3L, timestamp_ntz'2024-01-01 00:00:00'")
     new = spark.sql("SELECT 1L id, timestamp_ntz'2024-01-01 00:00:01' t UNION ALL SELECT 2L, timestamp_ntz'2024-01-01 00:00:01.001' UNION ALL SELECT 3L, CAST(NULL AS timestamp_ntz) UNION ALL SELECT 4L, NULL")
