@@ -172,11 +172,12 @@ def removed_words(docs: DataFrame, ranges: DataFrame, width: int = WIDTH, id_col
     return both.select(F.when(F.col("id") != repeats.NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", name)
 
 
-def op7_substring_dedup(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
-    """Adds `documents` to an empty index in batches of ascending ids."""
+def op7_substring_dedup(spark: SparkSession, sf_dir: str, batches: int = 4, fan_in: int = 2) -> DataFrame:
+    """Adds `documents` to an empty index in batches of ascending ids: with four batches and two runs a level, the last meets runs of two levels
+    (one of them compacted), and is compacted over two levels itself."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or [0] * (batches - 1)
-    index = FingerprintIndex(spark, new_path(spark, "index"))
+    index = FingerprintIndex(spark, new_path(spark, "index"), fan_in=fan_in)
     found = None
     for i in range(batches):
         x = F.coalesce(F.col("doc_id"), F.lit(repeats.NULL_ID))

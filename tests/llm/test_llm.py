@@ -255,3 +255,23 @@ def test_pipeline_runs_on_an_empty_and_a_small_table(spark, texts, tmp_path):
         rows = out.collect()
         assert (len(rows) > 0) == (name == "small")
         assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_registered_index_joins_several_runs_and_compacts(spark, texts, tmp_path, monkeypatch):
+    frame(spark, texts).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    made, met, merged = substring_dedup.FingerprintIndex, [], []
+
+    class Seen(made):
+        def add(self, docs, *a):
+            met.append(sorted(level for level, _ in self.runs))
+            return super().add(docs, *a)
+
+        def _write(self, counts, level):
+            merged.append(level)
+            return super()._write(counts, level)
+
+    monkeypatch.setattr(substring_dedup, "FingerprintIndex", Seen)
+    got = substring_dedup.op7_substring_dedup(spark, str(tmp_path))
+    assert max(map(len, met)) >= 2 and max(merged) >= 2 and [0, 1] in met
+    once = substring_dedup.op7_substring_dedup(spark, str(tmp_path), batches=1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, once.collect()), key=str) and any(r.n_removed for r in got.collect())
