@@ -34,10 +34,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: five words, a similarity of 0.8."""
+    """The document with the smallest id of each group of near duplicates: five words, a similarity of 0.8. Of rows that repeat that id,
+    which are of its group, the greatest stays (so never an empty text for another). Rows with a null id all stay."""
     found = jaccard_components(spark, docs, width=5, percent=80)
     gone = materialize(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    return small_join(docs.select(*COLUMNS), gone, "doc_id", "left_anti", gone.count())
+    kept = small_join(docs.select(*COLUMNS), gone, "doc_id", "left_anti", gone.count())
+    again = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = materialize(again, "repeated-ids")
+    n = again.count()
+    if not n:
+        return kept
+    one = small_join(kept, again, "doc_id", "left_semi", n).groupBy("doc_id").agg(F.max(F.struct(*COLUMNS[1:])).alias("row"))
+    return small_join(kept, again, "doc_id", "left_anti", n).unionByName(one.select("doc_id", "row.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,3 +275,14 @@ def test_registered_index_joins_several_runs_and_compacts(spark, texts, tmp_path
     assert max(map(len, met)) >= 2 and max(merged) >= 2 and [0, 1] in met
     once = substring_dedup.op7_substring_dedup(spark, str(tmp_path), batches=1)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, once.collect()), key=str) and any(r.n_removed for r in got.collect())
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(40)]
+    long, near, other = " ".join(words), " ".join([*words, "z"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, near), (1, long), (1, long), (2, long), (3, other), (4, "a b"), (4, "a b"), (4, ""), (None, other + " q"), (None, other + " q")]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, near), (3, other), (4, "a b"), (None, other + " q"), (None, other + " q")], key=str)
