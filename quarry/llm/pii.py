@@ -27,10 +27,10 @@ PATTERNS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "secret": r"(?i)(?<=(?:key|token|secret|password)[ ]{0,2}[=:][ ]{0,2}[\"']?)(?:[0-9a-f]{32,64})(?![0-9A-Za-z])(?-i)",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
-    "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z/-])(?!\.[0-9])",
+    "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:?[0-9]{2})|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z/-])(?!\.[0-9]))",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ ][0-9]{4}[ ][0-9]{4}[ ][0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z(])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}|\+(?=(?:[ .()-]{0,3}[0-9]){8,15}(?![ .-]?[0-9]))[1-9][0-9]{0,2}(?:[ .-]\(?[0-9]{1,4}\)?){2,6})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ ][0-9]{4}[ ][0-9]{4}[ ][0-9]{1,7}|[0-9]{4}[ ][0-9]{6}[ ][0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7})(?![0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 #: What characters are permuted in; others stay. Secrets have an alphabet of their own.
@@ -202,7 +202,7 @@ def _secret(m: Column, key: str) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind of a find; a card layout beats a telephone's."""
     out = F.lit("card")
-    for name, rule in (("phone", r"^\+|^\(|^[0-9]{3}[.-][0-9]{3}[ .-]?[0-9]{4}$"), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("date", r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})$"), ("ip", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), ("secret", r"^[0-9A-Fa-f]{32,64}$"), ("email", "@")):
+    for name, rule in (("phone", r"^\+|^\(|^[0-9]{3}[ .-][0-9]{3}[ .-]?[0-9]{4}$"), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("date", r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})$"), ("ip", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), ("secret", r"^[0-9A-Fa-f]{32,64}$"), ("email", "@")):
         out = F.when(m.rlike(rule), F.lit(name)).otherwise(out)
     return out
 

@@ -230,6 +230,17 @@ def test_pii_keeps_formats_links_and_invalid_finds(spark, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_more_layouts_of_personal_data(spark):
+    finds = ["2024-02-29", "+1 555 123 4567", "555 123 4567", "+44 20 7946 0958", "3782 822463 10005", "3782-822463-10005"]
+    kinds = ["date", "phone", "phone", "phone", "card", "card"]
+    texts = [f"on {finds[0]}T10:00:00 x", *(f"see {x}, ok" for x in finds[1:]), "3782 822463 10006 and 2024-02-30T10:00 and 1234 567 8901"]
+    got = [r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    layout = lambda t: "".join("0" if c.isdigit() else c for c in t)
+    for r, t, find, kind in zip(got, texts, finds, kinds, strict=False):
+        assert [(f.kind, f.found) for f in r._found] == [(kind, find)] and find not in r.text and layout(r.text) == layout(t)
+    assert got[0].text.endswith("T10:00:00 x") and got[1].text.startswith("see +1 ") and got[3].text.startswith("see +44 ") and got[6].text == texts[6]
+
+
 def test_discriminant_separates_and_survives_one_class(spark):
     rng = np.random.default_rng(0)
     rows = [(int(k), float(x), float(y)) for k in (0, 1) for x, y in rng.normal([3 * k, -k], 0.5 + 0.3 * k, (200, 2))]
