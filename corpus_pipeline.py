@@ -65,7 +65,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_join", near_duplicates), ("mixing", mixture), ("packing", packed)]
-#: The packing stage has no SQL; its rows are tested against a brute-force version.
+#: The packing stage has no SQL. The pipeline as a whole is not compared with a brute-force version yet.
 ORACLE_SQL = None
 
 
