@@ -20,10 +20,8 @@ import json
 import math
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -39,28 +37,28 @@ WINDOW = 2048
 END_ID = 1
 END = END_ID.to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
-#: Words and parts kept by a Python worker, about 15 MB each; and the bytes of text taken at once.
-CACHED = 60_000
+#: Parts of words whose ids a Python worker keeps (some 6 MB), and the bytes of text taken at once.
+CACHED = 150_000
 TOGETHER = 4_000_000
-
-
-def remember(known: dict[str, bytes], new: dict[str, bytes]) -> None:
-    """Fills a cache once, up to its bound, with what comes first: frequent words come early, rare ones gain nothing."""
-    if len(known) < CACHED:
-        known.update(islice(new.items(), CACHED - len(known)))
+#: The shape of tokenizer that is taken apart here: lower case, then these parts, each encoded by itself.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SHAPE = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], PARTS)
+#: Everything in PARTS but runs of letters, in the syntax of Arrow's expressions.
+BETWEEN = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\s\x0b\x{85}\pZ\pL\pN]+)"
+#: Characters that are their own normal form, with one lower case and one class in all engines: Latin, Cyrillic, kana, Han, punctuation, symbols.
+PLAIN = r"\x00-\x1b\x20-\x{12f}\x{131}-\x{24f}\x{400}-\x{45f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bf}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{1f300}-\x{1f64f}"
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian bytes, through caches of words and of the parts that the tokenizer cuts words into.
+    """Ids of whole texts, as little-endian bytes, through a table of the parts that the tokenizer cuts words into.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are the ids of its words in turn, and the
-    ids of a word those of its parts. Parts that are not known are encoded many at a time; ids whose entry ends a part tell
-    where the next begins. Where that reasoning might not hold (unstable normal forms, parts that don't come out one by one),
-    words are encoded alone."""
+    The tokenizer drops white space and encodes each part by itself, so the ids of a text are the ids of its parts in turn. Arrow
+    lower-cases and cuts the texts and tells the parts apart; a batch's parts are looked up in one Arrow array of known ones, and only
+    new parts are encoded, many at a time: ids whose entry ends a part tell where the next begins. Texts with other than PLAIN
+    characters or with special strings, and all texts of other tokenizers, are encoded whole."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         if "/" not in vocabulary:
@@ -69,69 +67,64 @@ class Encoder:
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         model = json.loads(Path(vocabulary).read_text())
-        self.suffix = model["model"].get("end_of_word_suffix") or ""
-        rules = [x["pattern"]["Regex"] for x in (model.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        # Only this shape of tokenizer allows the reasoning above; any other is asked for whole texts.
-        self.by_part = bool(self.suffix and len(rules) == 1 and self.tokenizer.normalizer)
+        normal, cut = ((model.get(k) or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        rules = [x["pattern"]["Regex"] for x in cut if x["type"] == "Split"]
+        suffix = model["model"].get("end_of_word_suffix")
+        self.by_part = bool(suffix) and ([x["type"] for x in normal], [x["type"] for x in cut], *rules) == SHAPE
         if self.by_part:
-            self.cut = regex.compile(rules[0]).findall
-            self.apart = "|".join(["[\x1c-\x1f]", *(re.escape(x["content"]) for x in model.get("added_tokens", []))])
-            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
-            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.suffix)]] = True
-        self.words, self.parts = {"": b""}, {"": b""}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _parts(self, parts: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+            self.apart = "|".join([f"[^{PLAIN}]", *(re.escape(x["content"]) for x in model.get("added_tokens", []))])
+            ids = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in ids.items() if t.endswith(suffix)]] = True
+        self.parts, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, parts: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each part."""
+        out = []
         for i in range(0, len(parts), 5000):
-            own = parts[i : i + 5000]
+            own = parts[i : i + 5000].to_pylist()
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(own) and stops[-1] == len(ids):
-                raw, cuts = ids.tobytes(), [0, *(stops * 4).tolist()]
-                out.update(zip(own, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+                offsets = np.concatenate([[0], stops * 4]).astype(np.int32)
+                out.append(pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())]))
             else:
-                out.update((p, self.whole(p)) for p in own)
-        remember(self.parts, out)
-        return out
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
-        if len(normal) == len(words) and unicodedata.is_normalized("NFC", " ".join(normal)):
-            cuts = [(n,) if n.isalpha() else self.cut(n) for n in normal]
-            known = self.parts
-            new = self._parts(list({p for c in cuts for p in c if p not in known}))
-            get, join = (known | new).__getitem__, b"".join
-            return [get(c[0]) if len(c) == 1 else join(map(get, c)) for c in cuts]
-        if len(words) > 1:
-            return self._words(words[: len(words) // 2]) + self._words(words[len(words) // 2 :])
-        return [self.whole(words[0])]
+                out.append(pa.array(self.whole(own), pa.binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     def encode(self, texts: pa.StringArray) -> list[bytes]:
-        """Words are told apart by Arrow, so Python sees each distinct word of a batch once. Texts with special strings, or with
-        separators that only Arrow splits at, are encoded whole."""
         if not self.by_part:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        apart = np.flatnonzero(pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False))
-        split = pc.utf8_split_whitespace(texts)
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
-        coded = pc.list_flatten(split).dictionary_encode()
-        words, known = coded.dictionary.to_pylist(), self.words
-        if missing := [w for w in words if w not in known]:
-            new = dict(zip(missing, self._words(missing), strict=True))
-            remember(known, new)
-            values = [known[w] if w in known else new[w] for w in words]
-            del new
-        else:
-            values = [known[w] for w in words]
-        ids = pa.array(values, pa.binary()).take(coded.indices)
-        at = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset :][ends].tolist()
-        raw = memoryview(ids.buffers()[2] or b"")
+            return self.whole(texts.to_pylist())
+        apart = pc.match_substring_regex(texts, self.apart)
+        plain = pc.if_else(apart, "", texts)
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), BETWEEN, r" \1 "))
+        sizes, each = pc.list_value_length(split), pc.list_flatten(split)
+        # Blanks at either end leave empty strings.
+        coded = each.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.parts)
+        missing = coded.dictionary.filter(pc.is_null(found))
+        blank = pc.equal(missing, "")
+        ids = self._new(missing.filter(pc.invert(blank)))
+        if pc.any(blank).as_py():
+            at = pc.index(missing, "").as_py()
+            ids = pa.concat_arrays([ids[:at], pa.array([b""], pa.binary()), ids[at:]])
+        table = pa.concat_arrays([self.ids, ids])
+        place = found.to_numpy(zero_copy_only=False).astype(np.float64)
+        place[np.isnan(place)] = len(self.parts) + np.arange(len(missing))
+        coded_ids = table.take(pa.array(place.astype(np.int32)[coded.indices.to_numpy()]))
+        if room := min(CACHED - len(self.parts), len(missing)):
+            # Filled once, with what comes first: frequent parts come early, rare ones gain nothing.
+            self.parts, self.ids = pa.concat_arrays([self.parts, missing[:room]]), pa.concat_arrays([self.ids, ids[:room]])
+        ends = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
+        at = np.frombuffer(coded_ids.buffers()[1], dtype=np.int32)[coded_ids.offset :][ends].tolist()
+        raw = memoryview(coded_ids.buffers()[2] or b"")
         out = [bytes(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
-        for i in apart.tolist():
-            out[i] = self.whole(texts[i].as_py())
+        if others := np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            for i, raw_ids in zip(others, self.whole([texts[i].as_py() for i in others]), strict=True):
+                out[i] = raw_ids
         return out
 
 
