@@ -119,9 +119,8 @@ def fixed_chunks(text: Column, size: int = 1800, overlap: int = 200, compat_tail
     return F.when(n > 0, starts)
 
 
-def sentence_chunks(limit: int = 1000, overlap: int = 100):  # noqa: ANN201
-    """A pandas UDF: text -> chunks of whole sentences up to `limit` characters (a longer sentence is cut), each but the first led by the end of
-    the one before."""
+def sentence_pieces(limit: int = 1000):  # noqa: ANN201
+    """A pandas UDF: text -> pieces of whole sentences up to `limit` characters; a longer sentence is cut. Together the pieces are the text."""
     import re
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -129,15 +128,12 @@ def sentence_chunks(limit: int = 1000, overlap: int = 100):  # noqa: ANN201
         def one(text: str | None) -> list[str]:
             out, now = [], ""
             for sentence in re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", text or ""):
+                if len(now) + len(sentence) > limit and now:
+                    out.append(now)
+                    now = ""
                 while len(sentence) > limit:
-                    if now:
-                        out.append(now)
-                        now = ""
                     out.append(sentence[:limit])
                     sentence = sentence[limit:]
-                if len(now) + len(sentence) > limit:
-                    out.append(now)
-                    now = now[-overlap:] if overlap and len(sentence) + overlap <= limit else ""
                 now += sentence
             return [*out, now] if now else out
 
@@ -146,6 +142,17 @@ def sentence_chunks(limit: int = 1000, overlap: int = 100):  # noqa: ANN201
     return cut
 
 
+def multi_snippet(text: Column, keywords: Sequence[str], size: int, rank: Column) -> Column:
+    """A text of up to `size` characters whole; of a longer one the head, and around each keyword behind it an equal share of the rest, 30 % before the
+    keyword. The better the rank, the less goes to the head: 40 % up to the third place, 60 % up to the sixth, 80 % after."""
+    head = F.when(rank <= 3, size * 4 // 10).when(rank <= 6, size * 6 // 10).otherwise(size * 8 // 10)
+    at = F.filter(F.array(*[F.locate(k.lower(), F.lower(text)) for k in keywords]), lambda p: p > head)
+    each = F.floor((size - head) / F.size(at)).cast("int")
+    parts = F.transform(at, lambda p: F.substr(text, F.greatest(head + 1, p - F.floor(each * 0.3).cast("int")), each))
+    cut = F.when(F.size(at) > 0, F.concat(F.substr(text, F.lit(1), head), F.lit(" … "), F.array_join(parts, " … "))).otherwise(F.substr(text, F.lit(1), F.lit(size)))
+    return F.when(F.length(text) <= size, text).otherwise(cut)
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

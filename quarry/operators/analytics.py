@@ -71,11 +71,18 @@ def normalise_message(c: Column) -> Column:
     return F.regexp_replace(x, "[0-9]+", "[NUMBER]")
 
 
+def firsts(df: DataFrame, by: str, order: Sequence[Column], value: str, n: int, name: str) -> DataFrame:
+    """by, name: the first n values of each group in the order. The limit is applied in every task before rows are shuffled."""
+    ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rn") <= n)
+    got = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rn", value))).alias("r"))
+    return got.select(by, F.transform("r", lambda e: e[value]).alias(name))
+
+
 def error_patterns(df: DataFrame, message: str, ts: str, key: str, top: int = 10, examples: int = 3) -> DataFrame:
-    x = df.select(normalise_message(F.col(message)).alias("pattern"), F.struct(F.col(ts), F.col(key)).alias("e"))
-    ranked = x.withColumn("rn", F.row_number().over(W.partitionBy("pattern").orderBy("e")))
-    got = ranked.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min(f"e.{ts}").alias("first_seen"), F.max(f"e.{ts}").alias("last_seen"), F.array_sort(F.collect_list(F.when(F.col("rn") <= examples, F.col(f"e.{key}")))).alias("examples"))
-    return got.orderBy(F.desc("n"), "pattern").limit(top)
+    x = df.select(normalise_message(F.col(message)).alias("pattern"), ts, key)
+    counts = x.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")).orderBy(F.desc("n"), "pattern").limit(top)
+    few = firsts(x.join(F.broadcast(counts.select("pattern")), "pattern", "left_semi"), "pattern", [F.col(ts), F.col(key)], key, examples, "examples")  # `top` rows
+    return counts.join(few.withColumn("examples", F.array_sort("examples")), "pattern")
 
 
 def alerts(df: DataFrame, ts: str, value: str, bad: Column, as_of: str, slow: float, max_error: float) -> DataFrame:
@@ -123,3 +130,54 @@ def kpis(df: DataFrame, ts: str, user: str, as_of: str) -> DataFrame:
     day, t = F.to_date(ts), F.col(ts)
     week = F.date_sub(today, F.dayofweek(today) - 1)
     return df.filter(t <= end).agg(F.count_if(day == today).alias("today"), F.count_if(day == F.date_sub(today, 1)).alias("yesterday"), F.count_if(day >= week).alias("week"), F.count_if(day >= F.trunc(today, "month")).alias("month"), F.countDistinct(user).alias("users"), F.countDistinct(F.when(t > end - F.expr("INTERVAL '1' HOUR"), F.col(user))).alias("users_hour"))
+
+
+#: Groups whose rows of statistics may be broadcast.
+GROUPS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(GROUPS + 1).count() <= GROUPS else df
+
+
+def at_ranks(df: DataFrame, by: str, value: str, ranks: DataFrame, cells: int = 4096) -> DataFrame:
+    """(by, rank) -> (by, rank, value): the value at a place (from 0) in the order of a group's values, exactly, without sorting the group: a
+    histogram of equal cells says which cell holds the place, and only that cell's values are counted and put in order."""
+    v = df.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    span = _small(v.groupBy(by).agg(F.min("v").alias("low"), F.max("v").alias("high")))
+    width = (F.col("high") - F.col("low")) / F.lit(float(cells))
+    cell = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
+    x = v.join(span, by).select(by, "v", cell.alias("cell"))
+    below = lambda *keys: F.sum("n").over(W.partitionBy(*keys).orderBy("cell" if len(keys) == 1 else "v")) - F.col("n")
+    counts = x.groupBy(by, "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", below(by))
+    target = _small(ranks.join(counts, by).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select(by, "cell", "rank", "before"))
+    inside = x.join(target.select(by, "cell").distinct(), [by, "cell"], "left_semi").groupBy(by, "cell", "v").agg(F.count(F.lit(1)).alias("n"))
+    inside = inside.withColumn("below", below(by, "cell"))
+    found = inside.join(target, [by, "cell"]).withColumn("at", F.col("rank") - F.col("before"))
+    return found.filter((F.col("at") >= F.col("below")) & (F.col("at") < F.col("below") + F.col("n"))).select(by, "rank", F.col("v").alias(value))
+
+
+def _ranked(df: DataFrame, by: str, value: str, places: dict[str, Column]) -> DataFrame:
+    """by, and the value at each of the places, which are expressions over n, the group's number of values."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    wanted = n.select(by, F.inline(F.array(*[F.struct(F.lit(name).alias("name"), at.cast("bigint").alias("rank")) for name, at in places.items()])))
+    got = at_ranks(df, by, value, wanted.select(by, "rank").distinct())
+    each = wanted.join(got, [by, "rank"])
+    return each.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in places]).join(n, by)
+
+
+def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by and, for each name, the percentile (0 to 100) with linear interpolation between neighbours."""
+    for p in shares.values():
+        if not 0 <= p <= 100:
+            raise ValueError("a percentile lies between 0 and 100")
+    at = {name: F.lit(p / 100) * (F.col("n") - 1) for name, p in shares.items()}
+    x = _ranked(df, by, value, {f"{name}_{side}": f(place) for name, place in at.items() for side, f in (("low", F.floor), ("high", F.ceil))})
+    between = lambda name: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (at[name] - F.floor(at[name]))
+    return x.select(by, *[between(name).alias(name) for name in shares])
+
+
+def nearest_ranks(df: DataFrame, by: str, value: str, percents: dict[str, int]) -> DataFrame:
+    """by and, for each name, the value at place min(floor(n * percent / 100), n - 1)."""
+    places = {name: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) for name, p in percents.items()}
+    return _ranked(df, by, value, places).drop("n")

@@ -2,42 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import tables
+
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "content": 1.0, "labels": 2.0}
 
 
-def tokens(c: Column) -> Column:
-    """Lower-cased runs of letters and digits. A morphological analyzer can be put in its place as a UDF."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+Analyzer = Callable[[Column], Column]
+
+
+def tokens(c: Column, analyzer: Analyzer | None = None) -> Column:
+    """Lower-cased runs of letters and digits. For scripts without spaces, `analyzer` takes their place: a function from a text column to a column
+    of token arrays, such as a pandas UDF over a morphological analyzer."""
+    return analyzer(c) if analyzer else F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def nouns(c: Column, analyzer: Analyzer | None = None) -> Column:
+    """The tokens that name something. Without an analyzer that knows parts of speech: those that start with a capital letter."""
+    return analyzer(c) if analyzer else F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda t: t.rlike(r"^\p{Lu}"))
 
 
 def light_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9_]+|[^\x00-\x7F]+)"), F.lit(1))
 
 
-def postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """term, id, field, tf, len: the index. Partial counts are made before the shuffle; write it bucketed by term to search without one."""
+def hits(term: Column, terms: Sequence[str], wildcard: bool = False) -> Column:
+    """Whether a term is one of the terms; with wildcard, whether it contains one."""
+    out = F.lit(False)
+    for t in terms:
+        out = out | (F.contains(term, F.lit(t)) if wildcard else term == t)
+    return out
+
+
+def postings(docs: DataFrame, key: str, fields: Sequence[str], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """term, id, field, tf, len: the index, or the part of it whose terms pass `keep`, which is taken inside each row, before anything is
+    exploded or shuffled. Partial counts are made before the shuffle."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])
-    x = docs.select(F.col(key).alias("id"), F.explode(each).alias("f")).select("id", "f.field", F.size("f.t").alias("len"), F.explode("f.t").alias("term"))
+    x = docs.select(F.col(key).alias("id"), F.inline(each)).filter("t IS NOT NULL")
+    x = x.select("id", "field", F.size("t").alias("len"), F.explode(F.filter("t", keep) if keep else F.col("t")).alias("term"))
     return x.groupBy("term", "id", "field", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def field_stats(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row: number of documents and mean length of each field."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), *[F.coalesce(F.avg(F.size(tokens(F.col(f)))), F.lit(0.0)).alias(f"avg_{f}") for f in fields])
+    """One row: number of documents and mean length of each field. Tokens are counted, not made."""
+    length = lambda f: F.regexp_count(F.lower(F.col(f)), F.lit(r"[\p{L}\p{N}]+"))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), *[F.coalesce(F.avg(length(f)), F.lit(0.0)).alias(f"avg_{f}") for f in fields])
 
 
 def bm25(index: DataFrame, stats: DataFrame, terms: Sequence[str], fields: Sequence[str] = ("content",), wildcard: bool = False) -> DataFrame:
     """id, score. Only postings of the terms are read; stats is one row. A wildcard term matches every term that contains it."""
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | (F.contains("term", F.lit(t)) if wildcard else F.col("term") == t)
-    p = index.filter(hit & F.col("field").isin(*fields))
+    p = index.filter(hits(F.col("term"), terms, wildcard) & F.col("field").isin(*fields))
     df = p.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     x = p.join(df, ["term", "field"]).crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -49,11 +68,39 @@ def bm25(index: DataFrame, stats: DataFrame, terms: Sequence[str], fields: Seque
     return x.groupBy("id").agg(F.sum(idf * tf * boost).alias("score"), F.count_distinct("term").alias("match_count"))
 
 
-def search(docs: DataFrame, key: str, terms: Sequence[str], k: int, fields: Sequence[str] = ("content",), wildcard: bool = False) -> DataFrame:
-    found = bm25(postings(docs, key, fields), field_stats(docs, fields), terms, fields, wildcard)
+def best(found: DataFrame, k: int) -> DataFrame:
     return found.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
 
+def search(docs: DataFrame, key: str, terms: Sequence[str], k: int, fields: Sequence[str] = ("content",), wildcard: bool = False) -> DataFrame:
+    """A search without an index: one scan that keeps the postings of the terms, one that counts."""
+    index = postings(docs, key, fields, lambda t: hits(t, terms, wildcard))
+    return best(bm25(index, field_stats(docs, fields), terms, fields, wildcard), k)
+
+
+def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buckets: int = 64) -> int:
+    """Writes postings, cut into buckets by term and sorted by it, and the corpus statistics, as a version of the index at `path`."""
+    p = postings(docs, key, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    stats = field_stats(docs, fields).withColumn("buckets", F.lit(buckets))
+    return tables.replace_all({"postings": (p.repartition("bucket").sortWithinPartitions("bucket", "term"), ["bucket"]), "stats": (stats.coalesce(1), [])}, path)
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The postings and the one row of statistics of the current version."""
+    at = f"{path}/v{tables.version(spark, path)}"
+    return spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/stats")
+
+
+def search_index(spark: SparkSession, path: str, terms: Sequence[str], k: int, fields: Sequence[str] = ("content",)) -> DataFrame:
+    """A search that reads the buckets of its terms only, and in them the row groups with the terms."""
+    index, stats = load_index(spark, path)
+    buckets = stats.first()["buckets"]
+    wanted = F.lit(False)
+    for t in terms:
+        wanted = wanted | (F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int"))
+    return best(bm25(index.filter(wanted), stats, terms, fields), k)
+
+
 def title_ratio(title: Column, keywords: Sequence[str]) -> Column:
     """Share of the keywords in the title; empty keywords are left out first."""
     words = [w.lower() for w in keywords if w]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lexicon import matches
+
 
 def reference_edges(pages: DataFrame, key: str, text: Column, pattern: str, weight: float) -> DataFrame:
     """src, dst, weight: one edge for each different page number that the text names, none to itself."""
@@ -15,15 +17,6 @@ def reference_edges(pages: DataFrame, key: str, text: Column, pattern: str, weig
     return x.select("src", F.expr("try_cast(d AS BIGINT)").alias("dst"), F.lit(weight).alias("weight")).filter("dst IS NOT NULL AND dst <> src")
 
 
-def domain_edges(nodes: DataFrame, key: str, domain: str, category: str, per_node: int = 5) -> DataFrame:
-    """a, b, weight within a domain: each node to the next `per_node` of its domain, so a large domain makes no square of edges; .5, and .2 more for
-    one category."""
-    w = W.partitionBy(domain).orderBy(key)
-    nxt = F.array(*[F.struct(F.lead(key, i).over(w).alias("b"), F.lead(category, i).over(w).alias("c")) for i in range(1, per_node + 1)])
-    x = nodes.select(F.col(key).alias("a"), F.col(category).alias("ca"), nxt.alias("n")).select("a", "ca", F.inline("n")).filter("b IS NOT NULL")
-    return x.select("a", "b", (0.5 + F.when(F.col("ca") == F.col("c"), 0.2).otherwise(0.0)).alias("weight"))
-
-
 def domain_links(nodes: DataFrame, key: str, domain: str, category: str) -> DataFrame:
     """Every link within a domain, without its square: a row for each node, as node, domain, category and the weights of its links to the nodes of its
     domain with the same category and with another (or none). links_of() has the pairs."""
@@ -40,13 +33,25 @@ def links_of(links: DataFrame, starts: DataFrame | None = None, key: str = "node
     return pairs.distinct()
 
 
-def all_domain_edges(nodes: DataFrame, key: str, domain: str, category: str) -> DataFrame:
-    """Every pair a < b of a domain; for small domains."""
-    a, b = nodes.select(F.col(key).alias("a"), F.col(domain).alias("d"), F.col(category).alias("ca")), nodes.select(F.col(key).alias("b"), F.col(domain).alias("d"), F.col(category).alias("cb"))
-    return a.join(b, "d").filter("a < b").select("a", "b", (0.5 + F.when(F.col("ca") == F.col("cb"), 0.2).otherwise(0.0)).alias("weight"))
+def link_counts(links: DataFrame) -> DataFrame:
+    """node, links, same (links to the node's own category) and weight: of domain_links(), from the sizes of domains and categories, without pairs."""
+    sizes = links.groupBy("domain", "category").agg(F.count(F.lit(1)).alias("alike"))
+    domains = sizes.groupBy("domain").agg(F.sum("alike").alias("all"))
+    x = links.join(domains, "domain").join(sizes.filter("category IS NOT NULL"), ["domain", "category"], "left")
+    n, same = F.col("all") - 1, F.coalesce(F.col("alike") - 1, F.lit(0))
+    return x.select("node", n.alias("links"), same.alias("same"), (F.col("same") * same + F.col("other") * (n - same)).alias("weight"))
+
+
+def containing(texts: DataFrame, key: str, text: Column, parts: DataFrame, part_key: str, part: Column) -> DataFrame:
+    """(key, part_key) where the text contains the part, through an automaton of the parts, in blocks if there are many."""
+    words = parts.select(F.col(part_key).alias("_k"), part.alias("keyword"))
+    found = matches(texts.select(key, text.alias("_t")), key, "_t", words.select(F.lower("keyword").alias("keyword"), F.lit("").alias("category")))
+    pairs = found.select(key, "keyword").join(words.select("_k", F.lower("keyword").alias("keyword"), F.col("keyword").alias("_p")), "keyword")
+    # The automaton ignores case; the texts of the pairs decide.
+    return pairs.join(texts.select(key, text.alias("_t")), key).filter(F.contains("_t", F.col("_p"))).select(key, F.col("_k").alias(part_key))
 
 
-def tag_edges(nodes: DataFrame, key: str, tags: str, least: float = 0.3, width: int = 64) -> DataFrame:
+def tag_edges(nodes: DataFrame, key: str, tags: str, least: float = 0.3) -> DataFrame:
     """Pairs a < b whose tag sets have a Jaccard similarity of at least `least`. Only the rarest tags of a set are posted (prefix
     filter), so a common tag makes no pairs; sizes must allow the similarity."""
     x = nodes.select(F.col(key).alias("id"), F.array_distinct(tags).alias("t")).filter(F.size("t") > 0)
@@ -62,6 +67,21 @@ def tag_edges(nodes: DataFrame, key: str, tags: str, least: float = 0.3, width:
     return full.withColumn("similarity", sim).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def tag_links(nodes: DataFrame, key: str, tags: str, least: float = 0.3) -> DataFrame:
+    """id, links, similarity (their sum) and best: of tag_edges(), for every node with a link. Nodes with equal tag sets are one class; pairs are
+    made between classes, so their number follows the variety of the tags, not the number of nodes."""
+    x = nodes.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tags)).alias("t")).filter(F.size("t") > 0)
+    classes = x.groupBy("t").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members"))
+    pairs = tag_edges(classes, "class", "t", least)
+    size = classes.select(F.col("class").alias("b"), "members")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    near = both.join(size, "b").groupBy(F.col("a").alias("class")).agg(F.sum("members").alias("n"), F.sum(F.col("members") * F.col("similarity")).alias("s"), F.max("similarity").alias("m"))
+    c = classes.join(near, "class", "left")
+    own = F.when(F.col("members") > 1, 1.0)  # the others of the class are equal
+    c = c.select("t", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("links"), (F.coalesce("s", F.lit(0.0)) + F.col("members") - 1).alias("similarity"), F.greatest("m", own).alias("best"))
+    return x.join(c, "t").filter("links > 0").select("id", "links", "similarity", "best")
+
+
 def neighbours(edges: DataFrame, starts: DataFrame, key: str, n: int, min_weight: float = 0.0, kinds: Sequence[str] = ()) -> DataFrame:
     """The n heaviest edges out of each start."""
     x = edges.filter(F.col("weight") >= min_weight)
@@ -73,3 +93,50 @@ def neighbours(edges: DataFrame, starts: DataFrame, key: str, n: int, min_weight
 def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def build(pages: DataFrame, key: str, labels: str, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind) and edges (kind, src, dst, weight) of a table of pages with labels and of links (page, to) between them. Links to pages
+    that are not there are left out."""
+    p = pages.select(F.col(key).alias("page"), F.array_distinct(F.array_compact(labels)).alias("labels")).dropDuplicates(["page"])
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    known = links.join(p.select(F.col("page").alias("to")), "to", "left_semi").join(p.select("page"), "page", "left_semi")
+    references = known.filter("page <> to").select(F.lit("reference").alias("kind"), node("page", "page").alias("src"), node("page", "to").alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    concepts = p.select("page", F.explode("labels").alias("label")).select(F.lit("concept").alias("kind"), node("page", "page").alias("src"), node("concept", "label").alias("dst"), F.lit(0.6).alias("weight"))
+    nodes = p.select(node("page", "page").alias("id"), F.lit("page").alias("kind")).union(concepts.select(F.col("dst").alias("id"), F.lit("concept").alias("kind")).distinct())
+    return nodes, references.union(concepts)
+
+
+def importance(edges: DataFrame, path: str, steps: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
+    """id, importance: weighted page rank of (src, dst, weight) after `steps`. Every node needs an edge out. Ranks are written to `path` every few
+    steps, which cuts the plan and survives lost executors."""
+    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    moves = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
+    spark = edges.sparkSession
+    moves.write.mode("overwrite").parquet(f"{path}/moves")
+    moves = spark.read.parquet(f"{path}/moves")
+    n = total.count()
+    ranks = total.select(F.col("src").alias("id"), F.lit(1.0 / max(n, 1)).alias("r"))
+    for i in range(steps):
+        ranks = moves.join(ranks, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(((1 - damping) / n + damping * F.sum(F.col("p") * F.col("r"))).alias("r"))
+        if (i + 1) % every == 0 or i + 1 == steps:
+            ranks.write.mode("overwrite").parquet(f"{path}/ranks{i}")
+            ranks = spark.read.parquet(f"{path}/ranks{i}")
+    return ranks.withColumnRenamed("r", "importance")
+
+
+def within(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """id, hops: what (src, dst) reaches from the starts in so many hops, with the least number of them."""
+    seen = starts.select(F.col(starts.columns[0]).alias("id"), F.lit(0).alias("hops")).distinct()
+    front = seen
+    for i in range(hops):
+        front = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(i + 1))
+        seen = seen.union(front)
+    return seen
+
+
+def csv_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with typed headers, for a graph store's bulk import."""
+    n = nodes.select(F.col("id").alias(":ID"), F.col("kind").alias(":LABEL"))
+    e = edges.select(F.col("src").alias(":START_ID"), F.col("dst").alias(":END_ID"), F.upper("kind").alias(":TYPE"), F.col("weight").alias("weight:double"))
+    return n, e

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,25 +33,43 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     return F.when(F.size(a) == F.size(b), out)
 
 
+#: Up to so many dimensions a distance to a constant is written out, which is compiled; beyond it is a loop over the array.
+WRITTEN_OUT = 128
+
+
+def distance_to(a: Column, query: list[float], metric: str = "l2") -> Column:
+    """distance() to a constant vector, with the terms in the same order."""
+    if metric != "l2" or not 0 < len(query) <= WRITTEN_OUT:
+        return distance(a, F.array(*[F.lit(float(v)) for v in query]), metric)
+    terms = [F.get(a, F.lit(i)).cast("double") - F.lit(float(v)) for i, v in enumerate(query)]
+    return F.when(F.size(a) == len(query), reduce(lambda x, t: x + t * t, terms, F.lit(0.0)))
+
+
 def knn(df: DataFrame, vector: str, key: str, query: list[float], k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
     """The k nearest rows: one scan, a top-k heap a task, no shuffle of rows. The filter goes before the cut."""
     x = df if where is None else df.filter(where)
-    q = F.array(*[F.lit(float(v)) for v in query])
-    return x.withColumn("distance", distance(F.col(vector), q, metric)).filter("distance IS NOT NULL").orderBy("distance", key).limit(k)
+    return x.withColumn("distance", distance_to(F.col(vector), query, metric)).filter("distance IS NOT NULL").orderBy("distance", key).limit(k)
 
 
 def batch_knn(df: DataFrame, vector: str, key: str, queries: DataFrame, query_key: str, query_vector: str, k: int, metric: str = "l2", block: int = 4096) -> DataFrame:
-    """k nearest for each row of a stated query set. Queries go in blocks against all rows; each task keeps k a query and partition
-    before anything is shuffled."""
-    q = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("qv"))
-    n = q.count()
+    """k nearest for each row of a stated query set. Queries go in blocks against all rows, as matrices; each task keeps k a query before
+    anything is shuffled. Vectors of another length than the queries', or with nulls, are left out. Terms are summed in the order of
+    distance(), so results are the same to the last bit."""
+    if metric != "l2":
+        raise ValueError("batches are by l2")
+    q = queries.select(F.col(query_key).cast("long").alias("q"), _d(F.col(query_vector)).alias("qv")).filter("qv IS NOT NULL")
+    width = (q.select(F.max(F.size("qv"))).first()[0]) or 1
+    whole = lambda v: (F.size(v) == width) & ~F.exists(v, lambda x: x.isNull())
+    q = q.filter(whole("qv"))
+    rows = df.filter(whole(vector)).select(F.col(key).cast("long").alias("id"), _d(F.col(vector)).alias("v"), F.lit(0).alias("cell"))
+    blocks = max(1, -(-q.count() // block))
     out = None
-    for i in range(max(1, -(-n // block))):
-        part = q.filter(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))) == i)
-        pairs = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.spark_partition_id().alias("p")).crossJoin(F.broadcast(part))  # a block of queries
-        d = pairs.select("q", "id", "p", distance(F.col("v"), F.col("qv"), metric).alias("distance"))
-        best = d.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))).filter(F.col("rank") <= k).select("q", "id", "distance", "rank")
-        out = best if out is None else out.union(best)
+    for i in range(blocks):
+        own = q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()  # a block of queries
+        asked = df.sparkSession.sparkContext.broadcast((np.array([r.q for r in own], dtype=np.int64), np.array([r.qv for r in own], dtype=np.float64).reshape(-1, width)))
+        near = rows.mapInPandas(_nearest(asked, None, k), "q long, id long, distance double, cell int")
+        near = near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))).filter(F.col("rank") <= k).select("q", "id", "distance", "rank")
+        out = near if out is None else out.union(near)
     return out
 
 
@@ -81,8 +100,8 @@ def cell_knn(cells: DataFrame, vector: str, key: str, queries: DataFrame, query_
     return out
 
 
-def _nearest(asked, c: np.ndarray, k: int):  # noqa: ANN001, ANN202
-    """For mapInPandas: the k nearest rows of a task to each query, in the order of distance and id."""
+def _nearest(asked, c: np.ndarray | None, k: int):  # noqa: ANN001, ANN202
+    """For mapInPandas: the k nearest rows of a task to each query, in the order of distance and id. Without centroids all rows are compared."""
 
     def first(d: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
         """The k first columns of each line by d; columns that tie keep their order."""
@@ -91,19 +110,21 @@ def _nearest(asked, c: np.ndarray, k: int):  # noqa: ANN001, ANN202
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = asked.value
-        far = np.sqrt(((q[:, None, :] - c[None]) ** 2).sum(axis=2))
+        far = None if c is None else np.sqrt(((q[:, None, :] - c[None]) ** 2).sum(axis=2))
         best, keys, cell = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -1)
         for pdf in batches:
             for n, part in pdf.sort_values("id", kind="stable").groupby("cell"):
                 v = np.array(part["v"].tolist(), dtype=np.float64)
-                radius = np.sqrt(((v - c[n]) ** 2).sum(axis=1)).max()
-                # The slack is far above rounding; a bound that is no number skips nothing.
-                least = np.maximum(0, far[:, n] - radius - 1e-9 * (far[:, n] + radius)) ** 2
-                open_ = np.flatnonzero(~(least > best[:, -1]))
+                open_ = np.arange(len(q))
+                if far is not None:
+                    radius = np.sqrt(((v - c[n]) ** 2).sum(axis=1)).max()
+                    # The slack is far above rounding; a bound that is no number skips nothing.
+                    least = np.maximum(0, far[:, n] - radius - 1e-9 * (far[:, n] + radius)) ** 2
+                    open_ = np.flatnonzero(~(least > best[:, -1]))
                 for at in range(0, len(v), 256) if len(open_) else ():
                     x, own = v[at : at + 256], part["id"].to_numpy(dtype=np.int64)[at : at + 256]
                     d = np.zeros((len(open_), len(x)))
-                    for j in range(c.shape[1]):  # in the order of distance(), so that sums are the same to the last bit
+                    for j in range(v.shape[1]):  # in the order of distance(), so that sums are the same to the last bit
                         d += (x[None, :, j] - q[open_, None, j]) ** 2
                     d, own, same = first(d, np.broadcast_to(own, d.shape), np.full(d.shape, n))
                     d, own, same = (np.concatenate(p, axis=1) for p in ((best[open_], d), (keys[open_], own), (cell[open_], same)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import mean0, percentile, period_key, period_start, share, week_of_month
+from quarry.functions.stats import mean0, period_key, period_start, share, week_of_month
 from quarry.operators import analytics as A
 
 from .registry import query, table
@@ -48,7 +48,7 @@ def agg_3(s, d):
 
 @query("agg_4_median", "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY 1")
 def agg_4(s, d):
-    return events(s, d).groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
+    return A.quantiles(events(s, d), "event_type", "value", {"median": 50}).withColumn("median", F.round("median", 6))
 
 
 @query("agg_5_sum", "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
@@ -58,7 +58,7 @@ def agg_5(s, d):
 
 @query("agg_6_percentile", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def agg_6(s, d):
-    return events(s, d).groupBy("event_type").agg(F.round(percentile("value", 50), 6).alias("p50"), F.round(percentile("value", 95), 6).alias("p95"))
+    return A.quantiles(events(s, d), "event_type", "value", {"p50": 50, "p95": 95}).select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("agg_7_std", "SELECT event_type, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
@@ -118,12 +118,12 @@ FROM c LEFT JOIN r ON r.category = c.category GROUP BY 1""")
 def agg_14(s, d):
     ev = events(s, d)
     e = ev.filter(_bad()).select((F.col("user_id") % 4).alias("category"), "event_id", "ts")
-    r = e.withColumn("rn", F.row_number().over(W.partitionBy("category").orderBy(F.desc("ts"), F.desc("event_id"))))
-    got = r.groupBy("category").agg(F.count("event_id").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rn") <= 5, F.struct("rn", "event_id")))).alias("recent"))
+    newest = A.firsts(e, "category", [F.desc("ts"), F.desc("event_id")], "event_id", 5, "recent")
+    got = e.groupBy("category").agg(F.count(F.lit(1)).alias("n")).join(newest, "category")
     span = ev.agg(F.greatest(F.lit(1), F.datediff(F.max("ts"), F.min("ts"))).alias("days"), F.count_if(_bad()).alias("all"))
     x = s.range(5).select(F.col("id").alias("category")).join(got, "category", "left").crossJoin(F.broadcast(span))  # one row
     n = F.coalesce("n", F.lit(0))
-    return x.select("category", n.alias("n"), F.round(100.0 * n / F.col("all"), 6).alias("percent"), F.round(n / F.col("days"), 6).alias("per_day"), F.coalesce(F.transform("recent", lambda r: r["event_id"]), F.array().cast("array<bigint>")).alias("recent"))
+    return x.select("category", n.alias("n"), F.round(100.0 * n / F.col("all"), 6).alias("percent"), F.round(n / F.col("days"), 6).alias("per_day"), F.coalesce("recent", F.array().cast("array<bigint>")).alias("recent"))
 
 
 @query("agg_15_errors_by_level", "SELECT CASE WHEN value > 60 THEN 'high' WHEN value > 20 THEN 'medium' ELSE 'low' END AS level, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS resolved, count(*) FILTER (event_id % 3 <> 0) AS unresolved, count(*) FILTER (event_id % 3 = 1) AS investigating FROM events WHERE event_type = 'error' GROUP BY 1")
@@ -183,15 +183,15 @@ def agg_21(s, d):
 RULES = {"how": ["en", "die"], "what": ["on", "la"], "why": ["ti", "de"]}
 
 
-@query("agg_22_question_types", "WITH t AS (SELECT lower(split_part(text, chr(10), 1)) AS q FROM documents) SELECT CASE WHEN contains(q, 'en') OR contains(q, 'die') THEN 'how' WHEN contains(q, 'on') OR contains(q, 'la') THEN 'what' WHEN contains(q, 'ti') OR contains(q, 'de') THEN 'why' ELSE 'other' END AS kind, count(*) AS n FROM t GROUP BY 1")
+@query("agg_22_question_types", "WITH t AS (SELECT lower(text) AS q FROM documents) SELECT CASE WHEN contains(q, 'en') OR contains(q, 'die') THEN 'how' WHEN contains(q, 'on') OR contains(q, 'la') THEN 'what' WHEN contains(q, 'ti') OR contains(q, 'de') THEN 'why' ELSE 'other' END AS kind, count(*) AS n FROM t GROUP BY 1")
 def agg_22(s, d):
-    q = table(s, d, "documents").select(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))).alias("q"))
+    q = table(s, d, "documents").select(F.lower("text").alias("q"))
     return q.groupBy(A.classify(F.col("q"), RULES, "other").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_22_question_patterns", "WITH t AS (SELECT lower(split_part(text, chr(10), 1)) AS q FROM documents), p AS (SELECT 'how' AS kind FROM t WHERE contains(q, 'en') OR contains(q, 'die') UNION ALL SELECT 'what' FROM t WHERE contains(q, 'on') OR contains(q, 'la') UNION ALL SELECT 'why' FROM t WHERE contains(q, 'ti') OR contains(q, 'de')) SELECT kind, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, kind LIMIT 15")
+@query("agg_22_question_patterns", "WITH t AS (SELECT lower(text) AS q FROM documents), p AS (SELECT 'how' AS kind FROM t WHERE contains(q, 'en') OR contains(q, 'die') UNION ALL SELECT 'what' FROM t WHERE contains(q, 'on') OR contains(q, 'la') UNION ALL SELECT 'why' FROM t WHERE contains(q, 'ti') OR contains(q, 'de')) SELECT kind, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, kind LIMIT 15")
 def agg_22b(s, d):
-    q = table(s, d, "documents").select(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))).alias("q"))
+    q = table(s, d, "documents").select(F.lower("text").alias("q"))
     x = q.select(F.explode(A.multi_label(F.col("q"), RULES)).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     return x.orderBy(F.desc("n"), "kind").limit(15)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators import analytics as A
+from quarry.operators import bm25 as BM
+from quarry.operators import caches as CA
+from quarry.operators import evaluation as E
+from quarry.operators import fusion as FU
 from quarry.operators import graph as G
 from quarry.operators import incremental as I
 from quarry.operators import vector as V
@@ -12,7 +16,7 @@ from quarry.sources import tables as TB
 from quarry.streaming import windows as SW
 
 from .registry import query, table
-from .retrieval import BATCH, CHUNKS, chunks, seeds, vectors
+from .retrieval import ALL_FIELDS, BATCH, CHUNKS, FIELDS, HIT, L2, PROBE, TERMS, chunks, index_sql, indexed, seeds, sources, vectors
 
 
 @query("src_1_open_table", "SELECT count(*) AS n FROM nation")
@@ -62,12 +66,36 @@ def src_12(s, d):
 
 @query("snk_2_delete_where", "SELECT doc_id FROM documents WHERE NOT coalesce(lang = 'en', false)")
 def snk_2(s, d):
-    return table(s, d, "documents").filter(~F.coalesce(F.col("lang") == "en", F.lit(False))).select("doc_id")
+    path = TB.scratch(s, "documents")
+    TB.replace(table(s, d, "documents").select("doc_id", "lang"), path)
+    TB.delete(s, path, F.col("lang") == "en")
+    return TB.current(s, path).select("doc_id")
 
 
-@query("snk_4_index_cells")
+@query("snk_3_replaced_table", "SELECT o_orderkey, o_orderstatus || '-2' AS o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+def snk_3(s, d):
+    """A table that is replaced by rows read from itself."""
+    path = TB.scratch(s, "orders")
+    TB.replace(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), path)
+    TB.replace(TB.current(s, path).filter("o_orderstatus <> 'P'").withColumn("o_orderstatus", F.concat("o_orderstatus", F.lit("-2"))), path)
+    return TB.current(s, path)
+
+
+@query("snk_5_saved_index", f"WITH {index_sql(hit=HIT, fields=ALL_FIELDS)} SELECT id, round(score, 6) AS score, match_count FROM bm ORDER BY round(score, 9) DESC, id LIMIT 50")
+def snk_5(s, d):
+    """The index is written, opened again and searched."""
+    path = TB.scratch(s, "index")
+    BM.save_index(indexed(s, d), path, "doc_id", FIELDS)
+    return BM.search_index(s, path, TERMS, 50, FIELDS).withColumn("score", F.round("score", 6))
+
+
+@query("snk_4_index_cells", "WITH c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cell, e FROM (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY 1)), p AS (SELECT vec_id, cell, list_sum(list_transform(range(1, len(e) + 1), lambda i: (embedding[i]::DOUBLE - e[i]) * (embedding[i]::DOUBLE - e[i]))) AS d FROM embeddings, c), n AS (SELECT vec_id, arg_min(cell, (d, cell)) AS cell FROM p GROUP BY 1) SELECT CAST(cell AS INT) AS cell, count(*) AS n FROM n GROUP BY 1")
 def snk_4(s, d):
-    return V.assign_cells(vectors(s, d), "embedding", seeds(s, d)).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    """The vectors written by cell, and read back: a folder a cell."""
+    path = TB.scratch(s, "cells")
+    TB.replace_all({"cells": (V.assign_cells(vectors(s, d), "embedding", seeds(s, d)), ["cell"])}, path)
+    x = s.read.parquet(f"{path}/v{TB.version(s, path)}/cells")
+    return x.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk_6_backup_retention", "SELECT day, row_number() OVER (ORDER BY day DESC) <= 10 AS kept FROM (SELECT DISTINCT ts::DATE AS day FROM events)")
@@ -75,9 +103,34 @@ def snk_6(s, d):
     return TB.retained(table(s, d, "events").select(F.to_date("ts").alias("day")).distinct(), "day", 10)
 
 
-@query("snk_7_graph_rows", "SELECT 'page' || page_id AS \":ID\", url AS \"url:string\" FROM pages")
+@query("snk_6_restored_backup", "SELECT 'b2' AS stamp, c_custkey, c_acctbal + 2 AS c_acctbal FROM customer")
+def snk_6b(s, d):
+    """Three backups of a changing table, the oldest pruned, and the newest restored over a damaged table."""
+    root, path = TB.scratch(s, "backups"), TB.scratch(s, "customer")
+    for i in range(3):
+        TB.replace(table(s, d, "customer").select("c_custkey", (F.col("c_acctbal") + i).alias("c_acctbal")), path)
+        TB.backup(TB.current(s, path), root, f"b{i}")
+    TB.prune(s, root, 2)
+    TB.delete(s, path, F.lit(True))
+    TB.restore(s, root, path)
+    return TB.current(s, path).select(F.lit(TB.backups(s, root)[0]).alias("stamp"), "c_custkey", "c_acctbal")
+
+
+SNK7 = f"""WITH {CHUNKS}, e AS (SELECT 'page:' || doc_id AS a, 'page:' || (doc_id + 1) AS b, 'REFERENCE' AS t, 1.0::DOUBLE AS w FROM chunks WHERE (doc_id + 1) IN (SELECT doc_id FROM chunks) UNION ALL SELECT a, b, t, w FROM (SELECT 'page:' || doc_id AS a, 'concept:' || unnest(list_distinct(labels)) AS b, 'CONCEPT' AS t, 0.6::DOUBLE AS w FROM chunks) WHERE b IS NOT NULL),
+n AS (SELECT 'page:' || doc_id AS id, 'page' AS k FROM chunks UNION SELECT b, 'concept' FROM e WHERE t = 'CONCEPT')
+SELECT 'node' AS part, id AS a, k AS b, NULL AS t, NULL::DOUBLE AS w FROM n UNION ALL SELECT 'edge', a, b, t, w FROM e"""
+
+
+@query("snk_7_graph_csv", SNK7)
 def snk_7(s, d):
-    return table(s, d, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias(":ID"), F.col("url").alias("url:string"))
+    """Nodes and edges as CSV with typed headers, written and read back."""
+    x = chunks(s, d).select(F.col("doc_id").alias("page"), "labels")
+    path = TB.scratch(s, "graph-csv")
+    nodes, edges_ = G.csv_tables(*G.build(x, "page", "labels", x.select("page", (F.col("page") + 1).alias("to"))))
+    TB.write_csv(nodes, f"{path}/nodes")
+    TB.write_csv(edges_, f"{path}/edges")
+    n = TB.read_csv(s, f"{path}/nodes", "a string, b string").select(F.lit("node").alias("part"), "a", "b", F.lit(None).cast("string").alias("t"), F.lit(None).cast("double").alias("w"))
+    return n.union(TB.read_csv(s, f"{path}/edges", "a string, b string, t string, w double").select(F.lit("edge"), "a", "b", "t", "w"))
 
 
 # Incoming: every order, dated later by 0, 1, 2 or 3 seconds; stored: those not divisible by 5.
@@ -108,14 +161,45 @@ def inc_3(s, d):
     return I.upsert(stored, x.filter(F.col("_action").isin("added", "updated")).drop("_action"), "o_orderkey").select("o_orderkey", "updated")
 
 
-@query("snk_1_append_and_replace", f"WITH {INCOMING} SELECT action, count(*) AS n FROM act GROUP BY 1")
+@query("snk_1_append", f"WITH {INCOMING} SELECT o_orderkey, 'stored' AS came FROM stored UNION ALL SELECT o_orderkey, 'added' FROM act WHERE action = 'added'")
 def snk_1(s, d):
-    return sync(s, d)[1].groupBy(F.col("_action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    """New rows are appended to a stored table."""
+    stored, x = sync(s, d)
+    path = TB.scratch(s, "stored")
+    TB.append(stored.select("o_orderkey", F.lit("stored").alias("came")), path)
+    TB.append(x.filter(F.col("_action") == "added").select("o_orderkey", F.lit("added").alias("came")), path)
+    return TB.load(s, path)
 
 
-@query("inc_4_purged", "SELECT doc_id FROM documents WHERE NOT (source IN ('src1', 'src2') OR length(text) < 100)")
+@query("inc_4_purged", "SELECT doc_id, (SELECT count(*) FROM documents WHERE source IN ('src1', 'src2') OR length(text) < 100) AS gone FROM documents WHERE NOT coalesce(source IN ('src1', 'src2') OR length(text) < 100, false)")
 def inc_4(s, d):
-    return table(s, d, "documents").filter(~(F.col("source").isin("src1", "src2") | (F.length("text") < 100))).select("doc_id")
+    path = TB.scratch(s, "purged")
+    TB.replace(table(s, d, "documents").select("doc_id", "source", F.length("text").alias("size")), path)
+    gone = I.purge(s, path, F.col("source").isin("src1", "src2") | (F.col("size") < 100))
+    return TB.current(s, path).select("doc_id", F.lit(gone).cast("bigint").alias("gone"))
+
+
+@query("inc_6_resumed_sync", "SELECT c_custkey, c_nationkey % 4 AS batch, CASE WHEN c_nationkey % 4 < 2 THEN 1 ELSE 2 END AS run FROM customer")
+def inc_6(s, d):
+    """A sync in four batches that breaks off in the third; the second run does what is left."""
+    rows, path = table(s, d, "customer").select("c_custkey", (F.col("c_nationkey") % 4).alias("batch")), TB.scratch(s, "sync")
+    progress = I.Progress(s, f"{path}/progress")
+    for run, most in ((1, 2), (2, 4)):
+        batches = ((str(i), rows.filter(F.col("batch") == i)) for i in range(most))
+        progress.run(batches, lambda x, run=run: TB.append(x.withColumn("run", F.lit(run)), f"{path}/rows"))
+    return TB.load(s, f"{path}/rows")
+
+
+@query("inc_7_cache_replay", "SELECT props AS question, count(*) AS asked, count(*) FILTER (gap < INTERVAL 6 HOUR) AS hits FROM (SELECT props, ts - lag(ts) OVER (PARTITION BY props ORDER BY ts, event_id) AS gap FROM events) GROUP BY 1")
+def inc_7(s, d):
+    x = CA.replay(table(s, d, "events").select(F.col("props").alias("question"), "ts", "event_id"), "question", "ts", "event_id", 6 * 3600)
+    return x.groupBy("question").agg(F.count(F.lit(1)).alias("asked"), F.count_if("hit").alias("hits"))
+
+
+@query("inc_8_sampled", "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS slot, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def inc_8(s, d):
+    x = I.sampled(table(s, d, "events").select("event_type", "ts", "event_id", "value"), "ts", 3600, "event_id", ["event_type"])
+    return x.select("event_type", F.date_format("slot", "yyyy-MM-dd HH:mm").alias("slot"), "value", "event_id")
 
 
 @query("inc_5_ticket_sync", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'updated' WHEN o_orderkey % 3 > 1 THEN 'updated' ELSE 'unchanged' END AS action FROM orders")
@@ -138,6 +222,14 @@ def inc_10(s, d):
     return TB.after(x, "conv_id", 3, 20)
 
 
+@query("inc_10_appended_message", "WITH l AS (SELECT conv_id, max(turn) + 1 AS next FROM conversations GROUP BY 1) SELECT conv_id, turn, role, length(text) AS n FROM conversations UNION ALL SELECT conv_id, next, 'user', 6 FROM l WHERE conv_id % 2 = 0 UNION ALL SELECT -1, 0, 'user', 6")
+def inc_10b(s, d):
+    c = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    ids = c.filter("conv_id % 2 = 0").select("conv_id").distinct().union(s.createDataFrame([(-1,)], "conv_id bigint"))
+    new = ids.select("conv_id", F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.lit("thanks").alias("text"))
+    return I.append_message(c, new, "conv_id", "turn").select("conv_id", "turn", "role", F.length("text").alias("n"))
+
+
 @query("jn_1_hits_with_records", "SELECT vec_id, label, text FROM (SELECT vec_id, label FROM embeddings ORDER BY embedding[1], vec_id LIMIT 50) LEFT JOIN documents ON doc_id = vec_id")
 def jn_1(s, d):
     hits = vectors(s, d).orderBy(F.get("embedding", F.lit(0)), "vec_id").limit(50).select("vec_id", "label")
@@ -204,23 +296,27 @@ def jn_13(s, d):
     return table(s, d, "documents").join(vectors(s, d), F.col("vec_id") == F.col("doc_id")).select("doc_id", "label")
 
 
-@query("jn_14_domain_pairs", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, 0.5::DOUBLE + CASE WHEN a.s_suppkey % 2 = b.s_suppkey % 2 THEN 0.2 ELSE 0 END AS weight FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@query("jn_14_domain_pairs", "WITH n AS (SELECT c_custkey AS node, c_nationkey AS domain, c_mktsegment AS category FROM customer) SELECT a.node, count(*) AS links, count(*) FILTER (b.category = a.category) AS same, round(sum(0.5::DOUBLE + CASE WHEN b.category = a.category THEN 0.2 ELSE 0 END), 6) AS weight FROM n a JOIN n b ON a.domain = b.domain AND a.node <> b.node GROUP BY 1")
 def jn_14(s, d):
-    x = table(s, d, "supplier").withColumn("category", F.col("s_suppkey") % 2)
-    return G.all_domain_edges(x, "s_suppkey", "s_nationkey", "category")
+    """Every link of a node in its domain, counted from the sizes of domains and categories; kg_3_domain_edges and links_of() have the pairs."""
+    x = G.link_counts(G.domain_links(table(s, d, "customer"), "c_custkey", "c_nationkey", "c_mktsegment"))
+    return x.filter("links > 0").select("node", "links", "same", F.round("weight", 6).alias("weight"))
 
 
 TAGS = "t AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ') || [p_brand, p_type]) AS t FROM part), j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::DOUBLE AS similarity FROM t a JOIN t b ON a.id < b.id)"
 
 
-def tag_pairs(s, d):  # noqa: ANN001, ANN201
+def tagged(s, d):  # noqa: ANN001, ANN201
     tags = F.concat(F.split("p_name", " "), F.array("p_brand", "p_type"))
-    return G.tag_edges(table(s, d, "part").withColumn("tags", tags), "p_partkey", "tags", 0.3)
+    return table(s, d, "part").withColumn("tags", tags)
 
 
-@query("jn_15_tag_similarity", f"WITH {TAGS} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.3")
+@query("jn_15_tag_similarity", f"WITH {TAGS}, y AS (SELECT a AS id, b AS other, similarity FROM j UNION ALL SELECT b, a, similarity FROM j) SELECT id, count(*) AS links, round(sum(similarity), 6) AS similarity, max(round(similarity, 6)) AS best FROM y WHERE similarity >= 0.3 GROUP BY 1")
 def jn_15(s, d):
-    return tag_pairs(s, d).withColumn("similarity", F.round("similarity", 6))
+    """Of every part, how many others are similar, how much in all and at best: pairs are made between classes of equal tag sets only. tag_edges()
+    has the pairs of parts."""
+    x = G.tag_links(tagged(s, d), "p_partkey", "tags", 0.3)
+    return x.select("id", "links", F.round("similarity", 6).alias("similarity"), F.round("best", 6).alias("best"))
 
 
 EDGES = "edges AS (SELECT o_custkey AS src, l_suppkey AS dst, count(*)::DOUBLE AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
@@ -239,8 +335,9 @@ def jn_16(s, d):
 @query("jn_17_title_containment", "SELECT r_regionkey, n_nationkey FROM region JOIN nation ON contains(lower(n_name), lower(substr(r_name, 1, 2))) OR contains(lower(r_name), lower(n_name))")
 def jn_17(s, d):
     r, n = table(s, d, "region"), table(s, d, "nation")
-    near = F.contains(F.lower("n_name"), F.lower(F.substring("r_name", 1, 2))) | F.contains(F.lower("r_name"), F.lower("n_name"))
-    return n.join(F.broadcast(r), near).select("r_regionkey", "n_nationkey")  # regions: five rows
+    part = G.containing(n, "n_nationkey", F.lower("n_name"), r, "r_regionkey", F.lower(F.substring("r_name", 1, 2)))
+    whole = G.containing(r, "r_regionkey", F.lower("r_name"), n, "n_nationkey", F.lower("n_name"))
+    return part.unionByName(whole).distinct().select("r_regionkey", "n_nationkey")
 
 
 @query("kg_1_reference_edges", r"WITH x AS (SELECT page_id AS src, unnest(list_distinct(regexp_extract_all(url, '/([0-9]+)', 1))) AS d FROM pages) SELECT src, try_cast(d AS BIGINT) AS dst, 1.0::DOUBLE AS weight FROM x WHERE try_cast(d AS BIGINT) <> src")
@@ -250,18 +347,13 @@ def kg_1(s, d):
 
 @query("kg_2_by_title", "SELECT r_regionkey, min(n_nationkey) AS n_nationkey FROM region JOIN nation ON contains(n_name, substr(r_name, 1, 1)) GROUP BY 1")
 def kg_2(s, d):
-    x = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.contains("n_name", F.substring("r_name", 1, 1)))
+    x = G.containing(table(s, d, "nation"), "n_nationkey", F.col("n_name"), table(s, d, "region"), "r_regionkey", F.substring("r_name", 1, 1))
     return x.groupBy("r_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
 
 
-@query("kg_3_capped_domain_edges", "WITH n AS (SELECT c_custkey AS k, c_nationkey AS dom, c_mktsegment AS cat, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer) SELECT a.k AS a, b.k AS b, 0.5::DOUBLE + CASE WHEN a.cat = b.cat THEN 0.2 ELSE 0 END AS weight FROM n a JOIN n b ON a.dom = b.dom AND b.i - a.i BETWEEN 1 AND 5")
-def kg_3(s, d):
-    return G.domain_edges(table(s, d, "customer"), "c_custkey", "c_nationkey", "c_mktsegment")
-
-
 @query("kg_3_domain_edges", "SELECT c_custkey AS node, c_nationkey AS domain, c_mktsegment AS category, 0.5::DOUBLE + 0.2 AS same, 0.5::DOUBLE AS other FROM customer WHERE c_nationkey IS NOT NULL")
 def kg_3_all(s, d):
-    """The whole relation, as membership; kg_3_capped_domain_edges has the next five only, as its SQL says."""
+    """The whole relation, as membership: links_of() makes the pairs of stated nodes."""
     return G.domain_links(table(s, d, "customer"), "c_custkey", "c_nationkey", "c_mktsegment")
 
 
@@ -270,10 +362,41 @@ def kg_4(s, d):
     return chunks(s, d).select(F.explode("labels").alias("concept")).groupBy("concept").agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query("kg_5_built_graph", f"WITH {EDGES} SELECT 'nodes' AS kind, count(*) AS n FROM (SELECT DISTINCT src FROM edges) UNION ALL SELECT 'edges', count(*) FROM edges")
+KG5 = f"""WITH {CHUNKS}, r AS (SELECT 'reference' AS kind, 'page:' || doc_id AS src, 'page:' || (doc_id + 1) AS dst, 1.0::DOUBLE AS weight FROM chunks WHERE (doc_id + 1) IN (SELECT doc_id FROM chunks)),
+l AS (SELECT 'concept' AS kind, 'page:' || doc_id AS src, 'concept:' || unnest(list_distinct(labels)) AS dst, 0.6::DOUBLE AS weight FROM chunks), e AS (SELECT * FROM r UNION ALL SELECT * FROM l WHERE dst IS NOT NULL)
+SELECT id, split_part(id, ':', 1) AS kind, count(*) FILTER (way = 'out') AS n_out, count(*) FILTER (way = 'in') AS n_in, round(sum(weight), 6) AS weight FROM (SELECT src AS id, 'out' AS way, weight FROM e UNION ALL SELECT dst, 'in', weight FROM e) GROUP BY 1, 2"""
+
+
+@query("kg_5_built_graph", KG5)
 def kg_5(s, d):
-    e = edges(s, d)
-    return e.agg(F.countDistinct("src").alias("n")).select(F.lit("nodes").alias("kind"), "n").union(e.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), "n"))
+    """Pages and labels to nodes and edges, written as one version and read back."""
+    x = chunks(s, d).select(F.col("doc_id").alias("page"), "labels")
+    links = x.select("page", (F.col("page") + 1).alias("to"))
+    path = TB.scratch(s, "graph")
+    TB.replace_all({n: (t, ["kind"]) for n, t in zip(("nodes", "edges"), G.build(x, "page", "labels", links), strict=True)}, path)
+    at = f"{path}/v{TB.version(s, path)}"
+    nodes, edges_ = s.read.parquet(f"{at}/nodes"), s.read.parquet(f"{at}/edges")
+    ends = edges_.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i"), "weight"), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"), "weight"))))
+    sums = ends.groupBy("id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.round(F.sum("weight"), 6).alias("weight"))
+    return nodes.join(sums, "id").select("id", "kind", "n_out", "n_in", "weight")
+
+
+PR = "WITH " + EDGES + ", g AS (SELECT 'c' || src AS src, 's' || dst AS dst, weight FROM edges UNION ALL SELECT 's' || dst, 'c' || src, weight FROM edges), n AS (SELECT DISTINCT src AS id FROM g), o AS (SELECT src, sum(weight) AS total FROM g GROUP BY 1), t AS (SELECT g.src, dst, weight / total AS p FROM g JOIN o USING (src)), k AS (SELECT count(*) AS n FROM n), r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM n, k)" + "".join(f", r{i + 1} AS (SELECT dst AS id, 0.15 / any_value(k.n) + 0.85 * sum(p * r) AS r FROM t JOIN r{i} ON r{i}.id = t.src, k GROUP BY 1)" for i in range(5))
+
+
+@query("kg_10_importance", PR + " SELECT id, round(r, 9) AS importance FROM r5")
+def kg_10(s, d):
+    e = edges(s, d).select(F.concat(F.lit("c"), F.col("src").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("dst").cast("string")).alias("dst"), "weight")
+    both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return G.importance(both, TB.scratch(s, "importance"), 5).select("id", F.round("importance", 9).alias("importance"))
+
+
+@query("kg_10_paths", f"WITH {EDGES}, g AS (SELECT src, dst FROM edges WHERE weight >= 2), a AS (SELECT DISTINCT dst FROM g WHERE src = 1), b AS (SELECT DISTINCT g.src FROM g JOIN a USING (dst) WHERE g.src <> 1) SELECT src AS id, 2 AS hops FROM b UNION ALL SELECT -dst - 1, 1 FROM a")
+def kg_10_paths(s, d):
+    """Customers two steps from customer 1, over shared suppliers; suppliers are numbered below zero."""
+    e = edges(s, d).filter("weight >= 2").select("src", (-F.col("dst") - 1).alias("dst"))
+    both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return G.within(both, s.createDataFrame([(1,)], "id bigint"), 2).filter("hops > 0")
 
 
 @query("kg_6_neighbours", f"WITH {EDGES} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM edges WHERE weight >= 2 AND src IN (1, 2, 4)) WHERE rn <= 5")
@@ -287,12 +410,11 @@ def kg_7(s, d):
     return e.filter("src = 4").select(F.lit("out").alias("way"), F.col("dst").alias("other"), "weight").union(e.filter("dst = 4").select(F.lit("in").alias("way"), F.col("src").alias("other"), "weight"))
 
 
-@query("kg_8_expansion", f"WITH {EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM edges WHERE src <= 20 AND weight >= 1) SELECT DISTINCT dst AS id, 0.4::DOUBLE AS distance FROM r WHERE rn <= 2 AND dst > 5")
+@query("kg_8_expansion", f"WITH {EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM edges WHERE src <= 20 AND weight >= 1) SELECT DISTINCT dst AS id, 0.4::DOUBLE AS distance FROM r WHERE rn <= 2 AND dst NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 20)")
 def kg_8(s, d):
     hits = table(s, d, "customer").filter("c_custkey <= 20")
     found = G.neighbours(edges(s, d), hits, "c_custkey", 2, 1.0).select(F.col("dst").alias("id")).distinct()
-    seen = s.range(0, 6).select("id")
-    return found.join(seen, "id", "left_anti").withColumn("distance", F.lit(0.4))
+    return found.join(hits.select(F.col("c_custkey").alias("id")), "id", "left_anti").withColumn("distance", F.lit(0.4))
 
 
 @query("kg_9_typed_graph", "SELECT kind, count(*) AS n FROM (SELECT 'segment' AS kind, c_mktsegment AS v FROM customer UNION SELECT 'nation', n_name FROM nation UNION SELECT 'region', r_name FROM region) GROUP BY 1")
@@ -340,10 +462,10 @@ def evl_2(s, d):
     return r.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.round(F.max(x) - F.min(x), 6).alias("spread"))
 
 
-@query("evl_3_keyword_quality", "WITH k AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')[1:6]) AS got, ['the', 'tion', 'la'] AS ideal FROM benchmark), m AS (SELECT *, len(list_filter(ideal, lambda i: len(list_filter(got, lambda g: contains(g, i))) > 0)) AS found, len(list_filter(got, lambda g: contains(g, 'the') OR contains(g, 'tion') OR contains(g, 'la'))) AS good FROM k) SELECT item_id, round(found / 3.0::DOUBLE, 6) AS recall, round(good / len(got), 6) AS precision FROM m")
+@query("evl_3_keyword_quality", "WITH k AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS got, ['the', 'tion', 'la'] AS ideal FROM benchmark), m AS (SELECT *, len(list_filter(ideal, lambda i: len(list_filter(got, lambda g: contains(g, i))) > 0)) AS found, len(list_filter(got, lambda g: contains(g, 'the') OR contains(g, 'tion') OR contains(g, 'la'))) AS good FROM k) SELECT item_id, round(found / 3.0::DOUBLE, 6) AS recall, round(good / len(got), 6) AS precision FROM m")
 def evl_3(s, d):
     ideal = F.array(*map(F.lit, ("the", "tion", "la")))
-    x = table(s, d, "benchmark").select("item_id", F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 6)).alias("got"))
+    x = table(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("got"))
     found = F.size(F.filter(ideal, lambda i: F.exists("got", lambda g: F.contains(g, i))))
     right = F.size(F.filter("got", lambda g: F.exists(ideal, lambda i: F.contains(g, i))))
     return x.select("item_id", F.round(found / 3.0, 6).alias("recall"), F.round(right / F.size("got"), 6).alias("precision"))
@@ -386,10 +508,7 @@ def evl_8(s, d):
 
 @query("evl_9_nearest_rank", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(CASE WHEN i = least(n * 50 // 100, n - 1) THEN value END) AS p50, max(CASE WHEN i = least(n * 90 // 100, n - 1) THEN value END) AS p90 FROM r GROUP BY 1")
 def evl_9(s, d):
-    w = W.partitionBy("event_type")
-    x = table(s, d, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("value"))).alias(f"p{p}")
-    return x.groupBy("event_type").agg(at(50), at(90))
+    return A.nearest_ranks(table(s, d, "events"), "event_type", "value", {"p50": 50, "p90": 90})
 
 
 @query("evl_10_bands", BATCH + " SELECT q, count(*) FILTER (dist < 0.3) AS good, count(*) FILTER (dist >= 0.3 AND dist < 0.6) AS fair, count(*) FILTER (dist >= 0.6) AS poor FROM r WHERE rank <= 10 GROUP BY 1")
@@ -400,20 +519,47 @@ def evl_10(s, d):
     return r.groupBy("q").agg(F.count_if(x < 0.3).alias("good"), F.count_if((x >= 0.3) & (x < 0.6)).alias("fair"), F.count_if(x >= 0.6).alias("poor"))
 
 
-@query("evl_11_threshold_sweep", BATCH + ", x AS (SELECT r.q, r.dist, a.label = b.label AS hit FROM r JOIN embeddings a ON a.vec_id = r.q JOIN embeddings b ON b.vec_id = r.id WHERE rank <= 20), g AS (SELECT t / 10.0::DOUBLE AS cut FROM range(1, 21) s(t)) SELECT cut, count(*) FILTER (dist <= cut) AS kept, count(*) FILTER (dist <= cut AND hit) AS hits FROM x, g GROUP BY 1")
+SWEEP = BATCH + """, x AS (SELECT r.q, r.dist, a.label = b.label AS hit FROM r JOIN embeddings a ON a.vec_id = r.q JOIN embeddings b ON b.vec_id = r.id WHERE rank <= 50), n AS (SELECT sum(c) AS relevant FROM (SELECT label, count(*) AS c FROM embeddings GROUP BY 1) JOIN (SELECT label FROM embeddings WHERE vec_id % 100 = 0) USING (label)),
+d AS (SELECT t / 5.0::DOUBLE AS cut FROM range(3, 11) s(t)), g AS (SELECT t / 5.0::DOUBLE AS quality FROM range(2, 9) s(t)),
+m AS (SELECT cut, quality, count(*) FILTER (dist <= cut) AS kept, count(*) FILTER (dist <= quality) AS good, count(*) FILTER (dist <= cut AND hit) AS hits FROM x, d, g WHERE quality <= cut GROUP BY ALL),
+f AS (SELECT *, coalesce(hits / nullif(kept, 0)::DOUBLE, 0) AS precision, coalesce(hits / nullif(relevant, 0)::DOUBLE, 0) AS recall FROM m, n),
+h AS (SELECT *, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM f)
+SELECT cut, quality, kept, good, hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, row_number() OVER (ORDER BY h.f1 DESC, cut, quality) = 1 AS best FROM h"""
+
+
+@query("evl_11_threshold_sweep", SWEEP)
 def evl_11(s, d):
+    """Eight distance and seven quality thresholds, without those where the quality is above the distance; the cell with the best F1 is marked."""
     v = vectors(s, d)
-    r = V.batch_knn(v, "embedding", "vec_id", v.filter("vec_id % 100 = 0"), "vec_id", "embedding", 20)
+    q = v.filter("vec_id % 100 = 0")
+    r = V.batch_knn(v, "embedding", "vec_id", q, "vec_id", "embedding", 50)
     a, b = v.select(F.col("vec_id").alias("q"), F.col("label").alias("la")), v.select(F.col("vec_id").alias("id"), F.col("label").alias("lb"))
-    x = r.join(a, "q").join(b, "id").withColumn("hit", F.col("la") == F.col("lb"))
-    cuts = x.select("distance", "hit", F.explode(F.array(*[F.lit(t / 10.0) for t in range(1, 21)])).alias("cut"))
-    return cuts.groupBy("cut").agg(F.count_if(F.col("distance") <= F.col("cut")).alias("kept"), F.count_if((F.col("distance") <= F.col("cut")) & F.col("hit")).alias("hits"))
+    x = r.join(a, "q").join(b, "id").select("distance", (F.col("la") == F.col("lb")).alias("hit"))
+    relevant = v.groupBy("label").agg(F.count(F.lit(1)).alias("c")).join(q.select("label"), "label").agg(F.sum("c").alias("relevant"))
+    return E.threshold_grid(x, "distance", "hit", relevant, [t / 5 for t in range(3, 11)], [t / 5 for t in range(2, 9)]).select("cut", "quality", "kept", "good", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "best")
+
 
+METHODS = f"""{index_sql(hit=HIT, fields="'content'")}, {PROBE}, v AS (SELECT vec_id AS doc_id, {L2} / 2 AS distance FROM e, q ORDER BY {L2}, vec_id LIMIT 30), b AS (SELECT id AS doc_id, score FROM bm ORDER BY round(score, 9) DESC, id LIMIT 30),
+m AS (SELECT doc_id, distance, score FROM v FULL JOIN b USING (doc_id)),
+h AS (SELECT doc_id, round(CASE WHEN distance IS NOT NULL AND score IS NOT NULL THEN 0.5 * (1 - distance) + 0.5 * least(score / 10, 1) WHEN score IS NULL THEN 1 - distance ELSE least(score / 10, 1) END, 9) AS s FROM m),
+t AS (SELECT 'vector' AS method, doc_id FROM (SELECT doc_id FROM v ORDER BY distance, doc_id LIMIT 20) UNION ALL SELECT 'bm25', doc_id FROM (SELECT doc_id FROM b ORDER BY round(score, 9) DESC, doc_id LIMIT 20) UNION ALL SELECT 'hybrid', doc_id FROM (SELECT doc_id FROM h ORDER BY s DESC, doc_id LIMIT 20)),
+w AS (SELECT count(*) AS relevant FROM chunks WHERE contains(lower(content), 'ening')),
+c AS (SELECT method, count(*) AS n, count(*) FILTER (contains(lower(content), 'ening')) AS hits FROM t LEFT JOIN chunks USING (doc_id) GROUP BY 1),
+fm AS (SELECT method, 2.0 * hits / nullif(n + relevant, 0) AS f1 FROM c, w)
+SELECT round(any_value(f1) FILTER (method = 'vector'), 6)::DOUBLE AS vector, round(any_value(f1) FILTER (method = 'bm25'), 6)::DOUBLE AS bm25, round(any_value(f1) FILTER (method = 'hybrid'), 6)::DOUBLE AS hybrid,
+round(coalesce(any_value(f1) FILTER (method = 'vector'), 0) / coalesce(nullif(any_value(f1) FILTER (method = 'bm25'), 0), 0.001), 6)::DOUBLE AS vector_bm25, round(coalesce(any_value(f1) FILTER (method = 'bm25'), 0) / coalesce(nullif(any_value(f1) FILTER (method = 'hybrid'), 0), 0.001), 6)::DOUBLE AS bm25_hybrid FROM fm"""
 
-@query("evl_12_method_ratios", EVAL + " SELECT q, round(coalesce(nullif(hits / 10.0::DOUBLE, 0), 0.001) / coalesce(nullif((hits + q % 3) / 10.0::DOUBLE, 0), 0.001), 6) AS ratio FROM e")
+
+@query("evl_12_method_ratios", f"WITH {METHODS}")
 def evl_12(s, d):
-    f = lambda x: F.coalesce(F.nullif(x / 10.0, F.lit(0.0)), F.lit(0.001))
-    return evaluated(s, d).select("q", F.round(f(F.col("hits")) / f(F.col("hits") + F.col("q") % 3), 6).alias("ratio"))
+    """F1 of vector, text and hybrid search for the documents with a keyword, and their ratios; a ratio to 0 is to 0.001."""
+    near, text = sources(s, d)
+    hybrid = FU.two_source_rank(near, text, "doc_id", 20).select("doc_id")
+    found = {"vector": near.orderBy("distance", "doc_id").limit(20), "bm25": text.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(20), "hybrid": hybrid}
+    relevant = chunks(s, d).select("doc_id", F.contains(F.lower("content"), F.lit("ening")).alias("relevant"))
+    f1 = E.f1_by_method({k: x.select("doc_id") for k, x in found.items()}, relevant, "doc_id")
+    ratio = lambda a, b: F.round(F.coalesce(F.col(a), F.lit(0.0)) / F.coalesce(F.nullif(F.col(b), F.lit(0.0)), F.lit(0.001)), 6)
+    return f1.select(*[F.round(c, 6).alias(c) for c in found], ratio("vector", "bm25").alias("vector_bm25"), ratio("bm25", "hybrid").alias("bm25_hybrid"))
 
 
 @query("evl_13_ranking_consistency", BATCH + ", t AS (SELECT * FROM r WHERE rank <= 30) SELECT a.q AS qa, b.q AS qb, count(*) AS common, bool_and(abs(a.rank - b.rank) <= 30) AS near, round(greatest(0, 1 - coalesce(stddev_pop(a.dist) / nullif(avg(a.dist), 0), 0)), 6) AS consistency FROM t a JOIN t b ON a.id = b.id AND a.q < b.q GROUP BY 1, 2")
@@ -426,12 +572,13 @@ def evl_13(s, d):
     return x.agg(F.count(F.lit(1)).alias("common"), F.bool_and(F.abs(F.col("ra") - F.col("rb")) <= 30).alias("near"), F.round(F.greatest(F.lit(0.0), 1 - spread), 6).alias("consistency"))
 
 
-@query("evl_14_vector_diff", "SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE * 0.00005))), 9) AS max_diff, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE * 0.00005))) < 0.0001 AS same FROM embeddings")
+@query("evl_14_vector_diff", "WITH p AS (SELECT vec_id, [x / 127.0 FOR x IN [round(v::DOUBLE * 127) FOR v IN embedding]] AS b, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 7 <> 0), x AS (SELECT vec_id, [abs(a[i] - b[i]) FOR i IN range(1, len(a) + 1)] AS diff FROM p) SELECT e.vec_id, CASE WHEN diff IS NULL THEN 'removed' WHEN list_max(diff) < 0.0001 THEN 'same' ELSE 'changed' END AS state, round(list_max(diff), 6) AS max_diff, round(list_avg(diff), 6) AS mean_diff FROM embeddings e LEFT JOIN x USING (vec_id)")
 def evl_14(s, d):
-    v = vectors(s, d).select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    after = v.select("vec_id", F.transform("a", lambda x: x * 1.00005).alias("b"))
-    diff = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
-    return v.join(after, "vec_id").select("vec_id", F.round(diff, 9).alias("max_diff"), (diff < 1e-4).alias("same"))
+    """A snapshot against one that went through bytes (127 steps) and lost every seventh row."""
+    v = vectors(s, d)
+    stored = v.filter("vec_id % 7 <> 0").select("vec_id", F.transform(F.transform("embedding", lambda x: F.round(x.cast("double") * 127)), lambda x: x / 127.0).alias("embedding"))
+    x = E.vector_diff(v, stored, "vec_id", "embedding")
+    return x.select("vec_id", "state", F.round("max_diff", 6).alias("max_diff"), F.round("mean_diff", 6).alias("mean_diff"))
 
 
 @query("dq_1_vector_lengths", "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong, count(*) FILTER (vec_id IS NULL) AS no_key FROM embeddings")
@@ -439,9 +586,12 @@ def dq_1(s, d):
     return vectors(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("embedding") != 64).alias("wrong"), F.count_if(F.col("vec_id").isNull()).alias("no_key"))
 
 
-@query("dq_2_types", "SELECT 'bigint' AS kind, count(*) AS n FROM documents")
+@query("dq_2_types", "SELECT CASE WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' WHEN json_type(v) = 'VARCHAR' THEN 'string' ELSE 'null' END AS kind, count(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN '\"' || event_id || '\"' WHEN 1 THEN 'null' ELSE event_id::VARCHAR END::JSON AS v FROM events) GROUP BY 1")
 def dq_2(s, d):
-    return table(s, d, "documents").groupBy(F.typeof("doc_id").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """A key column of a record store, where keys came as numbers, as texts and not at all."""
+    i = F.col("event_id")
+    raw = F.when(i % 5 == 0, F.concat(F.lit('"'), i.cast("string"), F.lit('"'))).when(i % 5 == 1, "null").otherwise(i.cast("string"))
+    return E.runtime_types(table(s, d, "events").select(raw.alias("v")), "v")
 
 
 @query("dq_3_label_frequency", f"WITH {CHUNKS} SELECT unnest(labels) AS label, count(*) AS n FROM chunks GROUP BY 1 ORDER BY n DESC, label")

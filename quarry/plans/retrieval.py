@@ -45,9 +45,11 @@ def knn_1(s, d):
     return V.knn(vectors(s, d), "embedding", "vec_id", probe(s, d), 10).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("knn_2_raw_endpoint", KNN.format(where="", k=10))
+@query("knn_2_raw_endpoint", f"WITH {PROBE}, n AS (SELECT vec_id, label, round({L2}, 6) AS distance FROM e, q ORDER BY {L2}, vec_id LIMIT 10) SELECT vec_id, distance, CASE WHEN distance > 1 THEN 100 / (1 + distance) ELSE 100 * (1 - distance) END AS similarity, label FROM n WHERE distance <= 1.6 AND label <> 3")
 def knn_2(s, d):
-    return knn_1(s, d)
+    """The endpoint's own order: nearest rows first, then the ceiling and the filter, so fewer than k rows may be left."""
+    x = V.knn(vectors(s, d), "embedding", "vec_id", probe(s, d), 10).withColumn("distance", F.round("distance", 6))
+    return x.filter((F.col("distance") <= 1.6) & (F.col("label") != 3)).select("vec_id", "distance", S.similarity_score(F.col("distance")).alias("similarity"), "label")
 
 
 @query("knn_3_filtered", KNN.format(where="WHERE label = 3", k=20))
@@ -325,19 +327,39 @@ def jn_3(s, d):
     return m.select("doc_id", F.round(F.coalesce("distance", 1 - F.col("score") / 20), 6).alias("distance"), "found_by")
 
 
+SEARCH = FU.SearchRules(meeting=("meeting",), meeting_terms=("sh",), deprecated=("ouin",), generic=("er",), domain=("on", "an"), tags=("en", "src0"), penalties=(("la", 0.3), ("de", 0.5)), approved=("in",))
+
 FULL = f"""WITH {index_sql(hit=HIT, fields=ALL_FIELDS)}, {PROBE}, v AS (SELECT vec_id AS doc_id, {L2} AS distance FROM e, q ORDER BY {L2}, vec_id LIMIT 150), b AS (SELECT id AS doc_id, score AS bm25 FROM bm ORDER BY round(score, 9) DESC, id LIMIT 150),
-x AS (SELECT doc_id, distance, bm25, CAST(5 * (contains(lower(title), 'the')::INT + contains(lower(title), 'ening')::INT + contains(lower(title), 'queaux')::INT) + contains(lower(content), 'the')::INT + contains(lower(content), 'ening')::INT + contains(lower(content), 'queaux')::INT + 6 AS DOUBLE) AS keyword, nullif({RATIO}, 0) AS title
-  FROM v FULL JOIN b USING (doc_id) JOIN chunks USING (doc_id) WHERE length(content) >= 100),
-r AS (SELECT *, CASE WHEN distance IS NOT NULL THEN row_number() OVER (PARTITION BY distance IS NULL ORDER BY distance, doc_id) END AS vr, row_number() OVER (ORDER BY keyword DESC, doc_id) AS kr, CASE WHEN title IS NOT NULL THEN row_number() OVER (PARTITION BY title IS NULL ORDER BY title DESC, doc_id) END AS tr, CASE WHEN bm25 IS NOT NULL THEN row_number() OVER (PARTITION BY bm25 IS NULL ORDER BY bm25 DESC, doc_id) END AS br FROM x),
-z AS (SELECT doc_id, round(1.0::DOUBLE / (60 + coalesce(vr, 1000000)) + 0.8::DOUBLE / (60 + kr) + coalesce(1.2::DOUBLE / (60 + tr), 0) + coalesce(0.6::DOUBLE / (60 + br), 0), 9) AS rrf, round(0.05 * (1 - least(coalesce(distance, 2) / 2, 1)) + 0.53 * least(coalesce(bm25, 0) / 30, 1) + 0.26 * coalesce(title, 0), 9) AS composite FROM r)
-SELECT doc_id, round(rrf, 6) AS rrf, round(composite, 6) AS composite FROM z ORDER BY z.composite DESC, z.rrf DESC, doc_id LIMIT 30"""
+k AS (SELECT * FROM (VALUES ('the'), ('ening'), ('queaux')) t(k)), rs AS (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS rn FROM chunks JOIN k ON contains(lower(title), k.k)),
+rt AS (SELECT doc_id, min(CASE WHEN {RATIO} = 1 THEN 0.05::DOUBLE ELSE 0.2 END) AS rescued FROM rs JOIN chunks USING (doc_id) WHERE rn <= 15 GROUP BY 1),
+m AS (SELECT doc_id, distance, bm25, CASE WHEN distance IS NULL THEN 'bm25' WHEN bm25 IS NULL THEN 'vector' ELSE 'hybrid' END AS found_by FROM v FULL JOIN b USING (doc_id)),
+m2 AS (SELECT doc_id, CASE WHEN distance IS NULL THEN rescued WHEN rescued IS NULL THEN distance ELSE least(distance, rescued) END AS distance, bm25, coalesce(found_by, 'title') AS found_by FROM m FULL JOIN rt USING (doc_id)),
+x AS (SELECT doc_id, title, lower(title) AS t, found_by, distance, bm25, {RATIO} AS ratio,
+  CAST(5 * (contains(lower(title), 'the')::INT + contains(lower(title), 'ening')::INT + contains(lower(title), 'queaux')::INT) + contains(lower(content), 'the')::INT + contains(lower(content), 'ening')::INT + contains(lower(content), 'queaux')::INT
+    + 2 * ((contains(lower(array_to_string(labels, ' ')), 'the'))::INT + (contains(lower(array_to_string(labels, ' ')), 'ening'))::INT + (contains(lower(array_to_string(labels, ' ')), 'queaux'))::INT) + 6 AS DOUBLE) AS keyword,
+  CAST(list_contains(labels, 'en') AS INT) + CAST(list_contains(labels, 'src0') AS INT) AS tags, contains(lower(title), 'on')::INT + contains(lower(title), 'an')::INT AS domains, contains(lower(content), 'sh') AS meeting, contains(lower(title), 'er') AS generic
+  FROM m2 JOIN chunks USING (doc_id) WHERE length(content) >= 100 AND NOT contains(lower(title), 'meeting') AND NOT contains(lower(title), 'ouin')),
+y AS (SELECT *, least(1, greatest(0, 0.8 * (2 * (domains > 0)::INT + 3 * (ratio > 0)::INT + least(0.8 * tags, 2.0) + 0.2 * contains(t, 'in')::INT) / 7.5)) AS label, nullif(ratio, 0) AS title_score, row_number() OVER (ORDER BY keyword DESC, distance NULLS LAST, doc_id) AS place FROM x),
+r AS (SELECT *, CASE WHEN distance IS NOT NULL THEN row_number() OVER (PARTITION BY distance IS NULL ORDER BY distance, doc_id) END AS vr, row_number() OVER (ORDER BY keyword DESC, doc_id) AS kr, CASE WHEN title_score IS NOT NULL THEN row_number() OVER (PARTITION BY title_score IS NULL ORDER BY title_score DESC, doc_id) END AS tr, CASE WHEN bm25 IS NOT NULL THEN row_number() OVER (PARTITION BY bm25 IS NULL ORDER BY bm25 DESC, doc_id) END AS br FROM y WHERE place <= 75),
+fu AS (SELECT doc_id, 1.0::DOUBLE / (60 + coalesce(vr, 1000000)) + 0.8::DOUBLE / (60 + kr) + coalesce(1.2::DOUBLE / (60 + tr), 0) + coalesce(0.6::DOUBLE / (60 + br), 0) AS rrf FROM r),
+z AS (SELECT y.*, round(coalesce(fu.rrf, 0.1 * (0.4 * least(1, greatest(0, coalesce(distance, 1))) + 0.4 * least(1, keyword / 10) + 0.2 * least(1, tags / 5.0)) / 60) * CASE WHEN meeting THEN 0.9 ELSE 1 END * CASE WHEN generic THEN 0.5 ELSE 1 END * least(1 + 0.5 * domains, 2.0) * CASE WHEN tags = 1 THEN 2.0 WHEN tags > 1 THEN 3.0 ELSE 1.0 END, 9) AS rrf FROM y LEFT JOIN fu USING (doc_id)),
+u AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, doc_id) AS p2 FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rrf DESC, doc_id) AS rn FROM z) WHERE rn = 1),
+w AS (SELECT *, round((0.05 * (1 - least(coalesce(distance, 2) / 2, 1)) + 0.53 * least(coalesce(bm25, 0) / 30, 1) + 0.26 * greatest(coalesce(title_score, 0), CASE WHEN distance <= 0.05 THEN 0.9 ELSE 0 END) + 0.16 * label) * CASE WHEN tags = 1 THEN 3.0 WHEN tags > 1 THEN 6.0 ELSE 1.0 END * CASE WHEN contains(t, 'la') THEN 0.3 WHEN contains(t, 'de') THEN 0.5 ELSE 1.0 END * CASE WHEN p2 <= 50 THEN 1.0 ELSE 0.5 END, 9) AS composite FROM u),
+top AS (SELECT doc_id, title, found_by, rrf, composite, round(least(100, greatest(0, composite * 100)), 1) AS display FROM w ORDER BY w.composite DESC, w.rrf DESC, doc_id LIMIT 30),
+ln AS (SELECT DISTINCT doc_id + 1 AS doc_id FROM top WHERE doc_id % 3 > 0 AND (doc_id + 1) NOT IN (SELECT doc_id FROM top))
+SELECT doc_id, title, found_by, round(rrf, 6) AS rrf, round(composite, 6) AS composite, display FROM top UNION ALL SELECT doc_id, title, 'reference', 0, 0, 60.0 FROM ln JOIN chunks USING (doc_id)"""
+
+
+def next_pages(s, d):  # noqa: ANN001, ANN201
+    """References from each page to the one after it."""
+    return table(s, d, "documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.when(F.col("doc_id") % 3 > 0, 0.9).otherwise(0.5).alias("weight"))
 
 
 @query("hyb_3_ranked_search", FULL)
 def hyb_3(s, d):
     v = vectors(s, d).select(F.col("vec_id").alias("doc_id"), "embedding")
-    x = FU.ranked_search(chunks(s, d), v, "doc_id", probe(s, d), TERMS, 30)
-    return x.select("doc_id", F.round("rrf", 6).alias("rrf"), F.round("composite", 6).alias("composite"))
+    x = FU.ranked_search(chunks(s, d), v, "doc_id", probe(s, d), TERMS, 30, SEARCH, next_pages(s, d))
+    return x.select("doc_id", "title", "found_by", F.round("rrf", 6).alias("rrf"), F.round("composite", 6).alias("composite"), "display")
 
 
 @query("srt_1_pinned_first", f"WITH {SIG} SELECT doc_id, row_number() OVER (ORDER BY doc_id % 50 = 0 DESC, keyword DESC, distance, doc_id) AS place FROM sig ORDER BY place LIMIT 40")
@@ -391,14 +413,7 @@ def set_3(s, d):
     return table(s, d, "documents").select("doc_id").subtract(table(s, d, "labels").select("doc_id"))
 
 
-@query("set_4_keyword_union", "SELECT item_id, list_sort(list_distinct(list_concat(string_split(lower(text), ' ')[1:5], ['the', 'la']))) AS keywords FROM benchmark")
+@query("set_4_keyword_union", "SELECT item_id, list_sort(list_distinct(list_concat(string_split(lower(text), ' '), ['the', 'la']))) AS keywords FROM benchmark")
 def set_4(s, d):
-    own = F.slice(F.split(F.lower("text"), " "), 1, 5)
-    return table(s, d, "benchmark").select("item_id", F.array_sort(F.array_union(own, F.array(F.lit("the"), F.lit("la")))).alias("keywords"))
-
-
-@query("set_4_all_keywords", "SELECT item_id, list_sort(list_distinct(list_concat(string_split(lower(text), ' '), ['the', 'la']))) AS keywords FROM benchmark")
-def set_4_all(s, d):
-    """All words; set_4_keyword_union has the first five only, as its SQL says."""
     own = F.split(F.lower("text"), " ")
     return table(s, d, "benchmark").select("item_id", F.array_sort(F.array_union(own, F.array(F.lit("the"), F.lit("la")))).alias("keywords"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import chunks as C
 from quarry.functions import text as T
 from quarry.operators import bm25 as BM
 from quarry.operators import filters as FL
+from quarry.operators import incremental as I
 from quarry.operators import lexicon as LX
+from quarry.operators.analytics import normalise_message
+
+from quarry.sources import tables as TB
 
 from .registry import query, table
 from .retrieval import CHUNKS, chunks
@@ -149,18 +154,20 @@ _text("str_1_bom", "replace(chr(65279) || text, chr(65279), '')", lambda: T.stri
 _text("str_2_html_for_index", SQUEEZE.format(ENT.format("regexp_replace(html, '<[^>]*>', '', 'g')")), lambda: T.strip_html_for_index(_c("html")), "pages", "page_id")
 _text("str_3_html_to_text", SQUEEZE.format("regexp_replace(" + ENT.format("html") + ", '<[^>]*>', ' ', 'g')"), lambda: T.html_to_text(_c("html")), "pages", "page_id")
 _text("str_4_html_without_scripts", SQUEEZE.format(ENT.format("regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]*>', ' ', 'g')")), lambda: T.strip_html_with_bodies(_c("html")), "pages", "page_id")
-_text("str_6_messages", "regexp_replace(props, '[0-9]+', '[NUMBER]', 'g')", lambda: __import__("quarry.operators.analytics", fromlist=["normalise_message"]).normalise_message(_c("props")), "events", "event_id")
+_text("str_6_messages", "regexp_replace(props, '[0-9]+', '[NUMBER]', 'g')", lambda: normalise_message(_c("props")), "events", "event_id")
 _text("str_7_questions", "substr(" + SQUEEZE.format(r"regexp_replace(lower(text), '[\[\](){}.,!?;:]', '', 'g')") + ", 1, 100)", lambda: T.normalise_question(_c("text")))
 _text("str_8_query_words", "list_filter(string_split(" + SQUEEZE.format(r"regexp_replace(text, '[\[\](){}]', ' ', 'g')") + ", ' '), lambda w: length(w) > 1 AND lower(w) NOT IN ('the', 'la', 'der'))", lambda: T.query_words(_c("text"), ["the", "la", "der"]), "benchmark", "item_id")
 _text("str_9_negative_words", "list_filter(string_split(lower(text), ' '), lambda w: w NOT IN ('the', 'la'))", lambda: F.filter(F.split(F.lower("text"), " "), lambda w: ~w.isin("the", "la")), "benchmark", "item_id")
-_text("str_10_title_parts", r"trim(regexp_replace('012_' || substr(text, 1, 40), '^[^\p{L}]*', ''))", lambda: T.title_parts(F.concat(F.lit("012_"), F.substring("text", 1, 40)))["cleaned"])
-_text("str_10_whole_titles", r"trim(regexp_replace('012_' || p_name, '^[^\p{L}]*', ''))", lambda: T.title_parts(F.concat(F.lit("012_"), _c("p_name")))["cleaned"], "part", "p_partkey")
+_text("str_10_title_parts", r"trim(regexp_replace('012_' || p_name, '^[^\p{L}]*', ''))", lambda: T.title_parts(F.concat(F.lit("012_"), _c("p_name")))["cleaned"], "part", "p_partkey")
 _text("str_11_clone_marker", "contains(upper(text), 'THE')", lambda: F.contains(F.upper("text"), F.lit("THE")))
 _text("str_12_half_width", "translate('（' || text || '）：！', '（）：；，．！？', '():;,.!?')", lambda: T.half_width(F.concat(F.lit("（"), F.col("text"), F.lit("）：！"))))
 _text("str_13_reference_marks", "regexp_extract_all('see (' || substr(source, 1, 4) || ') and (' || lang || ')', '\\(([^)]*)\\)', 1)", lambda: F.regexp_extract_all(F.concat(F.lit("see ("), F.substring("source", 1, 4), F.lit(") and ("), _c("lang"), F.lit(")")), F.lit(r"\(([^)]*)\)"), F.lit(1)))
 _text("str_14_snippet", "CASE WHEN length(text) <= 100 THEN text WHEN position('tion' IN lower(text)) = 0 THEN substr(text, 1, 100) || '...' ELSE CASE WHEN greatest(1, position('tion' IN lower(text)) - 30) > 1 THEN '...' ELSE '' END || substr(text, greatest(1, position('tion' IN lower(text)) - 30), 100) || CASE WHEN greatest(1, position('tion' IN lower(text)) - 30) + 100 <= length(text) THEN '...' ELSE '' END END", lambda: T.snippet(_c("text"), "tion", 100))
-_text("str_15_multi_snippet", "", lambda: F.array_distinct(F.array(*[T.snippet(_c("text"), k, 80) for k in ("tion", "queaux")])))
-_text("str_16_sentence_pieces", "", lambda: T.sentence_chunks(200, 0)(_c("text")))
+_HEAD = "CASE WHEN doc_id % 10 < 3 THEN 80 WHEN doc_id % 10 < 6 THEN 120 ELSE 160 END"
+_AT = "list_filter([CAST(position('tion' IN lower(text)) AS BIGINT), CAST(position('queaux' IN lower(text)) AS BIGINT)], lambda p: p > h)"
+_SNIP = f"(SELECT CASE WHEN length(text) <= 200 THEN text WHEN len(a) = 0 THEN substr(text, 1, 200) ELSE substr(text, 1, h) || ' … ' || array_to_string(list_transform(a, lambda p: substr(text, greatest(h + 1, p - CAST(floor((200 - h) // len(a) * 0.3) AS BIGINT)), (200 - h) // len(a))), ' … ') END FROM (SELECT h, {_AT} AS a FROM (SELECT CAST({_HEAD} AS BIGINT) AS h)))"
+_text("str_15_multi_snippet", _SNIP, lambda: T.multi_snippet(_c("text"), ["tion", "queaux"], 200, _c("doc_id") % 10 + 1))
+_text("str_16_sentence_pieces", "", lambda: T.sentence_pieces(200)(_c("text")))
 _text("str_17_common_substring", "", lambda: T.longest_common(F.col("text"), F.lit("the tion of")))
 _text("str_18_token_estimate", r"CAST(ceil(0.5 * length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) + 1.8 * (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')))) AS BIGINT)", lambda: T.token_estimate(_c("text")).cast("bigint"))
 _text("str_19_sha_key", "sha256(source || ':' || lang)", lambda: F.sha2(F.concat(_c("source"), F.lit(":"), _c("lang")), 256))
@@ -170,18 +177,34 @@ _text("str_21_ticket_text", "'Status: ' || o_orderstatus || chr(10) || 'Priority
 _text("arr_1_labels", "list_filter(list_transform(string_split('[' || lang || ', \"' || source || '\"]', ','), lambda x: trim(replace(replace(replace(x, '[', ''), ']', ''), '\"', ''))), lambda x: x <> '')", lambda: T.labels_as_array(F.concat(F.lit("["), _c("lang"), F.lit(', "'), _c("source"), F.lit('"]'))))
 _text("arr_2_environment", "CASE WHEN contains(url, '.com') AND contains(url, 'blog') THEN 'mixed' WHEN contains(url, '.com') THEN 'shop' WHEN contains(url, 'blog') THEN 'blog' ELSE 'unknown' END", lambda: T.environment_of(F.array("url"), {"shop": ".com", "blog": "blog"}), "pages", "page_id")
 _text("jsn_1_json", "CAST(json_extract(props, '$.k') AS BIGINT)", lambda: F.from_json("props", "k bigint")["k"], "events", "event_id")
-_text("dat_3_newer", "date_diff('millisecond', o_orderdate, o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 4)) > 1000", lambda: F.col("o_orderkey") % 4 * 1000 > 1000, "orders", "o_orderkey")
+_text("dat_3_newer", "coalesce(date_diff('millisecond', o_orderdate, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate + INTERVAL 1 MILLISECOND * (o_orderkey % 4 * 500) END) > 1000, true)", lambda: I.newer(F.when(_c("o_orderkey") % 9 != 0, _c("o_orderdate") + F.expr("make_dt_interval(0, 0, 0, (o_orderkey % 4) * 0.5)")), _c("o_orderdate")), "orders", "o_orderkey")
 _text("str_5_rich_text", "", lambda: T.rich_text(F.to_json(F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")))))
 _text("tok_1_tokens", r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')", lambda: BM.tokens(_c("text")))
 _text("tok_2_light_tokens", r"regexp_extract_all(lower(text), '([a-z0-9_]+|[^\x00-\x7F]+)', 1)", lambda: BM.light_tokens(_c("text")))
-_text("tok_3_selected_tokens", r"list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda t: regexp_matches(t, '^\p{Lu}'))", lambda: F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda t: t.rlike(r"^\p{Lu}")))
+_text("tok_3_selected_tokens", r"list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda t: regexp_matches(t, '^\p{Lu}'))", lambda: BM.nouns(_c("text")))
 _text("kw_3_fallback_keywords", "list_filter(string_split_regex(lower(text), ' (of|la|der|de) | '), lambda w: w <> '')[1:8]", lambda: F.slice(F.filter(F.split(F.lower("text"), " (of|la|der|de) | "), lambda w: w != ""), 1, 8), "benchmark", "item_id")
 _text("kw_4_word_split", r"list_filter(regexp_extract_all(text, '([a-zA-Z]+|[0-9]+|[^\x00-\x7F]+)', 1), lambda w: lower(w) NOT IN ('the', 'la'))", lambda: F.filter(F.regexp_extract_all("text", F.lit(r"([a-zA-Z]+|[0-9]+|[^\x00-\x7F]+)"), F.lit(1)), lambda w: ~F.lower(w).isin("the", "la")), "benchmark", "item_id")
-_text("kw_6_domain_terms", "CAST(contains(lower(text), 'tion')::INT + contains(lower(text), 'queaux')::INT AS INT)", lambda: F.contains(F.lower("text"), F.lit("tion")).cast("int") + F.contains(F.lower("text"), F.lit("queaux")).cast("int"))
 
 
-@query("src_10_markdown_table", "SELECT r_regionkey, '| ' || r_regionkey || ' | ' || replace(r_name, '|', '\\|') || ' |' AS line FROM region")
+@query("kw_6_domain_terms", f"WITH {CHUNKS} SELECT doc_id, len(list_filter(['the', 'tion', 'ening', 'queaux', 'ouer'], lambda w: contains(lower(content), w) AND contains(lower(title), w))) AS terms FROM chunks")
+def kw_6(s, d):
+    """Terms that a text, as the query, shares with a title."""
+    n = LX.shared_terms(F.col("content"), F.col("title"), ["the", "tion", "ening", "queaux", "ouer"])
+    return chunks(s, d).select("doc_id", n.cast("bigint").alias("terms"))
+
+
+@query("src_10_markdown_table", r"WITH r AS (SELECT n_regionkey, n_nationkey, ['key', 'name'] AS c, -1 AS i FROM nation UNION ALL SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 4 = 3 THEN [' ', NULL] ELSE [n_nationkey::VARCHAR, n_name || '|x'] END, n_nationkey FROM nation), h AS (SELECT DISTINCT n_regionkey, i, [replace(trim(coalesce(x, '')), '|', '\|') FOR x IN c] AS c FROM r), l AS (SELECT n_regionkey, i, '| ' || array_to_string(c, ' | ') || ' |' AS line FROM h WHERE len(list_filter(c, lambda x: x <> '')) > 0) SELECT n_regionkey, string_agg(CASE WHEN i = -1 THEN line || chr(10) || '| --- | --- |' ELSE line END, chr(10) ORDER BY i) AS markdown FROM l GROUP BY 1")
 def src_10(s, d):
+    """A sheet for each region: a header, a row for each nation, blank rows between."""
+    n = table(s, d, "nation")
+    cells = F.when(F.col("n_nationkey") % 4 == 3, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(F.array(F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit("|x"))))
+    header = n.select("n_regionkey").distinct().select("n_regionkey", F.lit(-1).cast("bigint").alias("i"), F.array(F.lit("key"), F.lit("name")).alias("cells"))
+    rows = header.union(n.select("n_regionkey", F.col("n_nationkey").cast("bigint").alias("i"), cells.alias("cells")))
+    return TB.markdown_tables(rows, "n_regionkey", "i", "cells")
+
+
+@query("src_10_markdown_row", "SELECT r_regionkey, '| ' || r_regionkey || ' | ' || replace(r_name, '|', '\\|') || ' |' AS line FROM region")
+def src_10b(s, d):
     return table(s, d, "region").select("r_regionkey", T.markdown_row(F.array(F.col("r_regionkey").cast("string"), "r_name")).alias("line"))
 
 
@@ -195,9 +218,21 @@ def chk_1(s, d):
     return docs(s, d).select("doc_id", F.inline(T.fixed_chunks(F.col("text"))))
 
 
-@query("chk_2_sentence_chunks")
+# Ends and beginnings of runs of stops, then one chunk a step.
+SPANS = """WITH RECURSIVE m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]+')) AS s, generate_subscripts(regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]+'), 1) AS k FROM documents),
+r AS (SELECT doc_id, k, CAST(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS e, length(regexp_extract(s, '[。！？.!?]+$')) AS w FROM m),
+l AS (SELECT doc_id, list(e ORDER BY k) AS ends, list(e - w ORDER BY k) AS begins FROM r GROUP BY 1),
+c AS (SELECT doc_id, length(text) AS n, coalesce(ends, []) AS ends, coalesce(begins, []) AS begins, 0::BIGINT AS start, CASE WHEN length(text) <= 1800 THEN length(text) ELSE coalesce(list_max(list_filter(ends, lambda e: e <= 1800 AND e > 1750)), 1800) END AS stop FROM documents LEFT JOIN l USING (doc_id) WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+  UNION ALL SELECT doc_id, n, ends, begins, start, CASE WHEN start + 1800 >= n THEN n ELSE coalesce(list_max(list_filter(ends, lambda e: e <= start + 1800 AND e > start + 1750)), start + 1800) END AS stop
+  FROM (SELECT doc_id, n, ends, begins, greatest(start + 180, CASE WHEN k <= len(ends) AND begins[k] < stop THEN least(greatest(start + greatest(1, (stop - start) // 20), ends[k]), stop - 1) ELSE stop - 200 END) AS start
+        FROM (SELECT *, 1 + len(list_filter(ends, lambda e: e < greatest(start, stop - 200))) AS k FROM c WHERE stop < n))),
+x AS (SELECT c.doc_id, start, stop, trim(substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM c JOIN documents USING (doc_id)),
+y AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS i, start, stop, content FROM x WHERE content <> '')"""
+
+
+@query("chk_2_sentence_chunks", SPANS + " SELECT doc_id, i, start, stop, content FROM y")
 def chk_2(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(T.sentence_chunks(1000, 100)(F.col("text"))).alias("i", "content"))
+    return docs(s, d).select("doc_id", F.inline(C.sentence_chunks(F.col("text"))))
 
 
 EST = r"ceil(0.5 * length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) + 1.8 * (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))))"
@@ -211,10 +246,10 @@ def chk_3(s, d):
     return x.select("doc_id", "title", F.inline("c")).select("doc_id", "i", F.concat(F.repeat("title", 3), "content").alias("content"))
 
 
-@query("chk_4_conditional_chunks")
+@query("chk_4_conditional_chunks", SPANS + """, z AS (SELECT y.doc_id, i, content, count(*) OVER (PARTITION BY y.doc_id) AS chunks FROM y JOIN documents USING (doc_id) WHERE length(text) >= 3000 UNION ALL SELECT doc_id, 0, text, 1 FROM documents WHERE length(text) < 3000)
+SELECT doc_id, CASE WHEN chunks > 1 THEN doc_id || '-' || i ELSE doc_id::VARCHAR END AS id, i AS chunk, CAST(chunks AS INT) AS chunks, content, CASE WHEN chunks > 1 THEN lang || chr(10) || chr(10) || lang || chr(10) || chr(10) || lang ELSE lang END || chr(10) || chr(10) || content AS vector_text FROM z JOIN documents USING (doc_id)""")
 def chk_4(s, d):
-    cut = F.when(F.length("text") >= 3000, T.sentence_chunks(1000, 100)(F.col("text"))).otherwise(F.array("text"))
-    return docs(s, d).select("doc_id", F.posexplode(cut).alias("i", "content"))
+    return C.chunk_rows(docs(s, d), "doc_id", F.col("text"), F.col("lang"))
 
 
 @query("chk_5_valid_chunks", f"WITH {CHUNKS} SELECT doc_id, CASE WHEN length(content) >= 100 AND length(regexp_replace(content, '[^\\p{{L}}]', '', 'g')) >= 20 THEN content ELSE title END AS content FROM chunks")
@@ -234,8 +269,25 @@ def lexicon(s, d):  # noqa: ANN001, ANN201
     return x.withColumn("category", F.when(F.length("keyword") <= 4, "core").otherwise("domain"))
 
 
-@query("kw_1_lexicon_keywords", f"WITH {LEX}, m AS (SELECT item_id, keyword, {PRIO} AS priority FROM benchmark JOIN lex ON contains(lower(text), keyword)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY priority DESC, keyword) AS rn FROM m) SELECT item_id, keyword, CAST(priority AS INT) AS priority FROM r WHERE rn <= 8")
+KW1 = f"""WITH {LEX}, d AS (SELECT * FROM (VALUES (0, 'english', ['the', 'ing', 'ened']), (1, 'romance', ['queaux', 'tion', 'ouer'])) t(p, domain, words)),
+q AS (SELECT item_id, lower(text) AS t, CASE WHEN contains(lower(text), 'wh') THEN 'thedefinition' WHEN contains(lower(text), 'ei') THEN 'lading' ELSE 'general' END AS intent FROM benchmark),
+s AS (SELECT item_id, p, domain, words, len(list_filter(words, lambda w: contains(t, w))) AS n FROM q, d),
+b AS (SELECT item_id, CASE WHEN max(n) > 0 THEN arg_max(domain, (n, -p)) ELSE 'unknown' END AS domain, CASE WHEN max(n) > 0 THEN arg_max(words, (n, -p)) ELSE [] END AS words FROM s GROUP BY 1),
+m AS (SELECT item_id, domain, intent, keyword, category = 'core' AS core, len(list_filter(words, lambda w: contains(keyword, w) OR contains(w, keyword))) > 0 AS near, starts_with(intent, keyword) AS asked FROM q JOIN b USING (item_id) JOIN lex ON contains(t, keyword)),
+p AS (SELECT *, CAST(100 * core::INT + 80 * near::INT + 20 * (length(keyword) BETWEEN 2 AND 8)::INT AS INT) AS points FROM m WHERE core OR near OR asked),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY points DESC, keyword) AS INT) AS place FROM p)
+SELECT item_id, domain, intent, keyword, points, place FROM r WHERE place <= 8"""
+
+
+@query("kw_1_lexicon_keywords", KW1)
 def kw_1(s, d):
+    """Domain and intent of a query, and its relevant keywords by points."""
+    domains = {"english": ["the", "ing", "ened"], "romance": ["queaux", "tion", "ouer"]}
+    return LX.query_keywords(table(s, d, "benchmark"), "item_id", "text", lexicon(s, d), domains, {"thedefinition": ["wh"], "lading": ["ei"]}, 8)
+
+
+@query("kw_1_contained_keywords", f"WITH {LEX}, m AS (SELECT item_id, keyword, {PRIO} AS priority FROM benchmark JOIN lex ON contains(lower(text), keyword)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY priority DESC, keyword) AS rn FROM m) SELECT item_id, keyword, CAST(priority AS INT) AS priority FROM r WHERE rn <= 8")
+def kw_1b(s, d):
     return LX.extract(table(s, d, "benchmark"), "item_id", "text", lexicon(s, d), 8)
 
 
@@ -261,15 +313,33 @@ def jn_18(s, d):
     return x.withColumn("rn", F.row_number().over(W.partitionBy("item_id", "category").orderBy("keyword"))).filter("rn <= 20").select("item_id", "category", "keyword")
 
 
-LBL = f"""WITH {CHUNKS}, x AS (SELECT doc_id, lower(title) AS t, lower(substr(content, 1, 500)) AS b, labels, length(content) AS n FROM chunks),
-c AS (SELECT *, CASE WHEN list_contains(labels, 'src0') THEN 'spec' WHEN contains(t, 'tion') THEN 'spec' WHEN contains(t, 'la') THEN 'guide' WHEN contains(b, 'meeting') THEN 'meeting' ELSE 'other' END AS category, 2 * contains(t, 'the')::INT + contains(b, 'the')::INT AS d1, 2 * contains(t, 'que')::INT + contains(b, 'que')::INT AS d2 FROM x)
-SELECT doc_id, category, CASE WHEN greatest(d1, d2) = 0 THEN 'none' WHEN d1 >= d2 THEN 'english' ELSE 'romance' END AS domain, CASE WHEN contains(t, 'draft') THEN 'draft' ELSE 'approved' END AS status, round(CAST(0.7 + 0.1 * ((category <> 'other')::INT + (greatest(d1, d2) > 0)::INT) AS DOUBLE), 6) AS confidence, n >= 100 AS is_valid FROM c"""
+LBL = rf"""WITH {CHUNKS}, x AS (SELECT doc_id, title, lower(title) AS t, lower(content) AS c, labels, length(content) AS n FROM chunks),
+y AS (SELECT *, substr(c, 1, 500) AS b5, substr(c, 1, 1000) AS b, t || ' ' || substr(c, 1, 1000) AS both_, t || ' ' || substr(c, 1, 800) AS tagged FROM x),
+c AS (SELECT *, CASE WHEN list_contains(labels, 'src0') THEN 'spec' WHEN list_contains(labels, 'src1') THEN 'workflow' WHEN contains(t, 'tion') THEN 'spec' WHEN contains(t, 'la') THEN 'guide' WHEN contains(b5, 'ouer') THEN 'meeting' ELSE 'other' END AS cat,
+  2.0 * (contains(t, 'the') OR contains(t, 'ing'))::INT + (contains(b, 'the') OR contains(b, 'ing'))::INT + 1.5 * ((contains(both_, 'the') AND contains(both_, 'wh')) OR (contains(both_, 'ing') AND contains(both_, 'sh')))::INT AS d1,
+  2.0 * contains(t, 'que')::INT + contains(b, 'que')::INT AS d2, CASE WHEN contains(t, 'er') THEN 'draft' WHEN contains(t, 'on') THEN 'approved' ELSE 'unknown' END AS st FROM y),
+k AS (SELECT *, (cat <> 'other')::INT + (greatest(d1, d2) > 0)::INT + (st <> 'unknown')::INT AS found, CASE cat WHEN 'other' THEN 'spec' ELSE cat END AS cat_, CASE st WHEN 'unknown' THEN 'approved' ELSE st END AS st_ FROM c)
+SELECT doc_id, n >= 100 AS is_valid, CASE WHEN found >= 2 THEN cat_ END AS category, CASE WHEN found >= 2 THEN CASE WHEN greatest(d1, d2) = 0 THEN 'none' WHEN d1 >= d2 THEN 'english' ELSE 'romance' END END AS domain, CASE WHEN found >= 2 THEN st_ END AS status,
+  CASE WHEN found >= 2 THEN CASE WHEN cat_ = 'spec' AND st_ = 'approved' THEN 'high' WHEN cat_ = 'spec' AND st_ = 'draft' THEN 'medium' WHEN cat_ = 'workflow' THEN 'high' WHEN cat_ = 'meeting' THEN 'low' ELSE 'medium' END END AS priority,
+  CASE WHEN found >= 2 THEN list_filter([CASE WHEN contains(tagged, 'der') OR contains(tagged, 'die') THEN 'german' END, CASE WHEN contains(tagged, 'los') THEN 'spanish' END], lambda v: v IS NOT NULL) END AS tags,
+  CASE WHEN found >= 2 THEN trim(regexp_replace(title, '^[^\p{{L}}]*', '')) END AS feature, CASE WHEN found >= 2 THEN round(CAST(0.7 + 0.1 * found AS DOUBLE), 6) END AS confidence FROM k"""
 
 
 @query("lbl_1_rule_labels", LBL)
 def lbl_1(s, d):
-    x = chunks(s, d)
-    return LX.rule_labels(x, F.col("title"), F.col("content"), F.col("labels"), by_label={"src0": "spec"}, by_title={"tion": "spec", "la": "guide"}, by_body={"meeting": "meeting"}, domains={"english": ["the"], "romance": ["que"]}).select("doc_id", "category", "domain", "status", F.round("confidence", 6).alias("confidence"), "is_valid")
+    rules = LX.LabelRules(
+        by_label={"src0": "spec", "src1": "workflow"},
+        by_title={"tion": "spec", "la": "guide"},
+        by_body={"ouer": "meeting"},
+        domains={"english": ["the", "ing"], "romance": ["que"]},
+        pairs={"english": [["the", "wh"], ["ing", "sh"]]},
+        statuses={"er": "draft", "on": "approved"},
+        tags={"german": ["der", "die"], "spanish": ["los"]},
+        priorities={("spec", "approved"): "high", ("spec", "draft"): "medium"},
+        by_category={"workflow": "high", "meeting": "low"},
+    )
+    x = LX.rule_labels(chunks(s, d), F.col("title"), F.col("content"), F.col("labels"), rules)
+    return x.select("doc_id", "is_valid", "category", "domain", "status", "priority", "tags", "feature", F.round("confidence", 6).alias("confidence"))
 
 
 @query("lbl_2_ticket_status", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'review' ELSE 'draft' END AS status FROM orders")

@@ -1,15 +1,44 @@
-"""Tables as folders of parquet: read, page, append, delete, replace, back up; and other file formats."""
+"""Tables as folders of parquet: read, page, append, delete, replace, back up; and other file formats.
+
+A versioned table is a folder of immutable versions (v0, v1, …) and a pointer file that names the current one. Writers write a new version
+and then replace the pointer by one rename, so a reader or a crash sees the old table or the new one, never none.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+POINTER = "_current"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors can write; a local session without a checkpoint folder gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/quarry-tables/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path, and the path in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
 
-def load(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
-    """A scan; filter and columns reach the files."""
-    x = spark.read.option("mergeSchema", "true").parquet(path)
+def load(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None, merge_schemas: bool = False) -> DataFrame:
+    """A scan; filter and columns reach the files. Schemas of all files are merged only if asked for: that opens every one."""
+    x = spark.read.option("mergeSchema", str(merge_schemas).lower()).parquet(path)
     x = x if where is None else x.filter(where)
     return x.select(*columns) if columns else x
 
@@ -28,19 +57,57 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then swaps folders, so the old table can be the source of the new one."""
-    spark = df.sparkSession
-    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    old = spark._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+def version(spark: SparkSession, path: str) -> int | None:
+    """The number of the current version; None for a table that does not exist."""
+    fs, pointer = _files(spark, f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return int(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a versioned table."""
+    return spark.read.parquet(f"{path}/v{version(spark, path)}")
+
+
+def replace(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Writes the next version and points to it; versions older than the last `keep` are deleted. df may read the table itself."""
+    return replace_all({"": (df, [])}, path, keep)
+
+
+def replace_all(parts: dict[str, tuple[DataFrame, list[str]]], path: str, keep: int = 2) -> int:
+    """The same for several tables that change together: name in the version -> rows and the columns to partition by."""
+    spark = next(iter(parts.values()))[0].sparkSession
+    was = version(spark, path)
+    now = 0 if was is None else was + 1
+    for name, (df, by) in parts.items():
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/v{now}/{name}".rstrip("/"))
+    fs, fresh = _files(spark, f"{path}/{POINTER}.{uuid.uuid4().hex}")
+    stream = fs.create(fresh)
+    stream.write(bytearray(str(now), "ascii"))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, _files(spark, f"{path}/{POINTER}")[1], options)
+    for old in range(max(0, now - keep - 8), now - keep + 1):
+        fs.delete(_files(spark, f"{path}/v{old}")[1], True)
+    return now
 
 
-def delete(spark: SparkSession, path: str, where: Column) -> None:
-    replace(spark.read.parquet(path).filter(~F.coalesce(where, F.lit(False))), path)
+def append_version(df: DataFrame, path: str) -> int:
+    """Adds rows to a versioned table, as a version."""
+    was = version(df.sparkSession, path)
+    return replace(df if was is None else current(df.sparkSession, path).unionByName(df, allowMissingColumns=True), path)
+
+
+def delete(spark: SparkSession, path: str, where: Column) -> int:
+    """Deletes the rows of a versioned table for which `where` is true (not those for which it is null)."""
+    return replace(current(spark, path).filter(~F.coalesce(where, F.lit(False))), path)
 
 
 def backup(df: DataFrame, root: str, stamp: str, limit: int | None = None) -> str:
@@ -49,9 +116,33 @@ def backup(df: DataFrame, root: str, stamp: str, limit: int | None = None) -> st
     return path
 
 
-def retained(backups: DataFrame, taken: str, keep: int = 30) -> DataFrame:
+def backups(spark: SparkSession, root: str) -> list[str]:
+    """Stamps of the finished backups, the newest first."""
+    fs, folder = _files(spark, root)
+    if not fs.exists(folder):
+        return []
+    found = [f.getPath().getName() for f in fs.listStatus(folder)]
+    done = [n for n in found if n.startswith("backup-") and fs.exists(_files(spark, f"{root}/{n}/_SUCCESS")[1])]
+    return sorted((n.removeprefix("backup-") for n in done), reverse=True)
+
+
+def prune(spark: SparkSession, root: str, keep: int = 30) -> list[str]:
+    """Deletes all but the newest `keep` backups; the stamps that went."""
+    gone = backups(spark, root)[keep:]
+    for stamp in gone:
+        fs, path = _files(spark, f"{root}/backup-{stamp}")
+        fs.delete(path, True)
+    return gone
+
+
+def restore(spark: SparkSession, root: str, path: str, stamp: str | None = None) -> int:
+    """Makes a backup (the newest, or the one with the stamp) the current version of a table."""
+    return replace(spark.read.parquet(f"{root}/backup-{stamp or backups(spark, root)[0]}"), path)
+
+
+def retained(taken: DataFrame, at: str, keep: int = 30) -> DataFrame:
     """Of a list of backups, with whether each is kept: the newest `keep`."""
-    return backups.withColumn("kept", F.row_number().over(W.orderBy(F.desc(taken))) <= keep)
+    return taken.withColumn("kept", F.row_number().over(W.orderBy(F.desc(at))) <= keep)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -63,9 +154,25 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 def read_files(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     """Any files, for a decoder UDF."""
     return spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path)
+
+
+def markdown_tables(rows: DataFrame, sheet: str, number: str, cells: str) -> DataFrame:
+    """sheet, markdown: the rows (an array of cells each) of a sheet as one table. Blank rows go, the first that is left is the header, pipes are
+    escaped, nulls are empty, short rows are filled up."""
+    filled = F.transform(cells, lambda c: F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("\\|")))
+    x = rows.select(sheet, number, filled.alias("c")).filter(F.exists("c", lambda v: v != ""))
+    x = x.groupBy(sheet).agg(F.max(F.size("c")).alias("w"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("i"), "c"))), lambda r: r["c"]).alias("r"))
+    lines = F.transform("r", lambda c: F.concat(F.lit("| "), F.array_join(F.concat(c, F.array_repeat(F.lit(""), F.col("w") - F.size(c))), " | "), F.lit(" |")))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("w")))
+    whole = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size("r")))
+    return x.select(sheet, F.array_join(whole, "\n").alias("markdown"))

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import plans
+from quarry.functions import chunks, stats, text
 from quarry.functions import scores as S
-from quarry.functions import stats, text
-from quarry.operators import bm25, filters, fusion, graph, incremental, vector
+from quarry.operators import analytics, bm25, filters, fusion, graph, incremental, lexicon, vector
 from quarry.sources import tables
 from quarry.streaming import windows
 
@@ -91,17 +91,6 @@ def test_common_substring_equals_brute_force(spark):
     assert len(got) == 80 and all(r.n == max((j - i for i in range(len(r.a)) for j in range(i + 1, len(r.a) + 1) if r.a[i:j] in r.b), default=0) for r in got)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["set_4_all_keywords", "str_10_whole_titles", "kg_3_domain_edges"])
-def test_whole_queries_equal_their_sql(spark, name):
-    import duckdb
-
-    c = duckdb.connect()
-    for t in ("benchmark", "part", "customer"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert sorted(map(tuple, plans.PLANS[name](spark, SF).collect())) == sorted(c.sql(plans.ORACLES[name]).fetchall())
-
-
 def test_sync_classification_at_the_second(spark):
     old = spark.sql("SELECT 1L id, timestamp_ntz'2024-01-01 00:00:00' t UNION ALL SELECT 2L, timestamp_ntz'2024-01-01 00:00:00' UNION ALL SELECT 3L, timestamp_ntz'2024-01-01 00:00:00'")
     new = spark.sql("SELECT 1L id, timestamp_ntz'2024-01-01 00:00:01' t UNION ALL SELECT 2L, timestamp_ntz'2024-01-01 00:00:01.001' UNION ALL SELECT 3L, CAST(NULL AS timestamp_ntz) UNION ALL SELECT 4L, NULL")
@@ -128,20 +117,108 @@ def test_domain_links_keep_every_pair(spark):
     assert set(some) == {w for w in want if {w[0], w[1]} & {0, 3, 4}} and len(some) == len(set(some))
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-def test_registered_domain_edges_have_no_cap(spark):
-    customers = spark.read.parquet(f"{SF}/customer.parquet")
-    want = graph.all_domain_edges(customers, "c_custkey", "c_nationkey", "c_mktsegment")
-    got = graph.links_of(plans.PLANS["kg_3_domain_edges"](spark, SF))
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+def test_link_counts_are_those_of_the_pairs(spark):
+    rows = [(i, None if i % 13 == 12 else i % 3, None if i % 11 == 10 else f"c{i % 4}") for i in range(60)]
+    links = graph.domain_links(spark.createDataFrame(rows, "id long, d int, c string"), "id", "d", "c")
+    want = {}
+    for a, d, c in rows:
+        near = [e for b, f, e in rows if b != a and d is not None and f == d]
+        if d is not None:
+            same = sum(c is not None and e == c for e in near)
+            want[a] = (len(near), same, round(0.5 * len(near) + 0.2 * same, 6))
+    assert {r.node: (r.links, r.same, round(r.weight, 6)) for r in graph.link_counts(links).collect()} == want
+
+
+def test_tag_links_are_those_of_the_pairs(spark):
+    sets = [(i, [f"t{(i * j) % 5}" for j in range(1, 4)]) for i in range(40)]
+    df = spark.createDataFrame(sets, "id long, t array<string>")
+    want = {}
+    for r in graph.tag_edges(df, "id", "t", 0.3).collect():
+        for i in (r.a, r.b):
+            n, s, m = want.get(i, (0, 0.0, 0.0))
+            want[i] = (n + 1, s + r.similarity, max(m, r.similarity))
+    got = {r.id: (r.links, r.similarity, r.best) for r in graph.tag_links(df, "id", "t", 0.3).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(x, y) for i in want for x, y in zip(got[i], want[i], strict=True))
+
+
+def test_graph_build_paths_and_importance(spark, tmp_path):
+    pages = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", None]), (2, ["a", None]), (3, [])], "id long, labels array<string>")
+    links = spark.createDataFrame([(1, 2), (1, 2), (2, 2), (2, 9)], "page long, to long")
+    nodes, edges = graph.build(pages, "id", "labels", links)
+    assert {r.id for r in nodes.collect()} == {"page:1", "page:2", "page:3", "concept:a", "concept:b"} and nodes.count() == 5
+    assert sorted((r.src, r.dst) for r in edges.collect()) == [("page:1", "concept:a"), ("page:1", "concept:b"), ("page:1", "page:2"), ("page:2", "concept:a")]
+    ring = spark.createDataFrame([(i, (i + 1) % 6, 1.0) for i in range(6)], "src long, dst long, weight double")
+    ranks = graph.importance(ring, str(tmp_path / "r"), 7, every=3).collect()
+    assert len(ranks) == 6 and all(math.isclose(r.importance, 1 / 6) for r in ranks)
+    assert {(r.id, r.hops) for r in graph.within(ring, spark.createDataFrame([(4,)], "id long"), 3).collect()} == {(4, 0), (5, 1), (0, 2), (1, 3)}
+
+
+def test_places_in_order_without_a_sort(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k, n in ((0, 1), (1, 2), (2, 500), (3, 301)) for v in (rng.normal(size=n) if k != 3 else np.repeat([1.0, 2.0, 7.5], n // 3 + 1)[:n])]
+    df = spark.createDataFrame([*rows, (2, None)], "k int, v double").repartition(5)
+    for cells in (1, 3, 4096):
+        own = {k: sorted(v for x, v in rows if x == k) for k in range(4)}
+        ranks = df.select("k").distinct().select("k", F.explode(F.array(*[F.lit(i).cast("long") for i in (0, 1, 250, 300, 499)])).alias("rank"))
+        got = {(r.k, r["rank"]): r.v for r in analytics.at_ranks(df, "k", "v", ranks, cells).collect()}
+        assert got == {(k, i): v[i] for k, v in own.items() for i in (0, 1, 250, 300, 499) if i < len(v)}
+    q = {r.k: (r.a, r.b) for r in analytics.quantiles(df, "k", "v", {"a": 50, "b": 95}).collect()}
+    assert all(math.isclose(q[k][0], np.percentile(v, 50)) and math.isclose(q[k][1], np.percentile(v, 95)) for k, v in own.items())
+    near = {r.k: r.p for r in analytics.nearest_ranks(df, "k", "v", {"p": 90}).collect()}
+    assert near == {k: v[min(len(v) * 90 // 100, len(v) - 1)] for k, v in own.items()}
+
+
+def test_lexicon_in_blocks_finds_what_contains_finds(spark):
+    words = [(f"{a}{b}", c) for a in "abc" for b in ("", "b", "ca") for c in ("core", "domain") if not (a == "c" and c == "core")]
+    texts = [(1, "Abca cab"), (2, "xyz"), (3, None), (4, ""), (5, "CC")]
+    want = {(k, w, c) for k, t in texts if t for w, c in words if w in t.lower()}
+    lex = spark.createDataFrame([*words, ("", "core")], "keyword string, category string")
+    df = spark.createDataFrame(texts, "id long, t string")
+    for rows in (100, 3):
+        assert {tuple(r) for r in lexicon.matches(df, "id", "t", lex, rows).collect()} == want
+
+
+def test_saved_index_is_searched_like_the_texts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a a b", "t one"), (2, "a c", "b"), (3, "a", None), (4, None, "c c")], "id long, content string, title string")
+    path = str(tmp_path / "index")
+    for _ in range(2):  # a second version takes the place of the first
+        bm25.save_index(df, path, "id", ("content", "title"), 4)
+    for terms in (["b"], ["a", "c"], ["none"]):
+        found = [[(r.id, round(r.score, 9), r.match_count) for r in x.collect()] for x in (bm25.search(df, "id", terms, 9, ("content", "title")), bm25.search_index(spark, path, terms, 9, ("content", "title")))]
+        assert found[0] == found[1]
+
+
+def test_sentence_spans_cover_the_text_and_go_on():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 60, 500, 3000):
+        t = "".join(rng.choice(list("abc .!?。"), n, p=[0.3, 0.3, 0.2, 0.1, 0.04, 0.02, 0.02, 0.02]))
+        for size, overlap in ((100, 20), (50, 90), (7, 0)):
+            spans = chunks.sentence_spans(t, size, overlap)
+            assert [a for a, _ in spans[1:]] == sorted({a for a, _ in spans[1:]}) and all(b - a <= size for a, b in spans)
+            assert {i for a, b in spans for i in range(a, b)} == set(range(n))
+    assert chunks.sentence_spans("One two. Three four. Five", 12, 0)[0] == (0, 8)
+
+
+def test_sentence_pieces_are_the_text(spark):
+    t = "One. Two! " + "x" * 500 + "? Three\nFour. " + "y" * 10
+    got = spark.range(1).select(text.sentence_pieces(100)(F.lit(t)).alias("p")).first().p
+    assert "".join(got) == t and all(len(p) <= 100 for p in got) and got[0] == "One. Two! "[: len(got[0])] and spark.range(1).select(text.sentence_pieces(5)(F.lit(None).cast("string")).alias("p")).first().p == []
 
 
 def test_table_round_trip(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.append(spark.range(5), path)
     tables.append(spark.range(5, 8), path)
-    tables.delete(spark, path, F.col("id") % 2 == 0)
-    assert sorted(r.id for r in tables.load(spark, path).collect()) == [1, 3, 5, 7]
+    assert sorted(r.id for r in tables.load(spark, path, where=F.col("id") % 2 == 1).collect()) == [1, 3, 5, 7]
+
+
+def test_upserts_by_batch_and_distinct_events(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    windows.upsert_batches(stream, str(tmp_path / "out"), "id", str(tmp_path / "check")).awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "v1")).collect())) == [(1, "a"), (2, "b")]
+    assert windows.distinct_events(rows.union(rows), "v", "id", "1 hour").count() == 2
 
 
 def test_stream_equals_batch(spark, tmp_path):
