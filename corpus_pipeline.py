@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, materialize, n_words_of, small_join, text_of, words_of
+from quarry.llm.common import documents, drop_table, materialize, n_words_of, small_join, text_of, words_of
 from quarry.llm.line_dedup import drop_boilerplate_lines
 from quarry.llm.mixing import mix
 from quarry.llm.ngram_join import jaccard_components
@@ -65,12 +65,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_join", near_duplicates), ("mixing", mixture), ("packing", packed)]
-#: The packing stage has no SQL. The pipeline as a whole is not compared with a brute-force version yet.
+#: The packing stage has no SQL: tests compare the pieces of run() with those of a brute-force version of the five stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last is not None:
+            drop_table(last)
+        last = docs
+    out = materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    drop_table(docs)
+    return out
