@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +36,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables that this process made. Results that were not written elsewhere go with them."""
+    for path in list(_made):
+        drop_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -50,11 +63,50 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that no result reads any longer."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _made.discard(path)
 
 
 def drop_table(df: DataFrame) -> None:
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, path)
+        drop_path(df.sparkSession, next((p for p in _made if path.endswith(p.partition(":")[2] or p)), path))
+
+
+class Scratch:
+    """Scratch tables of one run of an operator, dropped as soon as nothing reads them any longer."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        out = materialize(df, name, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            drop_path(self.spark, path)
+
+    def close(self) -> None:
+        self.drop(*[table for table, _ in self.paths.values()])
+
+
+def merged(tables: DataFrame, add, tasks: int, fan: int = 32) -> DataFrame:  # noqa: ANN001
+    """Tables cut into slices, one set a task (slice, part, raw), as one row a slice: add turns a list of raws into one. Merged in a
+    tree, so no worker holds more than some `fan` slices."""
+    def into(n: int):  # noqa: ANN202
+        def join(pdf):  # noqa: ANN001, ANN202
+            import pandas as pd
+
+            return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": pdf["part"].iloc[:1] % n, "raw": [add(pdf["raw"].tolist())]})
+
+        return join
+
+    while tasks > 1:
+        tasks = -(-tasks // fan)
+        tables = tables.groupBy("slice", F.pmod("part", F.lit(tasks))).applyInPandas(into(tasks), "slice int, part int, raw binary")
+    return tables
 
 
 def small_join(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> DataFrame:
@@ -62,6 +114,21 @@ def small_join(big: DataFrame, small: DataFrame, on, how: str, rows: int) -> Dat
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def documents_but(df: DataFrame, *names: str) -> Column:
+    """All columns of df but these, as one struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in names])
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], size: str, rows: int) -> DataFrame:
+    """big left-joined to small, one row a key, whose column `size` tells how many rows of big have the key. Keys with many rows, a million at
+    most, are broadcast, so none of them lands in one task; the others are shuffled."""
+    hot = max(10_000, -(-rows // 1_000_000))
+    x = big.join(F.broadcast(small.filter(F.col(size) > hot)), on, "left")
+    added = [c for c in small.columns if c not in on]
+    rest = x.filter(F.col(size).isNull()).drop(*added).join(small.filter(F.col(size) <= hot), on, "left")
+    return x.filter(F.col(size).isNotNull()).unionByName(rest)
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -80,7 +147,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few enough texts that even batches of long ones fit in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 4_000_000) -> Iterator[None]:
+    """Arrow batches of few enough bytes that a Python worker holds little, however long texts are; for what is run inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)

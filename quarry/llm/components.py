@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,15 +21,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (u, v), u <> v -> id, component: every id of an edge and the smallest id it reaches."""
     digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = scratch.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     was = digest(edges)
     while True:
-        after = materialize(_small_star(_large_star(edges)), "stars")
+        after = scratch.table(_small_star(_large_star(edges)), "stars")
         now = digest(after)
-        drop_table(edges)
+        scratch.drop(edges)
         edges = after
         if now == was:
             break

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, small_join, text_of
+from .common import documents, hot_join, materialize, small_join, text_of
 
 
 def golomb_encode(values: np.ndarray, universe: int) -> tuple[int, bytes, bytes]:
@@ -84,9 +84,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     n_again = again.count()
     texts = small_join(hashed.select("id", "t", fp.alias("fp")), again, "fp", "left_semi", n_again)
     groups = texts.groupBy("fp", "t").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("fp", F.unhex(F.sha2("t", 256)).alias("sha"), "keep_id", "group_size")
+    groups = materialize(groups.select("fp", F.unhex(F.sha2("t", 256)).alias("sha"), "keep_id", "group_size"), "groups")
     # sha separates the rare unequal texts of one fingerprint; each (fp, sha) is one text here.
-    joined = found.join(groups, ["fp", "sha"], "left")
+    joined = hot_join(found, groups, ["fp", "sha"], "group_size", rows)
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -2,39 +2,68 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
-_CACHED = 150_000
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-class _Words(dict):
-    """64-bit hashes of words; kept for the words that come again, within bounds."""
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+#: A random 64-bit symbol for each byte, and the bytes that part words.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
-_known = _Words()
 
+@lru_cache(maxsize=2)
+def _powers(base: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
+    one = lambda r: np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full((1 << log2) - 1, r, dtype=np.uint64)]))
+    return one(base), one(pow(base, -1, 1 << 64))
 
-def split_words(text: str, fold: bool = False) -> list[bytes]:
-    """Runs of bytes other than the six ASCII white-space characters; fold lower-cases A-Z only."""
-    raw = text.encode("utf-8", "surrogatepass")
-    return (raw.lower() if fold else raw).split()
 
+class Rolling:
+    """Hashes of any run of symbols from prefix sums of a polynomial, modulo 2^64."""
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
+    def __init__(self, symbols: np.ndarray, which: int = 0):
+        n = len(symbols) + 1
+        up, self.down = _powers(_BASES[which], max(20, (n - 1).bit_length()))
+        if which:
+            symbols = mix(symbols)
+        self.sums = np.zeros(n, dtype=np.uint64)
+        np.cumsum(symbols * up[: n - 1], out=self.sums[1:])
 
+    def runs(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[: len(self.sums)][start])
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    def every(self, width: int) -> np.ndarray:
+        n = len(self.sums) - width
+        return self.runs(slice(0, n), slice(width, None)) if n > 0 else self.sums[:0]
+
+
+def word_hashes(texts: list[str] | list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of many texts end to end, and how many each text has: bytes at a time, no word is made a Python object."""
+    raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
+    joined = b" ".join([*raw, b""])
+    data = np.frombuffer(joined.lower() if fold else joined, dtype=np.uint8)
+    gap = np.ones(len(data) + 1, dtype=bool)
+    gap[1:] = SPACES[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[0::2], edge[1::2]
+    begins = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1)
+    sizes = np.diff(np.searchsorted(start, begins), prepend=0)
+    return mix(Rolling(BYTES[data]).runs(start, end) ^ (end - start).astype(np.uint64)), sizes
+
+
+def split_words(text: str, fold: bool = False) -> list[bytes]:
+    """Runs of bytes other than the six ASCII white-space characters; fold lower-cases A-Z only."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return (raw.lower() if fold else raw).split()
 
 
 def window_hashes(symbols: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -63,12 +92,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[rest : rest + n]) if rest else out[:n]
 
 
-def shingle_set(text: str, width: int, fold: bool = True) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; with fewer words, of the whole sequence; without words, none."""
-    words = hash_words(split_words(text, fold))
-    if not len(words):
-        return words
-    return np.unique(window_hashes(words, min(width, len(words)), min(width, len(words))))
+def shingle_sets(texts: list[str], width: int, fold: bool = True) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its word shingles; with fewer words, of the whole sequence; without words, none."""
+    words, sizes = word_hashes(texts, fold)
+    every = window_hashes(words, width, width)
+    out, at = [], 0
+    for n in sizes.tolist():
+        own = every[at : at + n - width + 1] if n >= width else window_hashes(words[at : at + n], n, n) if n else words[:0]
+        out.append(np.unique(own))
+        at += n
+    return out
 
 
 def set_key(values: np.ndarray) -> tuple[int, int]:

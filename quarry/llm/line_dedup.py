@@ -10,7 +10,8 @@ are joined per line, regrouped per page, and joined to the pages.
 
 Blank lines are kept unless a line is dropped next to nothing else. A page whose every line is boilerplate is a copy of other
 pages, not boilerplate, and is left whole (near-duplicate removal decides on it). Null or empty texts stay as they are; a null
-host is a host of its own. An empty table gives an empty result. Other columns pass through untouched, whatever their names.
+host is a host of its own. An empty table gives an empty result. Other columns pass through untouched, whatever their names; only
+those named as an added column (_host_pages, _lines, _dropped) are replaced by it.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, Scratch, documents_but, materialize
 
 RATIO = 0.1
 MIN_PAGES = 3
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
 def html_text(html: Column) -> Column:
@@ -44,38 +45,41 @@ def host_of(url: Column) -> Column:
 
 def drop_boilerplate_lines(spark: SparkSession, pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`pages` with text_col cleaned, and the columns _host_pages, _lines and _dropped (counts of non-blank lines)."""
+    scratch = Scratch(spark)
     named = F.when(host.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), host))
-    hashes = F.transform(F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x))
-    sites = pages.select(named.alias("_host"), hashes.alias("_h"))
-    totals = sites.groupBy("_host").agg(F.count(F.lit(1)).alias("_host_pages"))
-    counts = sites.select("_host", F.explode(F.array_distinct("_h")).alias("_h")).groupBy("_host", "_h").count().filter(F.col("count") >= min_pages)
-    often = counts.join(totals, "_host").filter(F.col("count") > F.lit(ratio) * F.col("_host_pages")).select("_host", "_h")
-    often = materialize(often, "boilerplate")
-    totals = materialize(totals, "hosts")
-
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.struct(x.alias("raw"), _trimmed(x).alias("line")))
-    lines = F.transform(lines, lambda x: F.struct(x["raw"].alias("raw"), F.when(x["line"] != "", F.xxhash64(x["line"])).alias("h")))
+    # All columns of the input travel in one, so no name of theirs can clash.
+    x = pages.select(documents_but(pages, "_host_pages", "_lines", "_dropped").alias("row"), named.alias("host"), F.col(text_col).alias("text"))
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    hashes = F.transform(F.filter(F.transform(lines, _trimmed), lambda v: v != ""), lambda v: F.xxhash64(v))
+    totals = scratch.table(x.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
+    counts = x.select("host", F.explode(F.array_distinct(hashes)).alias("h")).groupBy("host", "h").count().filter(F.col("count") >= min_pages)
+    often = materialize(counts.join(totals, "host").filter(F.col("count") > F.lit(ratio) * F.col("pages")).select("host", "h"), "boilerplate")
+
     if often.count() <= broadcast_rows and totals.count() <= broadcast_rows:
-        sets = totals.join(often.groupBy("_host").agg(F.collect_list("_h").alias("_set")), "_host", "left")
-        x = pages.withColumn("_host", named).join(F.broadcast(sets), "_host", "left").withColumn("_each", lines)
+        sets = materialize(totals.join(often.groupBy("host").agg(F.collect_list("h").alias("hits")), "host", "left"), "host-lines")
+        x = x.join(F.broadcast(sets), "host", "left")
+        scratch.close()
     else:
-        row = F.monotonically_increasing_id()
-        numbered = materialize(pages.withColumn("_row", row).withColumn("_host", named), "pages")
-        hits = numbered.select("_row", "_host", F.explode(F.array_distinct(hashes)).alias("_h")).join(often, ["_host", "_h"])
-        sets = hits.groupBy("_row").agg(F.collect_list("_h").alias("_set"))
-        x = numbered.join(sets, "_row", "left").join(totals, "_host", "left").drop("_row").withColumn("_each", lines)
-    hit = lambda e: e["h"].isNotNull() & F.coalesce(F.array_contains(F.col("_set"), e["h"]), F.lit(False))
-    x = x.withColumn("_lines", F.size(F.filter("_each", lambda e: e["h"].isNotNull())).cast("long"))
-    x = x.withColumn("_hits", F.size(F.filter("_each", hit)).cast("long"))
-    x = x.withColumn("_dropped", F.when(F.col("_hits") < F.col("_lines"), F.col("_hits")).otherwise(F.lit(0)).cast("long"))
-    kept = F.array_join(F.transform(F.filter("_each", lambda e: ~hit(e)), lambda e: e["raw"]), "\n")
-    text = F.when(F.col("_dropped") > 0, kept).otherwise(F.col(text_col))
-    return x.withColumn(text_col, text).drop("_each", "_set", "_hits", "_host")
+        x = materialize(x.withColumn("i", F.monotonically_increasing_id()), "pages")
+        hits = x.select("i", "host", F.explode(F.array_distinct(hashes)).alias("h")).join(often, ["host", "h"])
+        x = x.join(hits.groupBy("i").agg(F.collect_list("h").alias("hits")), "i", "left").join(totals, "host", "left")
+    each = F.transform(lines, lambda v: F.struct(v.alias("raw"), _trimmed(v).alias("line")))
+    x = x.withColumn("each", F.transform(each, lambda v: F.struct(v["raw"].alias("raw"), F.when(v["line"] != "", F.xxhash64(v["line"])).alias("h"))))
+    hit = lambda e: e["h"].isNotNull() & F.coalesce(F.array_contains(F.col("hits"), e["h"]), F.lit(False))
+    x = x.withColumn("n", F.size(F.filter("each", lambda e: e["h"].isNotNull())).cast("long"))
+    x = x.withColumn("gone", F.size(F.filter("each", hit)).cast("long"))
+    x = x.withColumn("gone", F.when(F.col("gone") < F.col("n"), F.col("gone")).otherwise(F.lit(0)).cast("long"))
+    kept = F.array_join(F.transform(F.filter("each", lambda e: ~hit(e)), lambda e: e["raw"]), "\n")
+    cleaned = F.when(F.col("gone") > 0, kept).otherwise(F.col("text"))
+    names = [f.name for f in x.schema["row"].dataType.fields]
+    own = [cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
+    return x.select(*own, F.col("pages").alias("_host_pages"), F.col("n").alias("_lines"), F.col("gone").alias("_dropped"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host_of(F.col("url")).alias("host"), html_text(F.col("html")).alias("text"))
-    x = drop_boilerplate_lines(spark, pages, F.col("host"))
+    # Taking the text out of the markup is most of the work; it is read twice.
+    x = drop_boilerplate_lines(spark, materialize(pages, "page-texts"), F.col("host"))
     return x.select("page_id", "host", F.col("_host_pages").alias("host_pages"), F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
 
 

@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_table, materialize, small_batches, small_join, text_of
+from .common import Scratch, documents, materialize, merged, small_batches, small_join, text_of
 from .components import components
-from .hashing import set_key, shingle_set
-from .repeats import bit_table
+from .hashing import set_key, shingle_sets
+from .repeats import BIT_ROWS, bit_table, together
 
 CELL_BITS = 22
 #: Cells of the histogram that bounds the overlap of a pair before its sets are fetched.
@@ -38,33 +39,42 @@ BOUND_CELLS = 256
 FRAGMENTS = 8
 
 
-def _levels(spark: SparkSession, texts: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """The rows (id, n, k1, k2), and the log2 level of every cell of the counter. Of fixed size, whatever the corpus."""
-    cells = 1 << CELL_BITS
+def _sets(texts: list[str], width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    for offset, some in together(texts):
+        yield offset, shingle_sets(some, width)
+
+
+def _levels(scratch: Scratch, texts: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """The rows (id, n, k1, k2, histogram), and the log2 level of every cell of the counter. Of fixed size: where cells are shared by many
+    shingles, those that are frequent still stand out."""
+    cells, slices = 1 << CELL_BITS, 64
+    per = cells // slices
+    columns = ["id", "n", "k1", "k2", "histogram", "slice", "part", "raw"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(cells, dtype=np.uint32)
+        counts = np.zeros(cells, dtype=np.uint64)
         for pdf in batches:
-            sets = [shingle_set(t, width) for t in pdf["t"]]
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
-            out = [(key, len(s), *set_key(s), _histogram(s), None) for key, s in zip(pdf["id"], sets, strict=True)]
-            yield pd.DataFrame(out, columns=["id", "n", "k1", "k2", "histogram", "cells"])
-        yield pd.DataFrame([(None, None, None, None, None, zlib.compress(counts.tobytes(), 1))], columns=["id", "n", "k1", "k2", "histogram", "cells"])
-
-    rows = materialize(texts.mapInPandas(scan, "id string, n long, k1 long, k2 long, histogram binary, cells binary"), "sets")
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(cells, dtype=np.uint64)
-        for raw, width_ in zip(pdf["cells"], pdf["width"], strict=True):
-            total += np.frombuffer(zlib.decompress(raw), dtype=f"u{width_}")
-        return pd.DataFrame({"cells": [zlib.compress(total.tobytes(), 1)]})
-
-    # Sums in two steps: some senders each, then at most 64 rows on the driver.
-    partial = rows.filter("cells IS NOT NULL").select("cells", F.lit(4).alias("width"), F.pmod(F.xxhash64("cells"), F.lit(64)).alias("g")).groupBy("g").applyInPandas(add, "cells binary")
+            ids = pdf["id"].tolist()
+            for offset, sets in _sets(pdf["t"].tolist(), width):
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells).astype(np.uint64)
+                yield pd.DataFrame([(ids[offset + i], len(s), *set_key(s), _histogram(s), None, None, None) for i, s in enumerate(sets)], columns=columns)
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame([(None, None, None, None, None, i, part, zlib.compress(counts[i * per : (i + 1) * per].tobytes(), 1)) for i in range(slices)], columns=columns)
+
+    rows = scratch.table(texts.mapInPandas(scan, "id string, n long, k1 long, k2 long, histogram binary, slice int, part int, raw binary"), "sets")
+
+    def add(raws: list[bytes]) -> bytes:
+        total = np.zeros(per, dtype=np.uint64)
+        for raw in raws:
+            total += np.frombuffer(zlib.decompress(raw), dtype=np.uint64)
+        return zlib.compress(total.tobytes(), 1)
+
+    tables = rows.filter("raw IS NOT NULL").select("slice", "part", "raw")
+    tasks = (tables.agg(F.max("part")).first()[0] or 0) + 1
     total = np.zeros(cells, dtype=np.uint64)
-    for r in partial.toLocalIterator():
-        total += np.frombuffer(zlib.decompress(r["cells"]), dtype=np.uint64)
-    return rows.filter("cells IS NULL").drop("cells"), np.floor(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
+    for r in merged(tables, add, tasks).toLocalIterator():
+        total[r["slice"] * per : (r["slice"] + 1) * per] += np.frombuffer(zlib.decompress(r["raw"]), dtype=np.uint64)
+    return rows.filter("raw IS NULL").drop("slice", "part", "raw"), np.floor(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
 
 
 def _histogram(s: np.ndarray) -> bytes:
@@ -103,12 +113,17 @@ def _passes(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Col
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, links_out: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """id, n_shingles, class_id (smallest id with an equal set), component_id; with links_out also the tested links between classes."""
-    small_batches(spark)
+    with small_batches(spark):
+        return _components(spark, docs, id_col, text_col, width, percent, links_out)
+
+
+def _components(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, links_out: bool) -> DataFrame | tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("t"))
-    rows, levels = _levels(spark, texts, width)
+    rows, levels = _levels(scratch, texts, width)
     sketches = rows.select(F.col("id").cast("long").alias("id"), "k1", "k2", "histogram")
     rows = rows.select(F.col("id").cast("long").alias("id"), "n", "k1", "k2")
-    classes = materialize(rows.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = scratch.table(rows.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = classes.select("rep").distinct()
     n_reps = reps.count()
     shared = spark.sparkContext.broadcast(levels)
@@ -116,39 +131,43 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, hashes, sizes, places = [], [], [], []
-            for key, text in zip(pdf["id"], pdf["t"], strict=True):
-                s, _ = _in_order(shingle_set(text, width), shared.value)
-                k = len(s) + percent * len(s) // -100 + 1 if len(s) else 0
-                ids.append(np.full(k, key, dtype=np.int64))
-                hashes.append(s[:k])
-                sizes.append(np.full(k, len(s), dtype=np.int32))
-                places.append(np.arange(k, dtype=np.int32))
+            keys = pdf["id"].tolist()
+            for offset, sets in _sets(pdf["t"].tolist(), width):
+                for i, own in enumerate(sets):
+                    s, _ = _in_order(own, shared.value)
+                    k = len(s) + percent * len(s) // -100 + 1 if len(s) else 0
+                    ids.append(np.full(k, keys[offset + i], dtype=np.int64))
+                    hashes.append(s[:k])
+                    sizes.append(np.full(k, len(s), dtype=np.int32))
+                    places.append(np.arange(k, dtype=np.int32))
             if ids:
                 yield pd.DataFrame({"h": np.concatenate(hashes).view(np.int64), "id": np.concatenate(ids), "n": np.concatenate(sizes), "p": np.concatenate(places)})
 
     # An id stands for its class: texts of classes represented by another id are not posted.
     chosen = small_join(texts.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "t"), reps.withColumnRenamed("rep", "id"), "id", "left_semi", n_reps)
-    posted = chosen.mapInPandas(post, "h long, id long, n int, p int")
-    posted = materialize(posted, "postings")
+    posted = scratch.table(chosen.mapInPandas(post, "h long, id long, n int, p int"), "postings")
     heads = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("p", "n", "id")).alias("head")).filter("c > 1").select("h", "head")
-    heads = materialize(heads, "heads")
-    often = bit_table(heads, "h")
+    heads = scratch.table(heads, "heads")
+    n_heads = heads.count()
+    few = n_heads <= BIT_ROWS
+    often = bit_table(heads, "h", n_heads) if few else None
 
     def shared_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[often.value.has(pdf["h"].to_numpy())]
 
-    inside = materialize(posted.mapInPandas(shared_only, posted.schema).join(heads, "h"), "buckets")
-    drop_table(posted)
+    inside = scratch.table((posted.mapInPandas(shared_only, posted.schema) if few else posted).join(heads, "h"), "buckets")
+    scratch.drop(posted, heads)
     # One sketch an id: an id with several texts keeps the class of its own.
-    sketches = materialize(sketches.join(classes, ["k1", "k2"]).filter(F.col("id") == F.col("rep")).groupBy("id").agg(F.max("histogram").alias("histogram"), F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c"), "sketches")
+    sketches = scratch.table(sketches.join(classes, ["k1", "k2"]).filter(F.col("id") == F.col("rep")).groupBy("id").agg(F.max("histogram").alias("histogram"), F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c"), "sketches")
     bound = _passes(F.col("n"), F.col("p"), F.col("head.n"), F.col("head.p"), percent)
     stars = inside.filter((F.col("id") != F.col("head.id")) & bound).select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-    first = verify(spark, _bounded(stars, sketches, percent), chosen, shared, width, percent)
-    labels = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    first = verify(scratch, _bounded(stars, sketches, percent), chosen, shared, width, percent)
+    labels = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
     labelled = inside.select("h", "id", "n", "p").join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    labelled = materialize(labelled, "labelled")
+    labelled = scratch.table(labelled, "labelled")
+    scratch.drop(inside)
     main = labelled.groupBy("h", "c").count().groupBy("h").agg(F.max(F.struct("count", "c")).alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h", F.col("m.c").alias("main"))
     mixed = labelled.join(main, "h")
     kinds = mixed.groupBy("h", "n", "p").agg(F.max(F.col("c") != F.col("main")).alias("rest"))
@@ -157,45 +176,47 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     rest = mixed.filter("c <> main").select("h", F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("id").alias("i"), F.col("c").alias("ci")).join(meets, ["h", "n1", "p1"])
     others = mixed.select("h", F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("id").alias("j"), F.col("c").alias("cj"))
     cross = rest.join(others, ["h", "n2", "p2"]).filter("ci <> cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    second = verify(spark, _bounded(cross, sketches, percent), chosen, shared, width, percent)
+    second = verify(scratch, _bounded(cross, sketches, percent), chosen, shared, width, percent)
     links = first.union(second)
     # Ids whose rows have several texts tie the classes of those texts together.
     ties = rows.filter("n > 0 AND id IS NOT NULL").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).filter("id <> rep").groupBy("id").agg(F.min("rep").alias("r"), F.max("rep").alias("s")).filter("r <> s")
-    final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(ties.select("r", "s")))
+    final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(ties.select("r", "s")), scratch)
     by_class = classes.join(final, classes["rep"] == final["id"], "left").select("k1", "k2", F.col("rep"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(by_class, ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    for table in (heads, inside, labelled, sketches):
-        drop_table(table)
+    out, links = materialize(out, "components"), materialize(links, "links") if links_out else None
+    scratch.close()
     return (out, links) if links_out else out
 
 
-def verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, levels, width: int, percent: int) -> DataFrame:  # noqa: ANN001
+def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame, levels, width: int, percent: int) -> DataFrame:  # noqa: ANN001
     """The pairs (a, b) that reach the threshold, with their overlap: partial overlaps by fragment, summed per pair."""
-    pairs = materialize(pairs, "pairs")
+    pairs = scratch.table(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mass = np.bincount(levels.value, weights=2.0 ** levels.value.astype(float), minlength=64)[:64]
         below, total = np.cumsum(mass) - mass, mass.sum() or 1.0
         for pdf in batches:
-            out = []
-            for key, text in zip(pdf["id"], pdf["t"], strict=True):
-                s, own = _in_order(shingle_set(text, width), levels.value)
-                place = (below[own] + mass[own] * (s.astype(np.float64) / 2.0**64)) / total
-                fragment = np.minimum((place * FRAGMENTS).astype(np.int64), FRAGMENTS - 1)
-                for f in np.unique(fragment):
-                    out.append((key, len(s), int(f), s[fragment == f].view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "n", "fragment", "part"])
-
-    fragments = materialize(small_join(texts, ids, "id", "left_semi", ids.count()).mapInPandas(cut, "id long, n long, fragment int, part array<long>"), "fragments")
-    fragments = fragments.dropDuplicates(["id", "fragment"])
-    x = pairs.join(fragments.toDF("a", "na", "fragment", "pa"), "a")
-    x = x.join(fragments.toDF("b", "nb", "fragment", "pb"), ["b", "fragment"])
+            keys = pdf["id"].tolist()
+            for offset, sets in _sets(pdf["t"].tolist(), width):
+                out = []
+                for i, one in enumerate(sets):
+                    s, own = _in_order(one, levels.value)
+                    place = (below[own] + mass[own] * (s.astype(np.float64) / 2.0**64)) / total
+                    fragment = np.minimum((place * FRAGMENTS).astype(np.int64), FRAGMENTS - 1)
+                    for f in np.unique(fragment):
+                        out.append((keys[offset + i], len(s), int(f), s[fragment == f].view(np.int64)))
+                yield pd.DataFrame(out, columns=["id", "n", "fragment", "part"])
+
+    fragments = scratch.table(small_join(texts, ids, "id", "left_semi", ids.count()).mapInPandas(cut, "id long, n long, fragment int, part array<long>"), "fragments")
+    once = fragments.dropDuplicates(["id", "fragment"])
+    x = pairs.join(once.toDF("a", "na", "fragment", "pa"), "a")
+    x = x.join(once.toDF("b", "nb", "fragment", "pb"), ["b", "fragment"])
     partial = x.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     linked = total.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
-    linked = materialize(linked.select("a", "b", "common"), "links")
-    drop_table(fragments)
+    linked = scratch.table(linked.select("a", "b", "common"), "links")
+    scratch.drop(pairs, fragments)
     return linked
 
 

@@ -163,7 +163,6 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, window: int, vocabula
                     payload.append(zlib.crc32(raw) if emit == "crc32" else raw)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(payload, pa.int64() if emit == "crc32" else pa.binary())], names=["id", "start", "length", "doc_tokens", name])
 
-    small_batches(docs.sparkSession)
     name, kind = ("ids_crc32", "long") if emit == "crc32" else ("ids", "binary")
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("t"))
     return rows.mapInArrow(cut, f"id string, start long, length long, doc_tokens long, {name} {kind}")
@@ -258,7 +257,8 @@ def slots(plan: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, ...]
 
 def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, vocabulary: str = VOCABULARY, emit: str = "crc32", pieces_per_bucket: int = 20_000) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, ids_crc32 or ids, sequence_id, offset."""
-    pieces = materialize(pieces_of(docs, id_col, text_col, window, vocabulary, emit), "pieces")
+    with small_batches(spark):
+        pieces = materialize(pieces_of(docs, id_col, text_col, window, vocabulary, emit), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows
     buckets = max(64, math.ceil(max(histogram.values(), default=1) / pieces_per_bucket))
     bounds = spark.createDataFrame(slots(plan_windows(histogram, window)), "length long, first long, last long, sequence long, m long, at long")

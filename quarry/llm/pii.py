@@ -2,14 +2,17 @@
 
 Every find keeps its format and stays valid: a card number stays a number with a right check digit, a date a date, an address
 an address. Equal values get equal pseudonyms in all documents, different values of one kind different ones (a permutation
-of the kind's values), so links between documents survive. The key is a parameter; without it nothing can be turned back.
+of the kind's values), so links between documents survive. A permutation that leaves the layout is applied again until it comes back to it
+(cycle walking): dates keep their numbers of digits, and the reading, day or month first, that the text allows. The key must be given; without
+it nothing can be turned back.
 
 Kinds and their validation: e-mail addresses (local part), IPv4 addresses (octets up to 255), payment cards (13 to 19 digits, Luhn),
 social security numbers (ranges in use), telephone numbers (by layout), dates (a day that exists, 1700 to 2099; day before month
 where both readings exist) and hexadecimal secrets after a name such as key or token. What fails validation is left alone.
 
 Only DataFrame functions are used; a text without digits or @ is not searched at all, nothing is shuffled. Null texts stay
-null, empty ones empty; ids may be null or repeat; an empty table gives an empty result. Other columns pass through.
+null, empty ones empty; ids may be null or repeat; an empty table gives an empty result. Other columns pass through, whatever their names;
+only one named _found is replaced.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let
+from .common import documents, documents_but, let
 
 ROUNDS = 10
-KEY = "quarry-demo-key"
+#: Cycle walking: at least a fifth of all dates fits any layout, so that many steps fall short once in 10^24 dates (which then stay as they are).
+WALK = 250
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS: dict[str, str] = {
@@ -35,7 +39,7 @@ PATTERNS: dict[str, str] = {
 ANY = "|".join(PATTERNS.values())
 #: What characters are permuted in; others stay. Secrets have an alphabet of their own.
 TEXT = ("0123456789", *("".join(chr(ord(a) + i) for i in range(n)) for a, n in (("a", 26), ("A", 26), ("\u00e0", 23), ("\u00c0", 23))))
-HEX = ("0123456789abcdef",)
+HEX = ("0123456789", "abcdef", "ABCDEF")
 #: Days from 1700-01-01 to 2099-12-31, one Gregorian cycle, as a product.
 FIRST_DAY, DAYS = "1700-01-01", (189, 773)
 
@@ -154,29 +158,39 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first, or day and month in either order; numbers keep two digits if either was written so."""
+    """Year first, or day and month in either order; a text that can be read day first is. Days and months keep their numbers of digits."""
 
     def of(o: Column) -> Column:
         part = lambda i: F.get(o, F.lit(i))
         iso = F.length(part(0)) == 4
         day = lambda y, a, b: F.try_to_date(F.concat_ws("-", y, F.lpad(a, 2, "0"), F.lpad(b, 2, "0")))
         first, second = F.when(iso, day(part(0), part(1), part(2))).otherwise(day(part(2), part(1), part(0))), F.when(~iso, day(part(2), part(0), part(1)))
-        padded = (F.length(part(0)) == 2) | (F.length(part(1)) == 2)
 
         def back(found: Column) -> Column:
-            offset = F.datediff(F.coalesce(found["a"], found["b"]), F.lit(FIRST_DAY).cast("date"))
-            pair = feistel_pair(F.floor(offset / DAYS[1]), F.pmod(offset, F.lit(DAYS[1])), *DAYS, key, F.lit("date"))
-            new = lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS[1] + p["y"]).cast("int"))
-
-            def written(d: Column) -> Column:
-                number = lambda x: F.when(padded, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+            start = F.datediff(F.coalesce(found["a"], found["b"]), F.lit(FIRST_DAY).cast("date"))
+            day_first = found["a"].isNotNull()
+            date = lambda offset: F.date_add(F.lit(FIRST_DAY).cast("date"), offset.cast("int"))
+
+            def fits(d: Column) -> Column:
+                dom, month = F.dayofmonth(d), F.month(d)
+                short = lambda n, i: (n < 10) | (F.length(part(i)) == 2)
+                return iso | F.when(day_first, short(dom, 0) & short(month, 1)).otherwise((dom > 12) & short(month, 0))
+
+            def step(s: Column, _: Column) -> Column:
+                pair = feistel_pair(F.floor(s["at"] / DAYS[1]), F.pmod(s["at"], F.lit(DAYS[1])), *DAYS, key, F.lit("date"))
+                moved = lambda at: F.struct(at.alias("at"), fits(date(at)).alias("done"))
+                return F.when(s["done"], s).otherwise(let(pair, lambda p: let(p["x"] * DAYS[1] + p["y"], moved)))
+
+            def written(s: Column) -> Column:
+                d = date(s["at"])
+                number = lambda x, i: F.when(F.length(part(i)) == 2, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
                 year, month, dom = F.lpad(F.year(d).cast("string"), 4, "0"), F.month(d), F.dayofmonth(d)
                 sep = F.when(F.contains(m, F.lit("/")), "/").otherwise(".")
-                loose = F.when(found["a"].isNotNull(), F.concat(number(dom), sep, number(month), sep, year)).otherwise(F.concat(number(month), sep, number(dom), sep, year))
-                return F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(loose)
+                loose = F.when(day_first, F.concat(number(dom, 0), sep, number(month, 1), sep, year)).otherwise(F.concat(number(month, 0), sep, number(dom, 1), sep, year))
+                return F.when(~s["done"], m).when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(loose)
 
-            good = offset.between(0, DAYS[0] * DAYS[1] - 1)
-            return F.when(good, let(let(pair, new), written)).otherwise(m)
+            walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(start.cast("long").alias("at"), F.lit(False).alias("done")), step)
+            return F.when(start.between(0, DAYS[0] * DAYS[1] - 1), let(walked, written)).otherwise(m)
 
         return let(F.struct(first.alias("a"), second.alias("b")), back)
 
@@ -195,8 +209,7 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    new = feistel_text(F.lower(m), key, F.lit("secret"), HEX)
-    return F.when(m == F.upper(m), F.upper(new)).otherwise(new)
+    return feistel_text(m, key, F.lit("secret"), HEX)
 
 
 def kind_of(m: Column) -> Column:
@@ -207,7 +220,7 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a find, or the find itself if it isn't valid."""
     made = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
@@ -220,18 +233,20 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return let(kind_of(m), of)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with text_col under pseudonyms, and _found: array<struct<kind, found, pseudonym>> of what was changed."""
-    may = F.col(text_col).rlike("[0-9@]")
-    x = docs.withColumn("_m", F.when(may, F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))))
-    each = F.transform("_m", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("found"), pseudonym(m, key).alias("pseudonym")))
-    x = x.withColumn("_each", F.when(F.size("_m") > 0, each)).drop("_m")
-    between = F.split(F.col(text_col), ANY, -1)
-    joined = F.array_join(F.zip_with(between, F.transform("_each", lambda e: e["pseudonym"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.coalesce(F.filter("_each", lambda e: e["found"] != e["pseudonym"]), F.array().cast("array<struct<kind:string,found:string,pseudonym:string>>"))
-    return x.withColumn(text_col, F.when(F.col("_each").isNotNull(), joined).otherwise(F.col(text_col))).withColumn("_found", changed).drop("_each")
-
-
-def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    x = docs.select(documents_but(docs, "_found").alias("row"), F.col(f"`{text_col}`").alias("t"))
+    x = x.withColumn("m", F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all(F.col("t"), F.lit(ANY), F.lit(0))))
+    each = F.transform("m", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("found"), pseudonym(m, key).alias("pseudonym")))
+    x = x.withColumn("each", F.when(F.size("m") > 0, each))
+    between = F.split(F.col("t"), ANY, -1)
+    joined = F.array_join(F.zip_with(between, F.transform("each", lambda e: e["pseudonym"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.coalesce(F.filter("each", lambda e: e["found"] != e["pseudonym"]), F.array().cast("array<struct<kind:string,found:string,pseudonym:string>>"))
+    new = F.when(F.col("each").isNotNull(), joined).otherwise(F.col("t"))
+    names = [f.name for f in x.schema["row"].dataType.fields]
+    return x.select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], changed.alias("_found"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str, key: str = "a key for tests only") -> DataFrame:
+    x = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key)
     return x.select("doc_id", F.size("_found").cast("long").alias("n_replaced"), F.array_sort(F.array_distinct(F.transform("_found", lambda e: e["kind"]))).alias("kinds"), "text")

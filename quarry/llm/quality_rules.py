@@ -6,7 +6,8 @@ aggregates the ledger by its masked bits (at most 2^rules groups, partial sums f
 fail it, fail only it, and would come back if it were dropped.
 
 Only DataFrame functions are used. Nothing is shuffled by the ledger. Null texts count as empty and fail too_short; ids may be
-null or repeat; an empty table gives an empty ledger. Columns other than the text pass through.
+null or repeat; an empty table gives an empty ledger. Columns other than the text pass through, whatever their names; only those named
+as a column of the ledger are replaced by it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, let, text_of
+from .common import SPACE, documents, documents_but, let, materialize, text_of
 
 SYMBOLS = "#*$%&|<>"
 #: Rules in the order of their bits, over the measurements, in integers.
@@ -63,7 +64,7 @@ def _repeat_words(words: Column) -> Column:
 def ledger(docs: DataFrame, text_col: str = "text", rules: dict[str, str] = RULES) -> DataFrame:
     """docs with the columns of MEASURES and fail_bits (bit i: rule i fails)."""
     size = lambda c: F.size(c).cast("long")
-    x = docs.withColumn("_t", text_of(text_col))
+    x = docs.select(documents_but(docs, *MEASURES, "fail_bits").alias("row"), text_of(f"`{text_col}`").alias("_t"))
     x = x.withColumn("_w", F.filter(F.split("_t", SPACE), lambda w: w != ""))
     x = x.withColumn("_l", F.filter(F.split("_t", "\n"), lambda v: v.rlike(r"[^\x20\x09-\x0D]")))
     gone = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))).cast("long")
@@ -78,9 +79,11 @@ def ledger(docs: DataFrame, text_col: str = "text", rules: dict[str, str] = RULE
         "n_bangs": gone("!"),
     }
     # A generator of one row: no filter on the measurements is pushed below it, so each is computed once a row.
-    x = x.select(*docs.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in measured.items()]))))
+    x = x.select("row", F.inline(F.array(F.struct(*[c.alias(n) for n, c in measured.items()]))))
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(rules.values())]
-    return x.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    x = x.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    names = [f.name for f in x.schema["row"].dataType.fields]
+    return x.select(*[F.col("row")[c].alias(c) for c in names], *MEASURES, "fail_bits")
 
 
 def mask(policy: str, rules: dict[str, str] = RULES, policies: dict[str, tuple[str, ...]] = POLICIES) -> int:
@@ -104,9 +107,13 @@ def ablation(book: DataFrame, policy: str = POLICY, rules: dict[str, str] = RULE
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(documents(spark, sf_dir).select("doc_id", "text"))
+    """The ledger is stored; the base rules and the policy are two masks over it, and same_bits, the rows that fail the same rules, is its bitwise
+    aggregation (at most 2^rules rows), from which ablation() tells the effect of each rule."""
+    book = materialize(ledger(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), "ledger")
+    same = book.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("same_bits"))
     base = F.col("fail_bits").bitwiseAND(F.lit(mask("2024-base")).cast("long")) != 0
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & verdict()).alias("kept"), "n_lines", "n_upper", "n_bangs", "fail_bits")
+    x = book.join(F.broadcast(same), "fail_bits")
+    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & verdict()).alias("kept"), "n_lines", "n_upper", "n_bangs", "fail_bits", "same_bits")
 
 
 SQL_LEDGER = r"""
@@ -133,5 +140,5 @@ ledger AS (
 SQL = f"""
 WITH {SQL_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
-       n_lines, n_upper, n_bangs, fail_bits FROM ledger
+       n_lines, n_upper, n_bangs, fail_bits, count(*) OVER (PARTITION BY fail_bits) AS same_bits FROM ledger
 """

@@ -1,53 +1,48 @@
 """What exact passage removal shares: windows of symbols (words or bytes) that occur before.
 
 Two equal windows of `width` symbols have the same anchor, the smallest hash of the `gram`-symbol runs inside them. A maximal
-run of neighbouring windows with one anchor is a block. So:
+run of neighbouring windows with one anchor is a block. So an anchor that occurs once in the whole corpus rules all its windows out (most
+anchors, and no text is moved for that), and a block equal to an earlier block is covered whole.
 
-* an anchor that occurs once in the whole corpus rules all its windows out (most anchors, and no text is moved for that);
-* a block equal to an earlier block is covered whole;
-* only windows of first blocks whose anchor also has a different block are compared one by one (the edges of passages).
-
-Between passes over the texts, candidates travel as bit tables of a fixed size, which may only let too much through, never too
-little; equality is decided on 128-bit hashes. Counts and minima are aggregated before they are shuffled, so a passage in a third of all
-documents costs one row a task.
+Between passes over the texts, candidates travel as bit tables, which may only let too much through, never too little; above a counted
+size a shuffled semi-join takes their place.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import hash_words, mix, sliding_min, split_words
+from .common import small_join
+from .hashing import BYTES, Rolling, mix, sliding_min, word_hashes
 
 NULL_ID = -(1 << 63)
 Symbols = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
-_R = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Hashes for which a bit table is made and sent to all executors: 16 bits each, 16 MB at most.
+BIT_ROWS = 1 << 23
+SLICES = 64
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of many texts end to end, and how many each has."""
-    split = [split_words(t) for t in texts]
-    return hash_words(list(chain.from_iterable(split))), np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    return word_hashes(texts)
 
 
 def utf8(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    return _BYTES[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    return BYTES[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
 
 
-def together(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of up to so many characters, with the place of the first: what numpy takes at once."""
+def together(texts: list, most: int = 200_000) -> Iterator[tuple[int, list]]:
+    """Runs of texts of up to so many characters, with the place of the first: what numpy takes at once, and what fits in a
+    processor's cache."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -58,52 +53,25 @@ def together(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, lis
         yield start, texts[start:]
 
 
-class Rolling:
-    """Hashes of any run of symbols from prefix sums of a polynomial, modulo 2^64."""
-
-    def __init__(self, symbols: np.ndarray, which: int = 0):
-        n = len(symbols) + 1
-        if which not in _powers or len(_powers[which][0]) < n:
-            size = max(n, 1 << 17)
-            one = lambda r: np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size - 1, r, dtype=np.uint64)]))
-            _powers[which] = one(_R[which]), one(pow(_R[which], -1, 1 << 64))
-        up, self.down = _powers[which]
-        if which:
-            symbols = mix(symbols)
-        self.sums = np.zeros(n, dtype=np.uint64)
-        np.cumsum(symbols * up[: n - 1], out=self.sums[1:])
-
-    def runs(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[: len(self.sums)][start])
-
-    def every(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        return self.runs(slice(0, n), slice(width, None)) if n > 0 else self.sums[:0]
-
-
 @dataclass
 class Blocks:
-    """Blocks of many documents: place of the document, anchor, content hash, first window in the document, number of windows, and whether the
-    anchor has several places in the document."""
+    """Blocks of many documents: place of the document, anchor, content hash, first window (in the document, and in all symbols), number of windows."""
 
     doc: np.ndarray
     anchor: np.ndarray
     content: np.ndarray
     start: np.ndarray
+    at: np.ndarray
     count: np.ndarray
-    twice: np.ndarray
     places: np.ndarray
-    """The anchor of every place that is one, as often as it has places; for within only."""
+    """The anchor of every place that is one, as often as it has places; if asked for."""
 
 
-def _with_doc(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return mix(values ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-
-
-def blocks(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int, within: bool) -> Blocks:
+def blocks(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int, places: bool = False) -> Blocks:
     none = np.zeros(0, dtype=np.int64)
+    nothing = Blocks(none, none.view(np.uint64), none.view(np.uint64), none, none, none, none.view(np.uint64))
     if len(symbols) < width:
-        return Blocks(none, none.view(np.uint64), none.view(np.uint64), none, none, none.astype(bool), none.view(np.uint64))
+        return nothing
     rolling = Rolling(symbols)
     grams, reach = rolling.every(gram), width - gram + 1
     least = sliding_min(grams, reach)
@@ -111,22 +79,19 @@ def blocks(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int, within
     valid = doc[: len(least)] == doc[width - 1 :]
     at = np.flatnonzero(valid)
     if not len(at):
-        return Blocks(none, none.view(np.uint64), none.view(np.uint64), none, none, none.astype(bool), none.view(np.uint64))
+        return nothing
     own, d = least[at], doc[at]
     first = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (d[1:] != d[:-1])) + 1])
     count = np.diff(first, append=len(at))
     start, d = at[first], d[first]
     begin = np.cumsum(sizes) - sizes
-    places, twice = none.view(np.uint64), np.zeros(len(first), dtype=bool)
-    if within:
+    found = none.view(np.uint64)
+    if places:
         # The largest anchor among the windows that hold a place: equal to the place's hash if it is the anchor of one.
         edge = np.full(reach - 1, ~np.uint64(0))
         most = ~sliding_min(np.concatenate([edge, np.where(valid, ~least, ~np.uint64(0)), edge]), reach)
-        q = np.flatnonzero(grams == most)
-        places = grams[q]
-        keys, n = np.unique(_with_doc(places, doc[q]), return_counts=True)
-        twice = np.isin(_with_doc(own[first], d), keys[n > 1])
-    return Blocks(d.astype(np.int64), own[first], rolling.runs(start, start + count + (width - 1)), start - begin[d], count, twice, places)
+        found = grams[grams == most]
+    return Blocks(d.astype(np.int64), own[first], rolling.runs(start, start + count + (width - 1)), start - begin[d], start, count, found)
 
 
 class Bits:
@@ -135,93 +100,54 @@ class Bits:
     def __init__(self, log2: int):
         self.shift, self.table = np.uint64(64 - log2), np.zeros(1 << (log2 - 3), dtype=np.uint8)
 
-    def put(self, hashes: np.ndarray) -> None:
-        at = mix(hashes.view(np.uint64)) >> self.shift
-        np.bitwise_or.at(self.table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = mix(hashes.view(np.uint64)) >> self.shift
         return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def bit_table(df: DataFrame, col: str, most: int = 27):  # noqa: ANN201
-    """Broadcasts the bits of a column of longs: 16 a row, up to 2^most (16 MB at 27), however many rows there are. Each task sends
-    one compressed table."""
-    log2 = min(most, max(16, math.ceil(math.log2(16 * max(1, df.count())))))
+def bit_table(df: DataFrame, col: str, rows: int | None = None):  # noqa: ANN201
+    """Broadcasts the bits of a column of longs, 16 a row. Only for a counted number of rows, BIT_ROWS at most. The table is built in slices."""
+    rows = df.count() if rows is None else rows
+    log2 = max(16, math.ceil(math.log2(16 * max(1, rows))))
+    per = (1 << log2) // SLICES
 
-    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = Bits(log2)
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits.put(pdf[col].to_numpy(dtype=np.int64))
-        yield pd.DataFrame({"b": [zlib.compress(bits.table.tobytes(), 1)]})
+            at = (mix(pdf[col].to_numpy(dtype=np.int64).view(np.uint64)) >> np.uint64(64 - log2)).astype(np.int64)
+            yield pd.DataFrame({"slice": at // per, "at": at % per})
 
-    def either(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros(1 << (log2 - 3), dtype=np.uint8)
-        for raw in pdf["b"]:
-            table |= np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
-        return pd.DataFrame({"b": [zlib.compress(table.tobytes(), 1)]})
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(per, dtype=np.uint8)
+        table[pdf["at"].to_numpy()] = 1
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "raw": [np.packbits(table, bitorder="little").tobytes()]})
 
-    spark = df.sparkSession
-    sent = df.select(col).mapInPandas(collect, "b binary").groupBy(F.pmod(F.xxhash64("b"), F.lit(16))).applyInPandas(either, "b binary")
     out = Bits(log2)
-    for r in sent.toLocalIterator():
-        out.table |= np.frombuffer(zlib.decompress(r["b"]), dtype=np.uint8)
-    return spark.sparkContext.broadcast(out)
+    for r in df.select(col).mapInPandas(slots, "slice int, at int").groupBy("slice").applyInPandas(fill, "slice int, raw binary").toLocalIterator():
+        out.table[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["raw"], dtype=np.uint8)
+    return df.sparkSession.sparkContext.broadcast(out)
 
 
-def anchor_counts(texts: DataFrame, symbols: Symbols, width: int, gram: int, within: bool) -> DataFrame:
-    """h and n: in how many documents (within: at how many places) an anchor occurs. Summed once for each batch of
-    texts, not over batches, so that one shuffle can do the rest."""
+def anchor_counts(texts: DataFrame, symbols: Symbols, width: int, gram: int) -> DataFrame:
+    """h and n: at how many places an anchor occurs. Summed once for each batch of texts, not over batches, so that one shuffle can do the rest."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [np.zeros(0, dtype=np.uint64)]
-            for _, some in together(pdf["t"].tolist()):
-                x = blocks(*symbols(some), width, gram, within)
-                if within:
-                    out.append(x.places)
-                elif len(x.doc):
-                    order = np.lexsort((x.anchor, x.doc))
-                    h, d = x.anchor[order], x.doc[order]
-                    out.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])])
+            out.extend(blocks(*symbols(some), width, gram, True).places for _, some in together(pdf["t"].tolist()))
             h, n = np.unique(np.concatenate(out), return_counts=True)
             yield pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int32)})
 
     return texts.select("t").mapInPandas(scan, "h long, n int")
 
 
-def occurrences(texts: DataFrame, symbols: Symbols, width: int, gram: int, wanted, within: bool = False) -> DataFrame:  # noqa: ANN001
-    """The blocks whose anchor is in `wanted`: h, bh (content), id, start, count, and twice (the anchor has several places in the
-    document, so a block may repeat itself)."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["id"].to_numpy(dtype=np.int64)
-            for offset, some in together(pdf["t"].tolist()):
-                x = blocks(*symbols(some), width, gram, within)
-                if len(x.doc) and (pick := wanted.value.has(x.anchor)).any():
-                    h, bh = x.anchor[pick].view(np.int64), x.content[pick].view(np.int64)
-                    yield pd.DataFrame({"h": h, "bh": bh, "id": ids[offset + x.doc[pick]], "start": x.start[pick].astype(np.int32), "count": x.count[pick].astype(np.int32), "twice": x.twice[pick]})
-
-    return texts.select("id", "t").mapInPandas(scan, "h long, bh long, id long, start int, count int, twice boolean")
-
-
-def with_texts(texts: DataFrame, per_id: DataFrame) -> DataFrame:
-    """per_id (one row an id) joined to the texts; texts of other ids are dropped at the scan by a bit table, before the shuffle."""
-    wanted = bit_table(per_id.select("id"), "id")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[wanted.value.has(pdf["id"].to_numpy(dtype=np.int64))]
-
-    return texts.select("id", "t").mapInPandas(scan, "id long, t string").join(per_id, "id")
-
-
+def with_ranges(texts: DataFrame, ranges: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """texts joined to `ranges` (one row a key, so many rows); texts of other keys stay out of the shuffle as long as the keys can be broadcast."""
+    return small_join(texts, ranges.select(*keys), keys, "left_semi", rows).join(ranges, keys)
 
 
 def spread(starts: list[int], counts: list[int]) -> np.ndarray:
     """start, start + 1, … for each range in turn."""
-    start, count = np.array(starts, dtype=np.int64), np.array(counts, dtype=np.int64)
+    start, count = np.asarray(starts, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
@@ -239,5 +165,3 @@ def covered(ranges, n_windows: int, width: int) -> np.ndarray:  # noqa: ANN001
             edge[start] += 1
             edge[end + width - 1] -= 1
     return np.cumsum(edge)[: n_windows + width - 1] > 0
-
-

@@ -1,43 +1,56 @@
 """Incremental removal of repeated word windows over a log-structured fingerprint index.
 
-The index is a folder of immutable runs: window fingerprints (anchors) of the documents added so far, one row each, bucketed and
-sorted by fingerprint. A batch is added in four steps: its own fingerprints are sorted into a new run; the run is merge-joined
-with every older run (no run is shuffled again for that); fingerprints found twice, in the batch or in history, are verified
-against the texts of all documents, old and new; and runs are compacted once there are `fan_in` of one level. Runs
-grow by that factor from level to level, so there are logarithmically many.
-
-A document comes after another if it is in a later batch, or has the larger id in the same batch; only repeats of other documents are
-removed. Null texts have no words; null ids count as one document before all others. Repeated rows with one id are
-one document. Empty tables and batches are fine. Columns other than id and text are not read.
+The index is a folder of immutable runs: the blocks (stretches of windows with one anchor, see repeats.py) of the documents added so far, as
+anchor, content hash, document, start and count, bucketed and sorted by anchor. A batch's texts are scanned once:
+
+1. The batch's blocks are sorted into a new run.
+2. The run is merge-joined with every older run (no run is shuffled for that): blocks whose anchor is in another document too, old or new.
+3. In the order of (anchor, 64-bit content hash) neighbours are compared: a block equal to one of an earlier document repeats it whole.
+4. Anchors with several contents are the edges of passages: only the texts of those blocks' documents are fetched, windows whose hash is in
+   one document only are left out, and the others are sorted and compared as words, byte for byte.
+5. Once there are `fan_in` runs of one level, they are compacted into one of the next, which keeps the first block of each content.
+
+Sorts have the document as the last key, so a passage in a third of all documents is spread over tasks. A document comes after another if
+it is in a later batch, or has the larger id in the same batch; only repeats of other documents are removed. Null texts have no words; null ids count as
+one document before all others. Repeated rows with one id are one document. Empty tables and batches are fine. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import documents, drop_path, drop_table, materialize, new_path, small_batches, text_of
-from .hashing import split_words
+from .common import Scratch, documents, drop_path, drop_table, materialize, new_path, small_batches, small_join, text_of
+from .hashing import split_words, window_hashes, word_hashes
+from .suffix_array import ordered
 
 WIDTH, GRAM = 13, 5
 
 
 class FingerprintIndex:
-    """Runs under `path`. Texts are not copied: history is the DataFrames added so far (give `history` to reopen an index)."""
+    """Runs under `path`. Texts are not copied: the documents added so far must be given as `history` to open an index that has runs."""
 
-    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, gram: int = GRAM, buckets: int = 64, fan_in: int = 4, history: DataFrame | None = None):
-        self.spark, self.path, self.width, self.gram, self.buckets, self.fan_in = spark, path, width, gram, buckets, fan_in
-        self.history = history
+    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, gram: int = GRAM, buckets: int | None = None, fan_in: int = 4, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"):
+        self.spark, self.path, self.width, self.gram, self.fan_in = spark, path, width, gram, fan_in
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.history = None if history is None else self._texts(history, id_col, text_col)
         self.runs: list[tuple[int, str]] = []  # level, table
-        small_batches(spark)
         for name in self._stored():
             self._open(name)
+        if self.runs and history is None:
+            raise ValueError(f"{path} has runs: give the documents added so far as history")
+
+    @staticmethod
+    def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NULL_ID)).alias("id"), text_of(text_col).alias("t"))
 
     def _stored(self) -> list[str]:
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -48,14 +61,16 @@ class FingerprintIndex:
         return sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.isDirectory() and done(f.getPath()))
 
     def _open(self, name: str) -> None:
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, n INT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
-        self.runs.append((int(name.split("_")[1]), name))
-
-    def _write(self, counts: DataFrame, level: int) -> str:
-        name = f"run_{level}_{new_path(self.spark, 'x').rsplit('-', 1)[1]}"
-        sums = counts.repartition(self.buckets, "h").groupBy("h").agg(F.sum("n").cast("int").alias("n"))
-        sorted_ = sums.sortWithinPartitions("h")
-        sorted_.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        level, buckets = map(int, name.split("_")[1:3])
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, bh BIGINT, id BIGINT, start INT, count INT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        self.runs.append((level, name))
+
+    def _write(self, blocks: DataFrame, level: int) -> str:
+        name = f"run_{level}_{self.buckets}_{new_path(self.spark, 'x').rsplit('-', 1)[1]}"
+        rows = blocks.repartition(self.buckets, "h")
+        if level:
+            rows = rows.groupBy("h", "bh").agg(F.min(F.struct("id", "start", "count")).alias("first")).select("h", "bh", "first.*")
+        rows.sortWithinPartitions("h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
         self.runs.append((level, name))
         return name
 
@@ -77,111 +92,172 @@ class FingerprintIndex:
                     self._drop(n)
             level += 1
 
+    def close(self, delete: bool = False) -> None:
+        """Forgets the tables of the runs; deletes their files too if told to."""
+        for _, name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = []
+        if delete:
+            drop_path(self.spark, self.path)
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds a batch; returns (id, ranges): the windows of its documents that occur in a document before, as array<struct<start, count>>."""
-        texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NULL_ID)).alias("id"), text_of(text_col).alias("t"))
-        older = [n for _, n in self.runs]
-        new = self.spark.table(self._write(repeats.anchor_counts(texts, repeats.words, self.width, self.gram, within=False), 0))
-        shared = new.filter("n > 1").select("h")
-        for name in older:
-            shared = shared.union(new.join(self.spark.table(name).hint("merge"), "h").select("h"))
-        wanted = repeats.bit_table(shared, "h")
-        found = repeats.occurrences(texts, repeats.words, self.width, self.gram, wanted).withColumn("old", F.lit(0))
-        source = texts.withColumn("old", F.lit(0))
-        if self.history is not None:
-            before = repeats.occurrences(self.history, repeats.words, self.width, self.gram, wanted).withColumn("old", F.lit(1))
-            found, source = found.union(before), source.union(self.history.withColumn("old", F.lit(1)))
-        # History comes first whatever its ids are: one order for both.
-        found = materialize(found, "blocks")
-        parts, done = self._verify(found, source)
-        ranges = materialize(repeats.grouped(parts), "ranges")
-        for table in (found, *done):
-            drop_table(table)
+        with small_batches(self.spark):
+            scratch = Scratch(self.spark)
+            texts = self._texts(docs, id_col, text_col)
+            older = [self.spark.table(n) for _, n in self.runs]
+            new = self.spark.table(self._write(self._blocks(texts), 0))
+            anchors = new.select("h").distinct()
+            again = new.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("h")
+            met = new.limit(0)
+            for run in older:
+                met = met.union(run.join(anchors.hint("merge"), "h", "left_semi"))
+            # Of history it only matters that a content is there, and where once.
+            met = scratch.table(met.groupBy("h", "bh").agg(F.min(F.struct("id", "start", "count")).alias("first")).select("h", "bh", "first.*"), "met")
+            wanted = again.union(met.select("h")).distinct()
+            found = scratch.table(self._placed(new.join(wanted, "h", "left_semi"), met), "found")
+            order = ordered(scratch, found, ["h", "bh"])
+            parts = order.filter(_repeats()).select("id", F.col("start").cast("int").alias("start"), "count")
+            # A first block is compared wherever it is in its first document.
+            own = order.filter(~_repeats())
+            split = scratch.table(own.groupBy("h").agg(F.min("bh").alias("a"), F.max("bh").alias("b")).filter("a <> b").select("h"), "split")
+            own = small_join(own, split, "h", "left_semi", split.count())
+            parts = parts.union(self._edges(scratch, own, texts))
+            ranges = materialize(repeats.grouped(parts), "ranges")
+            scratch.close()
         self.history = texts if self.history is None else self.history.union(texts)
         self._compact()
         return ranges
 
-    def _verify(self, found: DataFrame, source: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """(id, start, count) of new documents' windows that occur in a document before; and the scratch tables behind them."""
-        width = self.width
-        rank = F.struct((-F.col("old")).alias("batch"), F.col("id").alias("id"))
-        first = found.groupBy("h", "bh").agg(F.min(rank).alias("r"))
-        split = first.groupBy("h").agg((F.min("bh") != F.max("bh")).alias("split"))
-        marked = found.join(first.join(split, "h").select("h", "bh", F.col("r.batch").alias("fb"), F.col("r.id").alias("fi"), "split"), ["h", "bh"])
-        later = (F.col("old") == 0) & ((F.col("fb") < 0) | (F.col("fi") < F.col("id")))
-        # A first block is compared wherever it is in its first document.
-        own = F.col("split") & (F.col("fb") == -F.col("old")) & (F.col("fi") == F.col("id"))
-        marked = materialize(marked.select("id", (-F.col("old")).alias("batch"), "start", "count", later.alias("later")).filter(later | own), "marked")
-        again = marked.filter("later").select("id", "start", "count")
-        per_id = marked.filter("NOT later").groupBy("id", "batch").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
-
-        def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @staticmethod
+    def _placed(new: DataFrame, old: DataFrame) -> DataFrame:
+        """New and old blocks, with old ones before all new ones in the order of id and start."""
+        before = old.select("h", "bh", F.lit(repeats.NULL_ID).alias("id"), F.lit(-1).cast("long").alias("start"), "count", F.col("id").alias("doc"), F.col("start").alias("at"))
+        return new.select("h", "bh", "id", F.col("start").cast("long").alias("start"), "count", F.col("id").alias("doc"), F.col("start").alias("at")).union(before)
+
+    def _blocks(self, texts: DataFrame) -> DataFrame:
+        width, gram = self.width, self.gram
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                parts = []
-                for key, batch, text, ranges in zip(pdf["id"], pdf["batch"], pdf["t"], pdf["ranges"], strict=True):
-                    symbols, _ = repeats.words([text])
-                    at = repeats.spread([r["start"] for r in ranges], [r["count"] for r in ranges])
-                    at = at[at + width <= len(symbols)]
-                    hashes = [repeats.Rolling(symbols, i).runs(at, at + width).view(np.int64) for i in (0, 1)]
-                    parts.append((*hashes, np.full(len(at), key, dtype=np.int64), np.full(len(at), batch, dtype=np.int32), at.astype(np.int32)))
-                if parts:
-                    yield pd.DataFrame(dict(zip(("w1", "w2", "id", "batch", "start"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
-
-        ids = repeats.bit_table(per_id, "id")
-
-        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                ids = pdf["id"].to_numpy(dtype=np.int64)
+                for offset, some in repeats.together(pdf["t"].tolist()):
+                    x = repeats.blocks(*repeats.words(some), width, gram)
+                    yield pd.DataFrame({"h": x.anchor.view(np.int64), "bh": x.content.view(np.int64), "id": ids[offset + x.doc], "start": x.start.astype(np.int32), "count": x.count.astype(np.int32)})
+
+        return texts.mapInPandas(scan, "h long, bh long, id long, start int, count int")
+
+    def _edges(self, scratch: Scratch, own: DataFrame, texts: DataFrame) -> DataFrame:
+        """(id, start, 1) of the new windows in these blocks whose words are in an earlier document's."""
+        width = self.width
+        per_doc = own.groupBy("doc", (F.col("start") < 0).alias("old")).agg(F.collect_list(F.struct("at", "count")).alias("ranges"))
+        per_doc = scratch.table(per_doc.withColumnRenamed("doc", "id"), "fetch")
+
+        def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pdf[ids.value.has(pdf["id"].to_numpy(dtype=np.int64))]
+                out, size = [], 0
+                for key, text, ranges in zip(pdf["id"], pdf["t"], pdf["ranges"], strict=True):
+                    words = split_words(text)
+                    out.extend((key, r["at"], b" ".join(words[r["at"] : r["at"] + r["count"] + width - 1])) for r in ranges if r["at"] + r["count"] + width - 1 <= len(words))
+                    size += len(text)
+                    if size > 1_000_000:
+                        yield pd.DataFrame(out, columns=["id", "start", "content"])
+                        out, size = [], 0
+                yield pd.DataFrame(out, columns=["id", "start", "content"])
+
+        fetched = []
+        for old, source in ((False, texts), (True, self.history)):
+            if source is not None:
+                wanted = per_doc.filter(F.col("old") == old).drop("old")
+                got = repeats.with_ranges(source, wanted, ["id"], wanted.count()).mapInPandas(contents, "id long, start long, content binary")
+                fetched.append(got.select("*", F.lit(old).alias("old")))
+        blocks = scratch.table(fetched[0].union(fetched[1]) if len(fetched) > 1 else fetched[0], "contents")
+
+        def hashed(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of every window of every block: block, offset and hash."""
+            words, sizes = word_hashes(texts_)
+            counts = np.maximum(sizes - (width - 1), 0)
+            block = np.repeat(np.arange(len(sizes)), counts)
+            at = repeats.spread(np.cumsum(sizes) - sizes, counts)
+            return block, at - (np.cumsum(sizes) - sizes)[block], window_hashes(words, width)[at]
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for offset, some in repeats.together(batch.column("content").to_pylist()):
+                    block, _, w = hashed(some)
+                    own = pa.array(block + offset)
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), batch.column("id").take(own), batch.column("old").take(own)], names=["w", "id", "old"])
+
+        # Two documents, or an old one beside a new one.
+        docs = blocks.mapInArrow(places, "w long, id long, old boolean").select("w", F.xxhash64("id", "old").alias("d"))
+        shared = scratch.table(docs.groupBy("w").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a <> b").select("w"), "windows")
+        n = shared.count()
+        few = n <= repeats.BIT_ROWS
+        bits = repeats.bit_table(shared, "w", n) if few else None
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, texts_ in repeats.together(batch.column("content").to_pylist()):
+                    block, offset, w = hashed(texts_)
+                    pick = bits.value.has(w) if few else np.ones(len(w), dtype=bool)
+                    block, offset = block[pick], offset[pick]
+                    words = {b: texts_[b].split() for b in set(block.tolist())}
+                    keys = [b" ".join(words[b][o : o + width]) for b, o in zip(block.tolist(), offset.tolist(), strict=True)]
+                    own = pa.array(block + at)
+                    old = batch.column("old").take(own).to_numpy(zero_copy_only=False)
+                    ids, starts = (batch.column(c).to_numpy()[block + at] for c in ("id", "start"))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.where(old, repeats.NULL_ID, ids)), pa.array(np.where(old, -1, starts + offset))], names=["key", "id", "start"])
 
-        chosen = source.select("id", (-F.col("old")).alias("batch"), "t").mapInPandas(pick, "id long, batch int, t string")
-        each = materialize(chosen.join(per_id, ["id", "batch"]).mapInPandas(windows, "w1 long, w2 long, id long, batch int, start int"), "windows")
-        least = each.groupBy("w1", "w2").agg(F.min(F.struct("batch", "id")).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2", F.col("r.batch").alias("fb"), F.col("r.id").alias("fi"))
-        edges = each.filter("batch = 0").join(least, ["w1", "w2"]).filter((F.col("fb") < 0) | (F.col("fi") < F.col("id")))
-        return again.union(edges.select("id", "start", F.lit(1).alias("count"))), [marked, each]
+        windows = scratch.table(blocks.mapInArrow(cut, "key binary, id long, start long"), "cut")
+        hits = ordered(scratch, windows, ["key"]).filter(_repeats())
+        return hits.select("id", F.col("start").cast("int").alias("start"), F.lit(1).alias("count"))
+
+
+def _repeats() -> Column:
+    """New rows of ordered() with the same keys in a document before: an old one (start -1) or one with a smaller id."""
+    return (F.col("start") >= 0) & ((F.col("first_start") < 0) | (F.col("first_id") != F.col("id")))
 
 
 def removed_words(docs: DataFrame, ranges: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """id, n_words, n_removed and kept (the words left, joined by one space) or kept_sha256, for every row of docs."""
-    name, kind = ("kept_sha256", "string") if digest else ("kept", "string")
-    schema = f"id long, n_words long, n_removed long, {name} {kind}"
+    name = "kept_sha256" if digest else "kept"
+    schema = f"id long, n_words long, n_removed long, {name} string"
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NULL_ID)).alias("id"), text_of(text_col).alias("t"))
-    ids = repeats.bit_table(ranges, "id")
     out = lambda w: hashlib.sha256(b" ".join(w)).hexdigest() if digest else b" ".join(w).decode("utf-8", "surrogatepass")
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[~ids.value.has(pdf["id"].to_numpy(dtype=np.int64))]
-            w = [split_words(t) for t in pdf["t"]]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "n_words": [len(x) for x in w], "n_removed": 0, name: [out(x) for x in w]})
-
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[ids.value.has(pdf["id"].to_numpy(dtype=np.int64))]
-
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, text, r in zip(pdf["id"], pdf["t"], pdf["ranges"], strict=True):
+            for key, text, r in zip(pdf["id"], pdf["t"], pdf["ranges"] if "ranges" in pdf else [()] * len(pdf), strict=True):
                 w = split_words(text)
-                gone = repeats.covered(r if r is not None else (), max(0, len(w) - width + 1), width) if len(w) >= width else np.zeros(len(w), dtype=bool)
-                rows.append((key, len(w), int(gone.sum()), out([x for x, g in zip(w, gone.tolist(), strict=True) if not g])))
+                if len(r) and len(w) >= width:
+                    gone = repeats.covered(r, len(w) - width + 1, width)
+                    rows.append((key, len(w), int(gone.sum()), out([x for x, g in zip(w, gone.tolist(), strict=True) if not g])))
+                else:
+                    rows.append((key, len(w), 0, out(w)))
             yield pd.DataFrame(rows, columns=["id", "n_words", "n_removed", name])
 
-    left = texts.mapInPandas(some, "id long, t string").join(ranges, "id", "left").mapInPandas(cut, schema)
-    both = texts.mapInPandas(whole, schema).union(left)
-    return both.select(F.when(F.col("id") != repeats.NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", name)
+    n = ranges.count()
+    whole = small_join(texts, ranges.select("id"), "id", "left_anti", n).mapInPandas(cut, schema)
+    both = whole.union(repeats.with_ranges(texts, ranges, ["id"], n).mapInPandas(cut, schema))
+    with small_batches(docs.sparkSession):
+        return materialize(both.select(F.when(F.col("id") != repeats.NULL_ID, F.col("id")).alias(id_col), "n_words", "n_removed", name), "cut")
 
 
-def op7_substring_dedup(spark: SparkSession, sf_dir: str, batches: int = 4, fan_in: int = 2) -> DataFrame:
-    """Adds `documents` to an empty index in batches of ascending ids: with four batches and two runs a level, the last meets runs of two levels
-    (one of them compacted), and is compacted over two levels itself."""
+def op7_substring_dedup(spark: SparkSession, sf_dir: str, batches: int = 4, fan_in: int = 3) -> DataFrame:
+    """Adds `documents` to an empty index in batches of ascending ids: with four batches and three runs a level, the third batch meets two runs
+    and ends in a compaction, and the fourth meets the compacted run."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or [0] * (batches - 1)
+    cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
+    cuts = cuts or [0] * (batches - 1)
     index = FingerprintIndex(spark, new_path(spark, "index"), fan_in=fan_in)
-    found = None
+    found = []
     for i in range(batches):
         x = F.coalesce(F.col("doc_id"), F.lit(repeats.NULL_ID))
         part = docs.filter((x > cuts[i - 1] if i else F.lit(True)) & (x <= cuts[i] if i < batches - 1 else F.lit(True)))
-        ranges = index.add(part)
-        found = ranges if found is None else found.union(ranges)
-    return removed_words(docs, found, digest=True)
+        found.append(index.add(part))
+    index.close(delete=True)
+    out = removed_words(docs, functools.reduce(DataFrame.union, found), digest=True)
+    for ranges in found:
+        drop_table(ranges)
+    return out

@@ -1,12 +1,16 @@
-"""Distributed suffix sorting by a difference cover modulo three, after Kaerkkaeinen and Sanders.
+"""Sorted suffixes of sampled positions, after the difference cover modulo three of Kaerkkaeinen and Sanders.
 
-A string is a table (i, c): positions 0 .. n-1 and symbols of at least 1. The triples at positions not divisible by three are
-sorted and named; the string of their names is sorted by the same function; the remaining suffixes are merged in. As no comparator
-sort spans executors, the merge sorts twice: positions 0 and 1 (modulo three) by (symbol, rank of the next), positions 0 and
-2 by (symbol, symbol, rank of the one after). In the two orders every suffix finds how many suffixes of the other kinds precede it.
+A run is a stretch of neighbouring suffixes that are judged by their first `width` bytes. Positions of a run are dealt by their
+offset modulo three, and those of remainder one and two are the sample:
 
-Sorts are range partitions with the position as the last key, so a triple with a third of all positions is spread. What the driver
-sees is one row a partition. Short strings (`base` symbols, a constant) are sorted in one task.
+1. Sampled suffixes are sorted by triples of `symbol` bytes, and triples are named. If a triple spans less than the width, the
+   names and the triples behind them are sorted in turn, recursively.
+2. The remaining suffixes are merged in through the names of the sample: remainders zero and one in a sort by (byte, name of the next),
+   zero and two by (byte, byte, name of the one after). Names count the differences in the first width - 1 and width - 2 bytes.
+3. Neighbours in each order are compared, in their bytes or by byte and name; of equal ones the earliest place stands first.
+
+Two places behind a run's end are sampled too, as far as its bytes go, so every suffix finds its next ones. Sorts are range partitions with
+the place as the last key, so a suffix with a third of all places is spread. What the driver sees is two rows a partition.
 """
 
 from __future__ import annotations
@@ -14,122 +18,142 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
-
-BLOCK = 1 << 14
+from .common import Scratch
 
 
-def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df (columns keys, i, others; all long) in the order of keys and i, with index (place in that order), name (number of different keys up
-    to the row, from 0) and zeros (rows before it whose i is divisible by three)."""
-    spark = df.sparkSession
-    columns = df.columns
-    schema = ", ".join(f"{c} long" for c in [*columns, "part", "at", "step", "zero"])
+def _different(now: pa.Array, last: pa.Array | None, prefix: int | None = None) -> np.ndarray:
+    """Which values differ from the one before."""
+    both = pa.concat_arrays([now[:1] if last is None else last, now])
+    if prefix is not None:
+        both = pc.binary_slice(both, 0, prefix)
+    return pc.not_equal(both[1:], both[:-1]).to_numpy(zero_copy_only=False)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, step, zero, last = 0, 0, 0, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            k = pdf[keys].to_numpy(dtype=np.int64)
-            new = np.ones(len(k), dtype=np.int64)
-            new[1:] = (k[1:] != k[:-1]).any(axis=1)
-            new[0] = int(last is not None and bool((k[0] != last).any()))
-            steps = step + np.cumsum(new)
-            zeros = (pdf["i"].to_numpy() % 3 == 0).astype(np.int64)
-            yield pdf.assign(part=TaskContext.get().partitionId(), at=at + np.arange(len(k)), step=steps, zero=zero + np.cumsum(zeros) - zeros)
-            at, step, zero, last = at + len(k), int(steps[-1]), zero + int(zeros.sum()), k[-1]
 
+def ordered(scratch: Scratch, df: DataFrame, keys: list[str], prefixes: tuple[int, ...] = (), once: str = "", name: str = "order") -> DataFrame:
+    """df (id, start, keys; others) in the order of keys, id and start, with first_id and first_start: the earliest place with the same
+    keys; and for each prefix p a column name_p: how many rows before differ from their predecessor in the first p bytes of the last key
+    (p = 0: all of it) or in another key. The column `once` is kept in the first row of equal keys (and of a partition) only."""
+    spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(df.repartitionByRange(parts, *keys, "i").sortWithinPartitions(*keys, "i").mapInPandas(walk, schema), "order")
-    k = F.struct(*keys)
-    ends = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("steps"), F.sum((F.col("i") % 3 == 0).cast("long")).alias("zeros"), F.min_by(k, "at").alias("first"), F.max_by(k, "at").alias("last")).collect()
-    offsets, n, names, zeros, last = [], 0, 0, 0, None
-    for r in sorted(ends, key=lambda r: r["part"]):  # one row a partition
-        names += int(last is not None and r["first"] != last)
-        offsets.append((r["part"], n, names, zeros))
-        n, names, zeros, last = n + r["n"], names + r["steps"], zeros + r["zeros"], r["last"]
-    shift = spark.createDataFrame(offsets, "part long, n0 long, s0 long, z0 long")
-    x = rows.join(F.broadcast(shift), "part")
-    return x.select(*columns, (F.col("at") + F.col("n0")).alias("index"), (F.col("step") + F.col("s0")).alias("name"), (F.col("zero") + F.col("z0")).alias("zeros"))
-
-
-def with_next(df: DataFrame, col: str, fill: int = 0) -> DataFrame:
-    """df with the values of col one and two positions on, as <col>1 and <col>2; through blocks of positions that overlap by two."""
-    block = F.floor(F.col("i") / BLOCK)
-    own = df.withColumn("b", block)
-    edge = df.filter((F.col("i") % BLOCK < 2) & (F.col("i") >= BLOCK)).withColumn("b", block - 1)
-    w = W.partitionBy("b").orderBy("i")
-    after = lambda k: F.coalesce(F.lead(col, k).over(w), F.lit(fill)).alias(f"{col}{k}")
-    return own.union(edge).select("*", after(1), after(2)).filter(F.col("b") == block).drop("b")
-
-
-def _in_one_task(s: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the suffixes by prefix doubling, up to a prefix of `length` symbols; ties by position."""
-    rank, k = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while k < length:
-        nxt = np.zeros(len(s), dtype=np.int64)
-        nxt[:-k] = rank[k:]
-        key = rank * (int(rank.max()) + 1) + nxt
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
-        if rank.max() == len(s) or k >= len(s):
-            break
-        k *= 2
-    out = np.empty(len(s), dtype=np.int64)
-    out[np.lexsort((np.arange(len(s)), rank))] = np.arange(len(s))
-    return out
-
-
-def suffix_ranks(s: DataFrame, n: int, length: int, base: int = 1_000_000) -> DataFrame:
-    """(i, c) -> (i, r): places in suffix order, right for the first `length` symbols; equal prefixes are neighbours."""
-    if n <= max(base, 3):
-
-        def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("i")
-            return pd.DataFrame({"i": pdf["i"].to_numpy(), "r": _in_one_task(pdf["c"].to_numpy(), max(2, length))})
-
-        return materialize(s.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(alone, "i long, r long"), "ranks")
-    triples = materialize(with_next(s, "c"), "triples")
-    sample = ordered(triples.filter("i % 3 <> 0"), ["c", "c1", "c2"])
-    names = sample.agg(F.max("name")).first()[0] + 1
-    n1, n2 = (n + 1) // 3, n // 3
-    if names == n1 + n2 or length <= 3:
-        ranks = sample.select("i", F.col("index").alias("r"))
-    else:
-        place = F.when(F.col("i") % 3 == 1, F.floor(F.col("i") / 3)).otherwise(F.floor(F.col("i") / 3) + n1 + 1)
-        shorter = sample.select(place.alias("i"), (F.col("name") + 2).alias("c"))
-        stop = s.sparkSession.createDataFrame([(n1, 1)], "i long, c long")
-        inner = suffix_ranks(materialize(shorter.union(stop), "names"), n1 + n2 + 1, -(-length // 3), base)
-        back = F.when(F.col("i") < n1, F.col("i") * 3 + 1).otherwise((F.col("i") - n1 - 1) * 3 + 2)
-        # The stop symbol sorts first and is no suffix of ours.
-        ranks = inner.filter(F.col("i") != n1).select(back.alias("i"), (F.col("r") - 1).alias("r"))
-    m = triples.join(ranks, "i", "left")
-    m = materialize(with_next(m.select("i", "c", "c1", "r"), "r", -1), "merge")
-    one = ordered(m.filter("i % 3 <> 2").select("i", "c", F.col("r1").alias("k"), F.coalesce("r", F.lit(-1)).alias("r")), ["c", "k"])
-    two = ordered(m.filter("i % 3 <> 1").select("i", "c", "c1", F.col("r2").alias("k"), F.coalesce("r", F.lit(-1)).alias("r")), ["c", "c1", "k"])
-    first = one.filter("i % 3 = 1").select("i", (F.col("r") + F.col("zeros")).alias("r"))
-    second = two.filter("i % 3 = 2").select("i", (F.col("r") + F.col("zeros")).alias("r"))
-    zero = one.filter("i % 3 = 0").select("i", F.col("index").alias("x"), "zeros").join(two.filter("i % 3 = 0").select("i", F.col("index").alias("y")), "i")
-    out = materialize(first.union(second).union(zero.select("i", (F.col("x") + F.col("y") - F.col("zeros")).alias("r"))), "ranks")
-    for table in (triples, m):
-        drop_table(table)
-    return out
-
-
-def runs(sorted_: DataFrame, keys: list[str]) -> DataFrame:
-    """sorted_ (r, keys, others; r: places in the order, without gaps) with run: neighbours with equal keys share one. Blocks of places, with the first row
-    of each block compared to the last of the one before, and sums of the blocks before."""
-    block = F.floor(F.col("r") / BLOCK)
-    own = sorted_.withColumn("b", block)
-    edge = sorted_.filter(F.col("r") % BLOCK == BLOCK - 1).withColumn("b", block + 1)
-    w = W.partitionBy("b").orderBy("r", "i")
-    different = F.greatest(*[(~F.lag(k).over(w).eqNullSafe(F.col(k))).cast("long") for k in keys])
-    x = materialize(own.union(edge).withColumn("new", different).filter(F.col("b") == block), "neighbours")
-    totals = x.groupBy("b").agg(F.sum("new").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    return x.withColumn("run", F.sum("new").over(w)).join(totals, "b").withColumn("run", F.col("run") + F.col("before")).drop("b", "new", "before")
+    names = [f"name_{p}" for p in prefixes]
+    added = ["part", "edge", "head", "first_id", "first_start", *names]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + [f"{c} long" for c in added])
+
+    def batch_of(out: dict, keep: np.ndarray) -> pa.RecordBatch:
+        if once:
+            out[once] = pc.if_else(pa.array(keep), out[once], pa.scalar(None, out[once].type))
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], names=list(out))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, first, steps, held = TaskContext.get().partitionId(), None, None, dict.fromkeys(names, 0), None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            if held:
+                yield batch_of(*held)
+            own = [batch.column(k) for k in keys]
+            others = np.zeros(n, dtype=bool)
+            for i, c in enumerate(own[:-1]):
+                others |= _different(c, last and last[i])
+            new = others | _different(own[-1], last and last[-1])
+            ids, starts = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "start"))
+            first = first or (ids[0], starts[0], True)
+            at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            fid, fst, head = np.where(at < 0, first[0], ids[at]), np.where(at < 0, first[1], starts[at]), (at < 0) & first[2]
+            edge = np.zeros(n, dtype=np.int64)
+            edge[0] = last is None
+            out = {f.name: batch.column(f.name) for f in batch.schema}
+            out |= {"part": np.full(n, part), "edge": edge, "head": head.astype(np.int64), "first_id": fid, "first_start": fst}
+            for c, p in zip(names, prefixes, strict=True):
+                out[c] = steps[c] + np.cumsum(others | (_different(own[-1], last and last[-1], p) if p else new))
+                steps[c] = int(out[c][-1])
+            held = out, new | (edge > 0)
+            first, last = (fid[-1], fst[-1], bool(head[-1])), [c[n - 1 :] for c in own]
+        if held:
+            held[0]["edge"][-1] += 2
+            held[1][-1] = True
+            yield batch_of(*held)
+
+    sorted_ = df.repartitionByRange(parts, *keys, "id", "start").sortWithinPartitions(*keys, "id", "start")
+    rows = scratch.table(sorted_.mapInArrow(walk, schema), name)
+    edges = rows.filter("edge > 0").collect()  # two rows a partition
+    shifts, last, earliest, offsets = [], None, None, dict.fromkeys(names, 0)
+    for part in sorted({r["part"] for r in edges}):
+        own = [r for r in edges if r["part"] == part]
+        begin, end = next(r for r in own if r["edge"] & 1), next(r for r in own if r["edge"] & 2)
+        same = last is not None and all(begin[k] == last[k] for k in keys)
+        for c, p in zip(names, prefixes, strict=True):
+            alike = last is not None and all(begin[k] == last[k] for k in keys[:-1]) and (begin[keys[-1]][:p] == last[keys[-1]][:p] if p else same)
+            offsets[c] += int(last is not None and not alike)
+        carried = earliest if same else (None, None)
+        shifts.append((part, *carried, *offsets.values()))
+        earliest = carried if same and end["head"] else (end["first_id"], end["first_start"])
+        for c in names:
+            offsets[c] += end[c]
+        last = end
+    shift = spark.createDataFrame(shifts, "p long, e_id long, e_start long" + "".join(f", s_{c} long" for c in names))
+    out = rows.join(F.broadcast(shift), rows["part"] == shift["p"])
+    resolved = [F.when(F.col("head") * F.isnotnull("e_id").cast("long") == 1, F.col(f"e_{c}")).otherwise(F.col(f"first_{c}")).alias(f"first_{c}") for c in ("id", "start")]
+    return out.select(*df.columns, *resolved, *[(F.col(c) + F.col(f"s_{c}")).alias(c) for c in names])
+
+
+def later() -> Column:
+    """Rows of ordered() with an earlier row of the same keys."""
+    return (F.col("first_id") != F.col("id")) | (F.col("first_start") != F.col("start"))
+
+
+def sample(runs: DataFrame, width: int) -> DataFrame:
+    """runs (id, start, content: width - 1 more bytes than suffixes) -> the sampled suffixes: id, start, key (their first bytes), suffix (not one
+    of the two places behind), and before1 and before2, the one and two bytes before them, null if those places are not in the run."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = batch.column("content")
+            sizes = pc.binary_length(contents).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = np.frombuffer(b"".join(contents.to_pylist()), dtype=np.uint8)
+            counts = sizes - (width - 1)
+            run = np.repeat(np.arange(len(sizes)), counts + 2)
+            offset = np.arange(len(run)) - np.repeat(np.cumsum(counts + 2) - (counts + 2), counts + 2)
+            pick = offset % 3 > 0
+            run, offset = run[pick], offset[pick]
+            at = (np.cumsum(sizes) - sizes)[run] + offset
+            length = np.minimum(width, sizes[run] - offset)
+            ends = np.cumsum(length)
+            data = raw[np.repeat(at - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            key = pa.BinaryArray.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+            ids, starts = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[run] for c in ("id", "start"))
+            inside = offset < counts[run]
+            one = np.where(offset <= counts[run], raw[at - 1], 0).astype(np.int64)
+            two = raw[np.maximum(at - 2, 0)].astype(np.int64) * 256 + raw[at - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts + offset), key, pa.array(inside), pa.array(one, mask=offset > counts[run]), pa.array(two, mask=offset < 2)], names=["id", "start", "key", "suffix", "before1", "before2"])
+
+    return runs.select("id", "start", "content").mapInArrow(scan, "id long, start long, key binary, suffix boolean, before1 long, before2 long")
+
+
+def repeated_suffixes(scratch: Scratch, runs: DataFrame, width: int, symbol: int | None = None) -> DataFrame:
+    """runs (id, start, content) -> (id, start) of every suffix whose first `width` bytes also start a suffix at an earlier place; some twice."""
+    triple = 3 * (symbol or -(-width // 3))
+    sampled, reach, keys = scratch.table(sample(runs, width), "sample"), 0, ["key"]
+    while reach + triple < width - 2:
+        # One level of the recursion: names of what is sorted so far and the next triple.
+        level = sampled.withColumn("rest", F.expr(f"substring(key, {triple + 1})")).withColumn("key", F.expr(f"substring(key, 1, {triple})"))
+        named = ordered(scratch, level, keys, (0,)).select("id", "start", F.col("name_0").alias("name"), F.col("rest").alias("key"), "suffix", "before1", "before2")
+        scratch.drop(sampled)
+        sampled = scratch.table(named, "level")
+        reach, keys = reach + triple, ["name", "key"]
+    first, second = width - 1 - reach, width - 2 - reach
+    order = ordered(scratch, sampled, keys, (first, second))
+    scratch.drop(sampled)
+    hits = order.filter(F.col("suffix") & later()).select("id", "start")
+    one = order.filter("before1 IS NOT NULL").select("id", (F.col("start") - 1).alias("start"), F.col("before1").alias("c"), F.col(f"name_{first}").alias("n"))
+    two = order.filter("before2 IS NOT NULL").select("id", (F.col("start") - 2).alias("start"), F.col("before2").alias("c"), F.col(f"name_{second}").alias("n"))
+    for merged in (one, two):
+        hits = hits.union(ordered(scratch, merged, ["c", "n"]).filter(later()).select("id", "start"))
+    return hits

@@ -3,11 +3,13 @@
 Texts are UTF-8 bytes. A byte goes if it is covered by a string of `width` bytes that also starts earlier: in a document with a smaller id, or
 earlier in the same one. Strings are judged on the input.
 
-1. What cannot repeat is left out first, without loss: windows whose anchor occurs once (see repeats.py) and blocks equal to an earlier
-   block, which are covered whole.
-2. The blocks that are left, first of their content but with an anchor that also has another content, are laid end to
-   end, apart by a stop symbol, and suffix-sorted by the difference-cover algorithm (suffix_array.py).
-3. Neighbours in suffix order are compared in their first `width` bytes (as 128-bit hashes); a run of equal ones keeps its earliest start.
+1. What cannot repeat is left out first, without loss: a window whose anchor (see repeats.py) occurs at one place only.
+2. What is left is cut into blocks, stretches of windows with one anchor. Blocks are sorted as strings and compared with their neighbours;
+   those equal to an earlier one are covered whole, and only the first of its bytes goes on. Two more levels do the same with the blocks that
+   went on, with longer anchors and so shorter blocks, until little more than the edges of passages is left.
+3. The suffixes at these edges are sorted by the difference-cover algorithm, and neighbours compared in their first `width` bytes (suffix_array.py).
+
+All comparisons that remove something are of bytes; hashes only choose what is compared.
 
 Null texts are empty; null ids count as one document before all others; repeated rows with one id are one
 document at one place, so they don't cover each other. An empty table gives an empty result. Columns other than id and text are not read.
@@ -20,109 +22,131 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import documents, drop_table, materialize, small_batches, text_of
-from .suffix_array import runs, suffix_ranks
+from .common import Scratch, documents, drop_table, materialize, small_batches, small_join, text_of
+from .hashing import BYTES, Rolling, mix, sliding_min
+from .suffix_array import later, ordered, repeated_suffixes
 
-WIDTH, GRAM = 100, 32
+WIDTH = 100
+#: Bytes of an anchor, level by level: shorter than the width.
+GRAMS = (32, 80, 95)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NULL_ID)).alias("id"), text_of(text_col).alias("t"))
 
 
-def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", base: int = 1_000_000) -> DataFrame:
+def _strings(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """The runs of bytes from starts, of these sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = values[repeats.spread(starts, sizes)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _blocks(texts: DataFrame, anchors: DataFrame, n_anchors: int, width: int, gram: int) -> DataFrame:
+    """(id, start, content) of the blocks of texts whose anchor is in `anchors`."""
+    few = n_anchors <= repeats.BIT_ROWS
+    bits = repeats.bit_table(anchors, "h", n_anchors) if few else None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for offset, some in repeats.together(batch.column("t").to_pylist()):
+                x = repeats.blocks(*repeats.utf8(some), width, gram)
+                pick = bits.value.has(x.anchor) if few else np.ones(len(x.anchor), dtype=bool)
+                raw = np.frombuffer("".join(some).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                content = _strings(raw, x.at[pick], x.count[pick] + (width - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x.anchor[pick].view(np.int64)), pa.array(ids[offset + x.doc[pick]]), pa.array(x.start[pick]), content], names=["h", "id", "start", "content"])
+
+    found = texts.select("id", "t").mapInArrow(scan, "h long, id long, start long, content binary")
+    return (found if few else found.join(anchors, "h", "left_semi")).drop("h")
+
+
+def _windows(contents: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of many strings, of windows with one anchor at one place: string, first window in it, anchor, its place in the string, number of
+    windows; and the bytes of all strings end to end."""
+    sizes = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
+    raw = np.frombuffer(b"".join(contents), dtype=np.uint8)
+    grams = Rolling(BYTES[raw]).every(gram)
+    # The leftmost smallest gram: 40 bits of its hash, and its place.
+    low = np.uint64((1 << 24) - 1)
+    least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
+    begin, counts = np.cumsum(sizes) - sizes, sizes - (width - 1)
+    string, at = np.repeat(np.arange(len(sizes)), counts), repeats.spread(begin, counts)
+    own = least[at]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), dtype=bool), (own[1:] != own[:-1]) | (string[1:] != string[:-1])]))
+    string, at, own = string[first], at[first], own[first]
+    return string, at - begin[string], mix(own & ~low), (own & low).astype(np.int64) - begin[string], np.diff(first, append=int(counts.sum())), raw
+
+
+def _finer(scratch: Scratch, strings: DataFrame, width: int, gram: int) -> DataFrame:
+    """(id, start, content): the blocks of strings (id, start, content) whose anchor has several places in them."""
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, contents in repeats.together(batch.column("content").to_pylist()):
+                string, _, anchor, place, _, _ = _windows(contents, width, gram)
+                ids, starts = (batch.column(c).to_numpy()[string + at] for c in ("id", "start"))
+                where = mix(mix(ids.view(np.uint64)) + (starts + place).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(where.view(np.int64))], names=["h", "place"])
+
+    places = strings.select("id", "start", "content").mapInArrow(anchors, "h long, place long")
+    shared = scratch.table(places.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("h"), "anchors")
+    n = shared.count()
+    few = n <= repeats.BIT_ROWS
+    bits = repeats.bit_table(shared, "h", n) if few else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, contents in repeats.together(batch.column("content").to_pylist()):
+                string, offset, anchor, _, count, raw = _windows(contents, width, gram)
+                pick = bits.value.has(anchor) if few else np.ones(len(anchor), dtype=bool)
+                string, offset, count = string[pick], offset[pick], count[pick]
+                begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, contents), dtype=np.int64, count=len(contents)))])
+                ids, starts = (batch.column(c).to_numpy()[string + at] for c in ("id", "start"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts + offset), _strings(raw, begin[string] + offset, count + (width - 1))], names=["id", "start", "content"])
+
+    # Above the size of a bit table all blocks go on: more work, the same result.
+    return strings.select("id", "start", "content").mapInArrow(cut, "id long, start long, content binary")
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, grams: tuple[int, ...] = GRAMS, id_col: str = "doc_id", text_col: str = "text", symbol: int | None = None) -> DataFrame:
     """(id, ranges): starts of the strings that also start earlier, as array<struct<start, count>> of neighbouring starts."""
-    small_batches(spark)
-    texts = _texts(docs, id_col, text_col)
-    counts = repeats.anchor_counts(texts, repeats.utf8, width, gram, within=True).groupBy("h").agg(F.sum("n").alias("n"))
-    shared = materialize(counts.filter("n > 1").select("h"), "anchors")
-    found = materialize(repeats.occurrences(texts, repeats.utf8, width, gram, repeats.bit_table(shared, "h"), within=True), "blocks")
-    first = found.groupBy("h", "bh").agg(F.min(F.struct("id", "start", "count")).alias("first"), F.max("twice").alias("twice"))
-    first = materialize(first, "first-blocks")
-    split = first.groupBy("h").agg((F.min("bh") != F.max("bh")).alias("s")).filter("s").select("h", F.lit(True).alias("split"))
-    later = (F.col("id") > F.col("first.id")) | ((F.col("id") == F.col("first.id")) & (F.col("start") > F.col("first.start")))
-    again = found.join(first, ["h", "bh"]).filter(later).select("id", "start", "count")
-    contested = first.join(split, "h", "left").filter(F.col("split") | F.col("twice")).select("first.*").distinct()
-    edges = _sorted_repeats(spark, texts, materialize(contested, "contested"), width, base)
-    ranges = materialize(repeats.grouped(again.union(edges)), "ranges")
-    for table in (shared, found, first):
-        drop_table(table)
+    scratch = Scratch(spark)
+    with small_batches(spark):
+        texts = _texts(docs, id_col, text_col)
+        counts = repeats.anchor_counts(texts, repeats.utf8, width, grams[0]).groupBy("h").agg(F.sum("n").alias("n"))
+        anchors = scratch.table(counts.filter("n > 1").select("h"), "anchors")
+        blocks = _blocks(texts, anchors, anchors.count(), width, grams[0])
+        found = None
+        for gram in (*grams[1:], grams[-1]):
+            blocks = scratch.table(blocks, "blocks")
+            order = ordered(scratch, blocks.withColumn("count", F.octet_length("content") - (width - 1)), ["content"], once="content")
+            scratch.drop(blocks)
+            again = order.filter(later()).select("id", "start", "count")
+            found = again if found is None else found.union(again)
+            # The first row of a partition keeps its content too, though it may not be the first of its kind.
+            firsts = order.filter(~later()).filter("content IS NOT NULL").select("id", "start", "content")
+            blocks = _finer(scratch, firsts, width, gram)
+        edges = repeated_suffixes(scratch, blocks, width, symbol)
+        ranges = materialize(repeats.grouped(found.union(edges.select("id", "start", F.lit(1).alias("count")))), "ranges")
+    scratch.close()
     return ranges
 
 
-def _sorted_repeats(spark: SparkSession, texts: DataFrame, contested: DataFrame, width: int, base: int) -> DataFrame:
-    """(id, start, 1) for each start in the contested blocks whose string starts earlier in one of them."""
-    # Blocks get places in the joint string: by id and start, through hash groups of ids.
-    groups = contested.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(1024))).withColumn("size", F.col("count") + width)
-    w = W.partitionBy("g").orderBy("id", "start")
-    inside = groups.withColumn("at", F.sum("size").over(w) - F.col("size"))
-    totals = groups.groupBy("g").agg(F.sum("size").alias("t"))  # at most 1024 rows
-    before = totals.withColumn("before", F.sum("t").over(W.orderBy("g")) - F.col("t")).select("g", "before")
-    n = totals.agg(F.sum("t")).first()[0] or 0
-    if not n:
-        return contested.select("id", "start", F.lit(1).alias("count")).limit(0)
-    placed = inside.join(F.broadcast(before), "g").select("id", "start", "count", (F.col("at") + F.col("before")).alias("at"))
-    per_id = placed.groupBy("id").agg(F.collect_list(F.struct("start", "count", "at")).alias("ranges"))
-
-    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for key, text, ranges in zip(pdf["id"], pdf["t"], pdf["ranges"], strict=True):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                starts, counts = (np.array([r[c] for r in ranges], dtype=np.int64) for c in ("start", "count"))
-                sizes = counts + width
-                at, i = repeats.spread(starts, sizes), repeats.spread([r["at"] for r in ranges], sizes)
-                offset = at - np.repeat(starts, sizes)
-                stop = offset == np.repeat(sizes, sizes) - 1
-                c = np.where(stop, 1, raw[np.minimum(at, len(raw) - 1)].astype(np.int64) + 2)
-                window = offset < np.repeat(counts, sizes)
-                hashes = []
-                for k in (0, 1):
-                    h = np.zeros(len(at), dtype=np.int64)
-                    h[window] = repeats.Rolling(repeats.utf8([text])[0], k).runs(at[window], at[window] + width).view(np.int64)
-                    hashes.append(h)
-                parts.append((i, c, np.full(len(at), key, dtype=np.int64), at, *hashes, window))
-            if parts:
-                i, c, ids, at, w1, w2, window = (np.concatenate(x) for x in zip(*parts, strict=True))
-                some = {n: pd.array(np.where(window, w, 0), dtype="Int64") for n, w in (("w1", w1), ("w2", w2))}
-                out = pd.DataFrame({"i": i, "c": c, "id": ids, "start": at, **some})
-                out.loc[~window, ["w1", "w2"]] = pd.NA
-                yield out
-
-    # Ids that repeat have their text once here: a place is laid once.
-    laid = repeats.with_texts(texts, per_id).dropDuplicates(["id"]).mapInPandas(lay, "i long, c long, id long, start long, w1 long, w2 long")
-    laid = materialize(laid, "laid")
-    ranks = suffix_ranks(laid.select("i", "c"), n, width, base)
-    # What starts too near to a block's end has no string, but keeps its place: it never comes between equal strings.
-    run = materialize(runs(laid.join(ranks, "i").select("r", "i", "id", "start", "w1", "w2"), ["w1", "w2"]).filter("w1 IS NOT NULL"), "runs")
-    least = run.groupBy("run").agg(F.min(F.struct("id", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hits = run.join(least, "run").filter((F.col("id") != F.col("least.id")) | (F.col("start") != F.col("least.start")))
-    return hits.select("id", F.col("start").cast("int").alias("start"), F.lit(1).alias("count"))
-
-
 def removed_bytes(docs: DataFrame, ranges: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary) or kept_sha256, for every row of docs."""
     name, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
     schema = f"id long, n_bytes long, n_removed long, n_spans long, {name} {kind}"
     texts = _texts(docs, id_col, text_col)
-    ids = repeats.bit_table(ranges, "id")
+    n = ranges.count()
+    digest_of = lambda t: F.sha2(t, 256) if digest else t
     out = lambda b: hashlib.sha256(b).hexdigest() if digest else b
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[~ids.value.has(pdf["id"].to_numpy(dtype=np.int64))]
-            raw = [t.encode("utf-8", "surrogatepass") for t in pdf["t"]]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "n_bytes": [len(x) for x in raw], "n_removed": 0, "n_spans": 0, name: [out(x) for x in raw]})
-
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[ids.value.has(pdf["id"].to_numpy(dtype=np.int64))]
-
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -133,11 +157,17 @@ def removed_bytes(docs: DataFrame, ranges: DataFrame, width: int = WIDTH, id_col
                 rows.append((key, len(raw), int(gone.sum()), spans, out(raw[~gone].tobytes())))
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", name])
 
-    left = texts.mapInPandas(some, "id long, t string").join(ranges, "id", "left").mapInPandas(cut, schema)
-    both = texts.mapInPandas(whole, schema).union(left)
-    return both.select(F.when(F.col("id") != repeats.NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", name)
+    left = repeats.with_ranges(texts, ranges, ["id"], n).mapInPandas(cut, schema)
+    raw = F.col("t").cast("binary")
+    whole = small_join(texts, ranges.select("id"), "id", "left_anti", n).select("id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), digest_of(raw).alias(name))
+    both = whole.union(left).select(F.when(F.col("id") != repeats.NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", name)
+    with small_batches(docs.sparkSession):
+        return materialize(both, "cut")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return removed_bytes(docs, repeated_bytes(spark, docs), digest=True)
+    ranges = repeated_bytes(spark, docs)
+    out = removed_bytes(docs, ranges, digest=True)
+    drop_table(ranges)
+    return out
