@@ -16,7 +16,7 @@ from quarry.sources import tables as TB
 from quarry.streaming import windows as SW
 
 from .registry import query, table
-from .retrieval import ALL_FIELDS, BATCH, CHUNKS, FIELDS, HIT, L2, PROBE, TERMS, chunks, index_sql, indexed, seeds, sources, vectors
+from .retrieval import ALL_FIELDS, BATCH, CELLS, CHUNKS, FIELDS, HIT, L2, PROBE, TERMS, chunks, index_sql, indexed, seeds, sources, vectors
 
 
 @query("src_1_open_table", "SELECT count(*) AS n FROM nation")
@@ -89,7 +89,7 @@ def snk_5(s, d):
     return BM.search_index(s, path, TERMS, 50, FIELDS).withColumn("score", F.round("score", 6))
 
 
-@query("snk_4_index_cells", "WITH c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cell, e FROM (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY 1)), p AS (SELECT vec_id, cell, list_sum(list_transform(range(1, len(e) + 1), lambda i: (embedding[i]::DOUBLE - e[i]) * (embedding[i]::DOUBLE - e[i]))) AS d FROM embeddings, c), n AS (SELECT vec_id, arg_min(cell, (d, cell)) AS cell FROM p GROUP BY 1) SELECT CAST(cell AS INT) AS cell, count(*) AS n FROM n GROUP BY 1")
+@query("snk_4_index_cells", f"WITH {CELLS} SELECT CAST(cell AS INT) AS cell, count(*) AS n FROM n GROUP BY 1")
 def snk_4(s, d):
     """The vectors written by cell, and read back: a folder a cell."""
     path = TB.scratch(s, "cells")
@@ -479,7 +479,7 @@ def evl_4(s, d):
     return x.select("doc_id", ((mean >= 3.5) & (F.array_min("s") >= 2) & (F.get("s", F.lit(0)) >= 3)).alias("passed"))
 
 
-@query("evl_5_recall_of_cells")
+@query("evl_5_recall_of_cells", "SELECT count(*) AS queries, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS least FROM embeddings WHERE vec_id % 100 = 0")
 def evl_5(s, d):
     """Recall at 10 of the search by cells, averaged over all its queries; the exact rows come from another operator."""
     from .retrieval import knn_4

@@ -62,7 +62,12 @@ def seeds(s, d):  # noqa: ANN001, ANN201
     return [list(r[0]) for r in vectors(s, d).groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").select("c").collect()]
 
 
-@query("knn_4_cells")
+BATCH = "WITH p AS (SELECT a.vec_id AS q, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS dist FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM p)"
+#: The cell of each vector: the nearest of the first vectors of the labels.
+CELLS = "c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cell, e FROM (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY 1)), l AS (SELECT vec_id, cell, list_sum(list_transform(range(1, len(e) + 1), lambda i: (embedding[i]::DOUBLE - e[i]) * (embedding[i]::DOUBLE - e[i]))) AS d FROM embeddings, c), n AS (SELECT vec_id, arg_min(cell, (d, cell)) AS cell FROM l GROUP BY 1)"
+
+
+@query("knn_4_cells", f"{BATCH}, {CELLS} SELECT q, id AS vec_id, round(dist, 6) AS distance, CAST(rank AS INT) AS rank, CAST(n.cell AS INT) AS cell FROM r JOIN n ON r.id = n.vec_id WHERE rank <= 10")
 def knn_4(s, d):
     """Every hundredth vector against cells around the first vector of each label; cells are probed until no other can be nearer."""
     c, q = seeds(s, d), vectors(s, d).filter("vec_id % 100 = 0")
@@ -70,9 +75,6 @@ def knn_4(s, d):
     return near.select("q", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank", "cell")
 
 
-BATCH = "WITH p AS (SELECT a.vec_id AS q, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS dist FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, id) AS rank FROM p)"
-
-
 @query("knn_5_batch", BATCH + " SELECT q, id, round(dist, 6) AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def knn_5(s, d):
     q = vectors(s, d).filter("vec_id % 100 = 0")
