@@ -41,9 +41,14 @@ class Rolling:
     def runs(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[: len(self.sums)][start])
 
-    def every(self, width: int) -> np.ndarray:
+    def every(self, width: int, mixed: bool = True) -> np.ndarray:
+        """Of every run of so many symbols. Unmixed ones are as good in their high bits, and for telling runs apart."""
         n = len(self.sums) - width
-        return self.runs(slice(0, n), slice(width, None)) if n > 0 else self.sums[:0]
+        if n <= 0:
+            return self.sums[:0]
+        out = self.sums[width:] - self.sums[:-width]
+        out *= self.down[:n]
+        return mix(out) if mixed else out
 
 
 def word_hashes(texts: list[str] | list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:

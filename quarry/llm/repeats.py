@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,24 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(texts)
 
 
-def utf8(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    return BYTES[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow column of strings end to end, and where each begins and the last ends: nothing is decoded."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    at = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def cuts(offsets: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of up to so many bytes (or of one text), as together() has them."""
+    start = 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+        yield start, end
+        start = end
 
 
 def together(texts: list, most: int = 200_000) -> Iterator[tuple[int, list]]:
@@ -63,35 +79,40 @@ class Blocks:
     start: np.ndarray
     at: np.ndarray
     count: np.ndarray
-    places: np.ndarray
-    """The anchor of every place that is one, as often as it has places; if asked for."""
+    within: np.ndarray
+    """Whether a window of the block may be in it twice; if asked for."""
 
 
-def blocks(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int, places: bool = False) -> Blocks:
-    none = np.zeros(0, dtype=np.int64)
-    nothing = Blocks(none, none.view(np.uint64), none.view(np.uint64), none, none, none, none.view(np.uint64))
+def blocks(symbols: np.ndarray, sizes: np.ndarray, width: int, gram: int, content: bool = True) -> Blocks:
+    """content: with content hashes; otherwise `within` is told."""
+    none, reach = np.zeros(0, dtype=np.int64), width - gram + 1
     if len(symbols) < width:
-        return nothing
+        return Blocks(none, none.view(np.uint64), none.view(np.uint64), none, none, none, none.astype(bool))
     rolling = Rolling(symbols)
-    grams, reach = rolling.every(gram), width - gram + 1
+    grams = rolling.every(gram, False)
     least = sliding_min(grams, reach)
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    valid = doc[: len(least)] == doc[width - 1 :]
-    at = np.flatnonzero(valid)
-    if not len(at):
-        return nothing
-    own, d = least[at], doc[at]
-    first = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (d[1:] != d[:-1])) + 1])
-    count = np.diff(first, append=len(at))
-    start, d = at[first], d[first]
-    begin = np.cumsum(sizes) - sizes
-    found = none.view(np.uint64)
-    if places:
-        # The largest anchor among the windows that hold a place: equal to the place's hash if it is the anchor of one.
-        edge = np.full(reach - 1, ~np.uint64(0))
-        most = ~sliding_min(np.concatenate([edge, np.where(valid, ~least, ~np.uint64(0)), edge]), reach)
-        found = grams[grams == most]
-    return Blocks(d.astype(np.int64), own[first], rolling.runs(start, start + count + (width - 1)), start - begin[d], start, count, found)
+    begin, long = np.cumsum(sizes) - sizes, sizes >= width
+    # Blocks begin where the anchor changes, a document begins, or its last window is over.
+    edge = np.ones(len(least) + width, dtype=bool)
+    np.not_equal(least[1:], least[:-1], out=edge[1 : len(least)])
+    edge[begin[long]] = edge[(begin + sizes - (width - 1))[long]] = True
+    at = np.flatnonzero(edge[: len(least)])
+    count = np.diff(at, append=len(least))
+    doc = np.searchsorted(begin, at, "right") - 1
+    inside = at + width <= (begin + sizes)[doc]
+    at, count, doc = at[inside], count[inside], doc[inside]
+    hashes, within = none.view(np.uint64), none.astype(bool)
+    if content:
+        hashes = rolling.runs(at, at + count + (width - 1))
+    else:
+        # Of two equal windows, the first begins at or before an anchor's place that begins a window of the block, and the second ends at
+        # or behind another one that ends a window.
+        n, end = len(least), at + count
+        first, last = np.flatnonzero(grams[:n] == least), np.flatnonzero(grams[reach - 1 : reach - 1 + n] == least)
+        x = np.concatenate([first, [len(grams)]])[np.searchsorted(first, at)]
+        y = np.concatenate([[-1], last])[np.searchsorted(last, end)]
+        within = (x < end) & (y >= at) & (x < y + reach - 1)
+    return Blocks(doc, least[at], hashes, at - begin[doc], at, count, within)
 
 
 class Bits:
@@ -122,22 +143,26 @@ def bit_table(df: DataFrame, col: str, rows: int | None = None):  # noqa: ANN201
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "raw": [np.packbits(table, bitorder="little").tobytes()]})
 
     out = Bits(log2)
-    for r in df.select(col).mapInPandas(slots, "slice int, at int").groupBy("slice").applyInPandas(fill, "slice int, raw binary").toLocalIterator():
+    for r in df.select(col).mapInPandas(slots, "slice int, at int").groupBy("slice").applyInPandas(fill, "slice int, raw binary").collect():
         out.table[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["raw"], dtype=np.uint8)
     return df.sparkSession.sparkContext.broadcast(out)
 
 
-def anchor_counts(texts: DataFrame, symbols: Symbols, width: int, gram: int) -> DataFrame:
-    """h and n: at how many places an anchor occurs. Summed once for each batch of texts, not over batches, so that one shuffle can do the rest."""
+def anchor_counts(texts: DataFrame, width: int, gram: int) -> DataFrame:
+    """h and n: in how many blocks of bytes an anchor occurs, with one more for a block that may repeat itself. Summed once for each batch of
+    texts, not over batches, so that one shuffle can do the rest."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(0))
             out = [np.zeros(0, dtype=np.uint64)]
-            out.extend(blocks(*symbols(some), width, gram, True).places for _, some in together(pdf["t"].tolist()))
+            for i, j in cuts(offsets):
+                x = blocks(BYTES[raw[offsets[i] : offsets[j]]], np.diff(offsets[i : j + 1]), width, gram, content=False)
+                out += [x.anchor, x.anchor[x.within]]
             h, n = np.unique(np.concatenate(out), return_counts=True)
-            yield pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
-    return texts.select("t").mapInPandas(scan, "h long, n int")
+    return texts.select("t").mapInArrow(scan, "h long, n int")
 
 
 def with_ranges(texts: DataFrame, ranges: DataFrame, keys: list[str], rows: int) -> DataFrame:

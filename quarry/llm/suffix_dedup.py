@@ -5,8 +5,8 @@ earlier in the same one. Strings are judged on the input.
 
 1. What cannot repeat is left out first, without loss: a window whose anchor (see repeats.py) occurs at one place only.
 2. What is left is cut into blocks, stretches of windows with one anchor. Blocks are sorted as strings and compared with their neighbours;
-   those equal to an earlier one are covered whole, and only the first of its bytes goes on. Two more levels do the same with the blocks that
-   went on, with longer anchors and so shorter blocks, until little more than the edges of passages is left.
+   those equal to an earlier one are covered whole. The first of its bytes goes on if its anchor has other contents too. Two more levels do the
+   same with the blocks that went on, with longer anchors and so shorter blocks, until little more than the edges of passages is left.
 3. The suffixes at these edges are sorted by the difference-cover algorithm, and neighbours compared in their first `width` bytes (suffix_array.py).
 
 All comparisons that remove something are of bytes; hashes only choose what is compared.
@@ -48,22 +48,29 @@ def _strings(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Bi
 
 
 def _blocks(texts: DataFrame, anchors: DataFrame, n_anchors: int, width: int, gram: int) -> DataFrame:
-    """(id, start, content) of the blocks of texts whose anchor is in `anchors`."""
+    """(h, id, start, within, content) of the blocks of texts whose anchor is in `anchors`."""
     few = n_anchors <= repeats.BIT_ROWS
     bits = repeats.bit_table(anchors, "h", n_anchors) if few else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for offset, some in repeats.together(batch.column("t").to_pylist()):
-                x = repeats.blocks(*repeats.utf8(some), width, gram)
+            raw, offsets = repeats.utf8(batch.column("t"))
+            for i, j in repeats.cuts(offsets):
+                own = raw[offsets[i] : offsets[j]]
+                x = repeats.blocks(BYTES[own], np.diff(offsets[i : j + 1]), width, gram, content=False)
                 pick = bits.value.has(x.anchor) if few else np.ones(len(x.anchor), dtype=bool)
-                raw = np.frombuffer("".join(some).encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                content = _strings(raw, x.at[pick], x.count[pick] + (width - 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x.anchor[pick].view(np.int64)), pa.array(ids[offset + x.doc[pick]]), pa.array(x.start[pick]), content], names=["h", "id", "start", "content"])
+                content = _strings(own, x.at[pick], x.count[pick] + (width - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x.anchor[pick].view(np.int64)), pa.array(ids[i + x.doc[pick]]), pa.array(x.start[pick]), pa.array(x.within[pick]), content], names=["h", "id", "start", "within", "content"])
 
-    found = texts.select("id", "t").mapInArrow(scan, "h long, id long, start long, content binary")
-    return (found if few else found.join(anchors, "h", "left_semi")).drop("h")
+    found = texts.select("id", "t").mapInArrow(scan, "h long, id long, start long, within boolean, content binary")
+    return found if few else found.join(anchors, "h", "left_semi")
+
+
+def _contested(firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of firsts (one a content) whose anchor has other contents too, or that may repeat themselves: only their windows may be elsewhere."""
+    shared = scratch.table(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("within").alias("w")).filter("n > 1 OR w").select("h"), "contested")
+    return small_join(firsts, shared, "h", "left_semi", shared.count())
 
 
 def _windows(contents: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +91,8 @@ def _windows(contents: list[bytes], width: int, gram: int) -> tuple[np.ndarray,
 
 
 def _finer(scratch: Scratch, strings: DataFrame, width: int, gram: int) -> DataFrame:
-    """(id, start, content): the blocks of strings (id, start, content) whose anchor has several places in them."""
+    """(h, id, start, within, content): the blocks of strings (id, start, content) whose anchor has several places in them. A block has one place of
+    its anchor, so none has a window twice."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,13 +113,14 @@ def _finer(scratch: Scratch, strings: DataFrame, width: int, gram: int) -> DataF
             for at, contents in repeats.together(batch.column("content").to_pylist()):
                 string, offset, anchor, _, count, raw = _windows(contents, width, gram)
                 pick = bits.value.has(anchor) if few else np.ones(len(anchor), dtype=bool)
-                string, offset, count = string[pick], offset[pick], count[pick]
+                string, offset, anchor, count = string[pick], offset[pick], anchor[pick], count[pick]
                 begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, contents), dtype=np.int64, count=len(contents)))])
                 ids, starts = (batch.column(c).to_numpy()[string + at] for c in ("id", "start"))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts + offset), _strings(raw, begin[string] + offset, count + (width - 1))], names=["id", "start", "content"])
+                columns = [pa.array(anchor.view(np.int64)), pa.array(ids), pa.array(starts + offset), pa.array(np.zeros(len(ids), dtype=bool)), _strings(raw, begin[string] + offset, count + (width - 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "id", "start", "within", "content"])
 
     # Above the size of a bit table all blocks go on: more work, the same result.
-    return strings.select("id", "start", "content").mapInArrow(cut, "id long, start long, content binary")
+    return strings.select("id", "start", "content").mapInArrow(cut, "h long, id long, start long, within boolean, content binary")
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, grams: tuple[int, ...] = GRAMS, id_col: str = "doc_id", text_col: str = "text", symbol: int | None = None) -> DataFrame:
@@ -119,19 +128,19 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gra
     scratch = Scratch(spark)
     with small_batches(spark):
         texts = _texts(docs, id_col, text_col)
-        counts = repeats.anchor_counts(texts, repeats.utf8, width, grams[0]).groupBy("h").agg(F.sum("n").alias("n"))
+        counts = repeats.anchor_counts(texts, width, grams[0]).groupBy("h").agg(F.sum("n").alias("n"))
         anchors = scratch.table(counts.filter("n > 1").select("h"), "anchors")
-        blocks = _blocks(texts, anchors, anchors.count(), width, grams[0])
-        found = None
-        for gram in (*grams[1:], grams[-1]):
+        blocks, found = _blocks(texts, anchors, anchors.count(), width, grams[0]), None
+        for finer in (*grams[1:], None):
             blocks = scratch.table(blocks, "blocks")
-            order = ordered(scratch, blocks.withColumn("count", F.octet_length("content") - (width - 1)), ["content"], once="content")
+            # Equal contents have one anchor. It comes first, as numbers sort faster than bytes.
+            order = ordered(scratch, blocks.withColumn("count", F.octet_length("content") - (width - 1)), ["h", "content"], once="content")
             scratch.drop(blocks)
             again = order.filter(later()).select("id", "start", "count")
             found = again if found is None else found.union(again)
             # The first row of a partition keeps its content too, though it may not be the first of its kind.
-            firsts = order.filter(~later()).filter("content IS NOT NULL").select("id", "start", "content")
-            blocks = _finer(scratch, firsts, width, gram)
+            blocks = _contested(order.filter(~later()).filter("content IS NOT NULL").select("h", "id", "start", "within", "content"), scratch)
+            blocks = _finer(scratch, blocks, width, finer) if finer else blocks
         edges = repeated_suffixes(scratch, blocks, width, symbol)
         ranges = materialize(repeats.grouped(found.union(edges.select("id", "start", F.lit(1).alias("count")))), "ranges")
     scratch.close()

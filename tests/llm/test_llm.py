@@ -262,6 +262,10 @@ def test_suffix_dedup(spark, docs, texts, empty, monkeypatch):
     assert run(docs) == bytes_left(texts) and run(empty) == {}
     copies = [texts[3]] * 5
     assert run(frame(spark, copies).repartition(4)) == bytes_left(copies)
+    # Texts that repeat themselves only, at every distance.
+    r = random.Random(3)
+    periodic = [("".join(r.choices("abcdefgh", k=p)) * 200)[: 100 + p + p % 7] + "".join(r.choices("ijklmn", k=p % 50)) for p in range(1, 140)]
+    assert run(frame(spark, periodic)) == bytes_left(periodic)
     monkeypatch.setattr(repeats, "BIT_ROWS", 0)  # semi-joins in place of bit tables
     assert run(docs) == bytes_left(texts)
 
