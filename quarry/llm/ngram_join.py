@@ -72,7 +72,7 @@ def _levels(scratch: Scratch, texts: DataFrame, width: int) -> tuple[DataFrame,
     tables = rows.filter("raw IS NOT NULL").select("slice", "part", "raw")
     tasks = (tables.agg(F.max("part")).first()[0] or 0) + 1
     total = np.zeros(cells, dtype=np.uint64)
-    for r in merged(tables, add, tasks).toLocalIterator():
+    for r in merged(tables, add, tasks).collect():  # one row a slice
         total[r["slice"] * per : (r["slice"] + 1) * per] += np.frombuffer(zlib.decompress(r["raw"]), dtype=np.uint64)
     return rows.filter("raw IS NULL").drop("slice", "part", "raw"), np.floor(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
 

@@ -70,7 +70,7 @@ class FingerprintIndex:
         rows = blocks.repartition(self.buckets, "h")
         if level:
             rows = rows.groupBy("h", "bh").agg(F.min(F.struct("id", "start", "count")).alias("first")).select("h", "bh", "first.*")
-        rows.sortWithinPartitions("h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
         self.runs.append((level, name))
         return name
 
