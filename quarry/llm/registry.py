@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, suffix_dedup
+from . import best_fit, classifier, exact_dedup, line_dedup, merkle, mixing, ngram_join, packing, periodic, pii, quality_rules, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_best_fit_packing": best_fit.op13_best_fit_packing,
 }
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_mixing": mixing.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
