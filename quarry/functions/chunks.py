@@ -17,8 +17,8 @@ CHUNK = "array<struct<i:bigint,start:bigint,stop:bigint,content:string>>"
 
 def sentence_spans(text: str, size: int, overlap: int, near: int = NEAR) -> list[tuple[int, int]]:
     """Spans of up to `size` characters. A span ends with the last sentence that ends within `near` characters before its limit, and the next one
-    starts with the first sentence in the overlap; without any, both fall on fixed places. Each start is a tenth of the size further at least,
-    so there is no end to guard, and the last span reaches the end of the text."""
+    starts with the first sentence in the overlap; without any, both fall on fixed places. Each start is a tenth of the size further at least, but
+    never behind the last end: no character is lost, and the last span reaches the end of the text."""
     runs = [m.span() for m in _STOPS.finditer(text)]
     begins, ends = [a for a, _ in runs], [b for _, b in runs]
     overlap, step, n = min(overlap, size * 8 // 10), max(1, size // 10), len(text)
@@ -36,7 +36,7 @@ def sentence_spans(text: str, size: int, overlap: int, near: int = NEAR) -> list
             after = min(max(start + max(1, (stop - start) // 20), ends[k]), stop - 1)
         else:
             after = stop - overlap
-        start = max(after, start + step)
+        start = max(after, min(start + step, stop))
     return out
 
 

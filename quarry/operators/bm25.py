@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +43,29 @@ def hits(term: Column, terms: Sequence[str], wildcard: bool = False) -> Column:
     return out
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, field, t (tokens) -> term, id, field, len, tf: tokens are numbered within a batch, and (row, number) pairs counted."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("t")).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(batch.column("t")).dictionary_encode()
+        if not len(coded):
+            continue
+        n = len(coded.dictionary)
+        pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(), return_counts=True)
+        row = pa.array(pairs // n)
+        own = [batch.column(c).take(row) for c in ("id", "field")]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(pairs % n)), *own, pa.array(sizes[pairs // n].astype(np.int32)), pa.array(tf)], names=["term", "id", "field", "len", "tf"])
+
+
 def postings(docs: DataFrame, key: str, fields: Sequence[str], keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """term, id, field, tf, len: the index, or the part of it whose terms pass `keep`, which is taken inside each row, before anything is
-    exploded or shuffled. Partial counts are made before the shuffle."""
+    """term, id, field, len, tf: the index, or the part of it whose terms pass `keep`. Keys are unique, so terms are counted inside each row: nothing
+    is shuffled."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])
     x = docs.select(F.col(key).alias("id"), F.inline(each)).filter("t IS NOT NULL")
-    x = x.select("id", "field", F.size("t").alias("len"), F.explode(F.filter("t", keep) if keep else F.col("t")).alias("term"))
-    return x.groupBy("term", "id", "field", "len").agg(F.count(F.lit(1)).alias("tf"))
+    if keep:
+        x = x.select("id", "field", F.size("t").alias("len"), F.explode(F.filter("t", keep)).alias("term"))
+        return x.groupBy("term", "id", "field", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return x.mapInArrow(_counted, f"term string, id {docs.schema[key].dataType.simpleString()}, field string, len int, tf long")
 
 
 def field_stats(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -59,13 +79,22 @@ def bm25(index: DataFrame, stats: DataFrame, terms: Sequence[str], fields: Seque
     p = index.filter(hits(F.col("term"), terms, wildcard) & F.col("field").isin(*fields))
     df = p.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     x = p.join(df, ["term", "field"]).crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    avg, boost = F.lit(1.0), F.lit(1.0)
-    for f in fields:
-        avg = F.when(F.col("field") == f, F.col(f"avg_{f}")).otherwise(avg)
-        boost = F.when(F.col("field") == f, F.lit(BOOSTS.get(f, 1.0))).otherwise(boost)
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    return x.groupBy("id").agg(F.sum(idf * tf * boost).alias("score"), F.count_distinct("term").alias("match_count"))
+    part = _idf(F.col("n_docs")) * _saturated({f: F.col(f"avg_{f}") for f in fields}) * _boost(fields)
+    return x.groupBy("id").agg(F.sum(part).alias("score"), F.count_distinct("term").alias("match_count"))
+
+
+def _idf(n_docs: Column) -> Column:
+    return F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _boost(fields: Iterable[str]) -> Column:
+    return reduce(lambda out, f: F.when(F.col("field") == f, F.lit(BOOSTS.get(f, 1.0))).otherwise(out), fields, F.lit(1.0))
+
+
+def _saturated(avg: dict[str, Column | float]) -> Column:
+    """A posting's count (tf, len, field), saturated and related to the field's mean length."""
+    mean = reduce(lambda out, f: F.when(F.col("field") == f, avg[f]).otherwise(out), avg, F.lit(1.0))
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -78,27 +107,164 @@ def search(docs: DataFrame, key: str, terms: Sequence[str], k: int, fields: Sequ
     return best(bm25(index, field_stats(docs, fields), terms, fields, wildcard), k)
 
 
-def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buckets: int = 64) -> int:
-    """Writes postings, cut into buckets by term and sorted by it, and the corpus statistics, as a version of the index at `path`."""
-    p = postings(docs, key, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    stats = field_stats(docs, fields).withColumn("buckets", F.lit(buckets))
-    return tables.replace_all({"postings": (p.repartition("bucket").sortWithinPartitions("bucket", "term"), ["bucket"]), "stats": (stats.coalesce(1), [])}, path)
-
-
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The postings and the one row of statistics of the current version."""
-    at = f"{path}/v{tables.version(spark, path)}"
-    return spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/stats")
-
-
-def search_index(spark: SparkSession, path: str, terms: Sequence[str], k: int, fields: Sequence[str] = ("content",)) -> DataFrame:
+GRAM = 3
+#: Ranges of documents whose upper bounds may come to the driver, 12 bytes each; above that they stay a DataFrame.
+MOST_RANGES = 200_000
+#: Postings that are read without a look at their bounds first.
+DIRECT = 200_000
+
+
+def grams(term: Column) -> Column:
+    """The distinct substrings of GRAM characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(term) - (GRAM - 1), F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(term, i, F.lit(GRAM))))
+
+
+#: The tables of an index; `id` has the type of the documents' key. An empty table has no files to tell it.
+SCHEMAS = {
+    "postings": "term string, range int, id {id}, field string, tf long, len int, bucket int",
+    "terms": "term string, field string, df long, n long, bucket int",
+    "bounds": "term string, field string, range int, most double, n long, bucket int",
+    "grams": "gram string, term string, bucket int",
+}
+
+
+def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buckets: int = 64, docs_a_range: int = 256, files_a_bucket: int = 4) -> int:
+    """Writes a version of the index at `path`, five tables that change together:
+
+    postings: term, range (documents by a hash of the key, some `docs_a_range` each), id, field, tf, len; in buckets by term, sorted by term and
+    range. terms: term, field, df, in the same buckets. bounds: for the terms of more than `docs_a_range` documents, by field and range, how many
+    postings there are and the greatest share (see _saturated). grams: gram, term, in buckets by gram. stats: one row."""
+    spark = docs.sparkSession
+    have = docs.agg(F.count(F.lit(1)).alias("n_docs"), *[F.count(f).alias(f) for f in fields]).first()
+    ranges = max(1, -(-have["n_docs"] // docs_a_range))
+    kind = docs.schema[key].dataType.simpleString()
+    read = lambda folder, name: spark.read.schema(SCHEMAS[name].format(id=kind)).parquet(f"{folder}/{name}")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    x = postings(docs, key, fields).select("term", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range"), "id", "field", "tf", "len", bucket)
+    x = x.repartition(buckets, "bucket", F.pmod(F.col("range"), F.lit(files_a_bucket))).sortWithinPartitions("bucket", "term", "range")
+
+    def terms(folder: str) -> DataFrame:
+        df = read(folder, "postings").groupBy("bucket", "term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+
+    def stats(folder: str) -> DataFrame:
+        n = {r["field"]: r["n"] for r in read(folder, "terms").groupBy("field").agg(F.sum("n").alias("n")).collect()}  # a row a field
+        row = {"n_docs": have["n_docs"], "buckets": buckets, "ranges": ranges, "often": docs_a_range, "id_type": kind} | {f"avg_{f}": n.get(f, 0) / have[f] if have[f] else 0.0 for f in fields}
+        return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {'double' if c.startswith('avg_') else 'string' if c == 'id_type' else 'long'}" for c in row)).coalesce(1)
+
+    def bounds(folder: str) -> DataFrame:
+        mean = spark.read.parquet(f"{folder}/stats").first().asDict()
+        often = read(folder, "terms").filter(F.col("df") > docs_a_range).select("bucket", "term", "field", "df")
+        x = read(folder, "postings").join(often, ["bucket", "term", "field"])
+        x = x.groupBy("bucket", "term", "field", "range").agg(F.max(_saturated({f: mean[f"avg_{f}"] for f in fields})).alias("most"), F.count(F.lit(1)).alias("n"))
+        return x.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "range")
+
+    def gram(folder: str) -> DataFrame:
+        x = read(folder, "terms").select("term").distinct().select(F.explode(grams(F.col("term"))).alias("gram"), "term")
+        x = x.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+        return x.repartition(buckets, "bucket").sortWithinPartitions("bucket", "gram")
+
+    parts = {"postings": (x, ["bucket"]), "terms": (terms, ["bucket"]), "stats": (stats, []), "bounds": (bounds, ["bucket"]), "grams": (gram, ["bucket"])}
+    return tables.replace_all(parts, path)
+
+
+class SavedIndex:
+    """The current version of a saved index.
+
+    A search for k rows bounds first what a document of each range can score: by the bounds of frequent terms, and by the postings of the others,
+    which are few. The k ranges with the greatest sums are scored, the k-th score found there is the threshold, and only ranges whose bound
+    reaches it are read: rows are those of a full read. A wildcard's grams lead to the terms that hold it; what is shorter than a gram is looked
+    up in the dictionary."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        folder = tables.at(spark, path)
+        self.stats = spark.read.parquet(f"{folder}/stats").first().asDict()
+        self.postings, self.bounds, self.terms, self.grams = (spark.read.schema(SCHEMAS[n].format(id=self.stats["id_type"])).parquet(f"{folder}/{n}") for n in ("postings", "bounds", "terms", "grams"))
+        self._known: dict[str, list[tuple[str, str, int]]] = {}
+        self.avg = {c.removeprefix("avg_"): v for c, v in self.stats.items() if c.startswith("avg_")}
+
+    def _bucket(self, words: Sequence[str]) -> Column:
+        """Constant, so that folders of other buckets are not listed."""
+        return reduce(lambda a, w: a | (F.col("bucket") == F.pmod(F.xxhash64(F.lit(w)), F.lit(self.stats["buckets"])).cast("int")), words, F.lit(False))
+
+    def containing(self, part: str) -> DataFrame:
+        """The terms that contain a string."""
+        own = sorted({part[i : i + GRAM] for i in range(len(part) - GRAM + 1)})
+        if not own:
+            return self.terms.filter(F.contains("term", F.lit(part))).select("term").distinct()
+        x = self.grams.filter(self._bucket(own) & F.col("gram").isin(own)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        return x.filter((F.col("n") == len(own)) & F.contains("term", F.lit(part))).select("term")
+
+    def matching(self, terms: Sequence[str], fields: Sequence[str], wildcard: bool = False) -> Callable[[DataFrame], DataFrame]:
+        """Cuts a table of this index to the rows of the terms, and adds df."""
+        if not wildcard:
+            wanted = self._bucket(terms) & F.col("term").isin(list(terms)) & F.col("field").isin(*fields)
+            rows = self._looked_up(terms, fields)
+            known = self.spark.createDataFrame(rows, "term string, field string, df long")
+            return lambda table: table.filter(wanted).join(F.broadcast(known), ["term", "field"])
+        found = reduce(DataFrame.union, [self.containing(t) for t in terms]).distinct()
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.stats["buckets"])).cast("int")
+        own = [r[0] for r in found.select(bucket).distinct().collect()]  # buckets, a fixed number
+        cut = lambda table: table.filter(F.col("bucket").isin(own) & F.col("field").isin(*fields))
+        known = cut(self.terms).join(found, "term", "left_semi").select("term", "field", "df")
+        return lambda table: cut(table).join(known, ["term", "field"])
+
+    def _looked_up(self, terms: Sequence[str], fields: Sequence[str]) -> list[tuple[str, str, int]]:
+        """The dictionary's rows of the terms, read once."""
+        new = [t for t in terms if t not in self._known]
+        found = self.terms.filter(self._bucket(new) & F.col("term").isin(new)).select("term", "field", "df").collect() if new else []  # terms x fields rows
+        self._known |= {t: [(r["term"], r["field"], r["df"]) for r in found if r["term"] == t] for t in new}
+        return [r for t in dict.fromkeys(terms) for r in self._known[t] if r[1] in fields]
+
+    def _weight(self) -> Column:
+        return _idf(F.lit(self.stats["n_docs"])) * _boost(self.avg)
+
+    def _scores(self, own: DataFrame) -> DataFrame:
+        return own.groupBy("id").agg(F.sum(self._weight() * _saturated(self.avg)).alias("score"), F.count_distinct("term").alias("match_count"))
+
+    def scores(self, terms: Sequence[str], fields: Sequence[str] = ("content",), wildcard: bool = False) -> DataFrame:
+        """id, score, match_count of every document with one of the terms."""
+        return self._scores(self.matching(terms, fields, wildcard)(self.postings))
+
+    def search(self, terms: Sequence[str], k: int, fields: Sequence[str] = ("content",), wildcard: bool = False) -> DataFrame:
+        """id, score, match_count: the k best."""
+        own = self.matching(terms, fields, wildcard)
+        found = own(self.postings)
+        n = own(self.terms.drop("df")).agg(F.sum("df")).first()[0] if wildcard else sum(r[2] for r in self._looked_up(terms, fields))
+        if (n or 0) <= DIRECT:
+            return best(self._scores(found), k)
+        ranges, _, _ = self.wanted(own, k)
+        return best(self._scores(found.filter(F.col("range").isin(ranges)) if isinstance(ranges, list) else found.join(ranges, "range", "left_semi")), k)
+
+    def wanted(self, own: Callable[[DataFrame], DataFrame], k: int) -> tuple[list[int] | DataFrame, int, int]:
+        """The ranges to read for the k best, the postings in them, and all postings of the terms."""
+        often = own(self.bounds).select("range", (self._weight() * F.col("most")).alias("most"), "n")
+        rest = own(self.postings).filter(F.col("df") <= F.lit(self.stats["often"])).select("range", (self._weight() * _saturated(self.avg)).alias("most"), F.lit(1).cast("long").alias("n"))
+        sums = often.union(rest).groupBy("range").agg(F.sum("most").alias("most"), F.sum("n").alias("n"))
+        few = self.stats["ranges"] <= MOST_RANGES
+        if not few:
+            folder = tables.scratch(self.spark, "bounds")
+            sums.write.parquet(folder)
+            sums = self.spark.read.parquet(folder)
+        head = sums.orderBy(F.desc("most"), "range").limit(MOST_RANGES if few else k).collect()
+        first = [r["range"] for r in head[:k]]
+        seen = best(self._scores(own(self.postings).filter(F.col("range").isin(first))), k).collect() if first else []
+        least = seen[-1]["score"] - 1e-6 if len(seen) == k else float("-inf")
+        if few:
+            ranges = [r for r in head if r["most"] >= least]
+            return [r["range"] for r in ranges], sum(r["n"] for r in ranges), sum(r["n"] for r in head)
+        kept = sums.filter(F.col("most") >= least)
+        return kept.select("range"), kept.agg(F.sum("n")).first()[0] or 0, sums.agg(F.sum("n")).first()[0] or 0
+
+def load_index(spark: SparkSession, path: str) -> SavedIndex:
+    return SavedIndex(spark, path)
+
+
+def search_index(spark: SparkSession, path: str, terms: Sequence[str], k: int, fields: Sequence[str] = ("content",), wildcard: bool = False) -> DataFrame:
     """A search that reads the buckets of its terms only, and in them the row groups with the terms."""
-    index, stats = load_index(spark, path)
-    buckets = stats.first()["buckets"]
-    wanted = F.lit(False)
-    for t in terms:
-        wanted = wanted | (F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int"))
-    return best(bm25(index.filter(wanted), stats, terms, fields), k)
+    return SavedIndex(spark, path).search(terms, k, fields, wildcard)
 
 
 def title_ratio(title: Column, keywords: Sequence[str]) -> Column:

@@ -98,16 +98,16 @@ def rescue(docs: DataFrame, key: str, terms: Sequence[str], most: int) -> DataFr
     return m.groupBy(key).agg(F.min(F.when(F.col("n") == len(terms), 0.05).otherwise(0.2)).alias("rescued"))
 
 
-def ranked_search(docs: DataFrame, vectors: DataFrame, key: str, query: list[float], terms: Sequence[str], k: int, rules: SearchRules = SearchRules(), references: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def ranked_search(docs: DataFrame, vectors: DataFrame, key: str, query: list[float], terms: Sequence[str], k: int, rules: SearchRules = SearchRules(), references: DataFrame | None = None, index: BM.SavedIndex | None = None) -> DataFrame:
     """The whole ranked search: vector, text and title candidates, filters, signals, fusion, one row a title, composite scores, expansion.
 
-    docs: key, title, content, labels. vectors: key, embedding. references: src, dst, weight. index: postings and statistics of docs, if
-    there are any (see bm25.load_index). Nothing is collected; every source is cut to its pool first, so what is ranked is a few hundred rows.
+    docs: key, title, content, labels. vectors: key, embedding. references: src, dst, weight. index: a saved index of docs, if
+    there is one (see bm25.save_index). Nothing is collected; every source is cut to its pool first, so what is ranked is a few hundred rows.
     Result: key, title, found_by, rrf, composite, display (0 to 100)."""
     near = V.knn(vectors, "embedding", key, query, rules.pool).select(key, "distance")
     fields = ("title", "content", "labels")
     flat = docs.withColumn("labels", F.array_join("labels", " "))
-    text = BM.best(BM.bm25(*index, terms, fields), rules.pool) if index else BM.search(flat, key, terms, rules.pool, fields)
+    text = index.search(terms, rules.pool, fields) if index else BM.search(flat, key, terms, rules.pool, fields)
     m = merge_sources(near, text.select(F.col("id").alias(key), "score"), key).withColumnRenamed("score", "bm25")
     m = m.join(rescue(docs, key, terms, rules.rescued), key, "full_outer")
     m = m.withColumns({"distance": F.least("distance", "rescued"), "found_by": F.coalesce("found_by", F.lit("title"))})

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,22 +32,11 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     return F.when(F.size(a) == F.size(b), out)
 
 
-#: Up to so many dimensions a distance to a constant is written out, which is compiled; beyond it is a loop over the array.
-WRITTEN_OUT = 128
-
-
-def distance_to(a: Column, query: list[float], metric: str = "l2") -> Column:
-    """distance() to a constant vector, with the terms in the same order."""
-    if metric != "l2" or not 0 < len(query) <= WRITTEN_OUT:
-        return distance(a, F.array(*[F.lit(float(v)) for v in query]), metric)
-    terms = [F.get(a, F.lit(i)).cast("double") - F.lit(float(v)) for i, v in enumerate(query)]
-    return F.when(F.size(a) == len(query), reduce(lambda x, t: x + t * t, terms, F.lit(0.0)))
-
-
 def knn(df: DataFrame, vector: str, key: str, query: list[float], k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
     """The k nearest rows: one scan, a top-k heap a task, no shuffle of rows. The filter goes before the cut."""
     x = df if where is None else df.filter(where)
-    return x.withColumn("distance", distance_to(F.col(vector), query, metric)).filter("distance IS NOT NULL").orderBy("distance", key).limit(k)
+    to = F.array(*[F.lit(float(v)) for v in query])
+    return x.withColumn("distance", distance(F.col(vector), to, metric)).filter("distance IS NOT NULL").orderBy("distance", key).limit(k)
 
 
 def batch_knn(df: DataFrame, vector: str, key: str, queries: DataFrame, query_key: str, query_vector: str, k: int, metric: str = "l2", block: int = 4096) -> DataFrame:

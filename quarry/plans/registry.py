@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources import tables
+
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
@@ -23,3 +26,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SAVED: dict[tuple, str] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[str], object]) -> str:
+    """The folder of what `build` writes from a table (an index): built once a session and state of the table's files, then opened again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _SAVED:
+        folder = tables.scratch(spark, name)
+        build(folder)
+        _SAVED[key] = folder
+    return _SAVED[key]
+
+
+@functools.lru_cache(maxsize=16)
+def opened(kind: type, spark: SparkSession, path: str):  # noqa: ANN201
+    """A saved index, opened once."""
+    return kind(spark, path)

@@ -1,7 +1,8 @@
 """Tables as folders of parquet: read, page, append, delete, replace, back up; and other file formats.
 
-A versioned table is a folder of immutable versions (v0, v1, …) and a pointer file that names the current one. Writers write a new version
-and then replace the pointer by one rename, so a reader or a crash sees the old table or the new one, never none.
+A versioned table is a folder of immutable versions, each under a name of its own, and a small file for each version number that names its
+folder. Writers write a folder first and then claim the next number by one rename that fails if the number is taken: a reader or a crash sees
+the old table or the new one, and of two writers with one base the second is told (Conflict), so it can read again and go on.
 """
 
 from __future__ import annotations
@@ -10,12 +11,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-POINTER = "_current"
+POINTER = "_version-"
+
+
+class Conflict(RuntimeError):
+    """Another writer has replaced the version that a change was based on."""
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -43,6 +49,12 @@ def load(spark: SparkSession, path: str, columns: list[str] | None = None, where
     return x.select(*columns) if columns else x
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out to all of them; a scan of more stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+
+
 def page(df: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
     return df.orderBy(key).offset(offset).limit(limit)
 
@@ -57,21 +69,36 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, folder = _files(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n.removeprefix(POINTER)) for n in names if n.startswith(POINTER) and n.removeprefix(POINTER).isdigit())
+
+
 def version(spark: SparkSession, path: str) -> int | None:
     """The number of the current version; None for a table that does not exist."""
-    fs, pointer = _files(spark, f"{path}/{POINTER}")
-    if not fs.exists(pointer):
-        return None
+    return max(_versions(spark, path), default=None)
+
+
+def _folder(spark: SparkSession, path: str, number: int) -> str:
+    fs, pointer = _files(spark, f"{path}/{POINTER}{number}")
     stream = fs.open(pointer)
     try:
-        return int(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return f"{path}/{spark._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
     finally:
         stream.close()
 
 
+def at(spark: SparkSession, path: str) -> str:
+    """The folder of the current version."""
+    return _folder(spark, path, version(spark, path))
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The current version of a versioned table."""
-    return spark.read.parquet(f"{path}/v{version(spark, path)}")
+    return spark.read.parquet(at(spark, path))
 
 
 def replace(df: DataFrame, path: str, keep: int = 2) -> int:
@@ -79,26 +106,42 @@ def replace(df: DataFrame, path: str, keep: int = 2) -> int:
     return replace_all({"": (df, [])}, path, keep)
 
 
-def replace_all(parts: dict[str, tuple[DataFrame, list[str]]], path: str, keep: int = 2) -> int:
-    """The same for several tables that change together: name in the version -> rows and the columns to partition by."""
-    spark = next(iter(parts.values()))[0].sparkSession
+def replace_all(parts: dict[str, tuple[DataFrame | Callable[[str], DataFrame], list[str]]], path: str, keep: int = 2) -> int:
+    """The same for several tables that change together: name in the version -> rows and the columns to partition by. Rows may be a function of
+    the version's folder, for what is made from a table written before it."""
+    spark = next(df.sparkSession for df, _ in parts.values() if isinstance(df, DataFrame))
     was = version(spark, path)
-    now = 0 if was is None else was + 1
+    now, own = 0 if was is None else was + 1, f"v-{uuid.uuid4().hex}"
     for name, (df, by) in parts.items():
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/v{now}/{name}".rstrip("/"))
-    fs, fresh = _files(spark, f"{path}/{POINTER}.{uuid.uuid4().hex}")
+        rows = df if isinstance(df, DataFrame) else df(f"{path}/{own}")
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{own}/{name}".rstrip("/"))
+    fs, fresh = _files(spark, f"{path}/_new-{own}")
     stream = fs.create(fresh)
-    stream.write(bytearray(str(now), "ascii"))
+    stream.write(bytearray(own, "ascii"))
     stream.close()
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fresh, _files(spark, f"{path}/{POINTER}")[1], options)
-    for old in range(max(0, now - keep - 8), now - keep + 1):
-        fs.delete(_files(spark, f"{path}/v{old}")[1], True)
+    try:
+        context.rename(fresh, _files(spark, f"{path}/{POINTER}{now}")[1], spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:
+        for gone in (f"{path}/_new-{own}", f"{path}/{own}"):
+            drop(spark, gone)
+        if version(spark, path) != was:
+            raise Conflict(f"version {now} of {path} was written meanwhile") from e
+        raise
+    for old in _versions(spark, path):
+        if old <= now - keep:
+            gone = _folder(spark, path, old)
+            drop(spark, f"{path}/{POINTER}{old}")
+            drop(spark, gone)
     return now
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    fs, gone = _files(spark, path)
+    fs.delete(gone, True)
+
+
 def append_version(df: DataFrame, path: str) -> int:
     """Adds rows to a versioned table, as a version."""
     was = version(df.sparkSession, path)

@@ -115,6 +115,22 @@ def test_a_crash_before_the_pointer_leaves_the_old_table(spark, tmp_path, monkey
     assert tables.current(spark, path).count() == 4
 
 
+def test_the_second_of_two_writers_is_told(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    tables.replace(spark.range(3), path)
+    was = tables.version
+    monkeypatch.setattr(tables, "version", lambda s, p: 0 if p == path else was(s, p))  # both start from version 0
+    assert tables.replace(spark.range(4), path) == 1
+    monkeypatch.undo()
+    stale = iter([0])  # the base is read before the other writer's version, then as it is
+    monkeypatch.setattr(tables, "version", lambda s, p: next(stale, None) if (n := was(s, p)) is None else next(stale, n))
+    with pytest.raises(tables.Conflict):
+        tables.replace(spark.range(9), path)
+    monkeypatch.undo()
+    assert tables.current(spark, path).count() == 4 and tables.replace(spark.range(5), path) == 2 and tables.current(spark, path).count() == 5
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 2  # older versions and the loser's folder are gone
+
+
 def test_json_and_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c\nd'), (2, None)], "id long, t string")
     tables.write_json(df, str(tmp_path / "j"))
