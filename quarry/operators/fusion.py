@@ -98,11 +98,16 @@ def rescue(docs: DataFrame, key: str, terms: Sequence[str], most: int) -> DataFr
     return m.groupBy(key).agg(F.min(F.when(F.col("n") == len(terms), 0.05).otherwise(0.2)).alias("rescued"))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Rows whose number the rules bound (a few hundred, without texts), fetched once, so that what follows does not run the search again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def ranked_search(docs: DataFrame, vectors: DataFrame, key: str, query: list[float], terms: Sequence[str], k: int, rules: SearchRules = SearchRules(), references: DataFrame | None = None, index: BM.SavedIndex | None = None) -> DataFrame:
     """The whole ranked search: vector, text and title candidates, filters, signals, fusion, one row a title, composite scores, expansion.
 
     docs: key, title, content, labels. vectors: key, embedding. references: src, dst, weight. index: a saved index of docs, if
-    there is one (see bm25.save_index). Nothing is collected; every source is cut to its pool first, so what is ranked is a few hundred rows.
+    there is one (see bm25.save_index). Every source is cut to its pool first, so what is ranked is a few hundred rows; only those are fetched.
     Result: key, title, found_by, rrf, composite, display (0 to 100)."""
     near = V.knn(vectors, "embedding", key, query, rules.pool).select(key, "distance")
     fields = ("title", "content", "labels")
@@ -111,7 +116,7 @@ def ranked_search(docs: DataFrame, vectors: DataFrame, key: str, query: list[flo
     m = merge_sources(near, text.select(F.col("id").alias(key), "score"), key).withColumnRenamed("score", "bm25")
     m = m.join(rescue(docs, key, terms, rules.rescued), key, "full_outer")
     m = m.withColumns({"distance": F.least("distance", "rescued"), "found_by": F.coalesce("found_by", F.lit("title"))})
-    x = docs.join(m, key).withColumns({"t": F.lower("title"), "c": F.lower("content")})
+    x = docs.join(F.broadcast(held(m)), key).withColumns({"t": F.lower("title"), "c": F.lower("content")})
     x = x.filter((F.length("content") >= rules.min_chars) & ~_any(F.col("t"), rules.meeting) & ~_any(F.col("t"), rules.deprecated))
     low = F.transform("labels", F.lower)
     plain = reduce(lambda a, w: a + F.exists(low, lambda v: F.contains(v, F.lit(w))).cast("int"), terms, F.lit(0)) / F.lit(float(len(terms)))
@@ -125,7 +130,7 @@ def ranked_search(docs: DataFrame, vectors: DataFrame, key: str, query: list[flo
         _any(F.col("c"), rules.meeting_terms).alias("meeting"), _any(F.col("t"), rules.generic).alias("generic"),
     )
     # First the order that decides who is fused: keyword score, then distance.
-    x = x.withColumn("title_score", F.when(F.col("ratio") > 0, F.col("ratio")))
+    x = held(x).withColumn("title_score", F.when(F.col("ratio") > 0, F.col("ratio")))
     place = F.row_number().over(W.orderBy(F.desc("keyword"), F.col("distance").asc_nulls_last(), key))  # a few hundred rows
     x = x.withColumn("place", place)
     head = fuse(x.filter(F.col("place") <= rules.fused).withColumn("title_", F.col("title")).withColumn("title", F.col("title_score")), key).withColumn("title", F.col("title_")).select(key, "rrf")
@@ -142,6 +147,7 @@ def ranked_search(docs: DataFrame, vectors: DataFrame, key: str, query: list[flo
     best = x.orderBy(F.desc("composite"), F.desc("rrf"), key).limit(k).select(key, "title", "found_by", "rrf", "composite", shown.alias("display"))
     if references is None:
         return best
+    best = held(best)
     linked = references.filter("weight >= 0.7").join(F.broadcast(best.select(F.col(key).alias("src"))), "src", "left_semi")  # k rows
     linked = linked.withColumn("rn", F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))).filter(F.col("rn") <= rules.expanded)
     new = linked.select(F.col("dst").alias(key)).distinct().join(best.select(key), key, "left_anti")
