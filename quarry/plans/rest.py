@@ -12,10 +12,12 @@ from quarry.operators import fusion as FU
 from quarry.operators import graph as G
 from quarry.operators import incremental as I
 from quarry.operators import vector as V
+from quarry.sources import recorded as RC
+from quarry.sources import remote as RM
 from quarry.sources import tables as TB
 from quarry.streaming import windows as SW
 
-from .registry import query, table
+from .registry import query, saved, table
 from .retrieval import ALL_FIELDS, BATCH, CELLS, CHUNKS, FIELDS, HIT, L2, PROBE, TERMS, chunks, found_by_codes, index_sql, indexed, probed, seeds, sources, vector_index, vectors
 
 
@@ -59,6 +61,84 @@ def src_8(s, d):
     return TB.after(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, 50)
 
 
+def changed_at(key):  # noqa: ANN001, ANN201
+    """A minute for each key from the start of 2024 on."""
+    return F.timestamp_seconds(F.lit(1_704_067_200) + F.col(key) * 60)
+
+
+def as_json(**columns):  # noqa: ANN201
+    return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items()]), {"ignoreNullFields": "false"})
+
+
+def recorded_pages(x, folder):  # noqa: ANN001, ANN201
+    x = x.withColumn("updated", changed_at("doc_id"))
+    at = F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    raw = as_json(id=F.col("doc_id").cast("string"), title=F.substring("text", 1, 40), body=F.col("text"), space=F.col("source"), url=F.concat(F.lit("/wiki/"), F.col("doc_id").cast("string")), labels=F.array("lang"), lastModified=at)
+    RC.record(x, folder, "doc_id", "updated", raw)
+
+
+@query("src_7_changed_pages", "SELECT doc_id AS page_id, substr(text, 1, 40) AS title, length(text) AS n FROM documents WHERE doc_id >= 120")
+def src_7_pages(s, d):
+    """The documents as a wiki serves them, page after page; the filter is handed to the service."""
+    folder = saved(s, d, "wiki", "documents", lambda path: recorded_pages(table(s, d, "documents"), path))
+    RM.register(s)
+    x = s.read.format("quarry_wiki").options(url=folder, pagesize="200").load()
+    return x.filter(F.col("updated") >= F.timestamp_seconds(F.lit(1_704_067_200 + 120 * 60))).select("page_id", "title", F.length("content").alias("n"))
+
+
+@query("src_7_synced_pages", "SELECT doc_id AS page_id, length(text) AS n FROM documents WHERE source IS DISTINCT FROM 'src1'")
+def src_7_synced(s, d):
+    """The same wiki as a stream, in two runs with one checkpoint: first its older half, then all of it. Pages of one space are excluded."""
+    wiki, folder = table(s, d, "documents"), TB.scratch(s, "wiki")
+    middle = wiki.select(F.percentile_approx("doc_id", 0.5)).first()[0]
+    RM.register(s)
+    path, checkpoint = TB.scratch(s, "pages"), TB.scratch(s, "stream")
+    for part, first in ((wiki.filter(F.col("doc_id") <= middle), {}), (wiki.filter(F.col("doc_id") > middle), {"": wiki.filter(F.col("doc_id") <= middle).count()})):
+        x = part.withColumn("updated", changed_at("doc_id"))
+        at = F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        raw = as_json(id=F.col("doc_id").cast("string"), title=F.substring("text", 1, 40), body=F.col("text"), space=F.col("source"), lastModified=at)
+        RC.record(x, folder, "doc_id", "updated", raw, first=first)
+        stream = s.readStream.format("quarry_wiki").options(url=folder, pagesize="200").load()
+        SW.synced(stream, path, "page_id", "updated", checkpoint, F.col("space") == "src1").awaitTermination()
+    return s.read.parquet(f"{TB.at(s, path)}/rows").select("page_id", F.length("content").alias("n"))
+
+
+@query("src_8_changed_tickets", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS project, c_name AS summary FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey > 60")
+def src_8_tickets(s, d):
+    """The customers as a tracker serves tickets, by project and token; projects and time are handed to the service."""
+
+    def build(path):  # noqa: ANN001, ANN202
+        x = table(s, d, "customer").withColumn("updated", changed_at("c_custkey"))
+        at = F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        raw = as_json(key=F.col("c_custkey").cast("string"), summary=F.col("c_name"), status=F.lit("Open"), created=at, updated=at)
+        RC.record(x, path, "c_custkey", "updated", raw, part=F.col("c_mktsegment"))
+
+    folder = saved(s, d, "tickets", "customer", build)
+    RM.register(s)
+    names = ",".join(r[0] for r in table(s, d, "customer").select("c_mktsegment").distinct().collect())  # projects, which the service lists
+    x = s.read.format("quarry_tickets").options(url=folder, projects=names, pagesize="500").load()
+    x = x.filter(F.col("project").isin("BUILDING", "MACHINERY") & (F.col("updated") > F.timestamp_seconds(F.lit(1_704_067_200 + 60 * 60))))
+    return x.select("key", "project", "summary")
+
+
+@query("src_9_drive_files", "SELECT CAST(page_id AS VARCHAR) AS id, url AS name, CASE WHEN page_id % 4 = 1 THEN '| page | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || page_id || ' | ' || length(html) || ' |' ELSE html END AS content FROM pages WHERE page_id % 4 < 2")
+def src_9(s, d):
+    """The web pages as files of a drive: documents, sheets and others; the types are handed to the service, sheets come as tables."""
+
+    def build(path):  # noqa: ANN001, ANN202
+        x = table(s, d, "pages").withColumn("updated", changed_at("page_id"))
+        kind = F.when(F.col("page_id") % 4 == 0, RM.DOCUMENT).when(F.col("page_id") % 4 == 1, RM.SHEET).when(F.col("page_id") % 4 == 2, RM.SLIDES).otherwise("image/png")
+        sheet = F.concat(F.lit("page,size\n,\n"), F.col("page_id").cast("string"), F.lit(","), F.length("html").cast("string"), F.lit("\n"))
+        at = F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        raw = as_json(id=F.col("page_id").cast("string"), name=F.col("url"), mimeType=kind, modifiedTime=at)
+        RC.record(x, path, "page_id", "updated", raw, kind=kind, body=F.when(kind == RM.SHEET, sheet).otherwise(F.col("html")))
+
+    folder = saved(s, d, "drive", "pages", build)
+    RM.register(s)
+    x = s.read.format("quarry_drive").options(url=folder).load().filter(F.col("type").isin(RM.DOCUMENT, RM.SHEET))
+    return x.select("id", "name", "content")
+
+
 @query("src_12_json_lines", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def src_12(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "k bigint").alias("p")).select("event_id", "p.k")

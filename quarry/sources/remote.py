@@ -3,7 +3,10 @@
     spark.dataSource.register(WikiSource)
     spark.read.format("quarry_wiki").option("url", "https://host").option("since", "2024-01-01T00:00:00Z").load()
 
-Requests are made in the tasks; nothing is collected. Every request is tried again, with growing pauses, on status 429 and 5xx and on lost
+Requests are made in the tasks; nothing is collected. Filters on the time of change, the project and the type are handed to the service
+(`register` switches Spark's filter push-down on). The wiki is a stream too: an offset is the time and id of the last change seen, and a batch is
+what changed after one offset up to another, so a restarted stream neither loses nor repeats a change. A `url` without http is a folder of
+kept answers (see recorded.py). Every request is tried again, with growing pauses, on status 429 and 5xx and on lost
 connections. The option `token` is sent as a bearer token.
 """
 
@@ -19,7 +22,9 @@ import urllib.request
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
+
+from . import recorded
 
 DOCUMENT, SHEET, SLIDES = (f"application/vnd.google-apps.{kind}" for kind in ("document", "spreadsheet", "presentation"))
 #: What a file of each type is exported as; other types are read as they are.
@@ -28,6 +33,8 @@ EXPORTS = {DOCUMENT: "text/plain", SHEET: "text/csv", SLIDES: "text/plain"}
 
 def fetch(options: dict[str, str], path: str, **query: object) -> bytes:
     """The body of one answer; null parameters are left out."""
+    if not options["url"].startswith("http"):
+        return recorded.answer(options["url"].rstrip("/"), path, query)
     sent = urllib.parse.urlencode({k: v for k, v in query.items() if v is not None})
     request = urllib.request.Request(f"{options['url'].rstrip('/')}/{path}?{sent}")
     if token := options.get("token"):
@@ -59,11 +66,75 @@ class _Stride(InputPartition):
         self.first, self.of = first, of
 
 
+#: A choice that leaves nothing.
+NONE = "-"
+
+
+def _stamp(time_: datetime) -> str:
+    return time_.astimezone(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
 class _Reader(DataSourceReader):
+    #: Column -> option that takes the values which a filter asks for.
+    choices: dict[str, str] = {}
+
     def __init__(self, options: dict[str, str]):
         # The options come as a mapping that does not travel to the tasks.
         self.options = dict(options)
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """The time of change narrows `since`, equality and lists narrow the choices. Spark keeps all filters: a service may be coarser."""
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column == "updated" and isinstance(f, GreaterThan | GreaterThanOrEqual) and isinstance(f.value, datetime):
+                self.options["since"] = max(self.options.get("since") or "", _stamp(f.value))
+            elif column in self.choices and isinstance(f, EqualTo | In):
+                asked = [str(v) for v in (f.value if isinstance(f, In) else [f.value])]
+                given = [t.strip() for t in self.options.get(self.choices[column], "").split(",") if t.strip()]
+                self.options[self.choices[column]] = ",".join(v for v in (given or asked) if v in asked) or NONE
+            yield f
+
+
+def _page(p: dict) -> tuple:
+    return (int(p["id"]), p.get("title"), p.get("body"), p.get("space"), p.get("url"), list(p.get("labels") or []), _time(p.get("lastModified")))
+
+
+class _Changes(InputPartition):
+    def __init__(self, stride: _Stride, start: dict, end: dict):
+        self.stride, self.start, self.end = stride, start, end
+
+
+class _WikiStream(DataSourceStreamReader):
+    """Changes in the order of (time, id); an offset is the last one seen."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"at": self.options.get("since") or "", "id": -1}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        found = json.loads(fetch(self.options, "rest/api/content", newest=1, limit=1))["results"]
+        return {"at": found[-1]["lastModified"], "id": int(found[-1]["id"])} if found else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[_Changes]:
+        of = int(self.options.get("readers", 4))
+        return [_Changes(_Stride(i, of), start, end) for i in range(of)]
+
+    def read(self, partition: _Changes) -> Iterator[tuple]:
+        low, high = ((o["at"], o["id"]) for o in (partition.start, partition.end))
+        size, number = int(self.options.get("pagesize", 50)), partition.stride.first
+        while True:
+            found = json.loads(fetch(self.options, "rest/api/content", start=number * size, limit=size, since=low[0] or None))["results"]
+            own = [p for p in found if low < (p["lastModified"], int(p["id"])) <= high]
+            yield from map(_page, own)
+            if len(found) < size or (found[-1]["lastModified"], int(found[-1]["id"])) > high:
+                return
+            number += partition.stride.of
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for a batch."""
+
 
 class _WikiReader(_Reader):
     def partitions(self) -> list[_Stride]:
@@ -74,8 +145,7 @@ class _WikiReader(_Reader):
         size, number = int(self.options.get("pagesize", 50)), partition.first
         while True:
             found = json.loads(fetch(self.options, "rest/api/content", start=number * size, limit=size, since=self.options.get("since")))["results"]
-            for p in found:
-                yield (int(p["id"]), p.get("title"), p.get("body"), p.get("space"), p.get("url"), list(p.get("labels") or []), _time(p.get("lastModified")))
+            yield from map(_page, found)
             if len(found) < size:
                 return
             number += partition.of
@@ -94,6 +164,9 @@ class WikiSource(DataSource):
     def reader(self, schema) -> _WikiReader:  # noqa: ANN001
         return _WikiReader(self.options)
 
+    def streamReader(self, schema) -> _WikiStream:  # noqa: ANN001, N802
+        return _WikiStream(self.options)
+
 
 class _Project(InputPartition):
     def __init__(self, project: str):
@@ -101,11 +174,13 @@ class _Project(InputPartition):
 
 
 class _TicketReader(_Reader):
+    choices = {"project": "projects"}
+
     def partitions(self) -> list[_Project]:
         return [_Project(p.strip()) for p in self.options["projects"].split(",")]
 
     def read(self, partition: _Project) -> Iterator[tuple]:
-        token, left = None, int(self.options.get("most", 1 << 62))
+        token, left = None, 0 if partition.project == NONE else int(self.options.get("most", 1 << 62))
         while left > 0:
             answer = json.loads(fetch(self.options, "rest/api/search", project=partition.project, token=token, limit=min(left, int(self.options.get("pagesize", 100))), since=self.options.get("since")))
             for t in answer["issues"][:left]:
@@ -136,8 +211,12 @@ class _Files(InputPartition):
 
 
 class _DriveReader(_Reader):
+    choices = {"type": "types"}
+
     def partitions(self) -> list[_Files]:
         types = [t.strip() for t in self.options.get("types", "").split(",") if t.strip()]
+        if types == [NONE]:
+            return [_Files([])]
         wanted = " or ".join(f"mimeType='{t}'" for t in types) or None
         files, token = [], None
         while True:
@@ -181,5 +260,6 @@ def markdown_of_csv(text: str) -> str:
 
 
 def register(spark) -> None:  # noqa: ANN001
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (WikiSource, TicketSource, DriveSource):
         spark.dataSource.register(source)

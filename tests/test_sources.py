@@ -9,22 +9,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import caches, incremental
-from quarry.sources import remote, tables
+from quarry.sources import recorded, remote, tables
+from quarry.streaming import windows
 
 PAGES = [{"id": i, "title": f"page {i}", "body": f"<p>{i}</p>", "space": "S", "url": f"/wiki/{i}", "labels": ["a", f"l{i % 3}"], "lastModified": f"2024-01-{1 + i % 28:02}T00:00:00Z"} for i in range(23)]
 TICKETS = {p: [{"key": f"{p}-{i}", "summary": f"s{i}", "status": "Open", "created": "2024-01-01T00:00:00Z", "updated": "2024-01-02T00:00:00Z"} for i in range(n)] for p, n in (("AB", 7), ("CD", 3))}
 FILES = [{"id": "d1", "name": "doc", "mimeType": remote.DOCUMENT, "modifiedTime": "2024-01-01T00:00:00Z"}, {"id": "s1", "name": "sheet", "mimeType": remote.SHEET}, {"id": "t1", "name": "notes", "mimeType": "text/plain"}, {"id": "p1", "name": "picture", "mimeType": "image/png"}]
-BODIES = {"d1": "a document", "s1": 'h1,h2\n,\n"x|y",2\n3\n', "t1": "plain"}
+BODIES = {"d1": "a document", "s1": 'h1,h2\n,\n"x|y",2\n3\n', "t1": "plain", "p1": "bits"}
 
 
 class Fake(BaseHTTPRequestHandler):
     failures = 3
+    asked: list[str] = []
 
     def log_message(self, *_):
         pass
 
     def do_GET(self):
         url, ask = urlparse(self.path), {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+        Fake.asked.append(self.path)
         if Fake.failures > 0:  # the first requests fail, as busy services do
             Fake.failures -= 1
             return self.send_error(503 if Fake.failures % 2 else 429)
@@ -81,6 +84,87 @@ def test_drive_files_by_type(spark, host):
     assert rows == {"d1": "a document", "s1": "| h1 | h2 |\n| --- | --- |\n| x\\|y | 2 |\n| 3 |  |", "t1": "plain"}
 
 
+def asked(df):
+    """Rows, and the requests that the fake got for them."""
+    Fake.asked = []
+    return df.collect(), list(Fake.asked)
+
+
+def test_filters_reach_the_services(spark, host):
+    wiki = read(spark, host, "quarry_wiki", pagesize="50", readers="1")
+    rows, requests = asked(wiki.filter("updated >= timestamp'2024-01-10 00:00:00'"))
+    assert sorted(r.page_id for r in rows) == list(range(9, 23)) and all("since=2024-01-10T00%3A00%3A00.000Z" in r for r in requests)
+    later, _ = asked(wiki.filter("updated > timestamp'2024-01-10 00:00:00' AND title <> 'page 12'"))
+    assert sorted(r.page_id for r in later) == [i for i in range(10, 23) if i != 12]
+    rows, requests = asked(read(spark, host, "quarry_tickets", projects="AB,CD").filter("project = 'CD'"))
+    assert len(rows) == 3 and all("project=CD" in r for r in requests)
+    rows, requests = asked(read(spark, host, "quarry_drive").filter("type in ('text/plain', 'image/png')"))
+    assert {r.id for r in rows} == {"t1", "p1"} and any("text%2Fplain" in r and "image%2Fpng" in r for r in requests if r.startswith("/files?"))
+    assert not read(spark, host, "quarry_tickets", projects="AB,CD").filter("project = 'XY'").collect()
+
+
+@pytest.fixture
+def wiki_rows(spark):
+    return lambda low, high, day: spark.createDataFrame([(i, f"t{i}", f"2024-02-{day:02} 00:{i:02}:00") for i in range(low, high)], "id long, title string, at string").withColumn("updated", F.to_timestamp("at"))
+
+
+def record_wiki(rows, folder, first):
+    raw = F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.concat("title", F.lit(" "), "at").alias("title"), F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("lastModified")))
+    recorded.record(rows, folder, "id", "updated", raw, first={"": first})
+
+
+def test_recorded_pages_are_served_like_the_service(spark, tmp_path, wiki_rows):
+    folder = str(tmp_path / "wiki")
+    record_wiki(wiki_rows(0, 23, 1), folder, 0)
+    record_wiki(wiki_rows(5, 9, 2), folder, 23)
+    x = spark.read.format("quarry_wiki").options(url=folder, pagesize="4", readers="3").load()
+    assert sorted(r.page_id for r in x.collect()) == sorted([*range(23), *range(5, 9)])
+    assert sorted(r.page_id for r in x.filter("updated >= timestamp'2024-02-01 00:20:00'").collect()) == [5, 6, 7, 8, 20, 21, 22]
+    assert spark.read.format("quarry_wiki").options(url=f"file:{folder}", pagesize="4").load().count() == 27
+    assert recorded.answer(str(tmp_path), "rest/api/content", {"limit": 5}) == b'{"results": []}'
+
+
+def test_a_restarted_stream_loses_and_repeats_nothing(spark, tmp_path, wiki_rows, monkeypatch):
+    folder, path, checkpoint = (str(tmp_path / n) for n in ("wiki", "table", "checkpoint"))
+
+    def run(excluded=None):
+        stream = spark.readStream.format("quarry_wiki").options(url=folder, pagesize="4", readers="2").load()
+        return windows.synced(stream, path, "page_id", "updated", checkpoint, excluded).awaitTermination()
+
+    def state():
+        at = tables.at(spark, path)
+        return {r.page_id: r.title for r in spark.read.parquet(f"{at}/rows").collect()}, sorted(map(tuple, spark.read.parquet(f"{at}/log").collect()))
+
+    record_wiki(wiki_rows(0, 10, 1), folder, 0)
+    run()
+    assert state() == ({i: f"t{i} 2024-02-01 00:{i:02}:00" for i in range(10)}, [(0, "added", 10)])
+    record_wiki(wiki_rows(7, 13, 2), folder, 10)
+    real, calls = tables.replace_all, []
+
+    def lost(*a, **k):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost before the version")
+        out = real(*a, **k)
+        if len(calls) == 2:
+            raise RuntimeError("lost behind the version, before the stream notes it")
+        return out
+
+    monkeypatch.setattr(tables, "replace_all", lost)
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            run()
+    run()
+    want = {i: f"t{i} 2024-02-0{1 if i < 7 else 2} 00:{i:02}:00" for i in range(13)}
+    assert state() == (want, [(0, "added", 10), (1, "added", 3), (1, "updated", 3)]) and len(calls) == 2
+    record_wiki(wiki_rows(0, 2, 3), folder, 16)
+    run(F.col("page_id") == 1)
+    rows, log = state()
+    assert 1 not in rows and rows[0] == "t0 2024-02-03 00:00:00" and log[-2:] == [(2, "excluded", 1), (2, "updated", 1)]
+    run()
+    assert state() == (rows, log)  # nothing new, no batch
+
+
 def test_versions_replace_delete_backup_restore(spark, tmp_path):
     path, root = str(tmp_path / "t"), str(tmp_path / "b")
     assert tables.version(spark, path) is None and tables.backups(spark, root) == []
