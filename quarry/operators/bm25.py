@@ -57,10 +57,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(pairs % n)), *own, pa.array(sizes[pairs // n].astype(np.int32)), pa.array(tf)], names=["term", "id", "field", "len", "tf"])
 
 
-def postings(docs: DataFrame, key: str, fields: Sequence[str], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+def postings(docs: DataFrame, key: str, fields: Sequence[str], keep: Callable[[Column], Column] | None = None, analyzer: Analyzer | None = None) -> DataFrame:
     """term, id, field, len, tf: the index, or the part of it whose terms pass `keep`. Keys are unique, so terms are counted inside each row: nothing
     is shuffled."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), analyzer).alias("t")) for f in fields])
     x = docs.select(F.col(key).alias("id"), F.inline(each)).filter("t IS NOT NULL")
     if keep:
         x = x.select("id", "field", F.size("t").alias("len"), F.explode(F.filter("t", keep)).alias("term"))
@@ -129,7 +129,7 @@ SCHEMAS = {
 }
 
 
-def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buckets: int = 64, docs_a_range: int = 256, files_a_bucket: int = 4) -> int:
+def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buckets: int = 64, docs_a_range: int = 256, files_a_bucket: int = 4, analyzer: Analyzer | None = None) -> int:
     """Writes a version of the index at `path`, five tables that change together:
 
     postings: term, range (documents by a hash of the key, some `docs_a_range` each), id, field, tf, len; in buckets by term, sorted by term and
@@ -141,7 +141,7 @@ def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buck
     kind = docs.schema[key].dataType.simpleString()
     read = lambda folder, name: spark.read.schema(SCHEMAS[name].format(id=kind)).parquet(f"{folder}/{name}")
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    x = postings(docs, key, fields).select("term", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range"), "id", "field", "tf", "len", bucket)
+    x = postings(docs, key, fields, analyzer=analyzer).select("term", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range"), "id", "field", "tf", "len", bucket)
     x = x.repartition(buckets, "bucket", F.pmod(F.col("range"), F.lit(files_a_bucket))).sortWithinPartitions("bucket", "term", "range")
 
     def terms(folder: str) -> DataFrame:

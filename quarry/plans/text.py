@@ -10,12 +10,12 @@ from quarry.functions import text as T
 from quarry.operators import bm25 as BM
 from quarry.operators import filters as FL
 from quarry.operators import incremental as I
+from quarry.operators import lattice as LT
 from quarry.operators import lexicon as LX
 from quarry.operators.analytics import normalise_message
-
 from quarry.sources import tables as TB
 
-from .registry import query, table
+from .registry import query, saved, table
 from .retrieval import CHUNKS, chunks
 
 
@@ -346,3 +346,27 @@ def lbl_1(s, d):
 def lbl_2(s, d):
     o = F.col("o_orderstatus")
     return table(s, d, "orders").select("o_orderkey", F.when(F.contains(o, F.lit("F")), "approved").when(F.contains(o, F.lit("P")), "review").otherwise("draft").alias("status"))
+
+
+def learned(s, d):  # noqa: ANN001, ANN201
+    """The dictionary of all documents' words, learned once."""
+    return s.read.parquet(saved(s, d, "dictionary", "documents", lambda path: LT.learn(TB.spread(table(s, d, "documents").select("text")), "text").write.parquet(path)))
+
+
+@query("tok_1_lattice_tokens")
+def tok_1_lattice(s, d):
+    """Whole texts, cut by a dictionary learned from all of them: compounds and words that no space parts."""
+    cut = BM.tokens(F.col("text"), LT.analyzer(learned(s, d)))
+    return TB.spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", cut.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
+
+
+@query("tok_3_lattice_nouns")
+def tok_3_lattice(s, d):
+    """Of the same tokens, the nouns."""
+    cut = BM.nouns(F.col("text"), LT.analyzer(learned(s, d), (LT.NOUN,)))
+    return TB.spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", cut.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("nouns"))
+
+
+@query("tok_1_dictionary", r"SELECT word, count(*) AS n, CASE WHEN 2 * count(*) FILTER (regexp_matches(t, '^\p{Lu}')) >= count(*) THEN 'noun' ELSE 'word' END AS kind FROM (SELECT t, lower(t) AS word FROM (SELECT unnest(string_split_regex(text, '[^\p{L}\p{N}]+')) AS t FROM documents) WHERE length(t) >= 3 AND NOT regexp_matches(t, '\p{N}')) GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, word LIMIT 200000")
+def tok_1_dictionary(s, d):
+    return learned(s, d)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry import plans
 from quarry.functions import chunks, stats, text
 from quarry.functions import scores as S
-from quarry.operators import analytics, bm25, filters, fusion, graph, incremental, ivf, lexicon, vector
+from quarry.operators import analytics, bm25, filters, fusion, graph, incremental, ivf, lattice, lexicon, vector
 from quarry.sources import tables
 from quarry.streaming import windows
 
@@ -233,6 +233,59 @@ def test_quantized_index_reads_a_part_and_finds_nearly_all(spark, tmp_path):
         ivf.train(df, "v", "id", parts=7)
 
 
+def cheapest(words, run):
+    """Brute force: every way to cut a run into words and stretches of one class."""
+    total = sum(n for _, n, _ in words)
+    cost = {w: (-math.log(n / total), k) for w, n, k in words}
+    starts = {w[0] for w in cost}
+
+    def ways(at):
+        if at == len(run):
+            yield 0.0, ()
+        for end in range(at + 1, len(run) + 1):
+            t = run[at:end]
+            kinds = {lattice.class_of(c) for c in t}
+            own = [cost[t]] if t in cost else []
+            whole = end == len(run) or lattice.class_of(run[end]) not in kinds
+            if len(kinds) == 1 and (whole or run[end] in starts or len(t) == 1):
+                own.append((lattice.UNKNOWN + lattice.BY_CHARACTER * len(t), "number" if kinds == {"number"} else "unknown"))
+            for c, k in own:
+                for rest, tokens in ways(end):
+                    yield c + rest, ((t, k), *tokens)
+
+    found = [(round(c, 6), len(t), [-len(x) for x, _ in t], t) for c, t in ways(0)]
+    return list(min(found)[3]) if found else []
+
+
+def test_lattice_paths_are_the_cheapest():
+    words = [("ab", 5, "noun"), ("abc", 2, "word"), ("c", 9, "word"), ("cab", 3, "noun"), ("東京", 7, "noun"), ("京都", 4, "noun"), ("都", 2, "word"), ("に", 9, "word")]
+    d, rng = lattice.Dictionary.of(words), np.random.default_rng(1)
+    for n in range(9):
+        for _ in range(60):
+            run = "".join(rng.choice(list("abcx7東京都にカ"), n, p=[0.2, 0.2, 0.15, 0.05, 0.05, 0.1, 0.1, 0.05, 0.05, 0.05]))
+            assert d.segment(run) == cheapest(words, run)
+    assert d.segment("東京都に") == [("東京", "noun"), ("都", "word"), ("に", "word")] and d.segment("") == []
+
+
+def test_lattice_tokens_serve_the_index(spark, tmp_path):
+    texts = [(1, "Das Haus, das Boot; Hausboot hausboot77"), (2, "das Haus boot Boot Haus"), (3, None), (4, ""), (5, "xyz " + "Hausboot " * 20_000)]
+    df = spark.createDataFrame(texts, "id long, content string")
+    words = lattice.learn(df, "content", least=2)
+    assert [tuple(r) for r in words.collect()] == [("hausboot", 20_001, "noun"), ("boot", 3, "noun"), ("das", 3, "word"), ("haus", 3, "noun")]
+    small = words.filter("word <> 'hausboot'")
+    cut = lattice.analyzer(small)
+    rows = {r.id: r.t for r in df.select("id", bm25.tokens(F.col("content"), cut).alias("t")).collect()}
+    assert rows[1] == ["das", "haus", "das", "boot", "haus", "boot", "haus", "boot", "77"] and rows[3] is None and rows[4] == []
+    assert rows[5] == ["xyz", *["haus", "boot"] * 20_000]
+    nouns = {r.id: r.t for r in df.filter("id < 3").select("id", bm25.nouns(F.col("content"), lattice.analyzer(small, (lattice.NOUN,))).alias("t")).collect()}
+    assert nouns[1] == ["haus", "boot", "haus", "boot", "haus", "boot"]
+    bm25.save_index(df, str(tmp_path / "i"), "id", ("content",), 4, analyzer=cut)
+    index = bm25.SavedIndex(spark, str(tmp_path / "i"))
+    assert [r.id for r in index.search(["boot"], 9).orderBy("id").collect()] == [1, 2, 5] and index.stats["avg_content"] == (9 + 5 + 0 + 40_001) / 4
+    with pytest.raises(ValueError, match="words at most"):
+        lattice.held(small, 2)
+
+
 def test_sentence_spans_cover_the_text_and_go_on():
     rng = np.random.default_rng(2)
     for n in (0, 1, 60, 500, 3000):
