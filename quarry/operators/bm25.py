@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
@@ -278,16 +279,51 @@ def title_ratio(title: Column, keywords: Sequence[str]) -> Column:
     return hits / F.lit(float(len(words)))
 
 
-def title_match(title: Column, keywords: Sequence[str], query: str, domain: Sequence[str] = ()) -> Column:
-    """The ratio, raised to .7 by a domain keyword, and by the whole query in the title to .95 less 0.01 for each other character, .75 at least."""
-    t = F.lower(title)
-    base = title_ratio(title, keywords)
-    if domain:
-        hit = F.exists(F.array(*[F.lit(x.lower()) for x in domain]), lambda x: F.contains(t, x))
-        base = F.when(hit, F.greatest(base, F.lit(0.7))).otherwise(base)
-    q = query.lower()
-    whole = F.greatest(F.lit(0.75), 0.95 - 0.01 * (F.length(t) - len(q)))
-    return F.when(F.contains(t, F.lit(q)) & F.lit(bool(q)), F.greatest(base, whole)).otherwise(base)
+def title_match(title: Column, keywords: Sequence[str], domain: Sequence[str] = (), generic: Sequence[str] = ()) -> Column:
+    """How well a title matches a query's keywords, 0 to 1.
+
+    The share of keywords in it; 0.7 at least if one of those found is a domain word, holds one or is part of one. With several keywords: if all of
+    them, joined by blanks, joined without, or joined in reverse, stand in the title, 0.95 at least, less 0.05 for each further character (generic
+    words begin none) above two, up to 0.20, but 0.75 at least. If they all stand in it apart, what lies between the first's last place and the last's
+    first one counts: less 0.08 for each character that is left without generic words, above two, up to 0.30, but 0.60 at least."""
+    t = F.lower(F.replace(F.coalesce(title, F.lit("")), F.lit("\ufeff")))
+    words = [w.lower() for w in keywords if w]
+    base = title_ratio(t, words)
+    related = [w for k, w in zip([k for k in keywords if k], words, strict=True) if any(k == x or x in k or k in x for x in domain)]
+    if related:
+        base = F.when(reduce(lambda a, w: a | F.contains(t, F.lit(w)), related, F.lit(False)), F.greatest(base, F.lit(0.7))).otherwise(base)
+    if len(words) < 2:
+        return base
+    forms = list(dict.fromkeys([" ".join(words), "".join(words), "".join(reversed(words))]))
+    rest = t
+    for form in forms:
+        at = F.instr(rest, F.lit(form))
+        rest = F.when(at > 0, F.concat(F.substr(rest, F.lit(1), at - 1), F.substr(rest, at + len(form)))).otherwise(rest)
+    starts = "|".join(f"(?={re.escape(g.lower())})" for g in generic if g)
+    blanks = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    extra = F.length(blanks(F.regexp_replace(rest, f"(?:{starts})(?s:.)", "") if starts else rest))
+    whole = F.greatest(base, F.lit(0.95))
+    whole = F.when(extra > 2, F.greatest(whole - F.least(extra * 0.05, F.lit(0.20)), F.lit(0.75))).otherwise(whole)
+    at = lambda w: F.instr(t, F.lit(w)) - 1
+    end = lambda w: F.length(t) - F.instr(F.reverse(t), F.lit(w[::-1])) + 1
+    places = F.array(*[F.struct(at(w).alias("at"), F.lit(i).alias("i"), end(w).alias("end")) for i, w in enumerate(words)])
+    one, other = F.array_min(places)["end"], F.array_max(places)["at"]
+    low, high = F.least(one, other), F.greatest(one, other)
+    between = blanks(F.substr(t, low + 1, high - low))
+    left = between
+    for g in generic:
+        left = F.replace(left, F.lit(g.lower())) if g else left
+    gap = F.length(blanks(left))
+    apart = F.when((F.length(between) > 2) & (gap > 2), F.greatest(base - F.least(gap * 0.08, F.lit(0.30)), F.lit(0.60))).otherwise(base)
+    every = reduce(lambda a, w: a & F.contains(t, F.lit(w)), words, F.lit(True))
+    any_form = reduce(lambda a, f: a | F.contains(t, F.lit(f)), forms, F.lit(False))
+    return F.when(any_form, whole).when(every, apart).otherwise(base)
+
+
+def candidates_of(words: Column) -> Column:
+    """All pairs of words at different places put together, both ways, and the words: of an array of a query's words."""
+    pairs = F.flatten(F.transform(words, lambda a, i: F.transform(F.filter(words, lambda b, j: i != j), lambda b: F.concat(a, b))))
+    return F.concat(pairs, words)
 
 
 def title_candidates(keywords: DataFrame, word: str = "keyword", pos: str = "pos") -> DataFrame:

@@ -140,3 +140,97 @@ def csv_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     n = nodes.select(F.col("id").alias(":ID"), F.col("kind").alias(":LABEL"))
     e = edges.select(F.col("src").alias(":START_ID"), F.col("dst").alias(":END_ID"), F.upper("kind").alias(":TYPE"), F.col("weight").alias("weight:double"))
     return n, e
+
+
+def components(edges: DataFrame, path: str, a: str = "a", b: str = "b", most: int = 50) -> DataFrame:
+    """id, component (the least id reachable): connected components of undirected edges. In each round a node takes the least label of its neighbours,
+    then the label of that label, so long chains shorten by jumps. Labels are written to `path` each round; minima are partial before they are
+    shuffled, so a hub is no hot key there."""
+    spark = edges.sparkSession
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    ends.union(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().write.mode("overwrite").parquet(f"{path}/ends")
+    ends = spark.read.parquet(f"{path}/ends")
+    labels = ends.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
+    labels.write.mode("overwrite").parquet(f"{path}/labels0")
+    for i in range(most):
+        labels = spark.read.parquet(f"{path}/labels{i}")
+        near = ends.join(labels.select(F.col("id").alias("y"), "component"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
+        hooked = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        new = hooked.join(jump, "component").select("id", "was", F.least("component", "further").alias("component"))
+        new.write.mode("overwrite").parquet(f"{path}/labels{i + 1}")
+        if not spark.read.parquet(f"{path}/labels{i + 1}").filter("was <> component").limit(1).count():
+            return labels
+    raise RuntimeError(f"no end after {most} rounds")
+
+
+# Endings of names of system items with their type, and types of labels; other items are UI components, other labels general.
+ITEMS = {
+    "ボタン": "Button", "フォーム": "Form", "フィールド": "Field", "入力": "UIComponent", "選択": "UIComponent", "チェック": "UIComponent", "ラベル": "UIComponent", "メニュー": "UIComponent",
+    "タブ": "UIComponent", "モーダル": "UIComponent", "ダイアログ": "UIComponent", "テーブル": "UIComponent", "リスト": "UIComponent", "カード": "UIComponent", "パネル": "UIComponent",
+    "ウィンドウ": "UIComponent", "画面": "UIComponent", "ページ": "UIComponent", "API": "API", "エンドポイント": "UIComponent", "データベース": "Database", "カラム": "UIComponent",
+    "CSV": "File", "Excel": "File", "PDF": "File", "ファイル": "UIComponent",
+}
+LABEL_TYPES = {
+    "機能要件": "Requirement", "非機能要件": "Requirement", "高優先度": "Priority", "中優先度": "Priority", "低優先度": "Priority", "完了": "Status", "進行中": "Status", "未完了": "Status",
+    "レビュー中": "Status", "アーカイブ": "Status", "フォルダ": "Category", "帳票": "Category", "ワークフロー": "Category", "メールテンプレート": "Category",
+}
+
+
+def spelling(name: Column) -> Column:
+    """What spellings of one name have in common: full-width letters and digits as half-width ones, lower case, no blanks or punctuation."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = F.lower(F.translate(name, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))))
+    return F.coalesce(F.nullif(F.regexp_replace(plain, r"[\s\p{P}]+", ""), F.lit("")), plain)
+
+
+def typed_graph(known: DataFrame, pages: DataFrame, path: str, items: dict[str, str] = ITEMS, label_types: dict[str, str] = LABEL_TYPES, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, type, name, subtype, pages) and edges (src, dst, relation, n) of extracted knowledge.
+
+    known: page, functions (map of a function's name to its keywords). pages: page, title, labels. Pages, functions, keywords, system items (keywords
+    with an item's ending) and labels are nodes; a page DESCRIBES functions and is TAGGED_WITH labels, a function is ASSOCIATED_WITH keywords and
+    CONTAINS items, pages with a function RELATE TO the first page that has it. All mentions come from one scan of `known` and one of `pages`. Names of
+    one type become one node if they are spelled alike, or linked by `aliases` (type, a, b): by connected components; its name is the most
+    frequent spelling, then the least. Knowledge of unknown pages is left out; n counts mentions."""
+    spark = known.sparkSession
+    ending = lambda name: F.coalesce(*[F.when(F.endswith(name, F.lit(e)), F.lit(k)) for e, k in sorted(items.items(), key=lambda x: -len(x[0]))])
+    p = pages.select(F.col("page").cast("string").alias("page"), "title", "labels").dropDuplicates(["page"])
+    f = known.select(F.col("page").cast("string").alias("page"), F.explode("functions").alias("function", "keywords")).join(p.select("page"), "page", "left_semi")
+    end = lambda kind, name: F.struct(F.lit(kind).alias("type"), name.alias("name"))
+    edge = lambda a, relation, b: F.struct(a.alias("a"), F.lit(relation).alias("relation"), b.alias("b"))
+    page, function = end("Page", F.col("page")), end("Function", F.col("function"))
+    words = F.array_compact(F.coalesce("keywords", F.array().cast("array<string>")))
+    own = F.concat(
+        F.array(edge(page, "DESCRIBES", function)),
+        F.transform(words, lambda k: edge(function, "ASSOCIATED_WITH", end("Keyword", k))),
+        F.transform(F.filter(words, lambda k: ending(k).isNotNull()), lambda k: edge(function, "CONTAINS", end("SystemItem", k))),
+    )
+    tags = F.transform(F.array_distinct(F.array_compact(F.coalesce("labels", F.array().cast("array<string>")))), lambda x: edge(page, "TAGGED_WITH", end("Label", x)))
+    tagged = p.join(f.select("page").distinct(), "page", "left_semi").select("page", F.explode(tags).alias("e"))
+    f.select("page", F.explode(own).alias("e")).union(tagged).select("page", "e.*").write.mode("overwrite").parquet(f"{path}/mentions")
+    m = spark.read.parquet(f"{path}/mentions")
+    names = m.select("page", F.explode(F.array("a", "b")).alias("x")).select("page", "x.*").filter("type <> 'Page'").withColumn("key", F.concat_ws(":", "type", spelling(F.col("name"))))
+    names = names.groupBy("type", "name", "key").agg(F.count(F.lit(1)).alias("n"))
+    links = names.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    if aliases is not None:
+        links = links.union(aliases.select(*[F.concat_ws(":", "type", spelling(F.col(c))).alias(c) for c in ("a", "b")]))
+    found = names.join(components(links, f"{path}/components").withColumnRenamed("id", "key"), "key")
+    best = found.groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("n"), "name")).alias("best")).select("component", F.col("best.name").alias("shown"))
+    found.join(best, "component").select("type", "name", F.col("component").alias("id"), "shown").write.mode("overwrite").parquet(f"{path}/names")
+    found = spark.read.parquet(f"{path}/names")
+    resolved = m.select("page", "relation", F.col("a.type").alias("ta"), F.col("a.name").alias("na"), F.col("b.type").alias("tb"), F.col("b.name").alias("nb"))
+    for side, out in (("a", "src"), ("b", "dst")):
+        own_id = F.when(F.col(f"t{side}") == "Page", F.concat(F.lit("Page:"), F.col(f"n{side}"))).otherwise(F.col("id"))
+        resolved = resolved.join(found.select(F.col("type").alias(f"t{side}"), F.col("name").alias(f"n{side}"), "id"), [f"t{side}", f"n{side}"], "left").withColumn(out, own_id).drop("id")
+    resolved.select("page", "src", "relation", "dst", "tb").write.mode("overwrite").parquet(f"{path}/resolved")
+    resolved = spark.read.parquet(f"{path}/resolved")
+    edges = resolved.groupBy("src", "dst", "relation").agg(F.count(F.lit(1)).alias("n"))
+    # A star around the first page, so a function that a third of all pages has makes no pairs of them.
+    shared = resolved.filter("relation = 'DESCRIBES'").select("dst", "src").distinct()
+    first = shared.groupBy("dst").agg(F.min("src").alias("first"))
+    related = shared.join(first, "dst").filter("src <> first").groupBy("src", F.col("first").alias("dst")).agg(F.count(F.lit(1)).alias("n")).select("src", "dst", F.lit("RELATES_TO").alias("relation"), "n")
+    seen = resolved.select("page", F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.countDistinct("page").alias("pages"))
+    kind = F.when(F.col("type") == "SystemItem", ending(F.col("name"))).when(F.col("type") == "Label", F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in label_types.items()], F.lit("General")))
+    others = found.select("id", "type", F.col("shown").alias("name")).distinct()
+    own_pages = p.join(f.select("page").distinct(), "page", "left_semi").select(F.concat(F.lit("Page:"), F.col("page")).alias("id"), F.lit("Page").alias("type"), F.col("title").alias("name"))
+    return own_pages.union(others).withColumn("subtype", kind).join(seen, "id").select("id", "type", "name", "subtype", "pages"), edges.union(related.select("src", "dst", "relation", "n"))

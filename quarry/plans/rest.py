@@ -516,6 +516,34 @@ def kg_9(s, d):
     return k("segment", "c_mktsegment", "customer").union(k("nation", "n_name", "nation")).union(k("region", "r_name", "region")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Endings that make a part's name a system item in these tables.
+PARTS = {"widget": "Widget", "bolt": "Bolt", "Brand#5": "Brand"}
+MENTIONED = """k AS (SELECT p_partkey AS page, p_name AS title, p_brand AS label, p_type AS function, unnest([p_name, upper(p_name), p_brand]) AS keyword FROM part),
+i AS (SELECT *, CASE WHEN keyword LIKE '%Brand#5' THEN 'Brand' WHEN keyword LIKE '%widget' THEN 'Widget' WHEN keyword LIKE '%bolt' THEN 'Bolt' END AS item FROM k),
+m AS (SELECT page, 'Page:' || page AS src, 'DESCRIBES' AS relation, 'Function:' || lower(function) AS dst FROM (SELECT DISTINCT page, function FROM k)
+  UNION ALL SELECT page, 'Function:' || lower(function), 'ASSOCIATED_WITH', 'Keyword:' || regexp_replace(lower(keyword), '[\\s\\p{P}]+', '', 'g') FROM k
+  UNION ALL SELECT page, 'Function:' || lower(function), 'CONTAINS', 'SystemItem:' || regexp_replace(lower(keyword), '[\\s\\p{P}]+', '', 'g') FROM i WHERE item IS NOT NULL
+  UNION ALL SELECT page, 'Page:' || page, 'TAGGED_WITH', 'Label:' || regexp_replace(lower(label), '[\\s\\p{P}]+', '', 'g') FROM (SELECT DISTINCT page, label FROM k))"""
+
+
+def typed(s, d):  # noqa: ANN001, ANN201
+    """Parts as pages: a function from the type, keywords from the name (in two spellings) and the brand, a label from the brand."""
+    x = table(s, d, "part")
+    known = x.select(F.col("p_partkey").alias("page"), F.create_map("p_type", F.array("p_name", F.upper("p_name"), "p_brand")).alias("functions"))
+    pages = x.select(F.col("p_partkey").alias("page"), F.col("p_name").alias("title"), F.array("p_brand").alias("labels"))
+    return G.typed_graph(known, pages, TB.scratch(s, "typed"), PARTS)
+
+
+@query("kg_9_typed_nodes", f"WITH {MENTIONED} SELECT split_part(id, ':', 1) AS type, id, count(DISTINCT page) AS pages FROM (SELECT page, src AS id FROM m UNION ALL SELECT page, dst FROM m) GROUP BY id")
+def kg_9_nodes(s, d):
+    return typed(s, d)[0].select("type", "id", "pages")
+
+
+@query("kg_9_typed_edges", f"WITH {MENTIONED}, r AS (SELECT src, dst, min(src) OVER (PARTITION BY dst) AS first FROM m WHERE relation = 'DESCRIBES') SELECT src, relation, dst, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT src, 'RELATES_TO', first, count(*) FROM r WHERE src <> first GROUP BY ALL")
+def kg_9_edges(s, d):
+    return typed(s, d)[1].select("src", "relation", "dst", "n")
+
+
 @query("agg_26_graph_stats", f"WITH {EDGES}, e AS (SELECT 'c' || src AS id FROM edges UNION ALL SELECT 's' || dst FROM edges) SELECT id, count(*) AS degree FROM e GROUP BY 1 ORDER BY degree DESC, id LIMIT 10")
 def agg_26(s, d):
     e = edges(s, d).select(F.concat(F.lit("c"), F.col("src").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("dst").cast("string")).alias("dst"))

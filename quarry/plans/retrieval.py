@@ -201,9 +201,48 @@ def bm_6(s, d):
     return chunks(s, d).agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg(F.length("title")), 6).alias("mean_title"))
 
 
-@query("ttl_1_title_match", f"WITH {CHUNKS}, x AS (SELECT doc_id, lower(title) AS t, greatest({RATIO}, CASE WHEN contains(lower(title), 'tion') THEN 0.7 ELSE 0 END) AS r FROM chunks) SELECT doc_id, round(CASE WHEN contains(t, 'the en') THEN greatest(r, greatest(0.75, 0.95 - 0.01 * (length(t) - 6))) ELSE r END, 6) AS match FROM x")
+def ttl_sql(keywords, domain, generic):  # noqa: ANN001, ANN201
+    """title_match() in SQL: the same rules, over lists."""
+    low = [k.lower() for k in keywords]
+    rest = "t"
+    for form in dict.fromkeys([" ".join(low), "".join(low), "".join(reversed(low))]):
+        rest = f"CASE WHEN contains({rest}, '{form}') THEN substr({rest}, 1, strpos({rest}, '{form}') - 1) || substr({rest}, strpos({rest}, '{form}') + {len(form)}) ELSE {rest} END"
+    forms = " OR ".join(f"contains(t, '{f}')" for f in {" ".join(low), "".join(low), "".join(reversed(low))})
+    related = " OR ".join([f"contains(t, '{w}')" for w in low if any(x in w or w in x for x in domain)] or ["false"])
+    places = ", ".join(f"{{'at': strpos(t, '{w}') - 1, 'i': {i}, 'e': length(t) - strpos(reverse(t), '{w[::-1]}') + 1}}" for i, w in enumerate(low))
+    begins = " OR ".join(f"starts_with(substr(rest, i), '{g}')" for g in generic)
+    left = "gap"
+    for g in generic:
+        left = f"replace({left}, '{g}', '')"
+    trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"""WITH {CHUNKS}, a AS (SELECT doc_id, lower(title) AS t, ({" + ".join(f"contains(lower(title), '{w}')::INT" for w in low)}) / {len(low)}.0::DOUBLE AS r FROM chunks),
+b AS (SELECT *, CASE WHEN {related} THEN greatest(r, 0.7::DOUBLE) ELSE r END AS base, {rest} AS rest, list_sort([{places}]) AS p FROM a),
+c AS (SELECT *, length({trim(f"array_to_string(list_transform(list_filter(range(1, length(rest) + 1), lambda i: NOT ({begins})), lambda i: substr(rest, i, 1)), '')")}) AS extra,
+  {trim(f"substr(t, least(p[1].e, p[{len(low)}].at) + 1, greatest(p[1].e, p[{len(low)}].at) - least(p[1].e, p[{len(low)}].at))")} AS gap FROM b),
+d AS (SELECT *, length({trim(left)}) AS n FROM c)
+SELECT doc_id, round(CASE WHEN {forms} THEN CASE WHEN extra > 2 THEN greatest(greatest(base, 0.95::DOUBLE) - least(extra * 0.05::DOUBLE, 0.20::DOUBLE), 0.75::DOUBLE) ELSE greatest(base, 0.95::DOUBLE) END
+  WHEN {" AND ".join(f"contains(t, '{w}')" for w in low)} THEN CASE WHEN length(gap) > 2 AND n > 2 THEN greatest(base - least(n * 0.08::DOUBLE, 0.30::DOUBLE), 0.60::DOUBLE) ELSE base END ELSE base END, 6) AS match FROM d"""
+
+
+GENERIC = ("er", "la", "_")
+
+
+@query("ttl_1_title_match", ttl_sql(TERMS, ["tion", "he"], GENERIC))
 def ttl_1(s, d):
-    return chunks(s, d).select("doc_id", F.round(BM.title_match(F.col("title"), TERMS, "the en", ["tion"]), 6).alias("match"))
+    return chunks(s, d).select("doc_id", F.round(BM.title_match(F.col("title"), TERMS, ["tion", "he"], GENERIC), 6).alias("match"))
+
+
+@query("ttl_1_gaps", ttl_sql(["en", "on"], ["zz"], GENERIC))
+def ttl_1_gaps(s, d):
+    """Two short keywords, which many titles hold together, apart and in reverse."""
+    return chunks(s, d).select("doc_id", F.round(BM.title_match(F.col("title"), ["en", "on"], ["zz"], GENERIC), 6).alias("match"))
+
+
+@query("ttl_2_candidates_of_titles", f"WITH {CHUNKS}, w AS (SELECT doc_id, list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')[:5] AS k FROM chunks), p AS (SELECT doc_id, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM w) SELECT DISTINCT doc_id, candidate FROM (SELECT a.doc_id, a.k || b.k AS candidate FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.i <> b.i UNION ALL SELECT doc_id, k FROM p)")
+def ttl_2_titles(s, d):
+    """Candidates of every title's first five words, inside each row."""
+    k = F.slice(BM.tokens(F.col("title")), 1, 5)
+    return chunks(s, d).select("doc_id", F.explode(F.array_distinct(BM.candidates_of(k))).alias("candidate"))
 
 
 @query("ttl_2_title_candidates", "WITH k AS (SELECT * FROM (VALUES ('the', 0), ('ening', 1), ('queaux', 2)) t(k, i)) SELECT DISTINCT candidate FROM (SELECT a.k || b.k AS candidate FROM k a JOIN k b ON a.i <> b.i UNION ALL SELECT k FROM k)")

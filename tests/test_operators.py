@@ -286,6 +286,45 @@ def test_lattice_tokens_serve_the_index(spark, tmp_path):
         lattice.held(small, 2)
 
 
+def test_title_matches_by_what_lies_between(spark):
+    titles = ["教室グループ削除機能", "教室削除機能", "削除教室の一覧を出す画面", "教室を削除", "教室一覧", None, "\ufeff教室 削除", "教室abcdefghij削除"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "id long, title string")
+    got = [round(r.m, 6) for r in df.select("id", bm25.title_match(F.col("title"), ["教室", "削除"], generic=["機能"]).alias("m")).orderBy("id").collect()]
+    assert got == [0.7, 1.0, 0.8, 1.0, 0.5, 0.0, 1.0, 0.7]
+    one = df.select(bm25.title_match(F.col("title"), ["教室一覧画面"], domain=["教室一覧"]).alias("m")).distinct().collect()
+    assert {r.m for r in one} == {0.0}
+    assert df.select(bm25.title_match(F.col("title"), ["教室", "x"], domain=["教"]).alias("m")).collect()[4].m == 0.7
+
+
+def test_components_and_typed_graph(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(40) if i != 20] + [("hub", f"h{i}") for i in range(50)] + [("z", "z")] + [(f"r{a}", f"r{b}") for a, b in rng.integers(0, 60, (40, 2))]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(pairs, "a string, b string"), str(tmp_path / "c")).collect()}
+    assert got == {x: root(x) for x in {y for p in pairs for y in p}}
+
+    pages = spark.createDataFrame([(1, "Start", ["完了", "faq", None]), (2, "Other", None), (9, "No knowledge", ["faq"])], "page long, title string, labels array<string>")
+    known = [(1, {"Login": ["Login API", "login  api", "password"], "空": []}), (2, {"login": ["Ｌｏｇｉｎ API", "保存ボタン"]}), (7, {"Lost": ["x"]}), (1, None)]
+    nodes, edges = graph.typed_graph(spark.createDataFrame(known, "page long, functions map<string, array<string>>"), pages, str(tmp_path / "g"))
+    n = {(r.type, r.name): (r.pages, r.subtype) for r in nodes.collect()}
+    assert n == {
+        ("Page", "Start"): (1, None), ("Page", "Other"): (1, None), ("Function", "Login"): (2, None), ("Function", "空"): (1, None), ("Keyword", "Login API"): (2, None), ("Keyword", "password"): (1, None),
+        ("Keyword", "保存ボタン"): (1, None), ("SystemItem", "Login API"): (2, "API"), ("SystemItem", "保存ボタン"): (1, "Button"), ("Label", "完了"): (1, "Status"), ("Label", "faq"): (1, "General"),
+    }
+    name = {r.id: r.name for r in nodes.collect()}
+    e = {(name[r.src], r.relation, name[r.dst]): r.n for r in edges.collect()}
+    assert e[("Login", "ASSOCIATED_WITH", "Login API")] == 3 and e[("Login", "CONTAINS", "Login API")] == 2 and e[("Start", "DESCRIBES", "Login")] == 1 and e[("Start", "TAGGED_WITH", "完了")] == 1
+    assert e[("Other", "RELATES_TO", "Start")] == 1 and {r for _, r, _ in e} == {"DESCRIBES", "ASSOCIATED_WITH", "CONTAINS", "TAGGED_WITH", "RELATES_TO"}
+
+
 def test_sentence_spans_cover_the_text_and_go_on():
     rng = np.random.default_rng(2)
     for n in (0, 1, 60, 500, 3000):
