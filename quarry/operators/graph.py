@@ -108,21 +108,65 @@ def build(pages: DataFrame, key: str, labels: str, links: DataFrame) -> tuple[Da
 
 
 def importance(edges: DataFrame, path: str, steps: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """id, importance: weighted page rank of (src, dst, weight) after `steps`. Every node needs an edge out. Ranks are written to `path` every few
-    steps, which cuts the plan and survives lost executors."""
+    """id, importance: weighted page rank of (src, dst, weight) after `steps`. The rank of a node without an edge out goes to all nodes alike. Ranks are
+    written to `path` every few steps, which cuts the plan and survives lost executors."""
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
     spark = edges.sparkSession
     moves.write.mode("overwrite").parquet(f"{path}/moves")
     moves = spark.read.parquet(f"{path}/moves")
-    n = total.count()
-    ranks = total.select(F.col("src").alias("id"), F.lit(1.0 / max(n, 1)).alias("r"))
+    nodes = moves.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    nodes.groupBy("id").agg(F.max("out").alias("out")).write.mode("overwrite").parquet(f"{path}/nodes")
+    nodes = spark.read.parquet(f"{path}/nodes")
+    n, dangling = nodes.count(), nodes.filter("out = 0").limit(1).count() > 0
+    ranks = nodes.select("id", "out", F.lit(1.0 / max(n, 1)).alias("r"))
     for i in range(steps):
-        ranks = moves.join(ranks, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(((1 - damping) / n + damping * F.sum(F.col("p") * F.col("r"))).alias("r"))
+        came = moves.join(ranks.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("r")).alias("came"))
+        new = nodes.join(came, "id", "left")
+        lost = F.lit(0.0)
+        if dangling:
+            new = new.crossJoin(F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("r"))), F.lit(0.0)).alias("lost"))))  # one row
+            lost = F.col("lost") / n
+        ranks = new.select("id", "out", ((1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + lost)).alias("r"))
         if (i + 1) % every == 0 or i + 1 == steps:
             ranks.write.mode("overwrite").parquet(f"{path}/ranks{i}")
             ranks = spark.read.parquet(f"{path}/ranks{i}")
-    return ranks.withColumnRenamed("r", "importance")
+    return ranks.select("id", F.col("r").alias("importance"))
+
+
+def shortest(edges: DataFrame, starts: DataFrame, path: str, most: int = 30) -> DataFrame:
+    """start, id, cost, hops, via: the cheapest way from each start (first column) to every node that (src, dst, cost) leads to in `most` hops at most, and
+    the node before the last; ties by fewer hops, then the least node before. Costs are not negative.
+
+    In each round only what became cheaper goes on (the frontier), and the minimum of each node is partial before it is shuffled, so a hub that many edges
+    lead to is no hot key; a hub's own edges meet one frontier row a start in a join that Spark splits. Rounds are written to `path`."""
+    spark, key = edges.sparkSession, ["start", "id"]
+    s = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
+    known = s.select("start", F.col("start").alias("id"), F.lit(0).cast(edges.schema["cost"].dataType).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("via"), F.lit(True).alias("new"))
+    known.write.mode("overwrite").parquet(f"{path}/known0")
+    known = spark.read.parquet(f"{path}/known0")
+    for i in range(most):
+        front = known.filter("new").select("start", F.col("id").alias("src"), F.col("cost").alias("so_far"), (F.col("hops") + 1).alias("hops"))
+        found = front.join(edges, "src").select("start", F.col("dst").alias("id"), F.struct((F.col("so_far") + F.col("cost")).alias("cost"), "hops", F.col("src").alias("via")).alias("w"), F.lit(True).alias("new"))
+        old = known.select("start", "id", F.struct("cost", "hops", "via").alias("w"), F.lit(False).alias("new"))
+        best = old.union(found).groupBy(*key).agg(F.min("w").alias("w"), F.min(F.when(~F.col("new"), F.col("w"))).alias("was"))
+        best.select("start", "id", "w.*", (~F.col("w").eqNullSafe(F.col("was"))).alias("new")).write.mode("overwrite").parquet(f"{path}/known{i + 1}")
+        known = spark.read.parquet(f"{path}/known{i + 1}")
+        if not known.filter("new").limit(1).count():
+            break
+    return known.drop("new")
+
+
+def way_to(found: DataFrame, start, target) -> list:  # noqa: ANN001
+    """The nodes of one cheapest way of shortest(), from start to target; empty if there is none. A look-up a hop."""
+    out, at = [target], target
+    while at != start:
+        r = found.filter((F.col("start") == F.lit(start)) & (F.col("id") == F.lit(at))).select("via").first()
+        if r is None or r["via"] is None:
+            return []
+        at = r["via"]
+        out.append(at)
+    return out[::-1]
 
 
 def within(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:

@@ -492,6 +492,20 @@ def kg_10_paths(s, d):
     return G.within(both, s.createDataFrame([(1,)], "id bigint"), 2).filter("hops > 0")
 
 
+WAYS = f"WITH {EDGES}, e AS (SELECT src, -dst - 1 AS dst, CAST(60 // weight AS BIGINT) + 1 AS cost FROM edges), g AS (SELECT * FROM e UNION ALL SELECT dst, src, cost FROM e), k0 AS (SELECT s AS start, s AS id, 0::BIGINT AS cost, 0 AS hops, NULL::BIGINT AS via FROM (VALUES (1::BIGINT), (2), (7)) t(s))" + "".join(f", k{i + 1} AS (SELECT start, id, w.cost AS cost, w.hops AS hops, w.via AS via FROM (SELECT start, id, min({{'cost': cost, 'hops': hops, 'via': via}}) AS w FROM (SELECT * FROM k{i} UNION ALL SELECT start, dst, k.cost + g.cost, k.hops + 1, src FROM k{i} k JOIN g ON g.src = k.id) GROUP BY 1, 2))" for i in range(4))
+
+
+@query("kg_10_weighted_paths", WAYS + " SELECT start, id, cost, hops, coalesce(via, 0) AS via FROM k4")
+def kg_10_ways(s, d):
+    """From three customers, over suppliers that are cheaper the more lines they share, in four hops at most."""
+    e = edges(s, d).select("src", (-F.col("dst") - 1).alias("dst"), (F.floor(60 / F.col("weight")) + 1).alias("cost"))
+    both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
+    path = TB.scratch(s, "ways")
+    both.write.parquet(f"{path}/edges")
+    found = G.shortest(s.read.parquet(f"{path}/edges"), s.createDataFrame([(1,), (2,), (7,)], "id bigint"), path, 4)
+    return found.select("start", "id", "cost", "hops", F.coalesce("via", F.lit(0)).alias("via"))
+
+
 @query("kg_6_neighbours", f"WITH {EDGES} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM edges WHERE weight >= 2 AND src IN (1, 2, 4)) WHERE rn <= 5")
 def kg_6(s, d):
     return G.neighbours(edges(s, d), table(s, d, "customer").filter("c_custkey IN (1, 2, 4)"), "c_custkey", 5, 2.0)

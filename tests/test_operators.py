@@ -325,6 +325,35 @@ def test_components_and_typed_graph(spark, tmp_path):
     assert e[("Other", "RELATES_TO", "Start")] == 1 and {r for _, r, _ in e} == {"DESCRIBES", "ASSOCIATED_WITH", "CONTAINS", "TAGGED_WITH", "RELATES_TO"}
 
 
+def test_cheapest_ways_with_a_hub(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(0, 40, 160), rng.integers(0, 40, 160), rng.integers(0, 9, 160), strict=True)] + [(99, i, 5) for i in range(40)] + [(i, 99, 5) for i in range(40)] + [(200, 201, 1)]
+    found = graph.shortest(spark.createDataFrame(rows, "src long, dst long, cost long"), spark.createDataFrame([(0,), (5,), (0,)], "id long"), str(tmp_path / "w"))
+    got = {(r.start, r.id): (r.cost, r.hops, r.via) for r in found.collect()}
+    for start in (0, 5):
+        best = {start: (0, 0)}
+        for _ in range(60):
+            for a, b, c in rows:
+                if a in best and (best[a][0] + c, best[a][1] + 1) < best.get(b, (1 << 60, 0)):
+                    best[b] = (best[a][0] + c, best[a][1] + 1)
+        assert {i: w[:2] for (s, i), w in got.items() if s == start} == best
+        way = graph.way_to(found, start, 17)
+        cost = {(a, b): min(c for x, y, c in rows if (x, y) == (a, b)) for a, b, _ in rows}
+        assert way[0] == start and way[-1] == 17 and sum(cost[p] for p in zip(way, way[1:], strict=False)) == best[17][0]
+    assert graph.way_to(found, 0, 201) == []
+
+
+def test_importance_keeps_the_rank_of_dead_ends(spark, tmp_path):
+    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("d", "a", 1.0)]  # c leads nowhere, nothing leads to d
+    got = {r.id: r.importance for r in graph.importance(spark.createDataFrame(edges, "src string, dst string, weight double"), str(tmp_path / "r"), 7, every=3).collect()}
+    out = {n: sum(w for a, _, w in edges if a == n) for n in "abcd"}
+    r = dict.fromkeys("abcd", 0.25)
+    for _ in range(7):
+        lost = sum(r[n] for n in "abcd" if not out[n]) / 4
+        r = {n: 0.15 / 4 + 0.85 * (lost + sum(r[a] * w / out[a] for a, b, w in edges if b == n)) for n in "abcd"}
+    assert got.keys() == r.keys() and all(math.isclose(got[n], r[n]) for n in r) and math.isclose(sum(got.values()), 1)
+
+
 def test_sentence_spans_cover_the_text_and_go_on():
     rng = np.random.default_rng(2)
     for n in (0, 1, 60, 500, 3000):
