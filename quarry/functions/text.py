@@ -73,6 +73,12 @@ def short_hash(c: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x: F.when(x == "", 0).otherwise(F.ascii(x))).cast("array<bigint>"), F.lit(0).cast("bigint"), lambda h, x: F.pmod(h * 31 + x, F.lit(1 << 32)))
 
 
+def base36_hash(c: Column) -> Column:
+    """The same hash as a number of 32 bits with a sign, without the sign, in digits and small letters."""
+    h = short_hash(c)
+    return F.lower(F.conv(F.abs(F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)).cast("string"), 10, 36))
+
+
 def title_parts(title: Column) -> Column:
     """status, number and cleaned from a title such as '【draft】 012_Some name'."""
     status = F.when(title.rlike("(?i)deprecated|obsolete"), "deprecated").when(title.rlike("(?i)draft"), "draft").otherwise("approved")
@@ -158,6 +164,12 @@ def nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def normalised_labels(labels: Column) -> Column:
+    """Labels in compatibility form, lower case, without blanks around; null stays null."""
+    joined = nfkc(F.array_join(F.transform(labels, lambda x: F.coalesce(x, F.lit(""))), "\x01"))
+    return F.when(F.size(labels) > 0, F.transform(F.split(joined, "\x01"), lambda x: F.trim(F.lower(x)))).otherwise(labels)
+
+
 @F.pandas_udf(T.StringType())
 def rich_text(c: pd.Series) -> pd.Series:
     """The text of a rich-text tree in JSON: paragraphs, breaks, lists, quotes, tables."""
@@ -177,18 +189,3 @@ def rich_text(c: pd.Series) -> pd.Series:
             return raw
 
     return c.map(one)
-
-
-@F.pandas_udf(T.IntegerType())
-def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common substring."""
-
-    def one(x: str | None, y: str | None) -> int:
-        short, long = sorted((x or "", y or ""), key=len)
-        best = 0
-        for i in range(len(short)):  # from each start, only what is longer than the best is looked for
-            while i + best < len(short) and short[i : i + best + 1] in long:
-                best += 1
-        return best
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")

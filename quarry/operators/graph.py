@@ -17,6 +17,14 @@ def reference_edges(pages: DataFrame, key: str, text: Column, pattern: str, weig
     return x.select("src", F.expr("try_cast(d AS BIGINT)").alias("dst"), F.lit(weight).alias("weight")).filter("dst IS NOT NULL AND dst <> src")
 
 
+def number_edges(pages: DataFrame, key: str, text: Column, weight: float = 0.7) -> DataFrame:
+    """src, dst (three digits), weight: one edge for each different number of three digits and an underscore that the text names; none to the page's own
+    number, which is its key or the key's last three digits."""
+    x = pages.select(F.col(key).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d{3})_"), F.lit(1)))).alias("dst"))
+    own = F.col("src").cast("string")
+    return x.filter((F.col("dst") != own) & (F.col("dst") != F.substr(own, F.lit(-3)))).withColumn("weight", F.lit(weight))
+
+
 def domain_links(nodes: DataFrame, key: str, domain: str, category: str) -> DataFrame:
     """Every link within a domain, without its square: a row for each node, as node, domain, category and the weights of its links to the nodes of its
     domain with the same category and with another (or none). links_of() has the pairs."""

@@ -11,6 +11,7 @@ from quarry.operators import evaluation as E
 from quarry.operators import fusion as FU
 from quarry.operators import graph as G
 from quarry.operators import incremental as I
+from quarry.operators import titles as TI
 from quarry.operators import vector as V
 from quarry.sources import recorded as RC
 from quarry.sources import remote as RM
@@ -433,11 +434,43 @@ def jn_17(s, d):
     return part.unionByName(whole).distinct().select("r_regionkey", "n_nationkey")
 
 
+TITLED = r"""t AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN doc_id || '_' ELSE '' END || split_part(text, chr(10), 1) AS title FROM documents),
+h AS (SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages UNION ALL SELECT 100000 + doc_id, substr(split_part(text, chr(10), 1), 1, 20 + doc_id % 60) FROM documents WHERE doc_id % 7 = 3 UNION ALL SELECT 200000 + doc_id, '9_' || split_part(text, chr(10), 1) FROM documents WHERE doc_id % 11 = 5),
+x AS (SELECT id, regexp_replace(title, '^\s+|\s+$', '', 'g') AS a FROM t), y AS (SELECT id, regexp_replace(title, '^\s+|\s+$', '', 'g') AS a FROM h),
+tt AS (SELECT *, regexp_replace(regexp_replace(a, '^\d+_', ''), '^\s+|\s+$', '', 'g') AS b, list_distinct(regexp_extract_all(regexp_replace(a, '^[\d_]*[【（(]?[A-Z]+[】）)]?\s*', ''), '\p{L}{9,}')) AS k FROM x),
+hh AS (SELECT *, regexp_replace(regexp_replace(a, '^\d+_', ''), '^\s+|\s+$', '', 'g') AS b, list_distinct(regexp_extract_all(regexp_replace(a, '^[\d_]*[【（(]?[A-Z]+[】）)]?\s*', ''), '\p{L}{9,}')) AS k FROM y),
+m AS (SELECT tt.id, hh.id AS ref, CASE WHEN tt.a <> '' AND tt.a = hh.a THEN 0 WHEN tt.b <> '' AND tt.b = hh.b THEN 1
+  WHEN (tt.a <> '' AND hh.a <> '' AND (contains(tt.a, hh.a) OR contains(hh.a, tt.a))) OR (tt.b <> '' AND hh.b <> '' AND (contains(tt.b, hh.b) OR contains(hh.b, tt.b))) THEN 2
+  WHEN len(list_filter(list_intersect(tt.k, hh.k), lambda w: length(w) >= 12)) >= 1 OR len(list_intersect(tt.k, hh.k)) >= 2 THEN 3 END AS kind FROM tt, hh),
+b AS (SELECT id, min({'kind': kind, 'ref': ref}) AS m FROM m WHERE kind IS NOT NULL GROUP BY 1)
+SELECT t.id, ['equal', 'number', 'contained', 'keywords'][m.kind + 1] AS kind, m.ref AS ref FROM t LEFT JOIN b USING (id)"""
+
+
+@query("jn_17_fuzzy_titles", f"WITH {TITLED}")
+def jn_17_fuzzy(s, d):
+    """Whole first lines of the documents, some with a number, against the titles of the pages and shortened or numbered lines."""
+    x = table(s, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
+    titles = x.select(F.col("doc_id").alias("id"), F.concat(F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("_"))).otherwise(""), F.col("line")).alias("title"))
+    pages = table(s, d, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    cut = x.filter("doc_id % 7 = 3").select((F.col("doc_id") + 100000).alias("id"), F.substr("line", F.lit(1), (F.lit(20) + F.col("doc_id") % 60).cast("int")).alias("title"))
+    numbered = x.filter("doc_id % 11 = 5").select((F.col("doc_id") + 200000).alias("id"), F.concat(F.lit("9_"), F.col("line")).alias("title"))
+    return TI.fuzzy_titles(titles, pages.union(cut).union(numbered), r"\p{L}{9,}", 12)
+
+
 @query("kg_1_reference_edges", r"WITH x AS (SELECT page_id AS src, unnest(list_distinct(regexp_extract_all(url, '/([0-9]+)', 1))) AS d FROM pages) SELECT src, try_cast(d AS BIGINT) AS dst, 1.0::DOUBLE AS weight FROM x WHERE try_cast(d AS BIGINT) <> src")
 def kg_1(s, d):
     return G.reference_edges(table(s, d, "pages"), "page_id", F.col("url"), "/([0-9]+)", 1.0)
 
 
+@query("kg_1_number_edges", r"WITH x AS (SELECT page_id AS src, unnest(list_distinct(regexp_extract_all(html || ' ' || lpad((page_id % 250)::VARCHAR, 3, '0') || '_a ' || lpad((page_id * 7 % 250)::VARCHAR, 3, '0') || '_b ' || lpad((page_id * 7 % 250)::VARCHAR, 3, '0') || '_c', '(\d{3})_', 1))) AS dst FROM pages) SELECT src, dst, 0.7::DOUBLE AS weight FROM x WHERE dst <> src::VARCHAR AND dst <> right(src::VARCHAR, 3)")
+def kg_1_numbers(s, d):
+    """Numbers of pages in whole pages, to which some are added."""
+    number = lambda c: F.lpad(c.cast("string"), 3, "0")
+    i = F.col("page_id")
+    text = F.concat("html", F.lit(" "), number(i % 250), F.lit("_a "), number(i * 7 % 250), F.lit("_b "), number(i * 7 % 250), F.lit("_c"))
+    return G.number_edges(table(s, d, "pages"), "page_id", text)
+
+
 @query("kg_2_by_title", "SELECT r_regionkey, min(n_nationkey) AS n_nationkey FROM region JOIN nation ON contains(n_name, substr(r_name, 1, 1)) GROUP BY 1")
 def kg_2(s, d):
     x = G.containing(table(s, d, "nation"), "n_nationkey", F.col("n_name"), table(s, d, "region"), "r_regionkey", F.substring("r_name", 1, 1))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import chunks as C
+from quarry.functions import substrings as SS
 from quarry.functions import text as T
 from quarry.operators import bm25 as BM
 from quarry.operators import filters as FL
@@ -39,6 +40,12 @@ _filter("flt_4_like", "title LIKE '%the%'", lambda: F.contains("title", F.lit("t
 _filter("flt_6_exclude_list", f"NOT list_has_any({LOW}, ['src0', 'src1', 'src2'])", lambda: ~FL.has_any(F.col("labels"), FL.excludes(["src0"], {"a": ["src1", "src2"], "b": ["src9"]}, ["b"])))
 _filter("flt_7_exclude_labels", f"NOT list_has_any({LOW}, ['en'])", lambda: ~FL.has_any(F.col("labels"), ["EN"]))
 _filter("flt_8_include_labels", f"list_has_any({LOW}, ['fr', 'src4'])", lambda: FL.has_any(F.transform("labels", lambda x: x), ["FR", "src4"]))
+def _wide(c):  # noqa: ANN001, ANN202
+    """Capital letters as full-width ones, which are the same in compatibility form."""
+    return F.translate(F.upper(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(0xFF21 + i) for i in range(26)))
+
+
+_filter("flt_8_normalised_labels", f"list_has_any({LOW}, ['fr', 'src4'])", lambda: F.arrays_overlap(T.normalised_labels(F.transform("labels", lambda x: F.concat(F.lit(" "), _wide(x)))), F.array(F.lit("fr"), F.lit("src4"))))
 _filter("flt_10_distance_band", "(doc_id % 200) / 100.0 <= 1.5 AND (doc_id % 200) / 100.0 >= 0.5", lambda: (F.col("doc_id") % 200 / 100.0).between(0.5, 1.5))
 _filter("flt_11_short_content", "length(content) >= 100", lambda: F.length("content") >= 100)
 _filter("flt_12_meetings", "NOT regexp_matches(title, '(?i)meeting|minutes|standup|retrospective|agenda|kickoff|weekly|sync notes')", lambda: ~FL.any_match(F.col("title"), FL.MEETING))
@@ -168,10 +175,12 @@ _AT = "list_filter([CAST(position('tion' IN lower(text)) AS BIGINT), CAST(positi
 _SNIP = f"(SELECT CASE WHEN length(text) <= 200 THEN text WHEN len(a) = 0 THEN substr(text, 1, 200) ELSE substr(text, 1, h) || ' … ' || array_to_string(list_transform(a, lambda p: substr(text, greatest(h + 1, p - CAST(floor((200 - h) // len(a) * 0.3) AS BIGINT)), (200 - h) // len(a))), ' … ') END FROM (SELECT h, {_AT} AS a FROM (SELECT CAST({_HEAD} AS BIGINT) AS h)))"
 _text("str_15_multi_snippet", _SNIP, lambda: T.multi_snippet(_c("text"), ["tion", "queaux"], 200, _c("doc_id") % 10 + 1))
 _text("str_16_sentence_pieces", "", lambda: T.sentence_pieces(200)(_c("text")))
-_text("str_17_common_substring", "", lambda: T.longest_common(F.col("text"), F.lit("the tion of")))
+_text("str_17_common_substring", "", lambda: SS.longest_common(F.col("text"), F.lit("the tion of")))
 _text("str_18_token_estimate", r"CAST(ceil(0.5 * length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) + 1.8 * (length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')))) AS BIGINT)", lambda: T.token_estimate(_c("text")).cast("bigint"))
 _text("str_19_sha_key", "sha256(source || ':' || lang)", lambda: F.sha2(F.concat(_c("source"), F.lit(":"), _c("lang")), 256))
 _text("str_19_short_hash", "CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(source, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 4294967296) AS BIGINT)", lambda: T.short_hash(_c("source")))
+_H = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(coalesce(source, '') || coalesce(lang, '') || coalesce(source, ''), ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 31 + x) % 4294967296)"
+_text("str_19_base36", f"lower(to_base(abs({_H} - CASE WHEN {_H} >= 2147483648 THEN 4294967296 ELSE 0 END), 36))", lambda: T.base36_hash(F.concat(*[F.coalesce(_c(x), F.lit("")) for x in ("source", "lang", "source")])))
 _text("str_20_field_names", "coalesce(map {'O': 'open', 'F': 'finished'}[o_orderstatus], o_orderstatus)", lambda: F.coalesce(F.try_element_at(F.create_map(F.lit("O"), F.lit("open"), F.lit("F"), F.lit("finished")), _c("o_orderstatus")), _c("o_orderstatus")), "orders", "o_orderkey")
 _text("str_21_ticket_text", "'Status: ' || o_orderstatus || chr(10) || 'Priority: ' || o_orderpriority || chr(10) || 'Assignee: ' || o_custkey", lambda: F.concat_ws("\n", F.concat(F.lit("Status: "), _c("o_orderstatus")), F.concat(F.lit("Priority: "), _c("o_orderpriority")), F.concat(F.lit("Assignee: "), _c("o_custkey").cast("string"))), "orders", "o_orderkey")
 _text("arr_1_labels", "list_filter(list_transform(string_split('[' || lang || ', \"' || source || '\"]', ','), lambda x: trim(replace(replace(replace(x, '[', ''), ']', ''), '\"', ''))), lambda x: x <> '')", lambda: T.labels_as_array(F.concat(F.lit("["), _c("lang"), F.lit(', "'), _c("source"), F.lit('"]'))))
@@ -370,3 +379,28 @@ def tok_3_lattice(s, d):
 @query("tok_1_dictionary", r"SELECT word, count(*) AS n, CASE WHEN 2 * count(*) FILTER (regexp_matches(t, '^\p{Lu}')) >= count(*) THEN 'noun' ELSE 'word' END AS kind FROM (SELECT t, lower(t) AS word FROM (SELECT unnest(string_split_regex(text, '[^\p{L}\p{N}]+')) AS t FROM documents) WHERE length(t) >= 3 AND NOT regexp_matches(t, '\p{N}')) GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, word LIMIT 200000")
 def tok_1_dictionary(s, d):
     return learned(s, d)
+
+
+QUERY_WORDS = ["small widget", "colder", "bolt"]
+
+
+@query(
+    "str_17_relevance_tiers",
+    f"""WITH w AS (SELECT unnest({QUERY_WORDS}) AS w), s AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM w), g AS (SELECT DISTINCT w, substr(w, i, n) AS g FROM (SELECT w, i, unnest(range(1, length(w) - i + 2)) AS n FROM s)),
+c AS (SELECT p_partkey, p_name AS k, w, coalesce(max(length(g)) FILTER (contains(p_name, g)), 0) AS common FROM part, g GROUP BY ALL),
+r AS (SELECT p_partkey, max(common) AS common, max(CASE WHEN k = w THEN 1.0::DOUBLE ELSE greatest(CASE WHEN contains(k, w) THEN 0.9::DOUBLE ELSE 0 END, CASE WHEN contains(w, k) THEN 0.8::DOUBLE ELSE 0 END, CASE WHEN common >= 2 THEN common / greatest(length(k), length(w))::DOUBLE ELSE 0 END) END) AS score FROM c GROUP BY 1)
+SELECT p_partkey, CAST(common AS INT) AS common, common >= 4 AS shares_four, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.2 THEN 'low' END AS tier FROM r""",
+)
+def str_17_tiers(s, d):
+    x = table(s, d, "part").select("p_partkey", SS.common_with(s, F.col("p_name"), QUERY_WORDS)["length"].alias("common"), SS.relevance(F.col("p_name"), QUERY_WORDS).alias("score"))
+    return x.select("p_partkey", "common", (F.col("common") >= 4).alias("shares_four"), F.round("score", 6).alias("score"), SS.tier(F.col("score")).alias("tier"))
+
+
+@query("str_17_benchmark_words")
+def str_17_words(s, d):
+    """Whole documents against all words of the benchmark at once: the longest piece of any of them."""
+    words = table(s, d, "benchmark").select(F.explode(BM.tokens(F.col("text"))).alias("w")).distinct().orderBy("w")
+    words = [r["w"] for r in words.limit(SS.MOST).collect()]  # the keywords of a lexicon; common_with checks their size
+    x = TB.spread(table(s, d, "documents").select("doc_id", "text"))
+    found = SS.common_with(s, F.lower("text"), words)
+    return x.select("doc_id", found.alias("f")).select("doc_id", "f.length", "f.start", F.get(F.array(*map(F.lit, words)), F.col("f.pattern")).alias("word"))

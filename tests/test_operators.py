@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import plans
-from quarry.functions import chunks, stats, text
+from quarry.functions import chunks, stats, substrings, text
 from quarry.functions import scores as S
-from quarry.operators import analytics, bm25, filters, fusion, graph, incremental, ivf, lattice, lexicon, vector
+from quarry.operators import analytics, bm25, filters, fusion, graph, incremental, ivf, lattice, lexicon, titles, vector
 from quarry.sources import tables
 from quarry.streaming import windows
 
@@ -73,7 +73,7 @@ def test_text_rules(spark):
 
 def test_rich_text_and_common_substring(spark):
     raw = '{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"a"},{"type":"hardBreak"},{"type":"text","text":"b"}]}]}'
-    r = one(spark, text.rich_text(F.lit(raw)), text.longest_common(F.lit("abcd"), F.lit("xbcy")), text.nfkc(F.lit("Ａ")))
+    r = one(spark, text.rich_text(F.lit(raw)), substrings.longest_common(F.lit("abcd"), F.lit("xbcy")), text.nfkc(F.lit("Ａ")))
     assert r[0] == "a\nb" and r[1] == 2 and r[2] == "A"
 
 
@@ -87,7 +87,7 @@ def test_registered_text_queries_take_whole_texts(spark, tmp_path):
 def test_common_substring_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [("".join(rng.choice(list("abc"), rng.integers(0, 12))), "".join(rng.choice(list("abc"), rng.integers(0, 12)))) for _ in range(80)]
-    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.longest_common(F.col("a"), F.col("b")).alias("n")).collect()
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", substrings.longest_common(F.col("a"), F.col("b")).alias("n")).collect()
     assert len(got) == 80 and all(r.n == max((j - i for i in range(len(r.a)) for j in range(i + 1, len(r.a) + 1) if r.a[i:j] in r.b), default=0) for r in got)
 
 
@@ -325,6 +325,53 @@ def test_components_and_typed_graph(spark, tmp_path):
     assert e[("Other", "RELATES_TO", "Start")] == 1 and {r for _, r, _ in e} == {"DESCRIBES", "ASSOCIATED_WITH", "CONTAINS", "TAGGED_WITH", "RELATES_TO"}
 
 
+def test_suffix_automata_find_what_loops_find(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abc"), n))
+    for _ in range(300):
+        patterns, t = [word(rng.integers(0, 9)) for _ in range(rng.integers(0, 5))], word(rng.integers(0, 25))
+        length, start, pattern = substrings.Automaton(patterns).longest(t)
+        best = max((n for p in patterns for i in range(len(p)) for n in range(1, len(p) - i + 1) if p[i : i + n] in t), default=0)
+        assert length == best and (pattern >= 0) == (best > 0)
+        if best:
+            assert t[start : start + best] in patterns[pattern] and not any(t[i : i + best] in p for p in patterns for i in range(start))
+    long = "ab" * 20_000 + "needle" + "ba" * 20_000
+    df = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, "x\uffffneed")], "id long, t string")
+    rows = {r.id: tuple(r.f) for r in df.select("id", substrings.common_with(spark, F.col("t"), ["eedl", "need", "zz"]).alias("f")).collect()}
+    assert rows == {1: (4, 40_000, 1), 2: (0, 0, -1), 3: (0, 0, -1), 4: (4, 2, 1)}
+    assert [r.h for r in df.orderBy("id").select(substrings.has_common(F.col("t"), F.lit("edle"), 4).alias("h")).collect()] == [True, False, False, False]
+    with pytest.raises(ValueError, match="characters at most"):
+        substrings.common_with(spark, F.col("t"), ["x" * 1_000_001])
+
+
+def test_titles_meet_like_all_pairs(spark):
+    import re
+
+    def keys(t):
+        return set(re.findall("[\u3040-\u309f\u30a0-\u30ff\u4e00-\u9faf]{2,}", re.sub(r"^[\d_]*[【（(]?[A-Z]+[】）)]?\s*", "", t.strip()).strip()))
+
+    def kind(t, r):
+        a, b = t.strip(), r.strip()
+        if a == b and a:
+            return 0
+        x, y = (re.sub(r"^\d+_", "", v).strip() for v in (a, b))
+        if x and x == y:
+            return 1
+        if (a and b and (a in b or b in a)) or (x and y and (x in y or y in x)):
+            return 2
+        common = keys(t) & keys(r)
+        return 3 if any(len(w) >= 3 for w in common) or len(common) >= 2 else None
+
+    rng = np.random.default_rng(7)
+    parts = ["教室", "全体管理者", "削除", "機能", "ログイン", "の", "x", "API ", "【FIX】", "12_", "7_", " ", "画面一覧"]
+    make = lambda n: ["".join(rng.choice(parts, rng.integers(0, 5))) for _ in range(n)]
+    own, refs = [*make(120), None, "", "453_【FIX】パスワード再設定機能", "超管理部門 zz"], [*make(60), None, "超管理部門 yy", "045_【FIX】パスワード再設定機能", "全体管理者 ログアウト", "x"]
+    rows = titles.fuzzy_titles(*(spark.createDataFrame([(i, t) for i, t in enumerate(x)], "id long, title string") for x in (own, refs))).collect()
+    want = {i: min(((k, j) for j, r in enumerate(refs) if r is not None and (k := kind(t or "", r)) is not None), default=(None, None)) for i, t in enumerate(own)}
+    assert {r.id: (r.kind, r.ref) for r in rows} == {i: (None if k is None else titles.KINDS[k], j) for i, (k, j) in want.items()}
+    assert {r.kind for r in rows} == {None, *titles.KINDS}
+
+
 def test_cheapest_ways_with_a_hub(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(0, 40, 160), rng.integers(0, 40, 160), rng.integers(0, 9, 160), strict=True)] + [(99, i, 5) for i in range(40)] + [(i, 99, 5) for i in range(40)] + [(200, 201, 1)]
