@@ -525,7 +525,7 @@ def kg_10_paths(s, d):
     return G.within(both, s.createDataFrame([(1,)], "id bigint"), 2).filter("hops > 0")
 
 
-WAYS = f"WITH {EDGES}, e AS (SELECT src, -dst - 1 AS dst, CAST(60 // weight AS BIGINT) + 1 AS cost FROM edges), g AS (SELECT * FROM e UNION ALL SELECT dst, src, cost FROM e), k0 AS (SELECT s AS start, s AS id, 0::BIGINT AS cost, 0 AS hops, NULL::BIGINT AS via FROM (VALUES (1::BIGINT), (2), (7)) t(s))" + "".join(f", k{i + 1} AS (SELECT start, id, w.cost AS cost, w.hops AS hops, w.via AS via FROM (SELECT start, id, min({{'cost': cost, 'hops': hops, 'via': via}}) AS w FROM (SELECT * FROM k{i} UNION ALL SELECT start, dst, k.cost + g.cost, k.hops + 1, src FROM k{i} k JOIN g ON g.src = k.id) GROUP BY 1, 2))" for i in range(4))
+WAYS = f"WITH {EDGES}, e AS (SELECT src, -dst - 1 AS dst, CAST(floor(60 / weight) AS BIGINT) + 1 AS cost FROM edges), g AS (SELECT * FROM e UNION ALL SELECT dst, src, cost FROM e), k0 AS (SELECT s AS start, s AS id, 0::BIGINT AS cost, 0 AS hops, NULL::BIGINT AS via FROM (VALUES (1::BIGINT), (2), (7)) t(s))" + "".join(f", k{i + 1} AS (SELECT start, id, w.cost AS cost, w.hops AS hops, w.via AS via FROM (SELECT start, id, min({{'cost': cost, 'hops': hops, 'via': via}}) AS w FROM (SELECT * FROM k{i} UNION ALL SELECT start, dst, k.cost + g.cost, k.hops + 1, src FROM k{i} k JOIN g ON g.src = k.id) GROUP BY 1, 2))" for i in range(4))
 
 
 @query("kg_10_weighted_paths", WAYS + " SELECT start, id, cost, hops, coalesce(via, 0) AS via FROM k4")
