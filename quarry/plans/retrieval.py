@@ -245,9 +245,10 @@ def ttl_2_titles(s, d):
     return chunks(s, d).select("doc_id", F.explode(F.array_distinct(BM.candidates_of(k))).alias("candidate"))
 
 
-@query("ttl_2_title_candidates", "WITH k AS (SELECT * FROM (VALUES ('the', 0), ('ening', 1), ('queaux', 2)) t(k, i)) SELECT DISTINCT candidate FROM (SELECT a.k || b.k AS candidate FROM k a JOIN k b ON a.i <> b.i UNION ALL SELECT k FROM k)")
+@query("ttl_2_title_candidates", "SELECT DISTINCT candidate FROM (SELECT lower(a.r_name) || lower(b.r_name) AS candidate FROM region a JOIN region b ON a.r_regionkey <> b.r_regionkey UNION ALL SELECT lower(r_name) FROM region)")
 def ttl_2(s, d):
-    return BM.title_candidates(s.createDataFrame(list(zip(TERMS, range(3), strict=True)), "keyword string, pos int"))
+    """The regions' names as the keywords of a query."""
+    return BM.title_candidates(table(s, d, "region").select(F.lower("r_name").alias("keyword"), F.col("r_regionkey").alias("pos")))
 
 
 @query("ttl_3_title_rescue", f"WITH {CHUNKS}, m AS (SELECT c.k, doc_id, row_number() OVER (PARTITION BY c.k ORDER BY doc_id) AS rn FROM chunks JOIN (VALUES ('the'), ('ening'), ('queaux')) c(k) ON contains(lower(title), c.k)) SELECT doc_id, min(CASE WHEN k = 'queaux' THEN 0.05::DOUBLE ELSE 0.2 END) AS distance FROM m WHERE rn <= 15 GROUP BY 1")
