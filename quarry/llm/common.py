@@ -52,10 +52,12 @@ def clear(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, lost executors cost no recomputation."""
+    """Writes df to the shared folder and reads it back: lineage ends there, lost executors cost no recomputation. The shuffle files of the write go
+    when it is done; otherwise those of all steps lie on disk until the driver's next garbage collection."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -148,12 +150,16 @@ def let(value: Column, body) -> Column:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, size: int = 4_000_000) -> Iterator[None]:
-    """Arrow batches of few enough bytes that a Python worker holds little, however long texts are; for what is run inside."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run inside."""
     was = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, was)
+
+
+def small_batches(spark: SparkSession, size: int = 4_000_000) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of few enough bytes that a Python worker holds little, however long texts are; for what is run inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -1,7 +1,10 @@
 """Passages that a third of all documents share, very long texts, and many tasks, against brute force."""
 
+import glob
 import hashlib
 import random
+import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -65,3 +68,17 @@ def test_tables_of_many_tasks_are_merged_in_a_tree(spark):
     add = lambda raws: np.sum([np.frombuffer(x, dtype=np.int64) for x in raws], axis=0).tobytes()
     got = {r.slice: np.frombuffer(r.raw, dtype=np.int64).tolist() for r in common.merged(df, add, 70, fan=4).collect()}
     assert got == {s: [sum(range(70)) * (s + 1)] * 3 for s in range(2)}
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    def shuffled():
+        return set(glob.glob(f"{tempfile.gettempdir()}/**/blockmgr-*/*/shuffle_*", recursive=True))
+
+    before, was = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    x = spark.range(20_000).repartition(3, "id").groupBy((F.col("id") % 900).alias("k")).agg(F.count("*").alias("n"))
+    out = common.materialize(x, "step")
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before and out.count() == 900
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
