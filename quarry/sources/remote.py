@@ -206,38 +206,44 @@ class TicketSource(DataSource):
 
 
 class _Files(InputPartition):
-    def __init__(self, files: list[dict]):
-        self.files = files
+    """A page of the list, by its token."""
+
+    def __init__(self, token: str | None):
+        self.token = token
 
 
 class _DriveReader(_Reader):
+    """The driver follows the tokens alone; each reader asks for its page of the list again, and for the files on it. So no list of files is in one
+    place, and there are as many tasks as pages."""
+
     choices = {"type": "types"}
 
+    def _types(self) -> list[str]:
+        return [t.strip() for t in self.options.get("types", "").split(",") if t.strip()]
+
+    def _list(self, token: str | None, fields: str | None = None) -> dict:
+        wanted = " or ".join(f"mimeType='{t}'" for t in self._types()) or None
+        return json.loads(fetch(self.options, "files", q=wanted, pageToken=token, pageSize=int(self.options.get("filesperreader", 1000)), fields=fields))
+
     def partitions(self) -> list[_Files]:
-        types = [t.strip() for t in self.options.get("types", "").split(",") if t.strip()]
-        if types == [NONE]:
-            return [_Files([])]
-        wanted = " or ".join(f"mimeType='{t}'" for t in types) or None
-        files, token = [], None
-        while True:
-            answer = json.loads(fetch(self.options, "files", q=wanted, pageToken=token))
-            files += [f for f in answer["files"] if not types or f["mimeType"] in types]
-            token = answer.get("nextPageToken")
-            if not token:
-                break
-        each = int(self.options.get("filesperreader", 20))
-        return [_Files(files[i : i + each]) for i in range(0, len(files), each)] or [_Files([])]
+        out = [_Files(None)]
+        while self._types() != [NONE] and (token := self._list(out[-1].token, "nextPageToken").get("nextPageToken")):
+            out.append(_Files(token))
+        return out
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        for f in partition.files:
+        types = self._types()
+        for f in [] if types == [NONE] else self._list(partition.token)["files"]:
             kind = f["mimeType"]
+            if types and kind not in types:
+                continue
             path, as_ = (f"files/{f['id']}/export", EXPORTS[kind]) if kind in EXPORTS else (f"files/{f['id']}", None)
             raw = fetch(self.options, path, mimeType=as_, alt=None if as_ else "media").decode("utf-8", "replace")
             yield (f["id"], f.get("name"), kind, markdown_of_csv(raw) if kind == SHEET else raw, _time(f.get("modifiedTime")))
 
 
 class DriveSource(DataSource):
-    """Files of the types asked for, exported as text; sheets as markdown tables."""
+    """Files of the types asked for, exported as text; sheets as markdown tables. `filesperreader`: files on a page of the list, which one reader takes."""
 
     @classmethod
     def name(cls) -> str:

@@ -124,6 +124,38 @@ def test_recorded_pages_are_served_like_the_service(spark, tmp_path, wiki_rows):
     assert recorded.answer(str(tmp_path), "rest/api/content", {"limit": 5}) == b'{"results": []}'
 
 
+def test_a_request_reads_its_own_files_only(spark, tmp_path, monkeypatch):
+    """Pages, tokens, times and bodies over many files: each answer is right, and opens a few files however many there are."""
+    folder, opened = str(tmp_path / "kept"), []
+    monkeypatch.setattr(recorded, "ROWS", 10)
+    rows = spark.range(400).withColumn("updated", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60)).repartition(7)
+    even = F.when(F.col("id") % 2 == 0, "even").otherwise("odd")
+    raw = F.to_json(F.struct(F.col("id").cast("string").alias("id"), even.alias("mimeType"), F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("lastModified")))
+    recorded.record(rows.filter("id < 300"), folder, "id", "updated", raw, kind=even, body=F.concat(F.lit("b"), "id"))
+    recorded.record(rows.filter("id >= 300 OR id = 7").withColumn("updated", F.when(F.col("id") == 7, F.lit("2025-01-01").cast("timestamp")).otherwise(F.col("updated"))), folder, "id", "updated", raw, kind=even, body=F.concat(F.lit("c"), "id"), first={"": 300})
+    real = recorded.pq.read_table
+    monkeypatch.setattr(recorded.pq, "read_table", lambda path, **k: opened.append(path) or real(path, **k))
+    ask = lambda path, **q: json.loads(recorded.answer(folder, path, q))
+    want = [*range(400), 7]
+    for start in (0, 5, 290, 395):
+        assert [int(p["id"]) for p in ask("rest/api/content", start=start, limit=20)["results"]] == want[start : start + 20]
+    for minute in (0, 123, 299, 300, 399):
+        since = f"2024-01-01T{minute // 60:02}:{minute % 60:02}:00.000Z"
+        assert [int(p["id"]) for p in ask("rest/api/content", start=3, limit=4, since=since)["results"]] == want[minute + 3 : minute + 7]
+    assert ask("rest/api/content", newest=1, limit=1)["results"][0]["id"] == "7" and not ask("rest/api/content", start=401, limit=9)["results"]
+    assert ask("rest/api/content", start=0, limit=3, since="2026-01-01T00:00:00.000Z") == {"results": []}
+    assert ask("files", pageToken="300", pageSize=100, fields="nextPageToken") == {"nextPageToken": "400"} and ask("files", pageToken="400", pageSize=100, fields="nextPageToken") == {}
+    assert {k: recorded.answer(folder, f"files/{k}", {}) for k in ("0", "7", "299", "300", "399", "x", "")} == {"0": b"b0", "7": b"c7", "299": b"b299", "300": b"c300", "399": b"c399", "x": b"", "": b""}
+    opened.clear()
+    ask("rest/api/content", start=100, limit=20, since="2024-01-01T01:00:00.000Z")
+    recorded.answer(folder, "files/222", {})
+    assert 0 < len(opened) < 10  # of some 80
+    remote.register(spark)
+    spark_read = spark.read.format("quarry_drive").options(url=folder, types="odd", filesperreader="30").load()
+    assert sorted(r.content for r in spark_read.collect()) == sorted([f"{'b' if i < 300 else 'c'}{i}" for i in want if i % 2 and i != 7] + ["c7", "c7"])
+    assert spark_read.rdd.getNumPartitions() == 14  # a task a page, not a task twenty files
+
+
 def test_a_restarted_stream_loses_and_repeats_nothing(spark, tmp_path, wiki_rows, monkeypatch):
     folder, path, checkpoint = (str(tmp_path / n) for n in ("wiki", "table", "checkpoint"))
 
