@@ -52,3 +52,9 @@ def test_rows_match_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.PLANS) - set(plans.ORACLES)))
 def test_queries_without_sql_give_rows(spark, name):
     assert plans.PLANS[name](spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_recall_of_cells_is_measured_for_every_query(spark):
+    row = plans.PLANS["evl_5_recall_of_cells"](spark, SF).first()
+    assert (row["recall"], row["least"], row["recalled"]) == (1.0, 1.0, True)
