@@ -115,6 +115,12 @@ MOST_RANGES = 200_000
 DIRECT = 200_000
 
 
+#: Documents whose postings go to one task at most, when an index is written.
+DOCS_A_FILE = 4096
+#: Frequent terms that may be broadcast, some 40 bytes each; otherwise all postings are shuffled to meet them.
+MOST_OFTEN = 1_000_000
+
+
 def grams(term: Column) -> Column:
     """The distinct substrings of GRAM characters."""
     at = F.sequence(F.lit(1), F.greatest(F.length(term) - (GRAM - 1), F.lit(1)))
@@ -143,11 +149,14 @@ def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buck
     read = lambda folder, name: spark.read.schema(SCHEMAS[name].format(id=kind)).parquet(f"{folder}/{name}")
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     x = postings(docs, key, fields, analyzer=analyzer).select("term", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range"), "id", "field", "tf", "len", bucket)
-    x = x.repartition(buckets, "bucket", F.pmod(F.col("range"), F.lit(files_a_bucket))).sortWithinPartitions("bucket", "term", "range")
+    # A file takes all terms of a bucket in one slice of the ranges; with more ranges there are more slices, so no task grows with the table.
+    slices = max(files_a_bucket, -(-ranges * docs_a_range // (DOCS_A_FILE * buckets)))
+    sliced = lambda rows, by, *order: rows.repartitionById(buckets * slices, F.col("bucket") * slices + F.pmod(by, F.lit(slices)).cast("int")).sortWithinPartitions("bucket", *order)
+    x = sliced(x, F.col("range"), "term", "range")
 
     def terms(folder: str) -> DataFrame:
         df = read(folder, "postings").groupBy("bucket", "term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
-        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+        return sliced(df, F.xxhash64("term", F.lit(1)), "term")
 
     def stats(folder: str) -> DataFrame:
         n = {r["field"]: r["n"] for r in read(folder, "terms").groupBy("field").agg(F.sum("n").alias("n")).collect()}  # a row a field
@@ -157,14 +166,14 @@ def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buck
     def bounds(folder: str) -> DataFrame:
         mean = spark.read.parquet(f"{folder}/stats").first().asDict()
         often = read(folder, "terms").filter(F.col("df") > docs_a_range).select("bucket", "term", "field", "df")
-        x = read(folder, "postings").join(often, ["bucket", "term", "field"])
+        x = read(folder, "postings").join(F.broadcast(often) if often.count() <= MOST_OFTEN else often, ["bucket", "term", "field"])
         x = x.groupBy("bucket", "term", "field", "range").agg(F.max(_saturated({f: mean[f"avg_{f}"] for f in fields})).alias("most"), F.count(F.lit(1)).alias("n"))
-        return x.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "range")
+        return sliced(x, F.col("range"), "term", "range")
 
     def gram(folder: str) -> DataFrame:
         x = read(folder, "terms").select("term").distinct().select(F.explode(grams(F.col("term"))).alias("gram"), "term")
         x = x.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
-        return x.repartition(buckets, "bucket").sortWithinPartitions("bucket", "gram")
+        return sliced(x, F.xxhash64("term", F.lit(1)), "gram")
 
     parts = {"postings": (x, ["bucket"]), "terms": (terms, ["bucket"]), "stats": (stats, []), "bounds": (bounds, ["bucket"]), "grams": (gram, ["bucket"])}
     return tables.replace_all(parts, path)

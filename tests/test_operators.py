@@ -460,3 +460,19 @@ def test_cells_find_all_neighbours(spark):
 def test_recall_of_cells_over_all_queries(spark):
     r = plans.PLANS["evl_5_recall_of_cells"](spark, SF).first()
     assert r.queries == 5 and r.recalled and r.part_read
+
+
+def test_an_index_of_more_documents_has_more_slices(spark, tmp_path, monkeypatch):
+    """No file of postings or bounds grows with the number of documents, and rows found stay the same."""
+    df = spark.range(900).select("id", F.concat_ws(" ", F.lit("all"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 90)).alias("content"))
+    found = {}
+    for most in (4096, 8):
+        monkeypatch.setattr(bm25, "DOCS_A_FILE", most)
+        path = str(tmp_path / f"i{most}")
+        bm25.save_index(df, path, "id", ("content",), 2, docs_a_range=4)
+        monkeypatch.setattr(bm25, "DIRECT", 0)
+        rows = bm25.search_index(spark, path, ["all", "w3", "v5"], 20, ("content",)).collect()
+        tables_ = [spark.read.parquet(f"{tables.at(spark, path)}/{t}") for t in ("postings", "bounds")]
+        found[most] = [tuple(r) for r in rows], [max(r["count"] for r in t.groupBy("_metadata.file_name", "bucket").count().collect()) for t in tables_]
+    assert found[8][0] == found[4096][0] and len(found[8][0]) == 20
+    assert found[8][1][0] * 8 < found[4096][1][0] and found[8][1][1] * 8 < found[4096][1][1]
