@@ -48,3 +48,10 @@ def saved(spark: SparkSession, sf_dir: str, name: str, source: str, build: Calla
 def opened(kind: type, spark: SparkSession, path: str):  # noqa: ANN201
     """A saved index, opened once."""
     return kind(spark, path)
+
+
+def short_batches(spark: SparkSession, size: int = 4_000_000) -> None:
+    """Arrow batches of few enough bytes that a Python worker holds little, however long texts are. For the session: plans run after they are returned."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("bB")) <= size:
+        spark.conf.set(name, str(size))

@@ -16,7 +16,7 @@ from quarry.operators import lexicon as LX
 from quarry.operators.analytics import normalise_message
 from quarry.sources import tables as TB
 
-from .registry import query, saved, table
+from .registry import query, saved, short_batches, table
 from .retrieval import CHUNKS, chunks
 
 
@@ -198,6 +198,8 @@ _text("kw_4_word_split", r"list_filter(regexp_extract_all(text, '([a-zA-Z]+|[0-9
 @query("kw_6_domain_terms", f"WITH {CHUNKS} SELECT doc_id, len(list_filter(['the', 'tion', 'ening', 'queaux', 'ouer'], lambda w: contains(lower(content), w) AND contains(lower(title), w))) AS terms FROM chunks")
 def kw_6(s, d):
     """Terms that a text, as the query, shares with a title."""
+    short_batches(s)
+    short_batches(s)
     n = LX.shared_terms(F.col("content"), F.col("title"), ["the", "tion", "ening", "queaux", "ouer"])
     return chunks(s, d).select("doc_id", n.cast("bigint").alias("terms"))
 
@@ -258,6 +260,7 @@ def chk_3(s, d):
 @query("chk_4_conditional_chunks", SPANS + """, z AS (SELECT y.doc_id, i, content, count(*) OVER (PARTITION BY y.doc_id) AS chunks FROM y JOIN documents USING (doc_id) WHERE length(text) >= 3000 UNION ALL SELECT doc_id, 0, text, 1 FROM documents WHERE length(text) < 3000)
 SELECT doc_id, CASE WHEN chunks > 1 THEN doc_id || '-' || i ELSE doc_id::VARCHAR END AS id, i AS chunk, CAST(chunks AS INT) AS chunks, content, CASE WHEN chunks > 1 THEN lang || chr(10) || chr(10) || lang || chr(10) || chr(10) || lang ELSE lang END || chr(10) || chr(10) || content AS vector_text FROM z JOIN documents USING (doc_id)""")
 def chk_4(s, d):
+    short_batches(s)
     return C.chunk_rows(docs(s, d), "doc_id", F.col("text"), F.col("lang"))
 
 
@@ -365,6 +368,7 @@ def learned(s, d):  # noqa: ANN001, ANN201
 @query("tok_1_lattice_tokens")
 def tok_1_lattice(s, d):
     """Whole texts, cut by a dictionary learned from all of them: compounds and words that no space parts."""
+    short_batches(s)
     cut = BM.tokens(F.col("text"), LT.analyzer(learned(s, d)))
     return TB.spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", cut.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
 
@@ -372,6 +376,7 @@ def tok_1_lattice(s, d):
 @query("tok_3_lattice_nouns")
 def tok_3_lattice(s, d):
     """Of the same tokens, the nouns."""
+    short_batches(s)
     cut = BM.nouns(F.col("text"), LT.analyzer(learned(s, d), (LT.NOUN,)))
     return TB.spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", cut.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("nouns"))
 

@@ -476,3 +476,30 @@ def test_an_index_of_more_documents_has_more_slices(spark, tmp_path, monkeypatch
         found[most] = [tuple(r) for r in rows], [max(r["count"] for r in t.groupBy("_metadata.file_name", "bucket").count().collect()) for t in tables_]
     assert found[8][0] == found[4096][0] and len(found[8][0]) == 20
     assert found[8][1][0] * 8 < found[4096][1][0] and found[8][1][1] * 8 < found[4096][1][1]
+
+
+def test_a_dictionary_takes_little_memory():
+    """200,000 words, as a task holds them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = [("".join(w), 5, "noun") for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (200_000, 9))]
+    tracemalloc.start()
+    d = lattice.Dictionary.of(words)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 100e6 and d.segment(words[0][0] + words[1][0]) == [(words[0][0], "noun"), (words[1][0], "noun")]
+
+
+def test_long_texts_come_in_short_batches(spark):
+    from quarry.plans.registry import short_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    try:
+        short_batches(spark)
+        x = spark.range(0, 600, 1, 1).select(F.repeat(F.concat(F.lit("ab"), "id"), F.lit(10_000)).alias("t"))
+        sizes = F.pandas_udf(lambda t: t.map(lambda _: len(t)), "long")
+        assert x.select(sizes("t").alias("n")).agg(F.max("n")).first()[0] < 300
+    finally:
+        spark.conf.set(name, was)
