@@ -372,6 +372,25 @@ def test_titles_meet_like_all_pairs(spark):
     assert {r.kind for r in rows} == {None, *titles.KINDS}
 
 
+def test_titles_in_titles_of_all_lengths_with_few_candidates(spark):
+    rng = np.random.default_rng(11)
+    # Few syllables, so every three characters of a title are in very many others.
+    words = ["".join(rng.choice(["ban", "dan", "tan"], rng.integers(1, 4))) for _ in range(40)]
+    lines = [" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(300)] + ["é", "bé", "\U0001f600 dan"]
+    cut = lambda t, i: t[(a := int(rng.integers(0, 9))) : a + 1 + (i * 7) % 150].strip()
+    refs = [cut(t, i) for i, t in enumerate(lines)] + ["x " + lines[5] + " y", "dan"]
+    own = [*lines, *[cut(t, i + 3) for i, t in enumerate(lines)]]
+    frame = lambda x: spark.createDataFrame([(i, t) for i, t in enumerate(x)], "id long, title string")
+    rows = titles.fuzzy_titles(frame(own), frame(refs), "[0-9]{9,}", 12).collect()
+    kind = lambda a, b: 0 if a == b != "" else 2 if a and b and (a in b or b in a) else None
+    want = {i: min(((k, j) for j, r in enumerate(refs) if (k := kind(t, r)) is not None), default=(None, None)) for i, t in enumerate(own)}
+    assert {r.id: (r.kind, r.ref) for r in rows} == {i: (None if k is None else titles.KINDS[k], j) for i, (k, j) in want.items()}
+    # Long titles meet few that do not hold them: over three characters each met nearly all 600.
+    long = [" ".join(rng.choice(words, 12)) for _ in range(600)]
+    texts = spark.createDataFrame([(i, t, i % 2, None if i % 2 else i, None) for i, t in enumerate(long)], "h long, text string, own int, ref_a long, ref_b long")
+    assert titles.candidates(texts).count() < 600
+
+
 def test_cheapest_ways_with_a_hub(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(0, 40, 160), rng.integers(0, 40, 160), rng.integers(0, 9, 160), strict=True)] + [(99, i, 5) for i in range(40)] + [(i, 99, 5) for i in range(40)] + [(200, 201, 1)]
