@@ -532,9 +532,10 @@ WAYS = f"WITH {EDGES}, e AS (SELECT src, -dst - 1 AS dst, CAST(floor(60 / weight
 def kg_10_ways(s, d):
     """From three customers, over suppliers that are cheaper the more lines they share, in four hops at most."""
     e = edges(s, d).select("src", (-F.col("dst") - 1).alias("dst"), (F.floor(60 / F.col("weight")) + 1).alias("cost"))
-    both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "cost")
+    both = e.select(F.inline(F.array(way("src", "dst"), way("dst", "src"))))
     path = TB.scratch(s, "ways")
-    both.write.parquet(f"{path}/edges")
+    both.hint("rebalance", F.col("dst")).write.parquet(f"{path}/edges")
     found = G.shortest(s.read.parquet(f"{path}/edges"), s.createDataFrame([(1,), (2,), (7,)], "id bigint"), path, 4)
     return found.select("start", "id", "cost", "hops", F.coalesce("via", F.lit(0)).alias("via"))
 

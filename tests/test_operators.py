@@ -409,6 +409,15 @@ def test_cheapest_ways_with_a_hub(spark, tmp_path):
     assert graph.way_to(found, 0, 201) == []
 
 
+def test_a_round_of_ways_sorts_no_edges(spark):
+    front = spark.createDataFrame([(1, 1, 0), (2, 2, 3)], "start long, id long, cost long")
+    edges = spark.createDataFrame([(1, 5, 4), (2, 5, 1), (2, 6, 1), (9, 6, 1), (1, 7, 2)], "src long, dst long, cost long")
+    x = graph._one_further(front, edges.union(edges))
+    assert sorted(map(tuple, x.collect())) == [(1, 5, 4, 1), (1, 7, 2, 1), (2, 5, 4, 2), (2, 6, 4, 2)]
+    plan = x._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_importance_keeps_the_rank_of_dead_ends(spark, tmp_path):
     edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("d", "a", 1.0)]  # c leads nowhere, nothing leads to d
     got = {r.id: r.importance for r in graph.importance(spark.createDataFrame(edges, "src string, dst string, weight double"), str(tmp_path / "r"), 7, every=3).collect()}
