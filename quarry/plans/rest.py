@@ -512,9 +512,12 @@ PR = "WITH " + EDGES + ", g AS (SELECT 'c' || src AS src, 's' || dst AS dst, wei
 
 @query("kg_10_importance", PR + " SELECT id, round(r, 9) AS importance FROM r5")
 def kg_10(s, d):
-    e = edges(s, d).select(F.concat(F.lit("c"), F.col("src").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("dst").cast("string")).alias("dst"), "weight")
-    both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return G.importance(both, TB.scratch(s, "importance"), 5).select("id", F.round("importance", 9).alias("importance"))
+    """Customers have even numbers and suppliers odd ones until the ranks are there: numbers are joined faster than names."""
+    way = lambda a, b: F.struct(a.alias("src"), b.alias("dst"), "weight")
+    customer, supplier = 2 * F.col("src"), 2 * F.col("dst") + 1
+    both = edges(s, d).select(F.inline(F.array(way(customer, supplier), way(supplier, customer))))
+    name = F.concat(F.when(F.col("id") % 2 == 0, "c").otherwise("s"), F.floor(F.col("id") / 2).cast("string"))
+    return G.importance(both, TB.scratch(s, "importance"), 5).select(name.alias("id"), F.round("importance", 9).alias("importance"))
 
 
 @query("kg_10_paths", f"WITH {EDGES}, g AS (SELECT src, dst FROM edges WHERE weight >= 2), a AS (SELECT DISTINCT dst FROM g WHERE src = 1), b AS (SELECT DISTINCT g.src FROM g JOIN a USING (dst) WHERE g.src <> 1) SELECT src AS id, 2 AS hops FROM b UNION ALL SELECT -dst - 1, 1 FROM a")

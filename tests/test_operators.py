@@ -418,6 +418,21 @@ def test_a_round_of_ways_sorts_no_edges(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_importance_writes_edges_without_meeting_their_sums(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 90), rng.integers(0, 35, 90), rng.integers(1, 6, 90), strict=True)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    got = {r.id: r.importance for r in graph.importance(edges, str(tmp_path / "r"), 7, every=3).collect()}
+    nodes = sorted({x for a, b, _ in rows for x in (a, b)})
+    total = {a: sum(w for x, _, w in rows if x == a) for a, _, _ in rows}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(7):
+        lost = sum(r for i, r in rank.items() if i not in total) / len(nodes)
+        rank = {i: 0.15 / len(nodes) + 0.85 * (lost + sum(rank[a] * w / total[a] for a, b, w in rows if b == i)) for i in nodes}
+    assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-12 for i in nodes)
+    assert spark.read.parquet(str(tmp_path / "r" / "moves")).columns == ["src", "dst", "weight"]
+
+
 def test_importance_keeps_the_rank_of_dead_ends(spark, tmp_path):
     edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("d", "a", 1.0)]  # c leads nowhere, nothing leads to d
     got = {r.id: r.importance for r in graph.importance(spark.createDataFrame(edges, "src string, dst string, weight double"), str(tmp_path / "r"), 7, every=3).collect()}
