@@ -150,8 +150,9 @@ def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buck
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     x = postings(docs, key, fields, analyzer=analyzer).select("term", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range"), "id", "field", "tf", "len", bucket)
     # A file takes all terms of a bucket in one slice of the ranges; with more ranges there are more slices, so no task grows with the table.
+    # All rows of a task have one bucket: it is no part of the sort, in which rows would else be compared by what they have in common first.
     slices = max(files_a_bucket, -(-ranges * docs_a_range // (DOCS_A_FILE * buckets)))
-    sliced = lambda rows, by, *order: rows.repartitionById(buckets * slices, F.col("bucket") * slices + F.pmod(by, F.lit(slices)).cast("int")).sortWithinPartitions("bucket", *order)
+    sliced = lambda rows, by, *order: rows.repartitionById(buckets * slices, F.col("bucket") * slices + F.pmod(by, F.lit(slices)).cast("int")).sortWithinPartitions(*order)
     x = sliced(x, F.col("range"), "term", "range")
 
     def terms(folder: str) -> DataFrame:
@@ -176,7 +177,13 @@ def save_index(docs: DataFrame, path: str, key: str, fields: Sequence[str], buck
         return sliced(x, F.xxhash64("term", F.lit(1)), "gram")
 
     parts = {"postings": (x, ["bucket"]), "terms": (terms, ["bucket"]), "stats": (stats, []), "bounds": (bounds, ["bucket"]), "grams": (gram, ["bucket"])}
-    return tables.replace_all(parts, path)
+    open_files = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(open_files)
+    spark.conf.set(open_files, "1")  # without it Spark sorts rows by bucket again before it writes them
+    try:
+        return tables.replace_all(parts, path)
+    finally:
+        spark.conf.set(open_files, was)
 
 
 class SavedIndex:

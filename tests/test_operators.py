@@ -372,6 +372,21 @@ def test_titles_meet_like_all_pairs(spark):
     assert {r.kind for r in rows} == {None, *titles.KINDS}
 
 
+def test_index_rows_are_sorted_by_term_not_by_bucket(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} common") for i in range(60)], "id long, content string")
+    plans, write = [], bm25.tables.replace_all
+    monkeypatch.setattr(bm25.tables, "replace_all", lambda parts, path: (plans.append(parts["postings"][0]._jdf.queryExecution().optimizedPlan().toString()), write(parts, path))[1])
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    bm25.save_index(docs, str(tmp_path / "i"), "id", ("content",), 4, 16)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert plans[0].split("Sort [", 1)[1].startswith("term")
+    files = list((tmp_path / "i").glob("v-*/postings/bucket=*/*.parquet"))
+    assert files
+    for f in files:
+        terms = [r.term for r in spark.read.parquet(str(f)).collect()]
+        assert terms == sorted(terms)
+
+
 def test_titles_in_titles_of_all_lengths_with_few_candidates(spark):
     rng = np.random.default_rng(11)
     # Few syllables, so every three characters of a title are in very many others.
