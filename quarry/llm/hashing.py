@@ -65,6 +65,34 @@ def word_hashes(texts: list[str] | list[bytes], fold: bool = False) -> tuple[np.
     return mix(Rolling(BYTES[data]).runs(start, end) ^ (end - start).astype(np.uint64)), sizes
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of many texts of bytes, end to end, begin and end, and how many each text has. offsets: where each text begins, and the last ends."""
+    inside = ~SPACES[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # A text's first word does not go on from the text before.
+    at = offsets[(offsets > 0) & (offsets < len(data))]
+    first[at], last[at - 1] = inside[at], inside[at - 1]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.diff(np.searchsorted(start, offsets))
+
+
+def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that word_bounds() found with one space behind each, and where each begins."""
+    ends = np.cumsum(end - start + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, dtype=np.uint8)
+    word = np.ones(len(out), dtype=bool)
+    word[ends - 1] = False
+    out[word] = data[~SPACES[data]]
+    return out, ends - (end - start + 1)
+
+
+def hashes_between(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes word_hashes() has for these words."""
+    return mix(Rolling(BYTES[data]).runs(start, end) ^ (end - start).astype(np.uint64))
+
+
 def split_words(text: str, fold: bool = False) -> list[bytes]:
     """Runs of bytes other than the six ASCII white-space characters; fold lower-cases A-Z only."""
     raw = text.encode("utf-8", "surrogatepass")

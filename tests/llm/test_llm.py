@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import classifier, components, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, repeats, substring_dedup, suffix_array, suffix_dedup
+from quarry.llm import classifier, components, exact_dedup, hashing, line_dedup, mixing, ngram_join, packing, pii, quality_rules, repeats, substring_dedup, suffix_array, suffix_dedup
 from quarry.llm.common import Scratch, new_path
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, n long, t string"
@@ -529,6 +529,40 @@ def test_registered_index_joins_several_runs_and_compacts(spark, texts, tmp_path
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, once.collect()), key=str) and any(r.n_removed for r in got.collect())
 
 
+def test_compaction_merges_across_runs_and_batches_read_their_rows_only(spark, texts, tmp_path, monkeypatch):
+    frame(spark, texts * 3).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    made, plans, compacted = substring_dedup.FingerprintIndex, [], []
+
+    class Seen(made):
+        def add(self, docs, *a):
+            plans.append(docs._jdf.queryExecution().executedPlan().toString())
+            return super().add(docs, *a)
+
+        def _compact(self):
+            super()._compact()
+            compacted.extend(spark.table(n).select("h", "bh").collect() for level, n in self.runs if level)
+
+    monkeypatch.setattr(substring_dedup, "FingerprintIndex", Seen)
+    got = substring_dedup.op7_substring_dedup(spark, str(tmp_path))
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got.collect()} == {i: x[:2] for i, x in words_left(texts * 3).items()}
+    assert compacted and all(len(rows) == len(set(rows)) for rows in compacted)
+    assert all("LessThanOrEqual(doc_id" in p for p in plans[:3]) and all("GreaterThan(doc_id" in p for p in plans[1:])
+
+
+@pytest.mark.parametrize("chunk", [200_000, 1])
+def test_words_of_many_texts_in_bytes(chunk):
+    own = ["", "a b", "c", " d\x0b\r\ne ", "\u00a0 \u2003x", "", "f\x1fg  h", " \t", "i"]
+    raw = np.frombuffer("".join(own).encode(), dtype=np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in own)])
+    for i, j in repeats.cuts(offsets, chunk):
+        data, some = raw[offsets[i] : offsets[j]], own[i:j]
+        start, end, sizes = hashing.word_bounds(data, offsets[i : j + 1] - offsets[i])
+        want = [w for t in some for w in t.encode().split()]
+        assert [data[a:b].tobytes() for a, b in zip(start, end, strict=True)] == want and sizes.tolist() == [len(t.encode().split()) for t in some]
+        assert hashing.spaced(data, start, end)[0].tobytes() == b"".join(w + b" " for w in want)
+        assert hashing.hashes_between(data, start, end).tolist() == hashing.word_hashes(some)[0].tolist()
+
+
 def test_one_row_of_a_repeated_id_stays(spark):
     import corpus_pipeline
 
