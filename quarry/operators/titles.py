@@ -39,6 +39,11 @@ def keywords(c: Column, pattern: str = KEYWORD) -> Column:
     return F.array_distinct(F.regexp_extract_all(trimmed(F.regexp_replace(trimmed(c), r"^[\d_]*[【（(]?[A-Z]+[】）)]?\s*", "")), F.lit(pattern), F.lit(0)))
 
 
+def _joined(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the titles: merged, so that neither side is gathered on the driver to be broadcast, whatever its estimated size."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
@@ -100,18 +105,18 @@ def candidates(texts: DataFrame) -> DataFrame:
     """outer, inner (h): texts (h, text, own, ref_a, ref_b) that may hold another, one of them a title, the other a reference. Of each inner text the
     mark that the fewest texts of the other side have leads to those; a text with a mark that none of them has is in none."""
     asked = _marked(texts, True)
-    brief = asked.join(texts.filter(F.length("text") < 4 * SHORT - 1).select("h"), "h", "left_semi").select("mark").distinct().limit(MOST_SHORT + 1)
-    few = np.array([r[0] for r in brief.collect()], dtype=np.int64).view(np.uint64)
+    brief = _joined(asked, texts.filter(F.length("text") < 4 * SHORT - 1).select("h"), "h", "left_semi").select("mark").distinct().limit(MOST_SHORT + 1)
+    few = brief.toArrow().column("mark").to_numpy().view(np.uint64)  # 8 bytes each, no row objects
     posted = _marked(texts, False, None if len(few) > MOST_SHORT else texts.sparkSession.sparkContext.broadcast(np.sort(few)))
     df = posted.groupBy("mark").agg(F.sum("own").alias("n_own"), F.sum("ref").alias("n_ref"))
-    met = asked.join(df, "mark", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_own", "n_ref")})
+    met = _joined(asked, df, "mark", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_own", "n_ref")})
     rarest = met.groupBy("h").agg(
         F.max("own").alias("own"), F.max("ref").alias("ref"), F.min("n_own").alias("n_own"), F.min("n_ref").alias("n_ref"), F.min_by("mark", "n_own").alias("by_own"), F.min_by("mark", "n_ref").alias("by_ref")
     )
     in_ref = F.when((F.col("own") == 1) & (F.col("n_ref") > 0), F.struct(F.col("by_ref").alias("mark"), F.lit(False).alias("own")))
     in_own = F.when((F.col("ref") == 1) & (F.col("n_own") > 0), F.struct(F.col("by_own").alias("mark"), F.lit(True).alias("own")))
     chosen = rarest.select(F.col("h").alias("inner"), F.inline(F.array_compact(F.array(in_ref, in_own)))).withColumnRenamed("own", "of_own")
-    pairs = chosen.join(posted, "mark").filter((F.col("h") != F.col("inner")) & (F.when(F.col("of_own"), F.col("own")).otherwise(F.col("ref")) == 1))
+    pairs = _joined(chosen, posted, "mark").filter((F.col("h") != F.col("inner")) & (F.when(F.col("of_own"), F.col("own")).otherwise(F.col("ref")) == 1))
     return pairs.select(F.col("h").alias("outer"), "inner")
 
 
@@ -127,11 +132,11 @@ def _held(titles: DataFrame, references: DataFrame) -> DataFrame:
     texts.withColumn("h", F.monotonically_increasing_id()).write.parquet(path)  # written, so that the numbers stay
     texts = spark.read.parquet(path)
     short = texts.select(F.col("h").alias("inner"), F.col("text").alias("part"), F.col("own").alias("own_"), F.col("ref_a").alias("a_"), F.col("ref_b").alias("b_"))
-    pairs = candidates(texts).join(short, "inner").join(texts.withColumnRenamed("h", "outer"), "outer").filter(F.contains("text", F.col("part")))
+    pairs = _joined(_joined(candidates(texts), short, "inner"), texts.withColumnRenamed("h", "outer"), "outer").filter(F.contains("text", F.col("part")))
     around = F.when(F.col("own") == 1, F.struct(F.col("outer").alias("h"), F.col("a_").alias("ref_a"), F.col("b_").alias("ref_b")))
     inside = F.when(F.col("own_") == 1, F.struct(F.col("inner").alias("h"), F.col("ref_a"), F.col("ref_b")))
     near = pairs.select(F.inline(F.array_compact(F.array(around, inside)))).groupBy("h").agg(F.min("ref_a").alias("ref_a"), F.min("ref_b").alias("ref_b"))
-    return near.join(texts.select("h", "text"), "h").select("text", "ref_a", "ref_b")
+    return _joined(near, texts.select("h", "text"), "h").select("text", "ref_a", "ref_b")
 
 
 def fuzzy_titles(titles: DataFrame, references: DataFrame, pattern: str = KEYWORD, long: int = LONG) -> DataFrame:
@@ -147,17 +152,17 @@ def fuzzy_titles(titles: DataFrame, references: DataFrame, pattern: str = KEYWOR
     met, rest = [], t
     for c, kind in (("a", 0), ("b", 1)):
         by_text = least(r.filter(F.col(c) != ""), c)
-        met.append(t.filter(F.col(c) != "").join(by_text, c).select("id", F.lit(kind).alias("kind"), "ref"))
-        rest = rest.join(by_text.select(c), c, "left_anti")
+        met.append(_joined(t.filter(F.col(c) != ""), by_text, c).select("id", F.lit(kind).alias("kind"), "ref"))
+        rest = _joined(rest, by_text.select(c), c, "left_anti")
     # A title in a reference, and a reference in a title: for those that equal none.
     near = _held(rest.select("a", "b"), r.select("ref", "a", "b"))
     for c in ("a", "b"):
-        met.append(rest.join(near.select(F.col("text").alias(c), F.col(f"ref_{c}").alias("ref")), c).filter("ref IS NOT NULL").select("id", F.lit(2).alias("kind"), "ref"))
+        met.append(_joined(rest, near.select(F.col("text").alias(c), F.col(f"ref_{c}").alias("ref")), c).filter("ref IS NOT NULL").select("id", F.lit(2).alias("kind"), "ref"))
     long_word = lambda x: x.select("*", F.explode(F.filter("k", lambda w: F.length(w) >= long)).alias("w"))
     pairs = lambda k: F.flatten(F.transform(k, lambda v: F.transform(F.filter(k, lambda w: w > v), lambda w: F.struct(v.alias("v"), w.alias("w")))))
     two = lambda x: x.select("*", F.explode(pairs(F.col("k"))).alias("w"))
     for cut in (long_word, two):
-        met.append(cut(t.select("id", "k")).select("id", "w").join(least(cut(r.select("ref", "k")), "w"), "w").select("id", F.lit(3).alias("kind"), "ref"))
+        met.append(_joined(cut(t.select("id", "k")).select("id", "w"), least(cut(r.select("ref", "k")), "w"), "w").select("id", F.lit(3).alias("kind"), "ref"))
     best = reduce(DataFrame.union, met).groupBy("id").agg(F.min(F.struct("kind", "ref")).alias("m"))
     name = F.get(F.array(*map(F.lit, KINDS)), F.col("m.kind"))
-    return titles.select("id").join(best, "id", "left").select("id", name.alias("kind"), F.col("m.ref").alias("ref"))
+    return _joined(titles.select("id"), best, "id", "left").select("id", name.alias("kind"), F.col("m.ref").alias("ref"))

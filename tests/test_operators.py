@@ -561,3 +561,12 @@ def test_long_texts_come_in_short_batches(spark):
         assert x.select(sizes("t").alias("n")).agg(F.max("n")).first()[0] < 300
     finally:
         spark.conf.set(name, was)
+
+
+def test_titles_are_not_gathered_on_the_driver(spark):
+    """No table of titles is broadcast, however small Spark thinks it is: the estimate is of compressed bytes, and the driver holds all such tables at once."""
+    frame = lambda n: spark.range(n).select("id", F.concat(F.lit("title of "), F.col("id") % 40).alias("title"))
+    rows = titles.fuzzy_titles(frame(60), frame(50))
+    assert {(r.kind, r.ref) for r in rows.collect() if r.id in (3, 43)} == {("equal", 3)}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
