@@ -4,6 +4,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -570,3 +571,36 @@ def test_titles_are_not_gathered_on_the_driver(spark):
     assert {(r.kind, r.ref) for r in rows.collect() if r.id in (3, 43)} == {("equal", 3)}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_lattice_of_long_and_many_runs_takes_linear_time(spark):
+    """Unknown stretches may end before every letter that starts a word: each place looked at all that follow."""
+    import time
+
+    words = [("ab", 5, "noun"), ("abc", 2, "word"), ("c", 9, "word"), ("cab", 3, "noun"), ("x", 1, "word"), ("京都", 4, "noun")]
+    d, rng = lattice.Dictionary.of(words), np.random.default_rng(6)
+    long = "".join(rng.choice(list("abcx"), 12_000))
+    start = time.process_time()
+    found = d.segment(long)
+    assert time.process_time() - start < 5 and "".join(t for t, _ in found) == long
+    runs = ["".join(rng.choice(list("abcx7京都"), n)) for n in rng.integers(0, 9, 400)]
+    runs += [long, "", "a", long[:300]]
+    want = [d.segment(r) for r in runs]
+    assert want[:400] == [cheapest(words, r) for r in runs[:400]]
+    assert d.segments(runs).to_pylist() == [[t for t, _ in w] for w in want]
+    assert d.segments(runs, (lattice.NOUN, lattice.NUMBER)).to_pylist() == [[t for t, kind in w if kind in ("noun", "number")] for w in want]
+    assert lattice.Dictionary.of([]).segments(["ab7", ""]).to_pylist() == [["ab", "7"], []] and d.segments([]).to_pylist() == []
+
+
+def test_lattice_analyzer_takes_short_batches(spark):
+    from quarry.plans.registry import short_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    try:
+        short_batches(spark)
+        x = spark.range(0, 600, 1, 1).select(F.split(F.repeat(F.concat(F.lit("ab "), "id"), F.lit(8_000)), " ").alias("t"))
+        sizes = F.arrow_udf(lambda t: pa.array([len(t)] * len(t)), "long")
+        assert x.select(sizes("t").alias("n")).agg(F.max("n")).first()[0] < 300
+    finally:
+        spark.conf.set(name, was)
