@@ -604,3 +604,17 @@ def test_lattice_analyzer_takes_short_batches(spark):
         assert x.select(sizes("t").alias("n")).agg(F.max("n")).first()[0] < 300
     finally:
         spark.conf.set(name, was)
+
+
+def test_runs_of_the_last_batches_are_not_segmented_again(monkeypatch):
+    d = lattice.Dictionary.of([("ab", 5, "noun"), ("c", 9, "word")])
+    asked, cut = [], d.segments
+    monkeypatch.setattr(d, "segments", lambda runs, kinds=None: asked.append(list(runs)) or cut(runs, kinds))
+    batches = [["abc", "", "cab"], ["cab", "abab", "abc"], ["xyz" * 9], ["abc", "cab"]]
+    for kept, want in ((1000, [batches[0], ["abab"], batches[2], []]), (12, [batches[0], ["abab"], batches[2], batches[3]])):
+        monkeypatch.setattr(lattice, "KEPT", kept)
+        for kinds in (None, ("noun",)):
+            asked.clear()
+            d.kept.clear()
+            assert [d.known(pa.array(b), kinds).to_pylist() for b in batches] == [cut(b, kinds).to_pylist() for b in batches]
+            assert asked == want
