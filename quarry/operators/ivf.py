@@ -1,7 +1,7 @@
 """An inverted file of quantized vectors: trained cells, residual product codes, search by distance tables, exact re-ranking.
 
 Training (`train`): k-means for the cells, then k-means in each of `parts` sub-spaces for the residuals. Both run as rounds of one
-aggregation over a sample of SAMPLE rows at most, the first by a hash of the key: tasks sum their rows by nearest centre, Spark adds the sums up,
+aggregation over all rows, from the first ones by a hash of the key on: tasks sum their rows by nearest centre, Spark adds the sums up,
 and only the centres (cells or parts x codes rows) come to the driver.
 
 Storage (`save`), one version of a table set: `codes` (key and `parts` bytes a row, a folder a cell), `vectors` (a folder a cell, sorted by key),
@@ -9,7 +9,7 @@ Storage (`save`), one version of a table set: `codes` (key and `parts` bytes a r
 
 Search (`search`): a query probes its nearest cells. Tasks read the codes of probed cells alone and sum table entries, one look-up a
 part, for all queries of a cell at once; each keeps `rerank` rows a query. Vectors are read for those candidates only, from their cells, and
-ranked by the exact distance. `share_read` tells how much of the table a set of queries probes.
+ranked by the exact distance. `share_read` tells how much of the table a set of queries probes, counted for each of them.
 
 Every row is in the index; vectors of another length, or with nulls in them, are in none. Ties go to the smaller key.
 """
@@ -30,8 +30,6 @@ from quarry.sources import tables
 from .vector import distance
 
 CELLS, PARTS, CODES = 256, 16, 256
-#: Rows that centres are fitted on, at most.
-SAMPLE = 65_536
 BLOCK = 4096
 
 
@@ -66,6 +64,12 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def probed(cells: np.ndarray, queries: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest cells of each query."""
+    d = (cells * cells).sum(axis=1)[None] - 2 * queries @ cells.T
+    return np.argsort(d, axis=1, kind="stable")[:, :n]
+
+
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(-1, width)
 
@@ -74,11 +78,11 @@ def whole(df: DataFrame, vector: str, width: int) -> DataFrame:
     return df.filter((F.size(vector) == width) & ~F.exists(vector, lambda v: v.isNull()))
 
 
-def _rounds(sample: DataFrame, width: int, first: np.ndarray, rounds: int, residual=None) -> np.ndarray:  # noqa: ANN001
+def _rounds(rows: DataFrame, width: int, first: np.ndarray, rounds: int, residual=None) -> np.ndarray:  # noqa: ANN001
     """k-means from the given centres (parts, n, d) on; a centre without rows stays where it is."""
     centres, (parts, n, d) = first, first.shape
     for _ in range(rounds):
-        shared = sample.sparkSession.sparkContext.broadcast(centres)
+        shared = rows.sparkSession.sparkContext.broadcast(centres)
 
         def add_up(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             sums, counts = np.zeros((parts * n, d)), np.zeros(parts * n, dtype=np.int64)
@@ -88,28 +92,30 @@ def _rounds(sample: DataFrame, width: int, first: np.ndarray, rounds: int, resid
                 own = (nearest(x, shared.value) + np.arange(parts) * n).ravel()
                 np.add.at(sums, own, x.reshape(-1, d))
                 counts += np.bincount(own, minlength=parts * n)
-            some = np.flatnonzero(counts)
-            yield pd.DataFrame({"c": some, "n": counts[some], "s": sums[some].tolist()})
+            if len(some := np.flatnonzero(counts)):  # a task may have no rows
+                yield pd.DataFrame({"c": some, "n": counts[some], "s": sums[some].tolist()})
 
-        each = sample.mapInPandas(add_up, "c long, n long, s array<double>").groupBy("c")
-        rows = each.agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(d)]).collect()  # a row a centre
+        each = rows.mapInPandas(add_up, "c long, n long, s array<double>").groupBy("c")
+        sums = each.agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(d)]).collect()  # a row a centre
         centres = centres.reshape(-1, d).copy()
-        for r in rows:
+        for r in sums:
             centres[r["c"]] = np.array(r[2:]) / r["n"]
         centres = centres.reshape(parts, n, d)
     return centres
 
 
-def train(df: DataFrame, vector: str, key: str, cells: int = CELLS, parts: int = PARTS, codes: int = CODES, sample: int = SAMPLE, rounds: int = 6) -> Centres:
-    """Centres fitted on the first `sample` rows by a hash of the key. There are as many cells as the square root of that asks for, at most `cells`."""
+def train(df: DataFrame, vector: str, key: str, cells: int = CELLS, parts: int = PARTS, codes: int = CODES, sample: int | None = None, rounds: int = 6) -> Centres:
+    """Centres fitted on all whole rows, or on the first `sample` by a hash of the key where a caller asks for so few. There are as many cells as the square
+    root of their number asks for, at most `cells`."""
     width = df.select(F.max(F.size(vector))).first()[0] or 0
     if width <= 0 or width % parts:
         raise ValueError(f"vectors of {width} dimensions do not fall into {parts} parts")
     order = F.xxhash64(key)
     x = whole(df, vector, width).select(order.alias("h"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    x = x.orderBy("h", "key").limit(sample)
-    path = tables.scratch(df.sparkSession, "sample")
-    x.repartition(max(1, min(sample // 4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))).write.parquet(path)
+    if sample is not None:
+        x = x.orderBy("h", "key").limit(sample).repartition(max(1, min(sample // 4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    path = tables.scratch(df.sparkSession, "training")
+    tables.spread(x).write.parquet(path)  # each round reads it once
     x = df.sparkSession.read.parquet(path)
     n = x.count()
     seeds = _matrix(x.orderBy("h", "key").limit(max(cells, codes)).select("v").toPandas()["v"], width)  # cells or codes rows
@@ -176,9 +182,7 @@ class Index:
 
     def probes(self, queries: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each query."""
-        c = self.centres.cells
-        d = (c * c).sum(axis=1)[None] - 2 * queries @ c.T
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+        return probed(self.centres.cells, queries, n)
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int, nprobe: int = 8, rerank: int = 100) -> DataFrame:
         """q, id, distance, rank: the k nearest of each row of a stated query set, among the `rerank` best by code of its `nprobe` nearest cells."""
@@ -233,8 +237,16 @@ class Index:
         return rows.mapInPandas(scan, "q long, id long, cell int, near double")
 
     def share_read(self, queries: DataFrame, vector: str, nprobe: int) -> float:
-        """Mean share of the rows whose codes a query reads, over a block of the queries at most."""
+        """Mean share of the rows whose codes a query reads, over all queries."""
         sizes = {r["cell"]: r["count"] for r in self.codes.groupBy("cell").count().collect()}  # a row a cell
-        x = _matrix(whole(queries, vector, self.centres.cells.shape[1]).select(F.col(vector).cast("array<double>").alias("v")).limit(BLOCK).toPandas()["v"], self.centres.cells.shape[1])
-        read = [sum(sizes.get(int(c), 0) for c in own) for own in self.probes(x, nprobe)]
-        return float(np.mean(read)) / max(1, sum(sizes.values())) if read else 0.0
+        cells = self.centres.cells
+        shared = self.spark.sparkContext.broadcast((cells, np.array([sizes.get(c, 0) for c in range(len(cells))], dtype=np.int64)))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres, rows = shared.value
+            for pdf in batches:
+                yield pd.DataFrame({"n": [len(pdf)], "rows": [rows[probed(centres, _matrix(pdf["v"], centres.shape[1]), nprobe)].sum()]})
+
+        q = whole(queries, vector, cells.shape[1]).select(F.col(vector).cast("array<double>").alias("v"))
+        r = q.mapInPandas(count, "n long, rows long").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
+        return r["rows"] / (r["n"] * max(1, sum(sizes.values()))) if r["n"] else 0.0

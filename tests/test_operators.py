@@ -618,3 +618,18 @@ def test_runs_of_the_last_batches_are_not_segmented_again(monkeypatch):
             d.kept.clear()
             assert [d.known(pa.array(b), kinds).to_pylist() for b in batches] == [cut(b, kinds).to_pylist() for b in batches]
             assert asked == want
+
+
+def test_vector_index_is_fitted_on_all_rows_and_its_share_counted_over_all_queries(spark, tmp_path, monkeypatch):
+    df = spark.range(70_000).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"))
+    assert ivf.train(df, "v", "id", cells=1, parts=1, codes=1, rounds=1).cells.tolist() == [[34_999.5, 0.0]]  # the mean of all
+    monkeypatch.setattr(ivf, "BLOCK", 4)
+    few = df.filter("id < 1000").select("id", F.array(F.col("id") * F.col("id"), F.lit(0.0)).alias("v"))  # cells of very different sizes
+    ivf.save(few, str(tmp_path / "i"), "v", "id", ivf.train(few, "v", "id", cells=9, parts=1, codes=4), buckets=2)
+    index = ivf.Index(spark, str(tmp_path / "i"))
+    sizes = {r["cell"]: r["count"] for r in index.codes.groupBy("cell").count().collect()}
+    q = np.array([[float(i * i), 0.0] for i in range(0, 1000, 7)])
+    want = np.mean([sum(sizes.get(int(c), 0) for c in own) / 1000 for own in index.probes(q, 2)])
+    assert math.isclose(index.share_read(few.filter("id % 7 = 0"), "v", 2), want) and len(set(sizes.values())) > 1
+    assert index.share_read(few.filter("id < 0"), "v", 2) == 0.0
+    assert ivf._rounds(few.filter("id IN (2, 4)").select("v").repartition(8), 2, np.zeros((1, 1, 2)), 1).tolist() == [[[10.0, 0.0]]]  # most tasks are empty
